@@ -24,8 +24,7 @@ STOP_WORDS = (
     "el los las y del por con para se no su es lo "
     "der die das und den von zu mit ist im auf nicht ein eine dem sich"
 ).split()
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -48,28 +47,40 @@ RULES = (
 BASE = (Rule("n_words", least=50), Rule("n_repeat_words", "n_words", most=50))
 
 
+#: Up to so many different repeated windows, positions are found by looking each window up in their list.
+FEW = 64
+
+
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    Windows are hashed to 64 bits and sorted with their positions; equal neighbours are the repeated windows, and a
-    fold over their ordered positions counts the words that they cover.
+    Windows are hashed to 64 bits; equal neighbours in the sorted hashes are the repeated ones. Their positions come
+    from a lookup in that list where it is short, else from a sort of (hash, position), so no text costs more than a
+    sort. A fold over the ordered positions counts the words that they cover.
     """
-    hashed = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("p")),
-        ),
-    )
-
-    def covered(s):
-        twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-        ordered = F.sort_array(F.transform(twice, lambda x: x["p"]))
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    pair = F.zip_with(words, F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+    hashes = F.when(n >= 3, F.slice(F.zip_with(pair, F.slice(words, 3, n), lambda a, b: F.xxhash64(a, b)), 1, n - 2))
+
+    def by_list(h, again):
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)), lambda i: i.isNotNull())
+
+    def by_sort(h):
+        def twice(s):
+            return F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
+
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.sort_array(F.transform(let(placed, twice), lambda x: x["p"]))
+
+    def covered(positions):
+        zero = F.struct(F.lit(-3).alias("end"), F.lit(0).alias("n"))
         more = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + F.least(F.lit(3), p + 3 - a["end"])).alias("n"))
-        return F.aggregate(ordered, zero, more, lambda a: a["n"])
+        return F.aggregate(positions, zero, more, lambda a: a["n"])
+
+    def count(h):
+        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i - 1) == x)))
+        return let(again, lambda a: F.when(F.size(a) == 0, 0).when(F.size(a) <= FEW, covered(by_list(h, a))).otherwise(covered(by_sort(h))))
 
-    return F.coalesce(let(F.sort_array(hashed), covered), F.lit(0)).cast("long")
+    return F.coalesce(let(hashes, count), F.lit(0)).cast("long")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -81,8 +92,8 @@ def measure(docs: DataFrame) -> DataFrame:
     words, n = F.col("_words"), F.size("_words")
     return split.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_stop": F.size(F.filter(words, lambda w: w.isin(forms))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
