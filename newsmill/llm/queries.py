@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import pii, quality
+from newsmill.llm import decontaminate, mixing, pii, quality, sharding
 from newsmill.llm.common import table
 
 
@@ -10,11 +10,24 @@ def op4_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_mixing(spark, sf_dir):
+    plan = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality.STOP_WORDS)
 OP7_SQL = f"""
 WITH d AS (
@@ -39,5 +52,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 100 * n_stop >= 2 * n_words AND 100 * n_dup_lines <= 30 * n_lines AS kept
 FROM b"""
 
-QUERIES = {"op4_pii": op4_pii, "op7_quality": op7_quality}
-ORACLES = {"op7_quality": OP7_SQL}
+#: DuckDB's ASCII lower-casing of A-Z alone.
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (
+  SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM b, unnest(range(1, len(w) - k + 2)) AS u(i)),
+lens AS (SELECT DISTINCT k FROM b),
+g AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM d, lens, unnest(range(1, len(w) - k + 2)) AS u(i)),
+hits AS (SELECT doc_id, i, k, item_id FROM g JOIN wins USING (k, gram)),
+n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, k)) AS u(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+QUERIES = {"op4_pii": op4_pii, "op5_mixing": op5_mixing, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding}
+ORACLES = {"op7_quality": OP7_SQL, "op8_decontaminate": OP8_SQL}
