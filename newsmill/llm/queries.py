@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from newsmill.llm import decontaminate, mixing, pii, quality, sharding
+from newsmill.llm import decontaminate, mixing, pii, quality, secrets, sharding, warc
 from newsmill.llm.common import table
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op2_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -70,5 +78,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-QUERIES = {"op4_pii": op4_pii, "op5_mixing": op5_mixing, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding}
+QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding}
 ORACLES = {"op7_quality": OP7_SQL, "op8_decontaminate": OP8_SQL}
