@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import decontaminate, mixing, pii, quality, secrets, sharding, warc
+from newsmill.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, warc
 from newsmill.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +40,12 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality.STOP_WORDS)
 OP7_SQL = f"""
 WITH d AS (
@@ -78,5 +88,17 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding}
-ORACLES = {"op7_quality": OP7_SQL, "op8_decontaminate": OP8_SQL}
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) > 2
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g AS a JOIN g AS b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "pipeline": pipeline}
+ORACLES = {"op6_jaccard": OP6_SQL, "op7_quality": OP7_SQL, "op8_decontaminate": OP8_SQL}
