@@ -1,6 +1,6 @@
 """From raw documents to a sharded training mix: five stages, each written as Parquet and read again by the next.
 
-Quality rules drop what they reject; of each near-duplicate group (the join's own 3-word shingles at 90 %) one
+Quality rules drop what they reject; of each near-duplicate group (5-word shingles, similarity of 80 %) one
 document stays; documents that share a passage with the benchmark go; the rest is mixed to the target weights, which
 repeats documents or cuts them; the mix is dealt into shards. All stages but the last return the columns of documents.
 """
@@ -16,7 +16,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def decontamination(spark, docs, sf_dir):

@@ -110,6 +110,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small.select(F.col("low").alias("a"), "b").where("a < b").distinct()
 
 
+def buckets(level, percent: int):
+    """Buckets at a level of sizes (2^level and up): few tokens in each, yet fewer buckets than the smallest set can spare."""
+    size, share = F.pow(F.lit(2.0), level), percent / 100
+    return F.greatest(F.lit(1), F.least(F.greatest(F.lit(BUCKETS), F.floor(size / 128)), F.floor(share * share * size) - 1)).cast("int")
+
+
 def signatures(docs: DataFrame, classes: DataFrame, width: int, percent: int, frequent: int) -> DataFrame:
     """sig and id: what each class is indexed by."""
     occ = classes.select("id", "need", F.size("pool").alias("held"), F.posexplode("pool").alias("pos", "token"))
@@ -130,12 +136,12 @@ def signatures(docs: DataFrame, classes: DataFrame, width: int, percent: int, fr
     marked = marked.withColumns({"rank": F.row_number().over(Window.partitionBy("id", "often").orderBy("pos")) - 1, "rare": F.sum(1 - F.col("often")).over(own)})
     # at most `need` rare tokens, or all of them and as many frequent ones as make up for it, and one more for each bucket
     levels = F.array_distinct(F.transform(F.array(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)), lambda x: F.floor(F.log2(x.cast("double"))).cast("int")))
-    widest = F.greatest(F.lit(BUCKETS), F.floor(F.pow(F.lit(2), F.array_max(levels)) / 128).cast("int"))
+    widest = buckets(F.array_max(levels), percent)
     kept = marked.where(F.when(F.col("often") == 0, F.col("rank") < F.col("need")).otherwise((F.col("rare") < F.col("need")) & (F.col("rank") < F.col("need") - F.col("rare") + widest)))
     kept = stage(kept.select("id", "n", "token", "often"), "extended")
     rare = kept.where("often = 0").select(F.col("token").alias("sig"), "id")
     by_level = kept.where("often = 1").select("id", "token", F.explode(levels).alias("level"))
-    bucket = F.pmod(F.xxhash64("token"), F.greatest(F.lit(BUCKETS), F.floor(F.pow(F.lit(2), F.col("level")) / 128).cast("int")))
+    bucket = F.pmod(F.xxhash64("token"), buckets(F.col("level"), percent))
     groups = by_level.withColumn("bucket", bucket).groupBy("id", "level", "bucket").agg(F.sort_array(F.collect_list("token")).alias("t"))  # a prefix's part: tens of tokens
     pair = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64("level", x, y))))
     pairs = groups.select(F.explode(pair).alias("sig"), "id")

@@ -9,11 +9,11 @@ from newsmill.llm import jaccard
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows):
+def brute(rows, width=3, percent=90):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -28,7 +28,7 @@ def brute(rows):
             index.setdefault(g, []).append(i)
     for i, s in enumerate(sets):
         for j in {j for g in s for j in index[g] if j < i}:
-            if 100 * len(s & sets[j]) >= 90 * len(s | sets[j]):
+            if 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -39,13 +39,13 @@ def brute(rows):
 
 def check(spark, rows, **how):
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, **{k: v for k, v in how.items() if k != "frequent"})
     return got
 
 
-@pytest.mark.parametrize("frequent", [2, 8])
-def test_copies_passages_and_edges(spark, frequent):
-    r = random.Random(frequent)
+@pytest.mark.parametrize("how", [{"frequent": 1}, {}, {"width": 5, "percent": 80, "frequent": 2}])
+def test_copies_passages_and_edges(spark, how):
+    r = random.Random(4)
     vocab = [f"w{i}" for i in range(3000)]
     say = lambda n: [r.choice(vocab) for _ in range(n)]
     rows, passage = [], say(60)
@@ -60,7 +60,7 @@ def test_copies_passages_and_edges(spark, frequent):
     rows += ["A b\tC", "a B c", "", None, "  ", "x " * 3000, "X " * 2999]
     rows = [(i, t) for i, t in enumerate(rows)]
     rows += [(None, rows[20][1]), (None, "lonely text here"), (3, rows[3][1]), (None, None)]
-    got = check(spark, rows, frequent=frequent)
+    got = check(spark, rows, **how)
     assert len({x.component_id for x in got}) < len(got) - 50
 
 
