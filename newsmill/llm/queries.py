@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, warc
+from newsmill.llm import decontaminate, jaccard, licenses, mixing, pii, quality, secrets, sharding, templates, warc
 from newsmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_templates(spark, sf_dir):
+    return templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -40,6 +44,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -100,5 +108,5 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM r
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "pipeline": pipeline}
+QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op3_templates": op3_templates, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_decontaminate": op8_decontaminate, "op9_sharding": op9_sharding, "op10_licenses": op10_licenses, "pipeline": pipeline}
 ORACLES = {"op6_jaccard": OP6_SQL, "op7_quality": OP7_SQL, "op8_decontaminate": OP8_SQL}
