@@ -1,4 +1,6 @@
 """All queries over the reference tables, by name, and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from newsmill.plans import tables
+
+QUERIES: dict = {**tables.QUERIES}
+ORACLES: dict = {**tables.ORACLES}
