@@ -42,11 +42,8 @@ def let(value: Column, body) -> Column:
 
 
 def chargrams(key: Column, n: int = 4) -> Column:
-    def cut(k):
-        at = F.when(F.length(k) >= n, F.sequence(F.lit(1), F.length(k) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(at, lambda i: F.substr(k, i, F.lit(n)))
-
-    return let(key, cut)
+    """All stretches of n characters, by a lookahead so that the text is walked once."""
+    return F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def anchors(words: Column) -> Column:

@@ -1,6 +1,7 @@
 """All queries over the reference tables, by name, and their oracles."""
 
-from newsmill.plans import tables
+from newsmill.plans import classify, similar, tables
 
-QUERIES: dict = {**tables.QUERIES}
-ORACLES: dict = {**tables.ORACLES}
+MODULES = (tables, similar, classify)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
