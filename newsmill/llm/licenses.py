@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm import wordhash
+from newsmill.llm.common import first_by_hash
 
 BITS = 16
 SAMPLE = 2000
@@ -147,13 +148,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
             labels.append(i)
     lines = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("line")).where(F.length("line").between(8, 2000))
     named = F.col("line").rlike("(?i)licen[sc]|copyright|creative commons|all rights reserved")
-    first = lambda df: [x[0] for x in df.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
-    for t in first(lines.where(named).distinct()):
+    for t in first_by_hash(lines.where(named), "line", sample):
         alike = sorted(((resemblance(k, t), i) for i, k in enumerate(NOTICES)), reverse=True)
         if alike[0][0] >= 0.8 > alike[1][0]:
             texts.append(t)
             labels.append(alike[0][1])
-    plain = first(lines.where(~named & (F.pmod(F.xxhash64("line"), F.lit(64)) == 0)))
+    share = min(1.0, 16 * sample / max(1, docs.count()))  # a hash part of the lines that holds a few times the sample
+    plain = first_by_hash(lines.where(~named & (F.pmod(F.xxhash64("line", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))), "line", sample)
     texts += plain or ["the quick brown fox jumps over the lazy dog"] * 8
     labels += [len(CLASSES) - 1] * (len(texts) - len(labels))
     return Model(texts, labels, seed)
