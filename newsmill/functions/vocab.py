@@ -21,3 +21,13 @@ NOISE = r"(?i)\b(?:breaking|urgent|flash|developing|update|news|alert)\b"
 NUMBER_WORDS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 SOURCE_TIER_BONUS = {"S": 0.35, "A": 0.24, "B": 0.14, "C": 0.06, "UNKNOWN": 0.04}
 OBFUSCATION = ("@43!1|0$57#", "aaeiiiossti")
+#: Words of a question that say nothing about its subject.
+QUERY_GENERIC_TERMS = (
+    "about after all also and any are as brief briefing can could current day days detail details did do does "
+    "development developments digest explain find for from give has have happened happening headline headlines how "
+    "hour hours into is its last latest lookup look me my news now of on or past please present query recent "
+    "recently recap regarding report reports reply replying roundup search searching show situation status subject "
+    "summary summarize overview than that the tell there this today top up update updates want was were what whats "
+    "what's whatis which when where who would with why world global general going major big notable happen new "
+    "everything anything channel channels feed feeds wire wires currently overall see stand stands you yesterday"
+).split()
