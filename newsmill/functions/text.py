@@ -110,3 +110,10 @@ def article(html: Column, limit: int = 1200) -> Column:
     parts = F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip)
     good = F.filter(parts, lambda p: F.size(F.filter(F.split(p, " "), lambda w: w != "")) >= 8)
     return cut_at_word(F.when(F.size(good) > 0, F.array_join(good, " ")).otherwise(strip(bare)), max(120, limit))
+
+
+def clean_lines(x: Column) -> Column:
+    """Lines without markup, links and handles; blank lines and later repeats (whatever their case) are left out."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " "), V.URL, " ")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(bare, r"@[A-Za-z0-9_]+", " "), "\n", -1), squeeze), lambda t: t != "")
+    return let(lines, lambda ls: F.filter(ls, lambda t, i: F.array_position(F.transform(ls, F.lower), F.lower(t)) == i + 1))

@@ -87,3 +87,25 @@ def widen(prepared: DataFrame, narrow: DataFrame, wide: DataFrame, least: int =
     n = narrow.groupBy("query_id").count()
     thin = prepared.select("query_id").join(n, "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).select("query_id")
     return narrow.join(thin, "query_id", "left_anti").withColumn("expanded", F.lit(False)).unionByName(wide.join(thin, "query_id", "left_semi").withColumn("expanded", F.lit(True)))
+
+
+def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
+    """query_id, id: posts whose text holds any keyword or number of a question as a part of it.
+
+    Substrings don't meet in an equi-join; the questions are the stated query set, broadcast block by block by the
+    caller if they are many.
+    """
+    p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
+    p = p if until is None else p.where(F.col("ts") < F.lit(until))
+    p = p.select(F.col("message_id").alias("id"), F.lower(F.coalesce("raw_text", F.lit(""))).alias("low"))
+    terms = prepared.select("query_id", F.concat("keywords", "numbers").alias("terms")).where("size(terms) > 0")
+    return p.join(F.broadcast(terms), F.exists("terms", lambda t: F.contains(F.col("low"), t))).select("query_id", "id")
+
+
+def reply_targets(replies: DataFrame, delivered: DataFrame, topic: DataFrame | None = None) -> DataFrame:
+    """channel_id, id, target: the delivered parent of a reply, else its topic's thread, else null."""
+    refs = delivered.select("channel_id", F.col("message_id").alias("reply_to"), F.col("destination").alias("_parent"))
+    r = replies.join(refs, ["channel_id", "reply_to"], "left")
+    if topic is None:
+        return r.select("channel_id", "id", F.col("_parent").alias("target"))
+    return r.join(topic.select("id", F.col("destination").alias("_thread")), "id", "left").select("channel_id", "id", F.coalesce("_parent", "_thread").alias("target"))

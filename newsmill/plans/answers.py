@@ -118,3 +118,17 @@ def i2_daily_digest(spark, sf_dir):
 
     d = window_slice(posts(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp"))
     return d.groupBy("channel_id").agg(F.count(F.lit(1)).alias("posts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"""WITH {_Q}, p AS (SELECT message_id AS id, lower(raw_text) AS low FROM {POSTS}), t AS (SELECT query_id, list_concat(kw, nums) AS terms FROM k)
+SELECT query_id, count(*) AS posts, min(id) AS first_id FROM p, t WHERE len(list_filter(terms, lambda x: contains(low, x))) > 0 GROUP BY query_id""")
+def b5_keyword_filter(spark, sf_dir):
+    return Q.keyword_filter(_prepared(spark, sf_dir), posts(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("posts"), F.min("id").alias("first_id"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, turn * 10 AS destination FROM conversations WHERE role = 'user')
+SELECT c.conv_id AS channel_id, c.turn AS id, d.destination AS target FROM conversations c LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn - 1""")
+def d8_reply_targets(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("channel_id", F.col("conv_id"))
+    delivered = c.where("role = 'user'").select("channel_id", F.col("turn").alias("message_id"), (F.col("turn") * 10).alias("destination"))
+    return Q.reply_targets(c.select("channel_id", F.col("turn").alias("id"), (F.col("turn") - 1).alias("reply_to")), delivered)

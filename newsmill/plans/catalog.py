@@ -1,7 +1,7 @@
 """All queries over the reference tables, by name, and their oracles."""
 
-from newsmill.plans import answers, classify, similar, tables
+from newsmill.plans import answers, classify, similar, story, tables
 
-MODULES = (tables, similar, classify, answers)
+MODULES = (tables, similar, classify, answers, story)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
