@@ -71,11 +71,12 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, con
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
     """docs with text shortened, and n_lines and n_dropped."""
-    gone = stage(recurring(docs, depth, min_docs, constant).select("leaf", "line"), "boilerplate")
-    out = _lines(docs, depth).select("doc_id", "text_key", "at", "leaf", "line").join(gone, ["leaf", "line"], "left_semi")
+    gone = stage(recurring(docs, depth, min_docs, constant).select("leaf", F.xxhash64("line").alias("line_key")), "boilerplate")
+    out = _lines(docs, depth).select("doc_id", "text_key", "at", "leaf", F.xxhash64("line").alias("line_key"))
+    out = out.join(gone.hint("merge"), ["leaf", "line_key"], "left_semi")  # 128 bits name a line; no text moves
     out = out.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("at").alias("_gone"))  # one document's line numbers
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    rows = docs.join(out.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
