@@ -10,9 +10,11 @@ How frequent a token is is counted over all documents, on the pools of each set'
 a prefix need be). Sets that are mostly frequent tokens are looked up whole. Candidates go through a length filter and
 a filter of pool mismatches, which never reject a true link, and are verified on whole sets.
 
-Posting lists aren't expanded into all pairs: each list is first linked to its smallest member; what then lies in
-different components is compared across them, so that components come out whole. Documents move by hash of unique
-ids; hot copies are pre-aggregated into their class.
+Short posting lists are compared pair by pair, long ones aren't expanded. In rounds, each member outside a list's
+largest component is compared with one member of it, picked by hash; the first round does so in lists of whole hash
+ranges (4 to 8 tokens that must all agree), where most pairs are true links. When rounds stop helping, members still outside are compared with their
+whole lists, each pair where it first meets, so that no link between components is missed. Documents move by hash of
+unique ids; hot copies are pre-aggregated into their class.
 
 Defined results: null and empty texts have no shingles, link to nothing and are their own component; exact repeats
 share a class; a null doc_id takes part in links and gets the smallest id of its component, null if there is none; an
@@ -34,6 +36,8 @@ PERCENT = 90
 #: Tokens in the pools of more documents than this are frequent.
 FREQUENT = 8
 BUCKETS = 8
+#: Lists of at most so many members are compared pair by pair: a bounded number of pairs for each row of theirs.
+SHORT = 8
 
 
 def need_of(n: int, percent: int = PERCENT) -> int:
@@ -57,13 +61,26 @@ def _lists(arrays: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), kind))
 
 
+def ranges(s: np.ndarray, held: int) -> np.ndarray:
+    """Hashes of what a set has in each whole range of hash values that its pool covers; a range has 4 to 8 tokens on average."""
+    if not held:
+        return s[:0].view(np.int64)
+    bits = max(0, len(s).bit_length() - 3)
+    at = (s[:held] >> np.uint64(64 - bits)) if bits else np.zeros(held, np.uint64)
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(wordhash.mix(s[:held]), begins) + wordhash.mix(at[begins] + np.uint64(bits << 32))
+    whole = len(sums) if held == len(s) else len(sums) - 1  # the last range may go on behind the pool
+    return sums[:whole].view(np.int64)
+
+
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_key, n, need, k1, k2 (names of the set) and pool, the smallest hashes in order, for every row."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
     def run(batches):
         for batch in batches:
-            n, need, k1, k2, pools = [], [], [], [], []
+            n, need, k1, k2, pools, fine = [], [], [], [], [], []
             for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
                 need.append(need_of(len(s), percent))
@@ -72,11 +89,12 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k2.append(np.add.reduce(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64))
                 linked = 100 * len(s) // percent > len(s) or need[-1] > 1  # else only an equal set is similar enough
                 pools.append(s[: need[-1] + need[-1] // 2 + BUCKETS].view(np.int64) if linked else s[:0].view(np.int64))
+                fine.append(ranges(s, len(pools[-1])))
             ints = [pa.array(x, pa.int64()) for x in (n, need)]
             keys = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *keys, _lists(pools)], names=["doc_id", "text_key", "n", "need", "k1", "k2", "pool"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *keys, _lists(pools), _lists(fine)], names=["doc_id", "text_key", "n", "need", "k1", "k2", "pool", "fine"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, n long, need long, k1 long, k2 long, pool array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, n long, need long, k1 long, k2 long, pool array<long>, fine array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -150,45 +168,95 @@ def signatures(docs: DataFrame, classes: DataFrame, width: int, percent: int, fr
     return singles.unionByName(rare).unionByName(pairs).unionByName(others)
 
 
+def _narrow(classes: DataFrame) -> DataFrame:
+    """id, n, last and pool: the pools in the upper 31 bits of their tokens, which keeps their order."""
+    last = F.when(F.size("pool") < F.col("n"), F.shiftrightunsigned(F.try_element_at("pool", F.lit(-1)), 33)).otherwise(F.lit(2**31))
+    return classes.select("id", "n", last.alias("last"), F.transform("pool", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("pool"))
+
+
+def _possible(x: str, y: str, percent: int):
+    """Whether sizes and pools leave room for the similarity: never false for a true link.
+
+    Sets of sizes p and q need an overlap of percent * (p + q) / (100 + percent); more tokens missing than p or q less
+    that, below the nearer end of the two pools, rule the pair out.
+    """
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    last = F.least(F.col(f"{x}last"), F.col(f"{y}last"))
+    missing = lambda u, v: F.size(F.array_except(F.filter(F.col(f"{u}pool"), lambda t: t < last), F.col(f"{v}pool")))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (missing(x, y) <= n - overlap) & (missing(y, x) <= m - overlap)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
-    pool = classes.select("id", "n", "need", F.when(F.size("pool") < F.col("n"), F.shiftrightunsigned(F.try_element_at("pool", F.lit(-1)), 33)).otherwise(F.lit(2**31)).alias("last"), F.transform("pool", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("pool"))
-    side = lambda k: pool.select(*[F.col(c).alias(c if c == "id" else f"{c}_{k}") for c in pool.columns]).withColumnRenamed("id", k)
-    p = pairs.join(side("a"), "a").where(F.lit(True)).join(side("b"), "b")
-    p = p.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    last = F.least("last_a", "last_b")
-    missing = lambda x, y: F.size(F.array_except(F.filter(f"pool_{x}", lambda t: t < last), F.col(f"pool_{y}")))
-    p = stage(p.where((missing("a", "b") < F.col("need_a")) & (missing("b", "a") < F.col("need_b"))).select("a", "b"), "near")
-    ids = p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pool = _narrow(classes)
+    side = lambda k: pool.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}{c}") for c in ("n", "last", "pool")])
+    p = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", percent)).select("a", "b"), "near")
+    ids = p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
     sets = stage(whole_sets(docs, classes.join(ids, "id"), width), "sets")
     both = p.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+
+
+def _placed(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of the lists that lie in several components, with their component and the list's largest one."""
+    rows = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
+    return stage(rows.join(mixed.select("sig", "all", F.col("top.root").alias("top"), F.col("top.m").alias("m")), "sig"), "mixed")
+
+
+def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stage(p if tested is None else p.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id for every row of docs."""
     rows = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
-    unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool").dropDuplicates(["k1", "k2"])
+    unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool", "fine").dropDuplicates(["k1", "k2"])
     classes = stage(unique.withColumn("id", F.monotonically_increasing_id()), "classes")
-    sig = stage(signatures(docs, classes, width, percent, frequent).distinct().join(classes.select("id", "n"), "id"), "signatures")
+    fine = classes.select(F.explode("fine").alias("sig"), "id", "n")
+    sig = stage(signatures(docs, classes, width, percent, frequent).distinct().join(classes.select("id", "n"), "id").select("sig", "id", "n"), "signatures")
 
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    hub = Window.partitionBy("sig")
-    stars = sig.withColumn("hub", F.min(F.struct("id", "n")).over(hub)).where("id > hub.id").where(close("n", "hub.n"))
-    tested = stage(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stage(verified(docs, tested, classes, width, percent), "links")
-
-    # lists that still lie in several components: members outside the largest one against all others
-    first = components(links)
-    placed = sig.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1 AND all > 2")
-    placed = stage(placed.join(mixed.select("sig", F.col("top.root").alias("top")), "sig"), "mixed")
-    left = placed.where("root != top").select("sig", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    more = left.join(placed, "sig").where((F.col("rx") != F.col("root")) & close("nx", "n"))
-    more = more.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(docs, stage(more, "more"), classes, width, percent))
+    # short lists at once, each of their pairs
+    held = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sized = stage(sig.join(held, "sig"), "lists")
+    short = sized.where(F.col("members") <= SHORT)
+    mates = short.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"))
+    tested = _new(short.select("sig", F.col("id").alias("x"), "n").join(mates, "sig").where((F.col("x") < F.col("y")) & close("n", "ny")), None)
+    links = verified(docs, tested, classes, width, percent)
+    roots = components(links)
+
+    # long lists in rounds
+    sig = sized.where(F.col("members") > SHORT).select("sig", "id", "n")
+    fine = stage(classes.join(sig.select("id").distinct(), "id").select(F.explode("fine").alias("sig"), "id", "n"), "ranges")
+    outside, turn = None, 0
+    while True:
+        placed = _placed(fine if turn == 0 else fine.unionByName(sig), roots)
+        out = placed.where("root != top")
+        left = out.count()
+        if left == 0 and turn > 0 or turn > 1 and left > 0.7 * outside:
+            break
+        # one partner in the largest component for each member outside it, on average
+        inner = placed.where("root = top").select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.pmod(F.xxhash64("id", F.lit(turn)), F.col("m")).alias("k"))
+        pairs = _new(out.withColumnRenamed("id", "x").withColumn("k", F.pmod(F.xxhash64("x", "sig", F.lit(turn)), F.col("m"))).join(inner, ["sig", "k"]).where(close("n", "ny")), tested)
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(verified(docs, pairs, classes, width, percent))
+        roots, outside, turn = components(links), left, turn + 1
+
+    # what no round has linked is compared with its whole lists, each pair in the first list that has both
+    placed = _placed(sig, roots)
+    ids = placed.select("id").distinct()
+    own = sig.join(ids, "id").groupBy("id").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # one document's signatures
+    rich = stage(placed.select("sig", "id", "root", "top").join(own, "id").join(_narrow(classes), "id"), "rich")
+    x = rich.where("root != top").select("sig", *[F.col(c).alias(f"x{c}") for c in ("id", "root", "sigs", "n", "last", "pool")])
+    y = rich.select("sig", *[F.col(c).alias(f"y{c}") for c in ("id", "root", "sigs", "n", "last", "pool")])
+    first = F.array_min(F.array_intersect("xsigs", "ysigs")) == x["sig"]
+    more = x.join(y, (x["sig"] == y["sig"]) & (F.col("xroot") != F.col("yroot")) & close("xn", "yn") & first & _possible("x", "y", percent))
+    links = links.unionByName(verified(docs, _new(more.select(F.col("xid").alias("x"), F.col("yid").alias("y")), tested), classes, width, percent))
 
     roots = components(links)
     named = classes.select("id", "k1", "k2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
