@@ -48,7 +48,7 @@ def write_arc(pages: DataFrame, at: str) -> None:
         started = False
         for batch in batches:
             out = []
-            for page, url, html, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html, part in (x for i in range(0, batch.num_rows, 256) for x in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)):
                 v2 = part % 2 == 1
                 if not started:
                     body = (f"{2 if v2 else 1} 0 newsmill\n" + (V2 if v2 else V1) + "\n").encode()
@@ -61,6 +61,9 @@ def write_arc(pages: DataFrame, at: str) -> None:
                 if v2:
                     fields += ["200", digest(html), "-", "0", f"pages-{part:05d}.arc"]
                 out.append(" ".join([*fields, str(len(block))]).encode() + b"\n" + block)
+                if sum(map(len, out[-64:])) >= BATCH or len(out) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     text = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string"))
@@ -201,11 +204,12 @@ def convert(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
     decided = decided.where(F.col("size") >= least).select("file", "at", F.col("best.file").alias("to_file"), F.col("best.at").alias("to_at"))
     full = _parse(_files(spark, arc), _full_rows, FULL, lambda r: len(r[-1]))
     rows = full.join(decided, ["file", "at"], "left").select("file", "at", "url", "address", "date", "block", "to_file", "to_at")
+    rows = rows.coalesce(max(1, index.select("file").distinct().count()))  # as many WARC files as there are ARC files at most
 
     def write(batches):
         for batch in batches:
             out = []
-            for file, at, url, address, date, block, to_file, to_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, at, url, address, date, block, to_file, to_at in (x for i in range(0, batch.num_rows, 256) for x in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)):
                 _, head, payload = _split(block)
                 when = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
                 body = block if to_file is None else head
@@ -214,6 +218,9 @@ def convert(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
                     lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(to_file, to_at)}"]
                 lines += [f"WARC-Block-Digest: sha1:{digest(body)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
                 out.append("\r\n".join(lines).encode() + body)
+                if sum(map(len, out[-64:])) >= BATCH or len(out) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     text = rows.mapInArrow(write, "record binary").select(F.col("record").cast("string"))
