@@ -5,12 +5,16 @@ leaf, a token that fewer than `min_docs` documents have at its position is a var
 line's template. Templates that recur in `min_docs` documents or more, and are constant enough not to be chance, are
 boilerplate: their lines are dropped.
 
+Lines of LONG_TOKENS tokens or more are also dropped as they stand, digits included, from two different documents on: different texts that aren't near copies of each other, as a near copy repeats nearly all of its lines and belongs
+to document dedup. Texts are near copies where at least half of the smaller one's 3-grams, without the lines in
+question, are in the other. Only lines of fewer than min_docs documents need that test, so a line has few pairs.
+
 Only lines of leaves that recur are ever exploded into tokens, and equal lines are counted once for all documents
 that have them, so a line that a third of the documents share is one row. Documents aren't grouped: each takes the
 numbers of its dropped lines by a join on its row key.
 
 Defined results: null and empty texts have no lines with tokens and stay as they are; blank lines, and lines of fewer
-than MIN_TOKENS tokens, always stay; repeated rows count as documents of their own; null ids are kept; an empty table
+than MIN_TOKENS tokens, always stay; a text with nothing but shared lines counts as a near copy of what shares them; repeated rows count as documents of their own; null ids are kept; an empty table
 gives no rows; `drop_lines` passes other columns through.
 """
 
@@ -19,11 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import WORD, stage
+from newsmill.llm.common import WORD, let, stage
 
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 10
+#: A line of so many tokens is boilerplate from two different documents on.
+LONG_TOKENS = 50
+#: Texts are picked by buckets of their keys before they move; this bounds the broadcast.
+BUCKETS = 1 << 20
 #: Share of a template's tokens, in percent, that are constant.
 CONSTANT = 70
 FIELD = "<*>"
@@ -41,6 +49,14 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.transform(F.slice(tokens, 1, depth), _mask))
 
 
+def _keys(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, text_key, and the lines with tokens: number, token count, leaf and a hash of the tokens."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    name = lambda t, i: F.struct(i.alias("at"), F.size(t).alias("n"), _leaf(t, depth).alias("leaf"), F.xxhash64(t).alias("line_key"))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: let(_tokens(x), lambda t: name(t, i)))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.filter(lines, lambda x: x["n"] > 0).alias("lines"))
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """doc_id, text_key, and for each line with enough tokens its number, text and leaf."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -49,11 +65,11 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("leaf", _leaf(F.col("tokens"), depth))
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT, keys: DataFrame | None = None) -> DataFrame:
     """leaf, line, template and docs: the lines to drop, with the number of documents that have their template."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.filter(F.transform(F.split(text, "\n", -1), _tokens), lambda t: F.size(t) >= MIN_TOKENS)
-    leaves = docs.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: _leaf(t, depth)))).alias("leaf"))
+    keys = stage(_keys(docs, depth), "line-keys") if keys is None else keys
+    leaves = keys.select(F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["n"] >= MIN_TOKENS), lambda x: x["leaf"]))).alias("leaf"))
     often = stage(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     mine = stage(_lines(docs, depth).select("doc_id", "text_key", "leaf", "line").join(often, "leaf", "left_semi").distinct(), "leaf-lines")
     copies = docs.select("doc_id", F.xxhash64(text).alias("text_key")).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
@@ -69,10 +85,46 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, con
     return shaped.join(per, ["leaf", "template"])
 
 
+def literal(docs: DataFrame, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """leaf and line_key of the long lines to drop as they stand."""
+    some = F.filter("lines", lambda x: x["n"] >= LONG_TOKENS)
+    rows = keys.select("text_key", F.explode(F.array_distinct(F.transform(some, lambda x: F.struct(x["n"].alias("n"), x["leaf"].alias("leaf"), x["line_key"].alias("line_key"))))).alias("x")).select("text_key", "x.*")
+    rows = rows.groupBy("leaf", "line_key", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
+    again = stage(rows.where(F.col("lo") != F.col("hi")), "literal-lines")
+    sure = F.col("docs") >= min_docs
+    names = again.where(sure).select("leaf", "line_key")
+
+    # the other long lines: those whose texts, the first of them against each, aren't all near copies
+    own = keys.select("text_key", F.explode(F.filter("lines", lambda x: x["n"] >= LONG_TOKENS)).alias("x")).select("text_key", "x.at", "x.leaf", "x.line_key")
+    own = stage(own.join(again.where(~sure).select("leaf", "line_key", F.col("lo").alias("first")).hint("merge"), ["leaf", "line_key"]).distinct(), "open-lines")
+    rest = _rests(docs, own)
+    pairs = stage(own.where(F.col("text_key") != F.col("first")).select("leaf", "line_key", "text_key", "first").distinct(), "open-pairs")
+    both = pairs.select("text_key", "first").distinct().join(rest.hint("merge"), "text_key")
+    both = both.join(rest.select(F.col("text_key").alias("first"), F.col("grams").alias("others")).hint("merge"), "first")
+    apart = 2 * F.size(F.array_intersect("grams", "others")) < F.least(F.size("grams"), F.size("others"))
+    apart = both.where(apart).select("text_key", "first")
+    return names.unionByName(pairs.join(apart.hint("merge"), ["text_key", "first"], "left_semi").select("leaf", "line_key").distinct())
+
+
+def _rests(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """text_key and grams: distinct hashes of a text's 3-grams outside the given lines (whole lines where shorter)."""
+    bucket = lambda key: F.pmod(key, F.lit(BUCKETS)).alias("bucket")
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    text = text.join(F.broadcast(own.select(bucket(F.col("text_key"))).distinct()), bucket(F.col("text_key")) == F.col("bucket"), "left_semi")
+    gone = own.groupBy("text_key").agg(F.collect_set("at").alias("gone"))  # one text's line numbers
+    rows = stage(text.dropDuplicates(["text_key"]).join(gone.hint("merge"), "text_key"), "open-texts")
+    grams = lambda t: F.when(F.size(t) < 3, F.array(F.xxhash64(t))).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.xxhash64(F.slice(t, i, 3))))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("gone", i), _tokens(x)))
+    lines = F.filter(lines, lambda t: F.size(t) > 0)
+    return stage(rows.select("text_key", F.array_distinct(F.flatten(F.transform(lines, grams))).alias("grams")), "rests")
+
+
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
     """docs with text shortened, and n_lines and n_dropped."""
-    gone = stage(recurring(docs, depth, min_docs, constant).select("leaf", F.xxhash64("line").alias("line_key")), "boilerplate")
-    out = _lines(docs, depth).select("doc_id", "text_key", "at", "leaf", F.xxhash64("line").alias("line_key"))
+    keys = stage(_keys(docs, depth), "line-keys")
+    gone = recurring(docs, depth, min_docs, constant, keys).select("leaf", F.xxhash64(_tokens(F.col("line"))).alias("line_key"))
+    gone = stage(gone.unionByName(literal(docs, keys, min_docs)), "boilerplate")
+    out = keys.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.leaf", "x.line_key")
     out = out.join(gone.hint("merge"), ["leaf", "line_key"], "left_semi")  # 128 bits name a line; no text moves
     out = out.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("at").alias("_gone"))  # one document's line numbers
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))

@@ -63,6 +63,23 @@ def test_templates_on_the_table(spark):
         assert got[x.doc_id] == "\n".join(kept)
 
 
+def _say(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+def test_long_lines_of_two_different_documents(spark):
+    r = random.Random(3)
+    passage, common, copied, middle = (_say(r, n) for n in (60, 50, 70, 49))
+    body = [[_say(r, 12) for _ in range(20)] for _ in range(5)]
+    near = [" ".join(x.split()[:-1]) for x in body[2]]
+    texts = [[passage, *body[0]], [*body[1], "  " + passage.replace(" ", "  ", 1), middle], [copied, *body[2]], [copied, *near], [copied, *near], [middle, common, *body[3]], [common, *body[4]], [common, *body[4][::-1]]]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x for x in templates.drop_lines(df).collect()}
+    assert [got[i].n_dropped for i in range(8)] == [1, 1, 0, 0, 0, 1, 1, 1]
+    assert got[0].text == "\n".join(body[0]) and got[1].text == "\n".join([*body[1], middle])
+    assert got[2].text == "\n".join(texts[2])
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = licenses.train(docs)
