@@ -5,7 +5,9 @@ leaf, a token that fewer than `min_docs` documents have at its position is a var
 line's template. Templates that recur in `min_docs` documents or more, and are constant enough not to be chance, are
 boilerplate: their lines are dropped.
 
-Lines of LONG_TOKENS tokens or more are also dropped as they stand, digits included, from two different documents on: different texts that aren't near copies of each other, as a near copy repeats nearly all of its lines and belongs
+Two sorts of lines are also dropped as they stand, token for token, digits included. Lines of fewer than MIN_TOKENS
+tokens go from SHORT_TIMES * min_docs documents on. Lines of LONG_TOKENS tokens or more go from two different documents
+on: different texts that aren't near copies of each other, as a near copy repeats nearly all of its lines and belongs
 to document dedup. Texts are near copies where at least half of the smaller one's 3-grams, without the lines in
 question, are in the other. Only lines of fewer than min_docs documents need that test, so a line has few pairs.
 
@@ -13,8 +15,8 @@ Only lines of leaves that recur are ever exploded into tokens, and equal lines a
 that have them, so a line that a third of the documents share is one row. Documents aren't grouped: each takes the
 numbers of its dropped lines by a join on its row key.
 
-Defined results: null and empty texts have no lines with tokens and stay as they are; blank lines, and lines of fewer
-than MIN_TOKENS tokens, always stay; a text with nothing but shared lines counts as a near copy of what shares them; repeated rows count as documents of their own; null ids are kept; an empty table
+Defined results: null and empty texts have no lines with tokens and stay as they are; blank lines
+always stay; a text with nothing but shared lines counts as a near copy of what shares them; repeated rows count as documents of their own; null ids are kept; an empty table
 gives no rows; `drop_lines` passes other columns through.
 """
 
@@ -28,6 +30,8 @@ from newsmill.llm.common import WORD, let, stage
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 10
+#: A line of fewer than MIN_TOKENS tokens needs so many times min_docs documents.
+SHORT_TIMES = 3
 #: A line of so many tokens is boilerplate from two different documents on.
 LONG_TOKENS = 50
 #: Texts are picked by buckets of their keys before they move; this bounds the broadcast.
@@ -86,12 +90,13 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, con
 
 
 def literal(docs: DataFrame, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """leaf and line_key of the long lines to drop as they stand."""
-    some = F.filter("lines", lambda x: x["n"] >= LONG_TOKENS)
+    """leaf and line_key of the short and long lines to drop as they stand."""
+    some = F.filter("lines", lambda x: (x["n"] < MIN_TOKENS) | (x["n"] >= LONG_TOKENS))
     rows = keys.select("text_key", F.explode(F.array_distinct(F.transform(some, lambda x: F.struct(x["n"].alias("n"), x["leaf"].alias("leaf"), x["line_key"].alias("line_key"))))).alias("x")).select("text_key", "x.*")
     rows = rows.groupBy("leaf", "line_key", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
-    again = stage(rows.where(F.col("lo") != F.col("hi")), "literal-lines")
-    sure = F.col("docs") >= min_docs
+    short = (F.col("n") < MIN_TOKENS) & (F.col("docs") >= SHORT_TIMES * min_docs)
+    again = stage(rows.where(short | (F.col("n") >= LONG_TOKENS) & (F.col("lo") != F.col("hi"))), "literal-lines")
+    sure = (F.col("n") < MIN_TOKENS) | (F.col("docs") >= min_docs)
     names = again.where(sure).select("leaf", "line_key")
 
     # the other long lines: those whose texts, the first of them against each, aren't all near copies

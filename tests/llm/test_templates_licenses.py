@@ -80,6 +80,15 @@ def test_long_lines_of_two_different_documents(spark):
     assert got[2].text == "\n".join(texts[2])
 
 
+def test_short_lines_that_recur(spark):
+    r = random.Random(4)
+    texts = [[_say(r, 9), "All rights reserved.", f"Page {i}", "Page 7"] + ["Rare line."] * (i < 29) for i in range(30)]
+    df = spark.createDataFrame([(i, "\n".join([*t, ""])) for i, t in enumerate(texts)], "doc_id long, text string")
+    for x in templates.drop_lines(df).collect():
+        t = texts[x.doc_id]
+        assert x.text == "\n".join([t[0], *([] if x.doc_id == 7 else [t[2]]), *t[4:], ""])
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = licenses.train(docs)
