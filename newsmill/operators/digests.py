@@ -40,6 +40,18 @@ def backlog(window_counts: DataFrame, last_closed, behind: int = 4, minutes: int
     return g.select("channel_id", "oldest", "posts", late.cast("long").alias("intervals_behind"), F.when(late >= behind, "catchup").otherwise("single").alias("mode"))
 
 
+def last_closed(posts: DataFrame, minutes: int = 30):
+    """The end of the last window that the newest post closes; null without posts."""
+    newest = posts.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    return F.timestamp_seconds(F.lit(None if newest is None else newest - newest % (60 * minutes)).cast("long"))
+
+
+def daily(posts: DataFrame) -> DataFrame:
+    """A digest row per channel and day, [00:00, 24:00), for every day that has posts."""
+    g = posts.groupBy("channel_id", F.date_trunc("day", "ts").alias("day"))
+    return g.agg(F.count(F.lit(1)).alias("posts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def recent_history(turns: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """The last k turns of each conversation."""
     return turns.withColumn("back", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("back") <= k)

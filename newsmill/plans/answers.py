@@ -106,6 +106,15 @@ def i3_catchup(spark, sf_dir):
     return G.backlog(tumbling(posts(spark, sf_dir), ["channel_id"]), "2024-01-01 03:00:00")
 
 
+@query(f"""WITH e AS (SELECT channel_id, time_bucket(INTERVAL 30 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTE AS window_end FROM {POSTS}),
+n AS (SELECT time_bucket(INTERVAL 30 MINUTE, max(ts)) AS last FROM {POSTS}),
+g AS (SELECT channel_id, last, min(window_end) AS oldest, count(*) AS posts FROM e, n WHERE window_end <= last GROUP BY ALL)
+SELECT channel_id, oldest, posts, (epoch(last) - epoch(oldest))::BIGINT // 1800 AS intervals_behind, CASE WHEN epoch(last) - epoch(oldest) >= 7200 THEN 'catchup' ELSE 'single' END AS mode FROM g""")
+def i3_whole_backlog(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    return G.backlog(tumbling(p, ["channel_id"]), G.last_closed(p))
+
+
 @query("SELECT event_type, count(*) AS kept FROM events WHERE floor(epoch(ts)) >= epoch(TIMESTAMP '2024-01-31') - 168 * 3600 GROUP BY event_type")
 def i10_ttl_retention(spark, sf_dir):
     return G.expire(table(spark, sf_dir, "events"), "2024-01-31", 168).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
@@ -120,6 +129,11 @@ def i2_daily_digest(spark, sf_dir):
     return d.groupBy("channel_id").agg(F.count(F.lit(1)).alias("posts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query(f"SELECT channel_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS posts, min(ts) AS first_ts, max(ts) AS last_ts FROM {POSTS} GROUP BY ALL")
+def i2_all_daily_digests(spark, sf_dir):
+    return G.daily(posts(spark, sf_dir))
+
+
 @query(f"""WITH {_Q}, p AS (SELECT message_id AS id, lower(raw_text) AS low FROM {POSTS}), t AS (SELECT query_id, list_concat(kw, nums) AS terms FROM k)
 SELECT query_id, count(*) AS posts, min(id) AS first_id FROM p, t WHERE len(list_filter(terms, lambda x: contains(low, x))) > 0 GROUP BY query_id""")
 def b5_keyword_filter(spark, sf_dir):

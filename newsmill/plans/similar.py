@@ -46,8 +46,10 @@ def d5_tf_cosine(spark, sf_dir):
 
 @query()
 def d6_match_history(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.lit("history").alias("channel_id"), (-F.col("item_id") - 1).alias("message_id"), F.col("text").alias("raw_text"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    return D.near_duplicates(posts(spark, sf_dir), b, hours=24 * 365).select("a", "b", F.round("score", 6).alias("score"))
+    """Times are relative to each post: it stands at one instant and the whole history an hour before it."""
+    now, before = (F.lit(x).cast("timestamp") for x in ("2024-01-01 01:00:00", "2024-01-01 00:00:00"))
+    b = table(spark, sf_dir, "benchmark").select(F.lit("history").alias("channel_id"), (-F.col("item_id") - 1).alias("message_id"), F.col("text").alias("raw_text"), before.alias("ts"))
+    return D.near_duplicates(posts(spark, sf_dir).withColumn("ts", now), b).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()
