@@ -27,7 +27,7 @@ from newsmill.llm.common import first_by_hash, located, stage
 
 KINDS = ("assign", "access", "hex")
 SAMPLE = 400
-#: Characters of a credential that training and scoring look at; a longer one is judged by its first ones of training.
+#: Characters of a credential that the training sample keeps; scoring takes all characters.
 LONGEST = 96
 ALPHA = 0.05
 MARGIN = 0.5
@@ -59,6 +59,7 @@ class Automaton:
                 s = self.next[s][c]
             self.ends[s] += 1
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
+        self.sums = [self.total(s) for s in range(len(self.next))]
 
     def total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
@@ -118,10 +119,10 @@ class Automaton:
         A symbol not seen in a state costs dearly and leads back to the start.
         """
         s, total = 0, 0.0
-        for c in word[:LONGEST]:
-            total += math.log2((self.count[s].get(c, 0) + 0.1) / (self.total(s) + 6.4))
+        for c in word:
+            total += math.log2((self.count[s].get(c, 0) + 0.1) / (self.sums[s] + 6.4))
             s = self.next[s].get(c, 0)
-        return total / max(1, len(word[:LONGEST]))
+        return total / max(1, len(word))
 
 
 def candidates(docs: DataFrame) -> DataFrame:

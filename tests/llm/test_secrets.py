@@ -52,3 +52,13 @@ def test_added_span_of_a_bare_credential(spark):
     rows = [(i, f"use password={make()} here") for i in range(60)] + [(1000, f"we saw {make()} lying about"), (1001, "plain words internationalisation everywhere")]
     got = {x.doc_id: x.spans for x in secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got[1000] == "assign:7:25" and got[1001] == ""
+
+
+def test_all_characters_count():
+    r = random.Random(6)
+    make = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    a = secrets.Automaton([make(40) for _ in range(200)])
+    head = make(96)
+    assert a.bits(head + "/Internationalisation_Of-Words" * 20) < a.bits(head) - 2
+    path = "xyzzy/lorem-ipsum/" * 6 + "1"
+    assert a.bits(path + make(900)) > a.bits(path) + 2
