@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsmill.functions import text as T
 from newsmill.operators import rules as R
 from newsmill.plans.base import POSTS, registry
 from newsmill.sources.views import posts, table
@@ -130,10 +131,13 @@ def e4_severity(spark, sf_dir):
 
 @query()
 def b3_route_posts(spark, sf_dir):
+    p = posts(spark, sf_dir)
     s, (sig, _) = R.cooldown(_severity(spark, sf_dir)), _signals(spark, sf_dir)
-    r = s.join(sig.select("id", "downgrade_explainer"), "id").join(posts(spark, sf_dir).select(F.col("message_id").alias("id"), "raw_text"), "id")
-    action = F.when(F.trim("raw_text") == "", "skip").when((F.col("severity") == "high") & ~F.col("downgrade_explainer"), "deliver").otherwise("digest")
-    return r.select("id", action.alias("action"), F.when(action == "deliver", "high_severity").when(action == "skip", "empty").when(F.col("downgrade_explainer"), "explainer").otherwise("routine").alias("reason"))
+    r = s.select("id", "severity").join(sig.select("id", "downgrade_explainer"), "id").join(p.select(F.col("message_id").alias("id"), "raw_text"), "id")
+    r = r.join(R.moderation(p, HARD, SOFT, INFLAMMATORY).select("id", "hard_blocked"), "id")
+    skip = F.when(F.trim("raw_text") == "", "empty").when(F.col("hard_blocked"), "moderation_block").when(T.is_noise(F.col("raw_text")), "likely_noise")
+    action = F.when(skip.isNotNull(), "skip").when((F.col("severity") == "high") & ~F.col("downgrade_explainer"), "deliver").otherwise("digest")
+    return r.select("id", action.alias("action"), F.when(skip.isNotNull(), skip).when(action == "deliver", "high_severity").when(F.col("downgrade_explainer"), "explainer").otherwise("routine").alias("reason"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value > 20),

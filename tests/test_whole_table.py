@@ -1,6 +1,6 @@
 import datetime as dt
 
-from newsmill.plans import catalog
+from newsmill.plans import catalog, classify
 
 TEXT = "Harbour authority closes the northern terminal after heavy storm damage to several loading cranes"
 
@@ -22,3 +22,11 @@ def test_late_documents_count(spark, tmp_path):
 
     (x,) = run("i3_whole_backlog")
     assert (x.oldest, x.posts, x.intervals_behind, x.mode) == (start, 5, 30_000, "catchup")
+
+
+def test_blocked_and_noisy_posts_are_skipped(spark, tmp_path):
+    texts = [f"They said {classify.HARD[0]} in the street", "#a #b #c #d #e #f #g #h #i #j #k #l #m plain", " ", "An ordinary line of the day"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.id: (x.action, x.reason) for x in catalog.QUERIES["b3_route_posts"](spark, str(tmp_path)).collect()}
+    assert got[0] == ("skip", "moderation_block") and got[1] == ("skip", "likely_noise") and got[2] == ("skip", "empty") and got[3][0] != "skip"
