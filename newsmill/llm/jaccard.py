@@ -213,7 +213,10 @@ def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id for every row of docs."""
+    """doc_id, text_key, n_shingles and component_id for every row of docs.
+
+    Components only: pairs inside a component needn't all be verified, so there are no link counts.
+    """
     rows = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
     unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool", "fine").dropDuplicates(["k1", "k2"])
     classes = stage(unique.withColumn("id", F.monotonically_increasing_id()), "classes")
