@@ -1,39 +1,45 @@
 """Exact n-gram Jaccard self-join by token-combination prefixes.
 
 A document is its set of WIDTH-word shingles, a token being a shingle's 64-bit hash. Equal sets form one class first.
-Tokens are ordered rare before frequent, then by hash; two sets of Jaccard similarity 90 % or more share a token among
-the first `need` = |x| - ceil(0.9 |x|) + 1 tokens of each. Sets with too few rare tokens extend their prefix into
-frequent ones and index pairs of them (k = 2) within hash buckets: a bucket with c tokens yields c - 1 towards `need`,
-so the extended prefix has one token more for each bucket, and a shared pair is as certain as a shared token was.
-
-How frequent a token is is counted over all documents, on the pools of each set's smallest hashes (a third longer than
-a prefix need be). Sets that are mostly frequent tokens are looked up whole. Candidates go through a length filter and
-a filter of pool mismatches, which never reject a true link, and are verified on whole sets.
-
-Short posting lists are compared pair by pair, long ones aren't expanded. In rounds, each member outside a list's
-largest component is compared with one member of it, picked by hash; the first round does so in lists of whole hash
-ranges (4 to 8 tokens that must all agree), where most pairs are true links. When rounds stop helping, members still outside are compared with their
-whole lists, each pair where it first meets, so that no link between components is missed. Documents move by hash of
-unique ids; hot copies are pre-aggregated into their class.
+Two sets of n and m tokens are similar enough when they share o = ceil(percent * (n + m) / (100 + percent)) or more.
+
+First the classes that can't link are told apart cheaply. A pool holds a set's smallest hashes, half as many again as
+a prefix needs. A class with enough pool tokens that no other pool has is rich: by the prefix principle it can link
+only to a class that isn't, and only through one of those tokens. Poor classes, and rich ones of which a poor class
+of a near size has such a token, are open. Only their whole sets are read, and only their tokens are counted.
+
+Open sets are ordered by frequency among the open ones, rare tokens first. If the first token that two sets share is
+rare, it stands at position n - o at most in the one and m - o at most in the other: each rare token of such a prefix
+is indexed by itself. Else all that they share is frequent, and the prefix is extended: with B hash buckets, the first
+B + 1 shared tokens stand at n - o + B at most, and two of them lie in one bucket. So frequent tokens are indexed as
+pairs (k = 2) within a bucket. A posting keeps the largest o that its position allows, its room; two postings make a
+candidate only where both rooms reach the pair's o. Candidates are verified on whole sets.
+
+Short posting lists are compared pair by pair, long ones aren't expanded. Each member of a long list is compared with
+the list's centre, the member with the least share of tokens of its own, which joins most of a group of near copies at
+once. In further rounds each member outside a list's largest component is compared with one member of it, picked by
+hash. When a round stops helping, members still outside are compared with all of their lists that lie in other
+components, as far as rooms allow, so that no link between components is missed. Hot copies are pre-aggregated into
+their class, and no step collects a list.
 
 Defined results: null and empty texts have no shingles, link to nothing and are their own component; exact repeats
 share a class; a null doc_id takes part in links and gets the smallest id of its component, null if there is none; an
-empty table gives no rows; other columns aren't read.
+empty table gives no rows; other columns aren't read. percent is meant to be 70 or more.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm import wordhash
-from newsmill.llm.common import stage
+from newsmill.llm.common import free, release, stage
 
 WIDTH = 3
 PERCENT = 90
-#: Tokens in the pools of more documents than this are frequent.
+#: Tokens in more open sets than this are frequent.
 FREQUENT = 8
 BUCKETS = 8
 #: Lists of at most so many members are compared pair by pair: a bounded number of pairs for each row of theirs.
@@ -61,26 +67,13 @@ def _lists(arrays: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), kind))
 
 
-def ranges(s: np.ndarray, held: int) -> np.ndarray:
-    """Hashes of what a set has in each whole range of hash values that its pool covers; a range has 4 to 8 tokens on average."""
-    if not held:
-        return s[:0].view(np.int64)
-    bits = max(0, len(s).bit_length() - 3)
-    at = (s[:held] >> np.uint64(64 - bits)) if bits else np.zeros(held, np.uint64)
-    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(wordhash.mix(s[:held]), begins) + wordhash.mix(at[begins] + np.uint64(bits << 32))
-    whole = len(sums) if held == len(s) else len(sums) - 1  # the last range may go on behind the pool
-    return sums[:whole].view(np.int64)
-
-
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_key, n, need, k1, k2 (names of the set) and pool, the smallest hashes in order, for every row."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
     def run(batches):
         for batch in batches:
-            n, need, k1, k2, pools, fine = [], [], [], [], [], []
+            n, need, k1, k2, pools = [], [], [], [], []
             for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
                 need.append(need_of(len(s), percent))
@@ -89,33 +82,35 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k2.append(np.add.reduce(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64))
                 linked = 100 * len(s) // percent > len(s) or need[-1] > 1  # else only an equal set is similar enough
                 pools.append(s[: need[-1] + need[-1] // 2 + BUCKETS].view(np.int64) if linked else s[:0].view(np.int64))
-                fine.append(ranges(s, len(pools[-1])))
             ints = [pa.array(x, pa.int64()) for x in (n, need)]
             keys = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *keys, _lists(pools), _lists(fine)], names=["doc_id", "text_key", "n", "need", "k1", "k2", "pool", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *keys, _lists(pools)], names=["doc_id", "text_key", "n", "need", "k1", "k2", "pool"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, n long, need long, k1 long, k2 long, pool array<long>, fine array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, n long, need long, k1 long, k2 long, pool array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id and tokens, the whole set, of the classes in wanted (id, doc_id, text_key); the texts are read anew."""
+    """id, n and tokens, the whole set, of the classes in wanted (id, doc_id, text_key); the texts are read anew."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     w = wanted.select("id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     found = texts.join(w, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("id", "text")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in shingle_sets(batch.column(1), width)])], names=["id", "tokens"])
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["id", "n", "tokens"])
 
-    return found.mapInArrow(run, "id long, tokens array<long>")
+    return found.mapInArrow(run, "id long, n long, tokens array<long>").dropDuplicates(["id"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, for the nodes of edges (a, b); large-star and small-star in turns."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    before = None
+    before, last = None, None
     while True:
         edges = stage(edges, "edges")
+        release(last)
+        last = edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
@@ -134,77 +129,56 @@ def buckets(level, percent: int):
     return F.greatest(F.lit(1), F.least(F.greatest(F.lit(BUCKETS), F.floor(size / 128)), F.floor(share * share * size) - 1)).cast("int")
 
 
-def signatures(docs: DataFrame, classes: DataFrame, width: int, percent: int, frequent: int) -> DataFrame:
-    """sig and id: what each class is indexed by."""
-    occ = classes.select("id", "need", F.size("pool").alias("held"), F.posexplode("pool").alias("pos", "token"))
-    seen = occ.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    often = F.col("df") > frequent
-    own, run = Window.partitionBy("id"), Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = stage(seen.withColumns({"often": F.sum(often.cast("int")).over(own), "before": F.coalesce(F.sum(often.cast("int")).over(run), F.lit(0))}), "tokens")
-    enough = F.col("held") - F.col("often") >= F.col("need")
-    singles = seen.where(enough & ~often & (F.col("pos") - F.col("before") < F.col("need"))).select(F.col("token").alias("sig"), "id")
-    poor = stage(classes.join(seen.where(~enough).select("id").distinct(), "id").select("id", "doc_id", "text_key", "n", "need"), "poor")
-    if poor.isEmpty():
-        return singles
-
-    sets = whole_sets(docs, poor, width).dropDuplicates(["id"])
-    tokens = sets.join(poor.select("id", "n", "need"), "id").select("id", "n", "need", F.posexplode("tokens").alias("pos", "token"))
-    hot = seen.where(often).select("token").distinct().withColumn("often", F.lit(1))
-    marked = tokens.join(hot, "token", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    marked = marked.withColumns({"rank": F.row_number().over(Window.partitionBy("id", "often").orderBy("pos")) - 1, "rare": F.sum(1 - F.col("often")).over(own)})
-    # at most `need` rare tokens, or all of them and as many frequent ones as make up for it, and one more for each bucket
+def opened(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, n and tokens of the classes that may link to another one."""
+    held = classes.where(F.size("pool") > 0)
+    own = held.select("id", F.explode("pool").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").select("token", "id")
+    own = stage(own, "own-tokens")  # one class has the token in its pool
+    ranked = held.select("id", "doc_id", "text_key", "n", "need").join(own.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
+    ranked = stage(ranked.withColumn("poor", F.coalesce("own", F.lit(0)) < F.col("need")), "ranked")
+    poor = stage(whole_sets(docs, ranked.where("poor"), width), "poor-sets")
+    asked = poor.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    near = (100 * F.col("n") >= percent * F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi"))
+    rich = own.join(ranked.where("NOT poor").select("id", "n"), "id").join(asked, "token").where(near).select("id").distinct()
+    more = stage(whole_sets(docs, ranked.join(rich, "id"), width), "rich-sets")
+    release(own)
+    return poor.unionByName(more)
+
+
+def signatures(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """sig, id, n, solo (tokens that no other open set has) and room: what each open set is indexed by."""
+    tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
+    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # one document's tokens, the rare ones first
+    order = tokens.join(known, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("solo", F.col("n") - F.size("t"))
+    widest = F.col("n") - F.ceil(F.col("n") * percent / 100)  # the last position of any prefix
     levels = F.array_distinct(F.transform(F.array(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)), lambda x: F.floor(F.log2(x.cast("double"))).cast("int")))
-    widest = buckets(F.array_max(levels), percent)
-    kept = marked.where(F.when(F.col("often") == 0, F.col("rank") < F.col("need")).otherwise((F.col("rare") < F.col("need")) & (F.col("rank") < F.col("need") - F.col("rare") + widest)))
-    kept = stage(kept.select("id", "n", "token", "often"), "extended")
-    rare = kept.where("often = 0").select(F.col("token").alias("sig"), "id")
-    by_level = kept.where("often = 1").select("id", "token", F.explode(levels).alias("level"))
-    bucket = F.pmod(F.xxhash64("token"), buckets(F.col("level"), percent))
-    groups = by_level.withColumn("bucket", bucket).groupBy("id", "level", "bucket").agg(F.sort_array(F.collect_list("token")).alias("t"))  # a prefix's part: tens of tokens
-    pair = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64("level", x, y))))
-    pairs = groups.select(F.explode(pair).alias("sig"), "id")
-    # tokens that only now came into play may be others' tokens that had been seen once
-    others = occ.join(rare.select(F.col("sig").alias("token")).distinct(), "token", "left_semi").select(F.col("token").alias("sig"), "id")
-    return singles.unionByName(rare).unionByName(pairs).unionByName(others)
-
-
-def _narrow(classes: DataFrame) -> DataFrame:
-    """id, n, last and pool: the pools in the upper 31 bits of their tokens, which keeps their order."""
-    last = F.when(F.size("pool") < F.col("n"), F.shiftrightunsigned(F.try_element_at("pool", F.lit(-1)), 33)).otherwise(F.lit(2**31))
-    return classes.select("id", "n", last.alias("last"), F.transform("pool", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("pool"))
-
-
-def _possible(x: str, y: str, percent: int):
-    """Whether sizes and pools leave room for the similarity: never false for a true link.
-
-    Sets of sizes p and q need an overlap of percent * (p + q) / (100 + percent); more tokens missing than p or q less
-    that, below the nearer end of the two pools, rule the pair out.
-    """
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    overlap = F.ceil(percent * (n + m) / (100 + percent))
-    last = F.least(F.col(f"{x}last"), F.col(f"{y}last"))
-    missing = lambda u, v: F.size(F.array_except(F.filter(F.col(f"{u}pool"), lambda t: t < last), F.col(f"{v}pool")))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (missing(x, y) <= n - overlap) & (missing(y, x) <= m - overlap)
-
-
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    order = order.where(F.col("solo") <= widest).withColumns({"widest": widest, "levels": levels})
+    order = order.withColumn("t", F.slice("t", 1, F.greatest(F.lit(0), F.col("widest") - F.col("solo") + 1 + buckets(F.array_max("levels"), percent)).cast("int")))
+    at = order.select("id", "n", "solo", "widest", "levels", F.posexplode("t").alias("i", "x")).select("id", "n", "solo", "widest", "levels", (F.col("solo") + F.col("i")).alias("at"), "x.df", "x.token")
+    at = stage(at, "prefixes")
+    rare = at.where((F.col("df") <= frequent) & (F.col("at") <= F.col("widest"))).select(F.col("token").alias("sig"), "id", "n", "solo", (F.col("n") - F.col("at")).alias("room"))
+    often = at.where(F.col("df") > frequent).select("id", "n", "solo", "widest", "at", "token", F.explode("levels").alias("level")).withColumn("b", buckets(F.col("level"), percent))
+    often = often.where(F.col("at") <= F.col("widest") + F.col("b")).groupBy("id", "n", "solo", "level", "b", F.pmod(F.xxhash64("token"), "b").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("token", "at"))).alias("t"))  # a prefix's part: tens of tokens
+    room = lambda x, y: F.col("n") - F.greatest(x["at"], y["at"]) + F.col("b")
+    two = lambda x, y: F.struct(F.xxhash64("level", x["token"], y["token"]).alias("sig"), room(x, y).alias("room"))
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: two(x, y))))
+    return rare.unionByName(often.select("id", "n", "solo", F.explode(pairs).alias("p")).select("p.sig", "id", "n", "solo", "p.room"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
-    pool = _narrow(classes)
-    side = lambda k: pool.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}{c}") for c in ("n", "last", "pool")])
-    p = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", percent)).select("a", "b"), "near")
-    ids = p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
-    sets = stage(whole_sets(docs, classes.join(ids, "id"), width), "sets")
-    both = p.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+    return stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
-def _placed(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _placed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the lists that lie in several components, with their component and the list's largest one."""
-    rows = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
-    return stage(rows.join(mixed.select("sig", "all", F.col("top.root").alias("top"), F.col("top.m").alias("m")), "sig"), "mixed")
+    mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
+    return stage(rows.join(mixed.select("sig", F.col("top.root").alias("top"), F.col("top.m").alias("m")), "sig"), "mixed")
 
 
 def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -212,60 +186,59 @@ def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return stage(p if tested is None else p.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id for every row of docs.
-
-    Components only: pairs inside a component needn't all be verified, so there are no link counts.
-    """
-    rows = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
-    unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool", "fine").dropDuplicates(["k1", "k2"])
-    classes = stage(unique.withColumn("id", F.monotonically_increasing_id()), "classes")
-    fine = classes.select(F.explode("fine").alias("sig"), "id", "n")
-    sig = stage(signatures(docs, classes, width, percent, frequent).distinct().join(classes.select("id", "n"), "id").select("sig", "id", "n"), "signatures")
-
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    # short lists at once, each of their pairs
-    held = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    sized = stage(sig.join(held, "sig"), "lists")
-    short = sized.where(F.col("members") <= SHORT)
-    mates = short.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"))
-    tested = _new(short.select("sig", F.col("id").alias("x"), "n").join(mates, "sig").where((F.col("x") < F.col("y")) & close("n", "ny")), None)
-    links = verified(docs, tested, classes, width, percent)
+def linked(sets: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """node and root for all open sets that link to another one. lists: sig, id, n, solo, room."""
+    side = lambda d, k: d.select("sig", *[F.col(c).alias(f"{k}{c}") for c in d.columns if c != "sig"])
+    least = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
+    possible = (F.least("xroom", "yroom") >= least) & (F.least("xn", "yn") >= least)
+    centre = F.min(F.struct((F.col("solo") / F.col("n")).alias("own"), "id", "n", "room")).alias("c")
+    held = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), centre).where("members > 1")
+    sized = stage(lists.join(held, "sig"), "lists")
+    short, long = sized.where(F.col("members") <= SHORT), sized.where(F.col("members") > SHORT)
+    row = ["sig", "id", "n", "room"]
+    pairs = side(short.select(row), "x").join(side(short.select(row), "y"), "sig").where((F.col("xid") < F.col("yid")) & possible)
+    first = side(long.select(row), "x").join(long.select("sig", F.col("c.id").alias("yid"), F.col("c.n").alias("yn"), F.col("c.room").alias("yroom")).distinct(), "sig").where((F.col("xid") != F.col("yid")) & possible)
+    tested = _new(pairs.unionByName(first.select(pairs.columns)).select(F.col("xid").alias("x"), F.col("yid").alias("y")), None)
+    links = verified(tested, sets, percent)
     roots = components(links)
 
-    # long lists in rounds
-    sig = sized.where(F.col("members") > SHORT).select("sig", "id", "n")
-    fine = stage(classes.join(sig.select("id").distinct(), "id").select(F.explode("fine").alias("sig"), "id", "n"), "ranges")
-    outside, turn = None, 0
+    outside = None
     while True:
-        placed = _placed(fine if turn == 0 else fine.unionByName(sig), roots)
+        placed = _placed(long.select(row), roots)
         out = placed.where("root != top")
         left = out.count()
-        if left == 0 and turn > 0 or turn > 1 and left > 0.7 * outside:
+        if left == 0 or outside is not None and left > 0.7 * outside:
             break
         # one partner in the largest component for each member outside it, on average
-        inner = placed.where("root = top").select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.pmod(F.xxhash64("id", F.lit(turn)), F.col("m")).alias("k"))
-        pairs = _new(out.withColumnRenamed("id", "x").withColumn("k", F.pmod(F.xxhash64("x", "sig", F.lit(turn)), F.col("m"))).join(inner, ["sig", "k"]).where(close("n", "ny")), tested)
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(verified(docs, pairs, classes, width, percent))
-        roots, outside, turn = components(links), left, turn + 1
-
-    # what no round has linked is compared with its whole lists, each pair in the first list that has both
-    placed = _placed(sig, roots)
-    ids = placed.select("id").distinct()
-    own = sig.join(ids, "id").groupBy("id").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # one document's signatures
-    rich = stage(placed.select("sig", "id", "root", "top").join(own, "id").join(_narrow(classes), "id"), "rich")
-    x = rich.where("root != top").select("sig", *[F.col(c).alias(f"x{c}") for c in ("id", "root", "sigs", "n", "last", "pool")])
-    y = rich.select("sig", *[F.col(c).alias(f"y{c}") for c in ("id", "root", "sigs", "n", "last", "pool")])
-    first = F.array_min(F.array_intersect("xsigs", "ysigs")) == x["sig"]
-    more = x.join(y, (x["sig"] == y["sig"]) & (F.col("xroot") != F.col("yroot")) & close("xn", "yn") & first & _possible("x", "y", percent))
-    links = links.unionByName(verified(docs, _new(more.select(F.col("xid").alias("x"), F.col("yid").alias("y")), tested), classes, width, percent))
+        inner = side(placed.where("root = top").select(*row, F.pmod(F.xxhash64("id", F.lit(left)), F.col("m")).alias("k")), "y")
+        mates = side(out.select(*row, F.pmod(F.xxhash64("id", "sig", F.lit(left)), F.col("m")).alias("k")), "x").join(inner, "sig").where((F.col("xk") == F.col("yk")) & possible)
+        more = _new(mates.select(F.col("xid").alias("x"), F.col("yid").alias("y")), tested)
+        tested, links = tested.unionByName(more), links.unionByName(verified(more, sets, percent))
+        release(placed)
+        roots, outside = components(links), left
+    if left:  # what no round has linked is compared with its whole lists
+        mates = side(out.select(*row, "root"), "x").join(side(placed.select(*row, "root"), "y"), "sig").where((F.col("xroot") != F.col("yroot")) & possible)
+        links = links.unionByName(verified(_new(mates.select(F.col("xid").alias("x"), F.col("yid").alias("y")), tested), sets, percent))
+        roots = components(links)
+    release(placed, sized)
+    return roots
 
-    roots = components(links)
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id for every row of docs.
+
+    Components only: pairs inside a component needn't all be verified, so there are no link counts.
+    """
+    rows = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
+    unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool").dropDuplicates(["k1", "k2"])
+    classes = stage(unique.withColumn("id", F.monotonically_increasing_id()), "classes")
+    sets = opened(docs, classes, width, percent)
+    roots = linked(sets, signatures(sets, percent, frequent), percent)
     named = classes.select("id", "k1", "k2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     named = named.join(least, ["k1", "k2"])
     named = stage(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k1", "k2", "component_id"), "components")
+    release(classes)
     out = rows.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", "text_key", "n", "component_id")
     alone = rows.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumnRenamed("n", "n_shingles")
@@ -276,9 +249,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     A document without id stays only where its component has none with an id; of exact repeats one row stays.
     """
-    names = docs.columns
-    found = join(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
-    return rows.dropDuplicates(["doc_id", "_text"]).select(*[F.col(f"`{c}`") for c in names])
+    names, (uid, key, mine) = docs.columns, free(docs, "uid", "key", "mine")
+    found = join(docs.select("doc_id", "text"), **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = found.select(F.col("doc_id").alias(uid), F.col("text_key").alias(key)).distinct()
+    rows = docs.withColumn(mine, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(F.col(uid)) & (F.col(mine) == F.col(key)))
+    return rows.dropDuplicates(["doc_id", mine]).select(*[F.col(f"`{c}`") for c in names])
