@@ -28,14 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Lets Spark delete a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table into the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs a reread of files, not a recomputation of everything before.
+    This cuts the lineage: a lost executor costs a reread of files, not a recomputation of everything before. The
+    shuffle files behind the table aren't needed any more and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -50,15 +60,14 @@ def release(*staged: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def free(df: DataFrame, *wanted: str) -> list[str]:
-    """A name for each wanted column that df doesn't have, whatever the case of its letters."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as fields of one struct column, row: names that an operator adds can't clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def fields(names: list[str], put: dict[str, Column] | None = None) -> list[Column]:
+    """The named fields of row as columns again, those in put replaced."""
+    return [(put[c] if put and c in put else F.col(f"row.`{c}`")).alias(c) for c in names]
 
 
 def let(value: Column, body) -> Column:

@@ -29,19 +29,23 @@ empty table gives no rows; other columns aren't read. percent is meant to be 70
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm import wordhash
-from newsmill.llm.common import free, release, stage
+from newsmill.llm.common import fields, packed, release, stage
 
 WIDTH = 3
 PERCENT = 90
 #: Tokens in more open sets than this are frequent.
 FREQUENT = 8
 BUCKETS = 8
+#: Tokens in a pool beyond half as many again as a prefix needs.
+EXTRA = 8
 #: Lists of at most so many members are compared pair by pair: a bounded number of pairs for each row of theirs.
 SHORT = 8
 
@@ -51,10 +55,10 @@ def need_of(n: int, percent: int = PERCENT) -> int:
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes."""
+    """Each row's sorted distinct shingle hashes, as signed numbers."""
     h, first = wordhash.words(column)
-    full = wordhash.grams(h, width)
-    short = {k: wordhash.grams(h, k) for k in range(1, width)}
+    full = wordhash.grams(h, width).view(np.int64)
+    short = {k: wordhash.grams(h, k).view(np.int64) for k in range(1, width)}
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         n = b - a
@@ -78,10 +82,11 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 need.append(need_of(len(s), percent))
                 with np.errstate(over="ignore"):
-                    k1.append(np.add.reduce(wordhash.mix(s)).astype(np.uint64))
-                    k2.append(np.add.reduce(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64))
+                    u = s.view(np.uint64)
+                    k1.append(np.add.reduce(wordhash.mix(u)).astype(np.uint64))
+                    k2.append(np.add.reduce(wordhash.mix(u ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64))
                 linked = 100 * len(s) // percent > len(s) or need[-1] > 1  # else only an equal set is similar enough
-                pools.append(s[: need[-1] + need[-1] // 2 + BUCKETS].view(np.int64) if linked else s[:0].view(np.int64))
+                pools.append(s[: need[-1] + need[-1] // 2 + EXTRA] if linked else s[:0])
             ints = [pa.array(x, pa.int64()) for x in (n, need)]
             keys = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (k1, k2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, *keys, _lists(pools)], names=["doc_id", "text_key", "n", "need", "k1", "k2", "pool"])
@@ -97,7 +102,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
+            sets = shingle_sets(batch.column(1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["id", "n", "tokens"])
 
     return found.mapInArrow(run, "id long, n long, tokens array<long>").dropDuplicates(["id"])
@@ -130,19 +135,33 @@ def buckets(level, percent: int):
 
 
 def opened(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, n and tokens of the classes that may link to another one."""
+    """id, n and tokens of the classes that may link to another one.
+
+    A rich class links only through one of its first `need` own tokens, and only to a poor one that has this token
+    behind its pool. The ranges of hashes where that can be, by size, leave few tokens to compare.
+    """
     held = classes.where(F.size("pool") > 0)
-    own = held.select("id", F.explode("pool").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").select("token", "id")
-    own = stage(own, "own-tokens")  # one class has the token in its pool
-    ranked = held.select("id", "doc_id", "text_key", "n", "need").join(own.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
-    ranked = stage(ranked.withColumn("poor", F.coalesce("own", F.lit(0)) < F.col("need")), "ranked")
-    poor = stage(whole_sets(docs, ranked.where("poor"), width), "poor-sets")
-    asked = poor.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    own = held.select("id", F.explode("pool").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")  # tokens of one pool
+    own = own.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("own"))  # one pool's tokens
+    grade = F.floor(F.log("n") / (-1.000001 * math.log(percent / 100))).alias("grade")  # sizes that may link lie in one grade or in neighbours
+    end = F.when(F.size("pool") < F.col("n"), F.element_at("pool", -1))  # null: the pool is the whole set
+    ranked = held.select("id", "doc_id", "text_key", "n", "need", grade, end.alias("end")).join(own, "id", "left")
+    poor = F.coalesce(F.size("own"), F.lit(0)) < F.col("need")
+    ranked = stage(ranked.select("id", "doc_id", "text_key", "n", "grade", "end", poor.alias("poor"), F.when(~poor, F.slice("own", 1, F.col("need").cast("int"))).alias("own")), "ranked")
+    sets = stage(whole_sets(docs, ranked.where("poor"), width), "poor-sets")
+
+    around = F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade")
+    first = ranked.where("poor AND end IS NOT NULL").select(around, "end").groupBy("grade").agg(F.min("end").alias("from"))
+    last = ranked.where("NOT poor").select(around, F.element_at("own", -1).alias("to")).groupBy("grade").agg(F.max("to").alias("to"))
+    mine = ranked.where("NOT poor").join(F.broadcast(first), "grade").select("id", "n", F.explode(F.filter("own", lambda t: t > F.col("from"))).alias("token"))  # a row for each of some hundred grades
+    behind = ranked.where("poor AND end IS NOT NULL").join(F.broadcast(last), "grade").select("id", "end", "to")
+    asked = sets.join(behind, "id").select("n", F.explode(F.filter("tokens", lambda t: (t > F.col("end")) & (t <= F.col("to")))).alias("token"))
+    asked = asked.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     near = (100 * F.col("n") >= percent * F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi"))
-    rich = own.join(ranked.where("NOT poor").select("id", "n"), "id").join(asked, "token").where(near).select("id").distinct()
-    more = stage(whole_sets(docs, ranked.join(rich, "id"), width), "rich-sets")
-    release(own)
-    return poor.unionByName(more)
+    rich = mine.join(asked, "token").where(near).select("id").distinct()
+    more = stage(whole_sets(docs, ranked.where("NOT poor").join(rich, "id"), width), "rich-sets")
+    release(ranked)
+    return sets.unionByName(more)
 
 
 def signatures(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
@@ -229,10 +248,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent:
 
     Components only: pairs inside a component needn't all be verified, so there are no link counts.
     """
-    rows = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
-    unique = rows.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool").dropDuplicates(["k1", "k2"])
-    classes = stage(unique.withColumn("id", F.monotonically_increasing_id()), "classes")
-    sets = opened(docs, classes, width, percent)
+    sketches = stage(sketch(docs.select("doc_id", "text"), width, percent), "sketches")
+    unique = sketches.where("n > 0").select("k1", "k2", "doc_id", "text_key", "n", "need", "pool").dropDuplicates(["k1", "k2"])
+    pooled = stage(unique.withColumn("id", F.monotonically_increasing_id()), "pools")
+    rows, classes = stage(sketches.select("doc_id", "text_key", "n", "k1", "k2"), "rows"), stage(pooled.select("id", "k1", "k2"), "classes")
+    release(sketches)
+    sets = opened(docs, pooled, width, percent)
+    release(pooled)
     roots = linked(sets, signatures(sets, percent, frequent), percent)
     named = classes.select("id", "k1", "k2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
@@ -249,9 +271,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     A document without id stays only where its component has none with an id; of exact repeats one row stays.
     """
-    names, (uid, key, mine) = docs.columns, free(docs, "uid", "key", "mine")
     found = join(docs.select("doc_id", "text"), **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = found.select(F.col("doc_id").alias(uid), F.col("text_key").alias(key)).distinct()
-    rows = docs.withColumn(mine, F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(F.col(uid)) & (F.col(mine) == F.col(key)))
-    return rows.dropDuplicates(["doc_id", mine]).select(*[F.col(f"`{c}`") for c in names])
+    found = found.select("doc_id", "text_key").distinct()
+    rows = packed(docs).withColumn("key", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    rows = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
+    return rows.dropDuplicates(["doc_id", "text_key"]).select(*fields(docs.columns))
