@@ -12,8 +12,8 @@ Open sets are ordered by frequency among the open ones, rare tokens first. If th
 rare, it stands at position n - o at most in the one and m - o at most in the other: each rare token of such a prefix
 is indexed by itself. Else all that they share is frequent, and the prefix is extended: with B hash buckets, the first
 B + 1 shared tokens stand at n - o + B at most, and two of them lie in one bucket. So frequent tokens are indexed as
-pairs (k = 2) within a bucket. A posting keeps the largest o that its position allows, its room; two postings make a
-candidate only where both rooms reach the pair's o. Candidates are verified on whole sets.
+pairs (k = 2) within a bucket. A posting keeps the largest o that its position allows, its room (for a pair also: all
+that a set has of frequent tokens); two postings make a candidate only where both rooms reach the pair's o. Candidates are verified on whole sets.
 
 Short posting lists are compared pair by pair, long ones aren't expanded. Each member of a long list is compared with
 the list's centre, the member with the least share of tokens of its own, which joins most of a group of near copies at
@@ -43,7 +43,8 @@ WIDTH = 3
 PERCENT = 90
 #: Tokens in more open sets than this are frequent.
 FREQUENT = 8
-BUCKETS = 8
+#: Positions of a prefix for each bucket that frequent tokens are paired in.
+SLACK = 8
 #: Tokens in a pool beyond half as many again as a prefix needs.
 EXTRA = 8
 #: Lists of at most so many members are compared pair by pair: a bounded number of pairs for each row of theirs.
@@ -129,9 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def buckets(level, percent: int):
-    """Buckets at a level of sizes (2^level and up): few tokens in each, yet fewer buckets than the smallest set can spare."""
-    size, share = F.pow(F.lit(2.0), level), percent / 100
-    return F.greatest(F.lit(1), F.least(F.greatest(F.lit(BUCKETS), F.floor(size / 128)), F.floor(share * share * size) - 1)).cast("int")
+    """Buckets at a level of sizes (2^level and up): one for each SLACK positions of a prefix, so that they extend it little."""
+    return F.greatest(F.lit(1), F.floor((1 - percent / 100) * F.pow(F.lit(2.0), level) / SLACK)).cast("int")
 
 
 def opened(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -174,12 +174,13 @@ def signatures(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
     levels = F.array_distinct(F.transform(F.array(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)), lambda x: F.floor(F.log2(x.cast("double"))).cast("int")))
     order = order.where(F.col("solo") <= widest).withColumns({"widest": widest, "levels": levels})
     order = order.withColumn("t", F.slice("t", 1, F.greatest(F.lit(0), F.col("widest") - F.col("solo") + 1 + buckets(F.array_max("levels"), percent)).cast("int")))
-    at = order.select("id", "n", "solo", "widest", "levels", F.posexplode("t").alias("i", "x")).select("id", "n", "solo", "widest", "levels", (F.col("solo") + F.col("i")).alias("at"), "x.df", "x.token")
+    order = order.withColumn("often", F.col("n") - F.col("solo") - F.size(F.filter("t", lambda x: x["df"] <= frequent)))  # of a set that is indexed by pairs
+    at = order.select("id", "n", "solo", "widest", "levels", "often", F.posexplode("t").alias("i", "x")).select("id", "n", "solo", "widest", "levels", "often", (F.col("solo") + F.col("i")).alias("at"), "x.df", "x.token")
     at = stage(at, "prefixes")
     rare = at.where((F.col("df") <= frequent) & (F.col("at") <= F.col("widest"))).select(F.col("token").alias("sig"), "id", "n", "solo", (F.col("n") - F.col("at")).alias("room"))
-    often = at.where(F.col("df") > frequent).select("id", "n", "solo", "widest", "at", "token", F.explode("levels").alias("level")).withColumn("b", buckets(F.col("level"), percent))
-    often = often.where(F.col("at") <= F.col("widest") + F.col("b")).groupBy("id", "n", "solo", "level", "b", F.pmod(F.xxhash64("token"), "b").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("token", "at"))).alias("t"))  # a prefix's part: tens of tokens
-    room = lambda x, y: F.col("n") - F.greatest(x["at"], y["at"]) + F.col("b")
+    often = at.where(F.col("df") > frequent).select("id", "n", "solo", "widest", "often", "at", "token", F.explode("levels").alias("level")).withColumn("b", buckets(F.col("level"), percent))
+    often = often.where(F.col("at") <= F.col("widest") + F.col("b")).groupBy("id", "n", "solo", "often", "level", "b", F.pmod(F.xxhash64("token"), "b").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("token", "at"))).alias("t"))  # a prefix's part: tens of tokens
+    room = lambda x, y: F.least(F.col("often"), F.col("n") - F.greatest(x["at"], y["at"]) + F.col("b"))
     two = lambda x, y: F.struct(F.xxhash64("level", x["token"], y["token"]).alias("sig"), room(x, y).alias("room"))
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: two(x, y))))
     return rare.unionByName(often.select("id", "n", "solo", F.explode(pairs).alias("p")).select("p.sig", "id", "n", "solo", "p.room"))
