@@ -2,7 +2,12 @@
 
 Quality rules drop what they reject; of each near-duplicate group (5-word shingles, similarity of 80 %) one
 document stays; documents that share a passage with the benchmark go; the rest is mixed to the target weights, which
-repeats documents or cuts them; the mix is dealt into shards. All stages but the last return the columns of documents.
+repeats documents or cuts them; the mix is dealt into shards. All stages but the last return the columns of documents;
+the last returns them with size, text_crc32, law, shard, slot and grown_shard, a row for each copy in the mix.
+
+Null texts count as empty and fail the quality rules, as empty texts do; null ids and repeated rows go through: of equal
+documents the near-duplicate stage keeps one, one without id only where none has one; an empty table gives an empty
+result; other columns of documents pass through all stages, unless they have the name of a result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ def mixing_sources(spark, docs, sf_dir):
 
 
 def shards(spark, docs, sf_dir):
-    return sharding.shard(docs)
+    return sharding.shard(docs, carry=True)
 
 
 STAGES = [
