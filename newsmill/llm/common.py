@@ -81,12 +81,12 @@ def first_by_hash(df: DataFrame, column: str, n: int) -> list:
     A count of the distinct values sets a bar on the hash that about 4n of them pass, so tasks and the driver hold a
     few times n values, however many tasks there are.
     """
-    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL").distinct()
+    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
     total = values.agg(F.approx_count_distinct("v", 0.05)).first()[0]
     low = F.pmod(F.xxhash64("v"), F.lit(1 << 20))
     if total > 8 * n:
         values = values.where(low < F.lit(int(4 * n / total * (1 << 20)) + 1))
-    return [r[0] for r in values.orderBy(low, F.xxhash64("v"), "v").limit(n).collect()]
+    return [r[0] for r in values.distinct().orderBy(low, F.xxhash64("v"), "v").limit(n).collect()]
 
 
 def n_words(text: Column) -> Column:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm import wordhash
-from newsmill.llm.common import first_by_hash
+from newsmill.llm.common import first_by_hash, release, stage
 
 BITS = 16
 SAMPLE = 2000
+#: Lengths of the corpus lines that the model may be fitted on; lines of any length are judged.
+TRAINED = (8, 2000)
 PER_FAMILY = 120
 FALSE = 0.002
 CONFIRM = 0.6
@@ -146,15 +148,18 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
             w = [x for x in w if r.random() > 0.08] or w
             texts.append(" ".join(w if k % 3 else [*w, *r.sample(w, min(3, len(w)))]))
             labels.append(i)
-    lines = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("line")).where(F.length("line").between(8, 2000))
+    lines = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("line")).where(F.length("line").between(*TRAINED))
     named = F.col("line").rlike("(?i)licen[sc]|copyright|creative commons|all rights reserved")
-    for t in first_by_hash(lines.where(named), "line", sample):
+    share = min(1.0, 16 * sample / max(1, docs.count()))  # a hash part of the other lines that holds a few times the sample
+    some = F.pmod(F.xxhash64("line", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))
+    lines = stage(lines.where(named | some).withColumn("named", named), "licence-lines")
+    for t in first_by_hash(lines.where("named"), "line", sample):
         alike = sorted(((resemblance(k, t), i) for i, k in enumerate(NOTICES)), reverse=True)
         if alike[0][0] >= 0.8 > alike[1][0]:
             texts.append(t)
             labels.append(alike[0][1])
-    share = min(1.0, 16 * sample / max(1, docs.count()))  # a hash part of the lines that holds a few times the sample
-    plain = first_by_hash(lines.where(~named & (F.pmod(F.xxhash64("line", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))), "line", sample)
+    plain = first_by_hash(lines.where("NOT named"), "line", sample)
+    release(lines)
     texts += plain or ["the quick brown fox jumps over the lazy dog"] * 8
     labels += [len(CLASSES) - 1] * (len(texts) - len(labels))
     return Model(texts, labels, seed)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import WORD, n_words, stage
+from newsmill.llm.common import WORD, fields, n_words, packed, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # the mix has 150 % of all words
@@ -106,21 +106,19 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     Exact repeats of a row share their takings as evenly as whole words allow.
     """
-    names = docs.columns
-    p = plan(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"))
-    p = p.agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.first("size").alias("_size")).where("_sum > 0")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key"))
-    rows = docs.join(p, same)
-    once = rows.where("_n = 1").withColumn("_take", F.col("_sum"))
-    rank = F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy(F.lit(0)))
-    more = rows.where("_n > 1").withColumn("_take", F.floor(F.col("_sum") / F.col("_n")) + (rank <= F.col("_sum") % F.col("_n")).cast("long"))
-    rows = once.unionByName(more).where("_take > 0")
-    rest = (F.col("_take") % F.col("_size")).cast("int")
-    whole = F.array_repeat(F.col("text"), F.floor(F.col("_take") / F.col("_size")).cast("int"))
+    p = plan(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id", "source", "text_key")
+    p = p.agg(F.sum("taken").alias("sum"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("sum > 0")
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("text_key"))
+    rows = packed(docs).join(p, same)
+    once = rows.where("n = 1").withColumn("take", F.col("sum"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "text_key").orderBy(F.lit(0)))
+    more = rows.where("n > 1").withColumn("take", F.floor(F.col("sum") / F.col("n")) + (rank <= F.col("sum") % F.col("n")).cast("long"))
+    rows = once.unionByName(more).where("take > 0")
+    rest = (F.col("take") % F.col("size")).cast("int")
+    whole = F.array_repeat(F.col("row.text"), F.floor(F.col("take") / F.col("size")).cast("int"))
     none = F.expr("cast(array() as array<string>)")
-    rows = rows.withColumn("_text", F.explode(F.concat(whole, F.when(rest > 0, F.array(_first_words(F.col("text"), rest))).otherwise(none))))
-    put = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in names])
+    rows = rows.withColumn("text", F.explode(F.concat(whole, F.when(rest > 0, F.array(_first_words(F.col("row.text"), rest))).otherwise(none))))
+    return rows.select(*fields(docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))
 
 
 def _first_words(text: Column, n: Column) -> Column:

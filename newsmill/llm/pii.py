@@ -1,9 +1,18 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regex, gazetteer and context labelers vote on every candidate span. Expectation-maximisation over the counts of vote
-patterns (at most 4 kinds x 3^4 patterns, whatever the corpus) estimates how reliable each labeler is; the posteriors
-of the patterns train a logistic span classifier, which is then one SQL expression over the votes. The corpus is read
-once: candidates are staged without the texts, pattern counts and final spans come from that narrow table.
+Labelers vote yes, no or nothing on every candidate span, strict or loose:
+
+- regex: how well formed the span is: yes for a strict format written out in full, no for a sloppy one;
+- gazetteer: top-level domains, address blocks, card issuers with their lengths, calling and area codes;
+- check: Luhn's digit, octets, the local part of an address, the plan of a national phone number;
+- context: cue words shortly before the span, or words that speak against it;
+- border: whether the span ends at blanks and punctuation, or goes on in a word.
+
+No labeler sees whether a span is a base span. Expectation-maximisation over the counts of vote patterns (at most 4
+kinds x 2 forms x 3^5 patterns, whatever the corpus) estimates how reliable each labeler is, with a share of true
+spans for each kind and form; the check labeler starts out as the most trusted, as a check digit is rarely wrong. The
+posteriors of the patterns train a logistic span classifier, which is then one SQL expression over the votes. The
+corpus is read once: candidates are staged without the texts, pattern counts and final spans come from that narrow table.
 
 Base spans (strict formats) always stay; the classifier adds candidates of looser formats that no base span of their
 kind overlaps. Defined results: null and empty texts have no spans; rows are handled one by one, so repeated rows and
@@ -21,7 +30,7 @@ from pyspark.sql import functions as F
 from newsmill.llm.common import located, stage
 
 KINDS = ("email", "ip", "card", "phone")
-VOTERS = ("regex", "gazetteer", "context", "border")
+VOTERS = ("regex", "gazetteer", "check", "context", "border")
 ABSTAIN, YES, NO = 0, 1, 2
 #: The classifier adds a candidate from this probability on.
 ACCEPT = 0.8
@@ -42,7 +51,9 @@ LOOSE = {
 #: Gazetteers.
 TOP_DOMAINS = "com org net edu gov mil int info biz io dev app de fr es it uk us ca au ch at nl be pl ru cn jp in br eu".split()
 CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6011|64|65|62|50|5[6-8]|6[0-9])"
+ISSUERS = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12}|35[0-9]{14}|6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12}|62[0-9]{14,17}|(?:50|5[6-8]|6[0-9])[0-9]{10,17})$"
+#: Area codes and exchanges of the North American plan.
+NATIONAL = r"^[2-9][0-8][0-9][2-9][0-9]{6}$"
 CUES = {
     "email": r"(?i)(?:e-?mail|contact|write to|kontakt|correo|courriel|adresse)\W*$",
     "ip": r"(?i)(?:\bip|host|server|address|addr|from|gateway)\W*$",
@@ -81,24 +92,38 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _votes(kind: str, text: Column, s: Column, base: bool) -> list[Column]:
-    hit = s["hit"]
+    """One vote of each labeler; base only says which format matched, strict or loose."""
+    hit, digits, never = s["hit"], _digits(s["hit"]), F.lit(False)
     begin = F.greatest(s["start"] - REACH, F.lit(0))
     before = F.substr(text, begin + 1, s["start"] - begin)
-    around = F.concat(F.substr(before, F.length(before), F.lit(1)), F.lit(" "), F.substr(text, s["end"] + 1, F.lit(1)))
+    left, right = F.substr(before, F.length(before), F.lit(1)), F.substr(text, s["end"] + 1, F.lit(1))
     if kind == "email":
         last = F.lower(F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1))
-        gaz = _vote(last.isin(TOP_DOMAINS), last.rlike("^[0-9]+$"))
+        local = F.regexp_extract(hit, r"^([A-Za-z0-9._%+-]+)", 1)
+        regex = _vote(hit.rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$|(?i)[(\[]dot[)\]]"), hit.rlike(r"^\.|\.\.|-\.|\.-"))
+        gaz = _vote(last.isin(TOP_DOMAINS), ~last.rlike("^[a-z]{2,6}$"))
+        check = _vote(local.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9%+_-]|\.(?!\.))*[A-Za-z0-9_+-]?$"), local.rlike(r"^[.%+-]|\.\.|\.$"))
     elif kind == "ip":
         first = F.regexp_extract(hit, "^0*([0-9]+)", 1)
-        gaz = _vote(first.isin([str(i) for i in (*range(1, 127), *range(128, 224))]), first.isin("0", *[str(i) for i in range(240, 256)]))
+        if base:
+            regex = _vote(~hit.rlike(r"(?:^|\.)0[0-9]"), never)
+            gaz = _vote(first.isin([str(i) for i in (*range(1, 127), *range(128, 224))]), first.isin("0", *[str(i) for i in range(240, 256)]))
+            check = _vote(strict("ip", hit), ~strict("ip", hit))
+        else:  # eight groups of hex digits: blocks in use start with 2, 3, fc, fd, fe8
+            regex = _vote(hit.rlike("^(?:[0-9A-F:]+|[0-9a-f:]+)$"), hit.rlike("[a-f].*[A-F]|[A-F].*[a-f]"))
+            gaz = _vote(hit.rlike("^(?i)(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):"), F.lit(True))
+            check = _vote(hit.rlike("[A-Fa-f]"), hit.rlike("^[0-9]{1,2}(?::[0-9]{1,2}){7}$"))
     elif kind == "card":
-        gaz = _vote(_digits(hit).rlike(ISSUERS), F.lit(True))
+        regex = _vote(hit.rlike(r"^(?:[0-9]+|[0-9]{4}(?:\x20[0-9]{4}){2,3}(?:\x20[0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2,3}(?:-[0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$"), hit.rlike(r"\x20.*-|-.*\x20"))
+        gaz = _vote(digits.rlike(ISSUERS), F.lit(True))
+        check = _vote(_luhn(digits), F.lit(True))
     else:
-        gaz = _vote(hit.rlike(CALLING_CODES), hit.startswith("+"))
-    regex = F.lit(YES if base else NO)
+        regex = _vote(hit.rlike(r"^\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,4}$|^(?:\([0-9]{3}\)\x20?|[0-9]{3}-)[0-9]{3}-[0-9]{4}$"), hit.rlike(r"[.-]{2}|\(\)|\x20{2}"))
+        gaz = _vote(hit.rlike(CALLING_CODES) | digits.rlike("^[2-9][0-8][0-9]") & ~hit.startswith("+"), F.lit(True))
+        check = _vote(F.when(hit.startswith("+"), F.length(digits).between(10, 14)).otherwise(digits.rlike(NATIONAL)), ~hit.startswith("+"))
     context = _vote(before.rlike(CUES[kind]), before.rlike(ANTI_CUES))
-    border = _vote(F.lit(False), around.rlike(r"^\w|\w$"))
-    return [regex, gaz, context, border]
+    border = _vote(left.rlike(r"^[\s(\[<\"',;:]?$") & right.rlike(r"^[\s)\]>\"',;:.!?]?$"), left.rlike(r"\w") | right.rlike(r"\w"))
+    return [regex, gaz, check, context, border]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -123,36 +148,41 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _cand(i: int, kind: str, s: Column, base: bool) -> Column:
-    votes = zip(VOTERS, _votes(kind, F.col("text"), s, base), strict=True)
+    votes = zip(VOTERS, _votes(kind, F.col("text"), s, base), strict=True)  # base is kept for the result and the form
     return F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), *[v.cast("int").alias(n) for n, v in votes])
 
 
+#: What a labeler's reliability is worth in votes before any are counted: (right, wrong or nothing).
+TRUST = {"check": (40.0, 0.5)}
+
+
 def estimate(counts: list[tuple], rounds: int = 50) -> tuple[dict, list]:
-    """EM over (kind, votes..., n) rows: reliabilities P(vote | truth) by voter, and (pattern, posterior, n)."""
-    rel = {(j, y, v): (0.7 if v == y else 0.15) for j in range(len(VOTERS)) for y in (YES, NO) for v in (ABSTAIN, YES, NO)}
-    prior = dict.fromkeys(range(len(KINDS)), 0.5)
+    """EM over (kind, form, votes..., n) rows: reliabilities P(vote | truth) by voter, and (pattern, posterior, n)."""
+    start = {(j, y): {v: TRUST.get(name, (5.0, 1.0))[v != y] for v in (ABSTAIN, YES, NO)} for j, name in enumerate(VOTERS) for y in (YES, NO)}
+    rel = {(j, y, v): m / sum(mass.values()) for (j, y), mass in start.items() for v, m in mass.items()}
+    groups = {tuple(c[:2]) for c in counts}
+    prior = dict.fromkeys(groups, 0.5)
     post = []
     for _ in range(rounds):
         post = []
-        for kind, *votes, n in counts:
-            like = {y: (prior[kind] if y == YES else 1 - prior[kind]) * math.prod(rel[j, y, v] for j, v in enumerate(votes)) for y in (YES, NO)}
-            post.append(((kind, *votes), like[YES] / (like[YES] + like[NO]), n))
-        for k in prior:
-            own = [(p, n) for (kind, *_), p, n in post if kind == k]
-            prior[k] = (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))
-        for j in range(len(VOTERS)):
-            for y in (YES, NO):
-                mass = {v: 1.0 + 4.0 * (v == y) for v in (ABSTAIN, YES, NO)}
-                for (_, *votes), p, n in post:
-                    mass[votes[j]] += n * (p if y == YES else 1 - p)
-                rel |= {(j, y, v): m / sum(mass.values()) for v, m in mass.items()}
+        for kind, form, *votes, n in counts:
+            like = {y: (prior[kind, form] if y == YES else 1 - prior[kind, form]) * math.prod(rel[j, y, v] for j, v in enumerate(votes)) for y in (YES, NO)}
+            post.append(((kind, form, *votes), like[YES] / (like[YES] + like[NO]), n))
+        for g in groups:
+            own = [(p, n) for (kind, form, *_), p, n in post if (kind, form) == g]
+            prior[g] = (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))
+        for (j, y), first in start.items():
+            mass = dict(first)
+            for (_, _, *votes), p, n in post:
+                mass[votes[j]] += n * (p if y == YES else 1 - p)
+            rel |= {(j, y, v): m / sum(mass.values()) for v, m in mass.items()}
     return rel, post
 
 
 def train(post: list, steps: int = 300, rate: float = 0.5) -> dict:
-    """Logistic regression on one-hot votes and kinds with the posteriors as soft labels; patterns weigh by log count."""
+    """Logistic regression on one-hot votes, kinds and forms with the posteriors as soft labels; patterns weigh by log count."""
     weights: dict = {"bias": 0.0}
-    rows = [(["bias", ("kind", k), *[(j, v) for j, v in enumerate(votes)]], p, math.log1p(n)) for (k, *votes), p, n in post]
+    rows = [(["bias", ("kind", 2 * k + form), *[(j, v) for j, v in enumerate(votes)]], p, math.log1p(n)) for (k, form, *votes), p, n in post]
     total = sum(w for *_, w in rows) or 1.0
     for _ in range(steps):
         grad: dict = {}
@@ -170,7 +200,7 @@ def _probability(weights: dict, c: Column) -> Column:
     terms = [F.lit(weights["bias"])]
     for f, w in weights.items():
         if f != "bias":
-            got = c["kind"] if f[0] == "kind" else c[VOTERS[f[0]]]
+            got = 2 * c["kind"] + c["base"].cast("int") if f[0] == "kind" else c[VOTERS[f[0]]]
             terms.append(F.when(got == f[1], F.lit(w)).otherwise(F.lit(0.0)))
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
@@ -178,8 +208,8 @@ def _probability(weights: dict, c: Column) -> Column:
 def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id and spans: array of (kind, start, end, base, probability), for every row of docs."""
     cands = stage(candidates(docs), "pii")
-    votes = cands.select(F.explode("cands").alias("c")).groupBy("c.kind", *[F.col(f"c.{v}") for v in VOTERS]).count()
-    weights = train(estimate([tuple(r) for r in votes.collect()])[1])  # at most 4 * 81 rows
+    votes = cands.select(F.explode("cands").alias("c")).groupBy("c.kind", F.col("c.base").cast("int").alias("form"), *[F.col(f"c.{v}") for v in VOTERS]).count()
+    weights = train(estimate(sorted(tuple(r) for r in votes.collect()))[1])  # at most 4 * 2 * 243 rows
     scored = F.transform("cands", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), _probability(weights, c).alias("probability")))
     return cands.select("doc_id", F.filter(scored, lambda c: c["base"] | (c["probability"] >= accept)).alias("spans"))
 

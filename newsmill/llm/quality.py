@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import WORD, let
+from newsmill.llm.common import WORD, fields, let, packed
 
 #: Frequent function words of the corpus languages (en, fr, es, de).
 STOP_WORDS = (
@@ -84,7 +84,7 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Adds the counts that rules may use. Columns of those names are replaced."""
+    """Adds the counts that rules may use. Columns of those names are replaced; _words and _lines are dropped."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     forms = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
@@ -120,6 +120,6 @@ def judge(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
-    """Only the rows that pass, with the columns they came with."""
-    names = docs.columns
-    return judge(docs, rules, base).where("kept").select(*[F.col(f"`{c}`") for c in names])
+    """Only the rows that pass, with the columns they came with, whatever their names."""
+    rows = packed(docs).withColumn("text", F.col("row.text"))
+    return judge(rows, rules, base).where("kept").select(*fields(docs.columns))

@@ -1,23 +1,27 @@
 """Secret scans by grammar inference.
 
 Labelled credentials (a bounded, hash-ordered sample of the base matches, at most SAMPLE a kind) form a prefix tree
-for each kind; states whose symbol and end frequencies agree within a Hoeffding bound are merged, children first
-folded, into a probabilistic automaton (the ALERGIA scheme). A further automaton is inferred from ordinary long words.
-Every candidate token of the corpus, 16 characters or more with letters and digits, is scored by each automaton; it
-becomes a span of the likeliest kind where its mean log-likelihood beats the ordinary one by MARGIN bits a symbol and
-isn't below what the kind's own held-out credentials reach.
+for each kind. Prefixes that fewer than RARE samples have carry too little evidence to be compared; they are pooled by
+their length, so that length and position aren't lost. States whose symbol and end frequencies, and those of what
+follows them, agree within a Hoeffding bound are then merged into a probabilistic automaton (the ALERGIA scheme). A
+further automaton is inferred from ordinary long words, two a text, picked by hash. Every candidate token of the
+corpus, SHORTEST characters or more of the credential alphabet, is scored over all its characters by each automaton;
+it becomes a span of the likeliest kind where its mean log-likelihood beats the ordinary one by MARGIN bits a symbol
+and isn't below what the kind's own held-out credentials reach.
 
 Base spans always stay; a scored token that overlaps any base span adds nothing. The text is read once: spans and
 candidates are staged without it. Scoring is an Arrow batch function over that narrow table; the automata it carries
 are bounded by SAMPLE and LONGEST.
 
 Defined results: null and empty texts have no spans; rows are handled one by one, so repeats and null ids keep one
-result row each; without labelled credentials of a kind nothing of that kind is added; an empty table gives no rows.
+result row each; without labelled credentials of a kind nothing of that kind is added; with few, the automaton is one
+of pooled positions; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,42 +35,69 @@ SAMPLE = 400
 LONGEST = 96
 ALPHA = 0.05
 MARGIN = 0.5
+#: Prefixes of fewer samples are pooled by length.
+RARE = 16
+#: Least length of a candidate token.
+SHORTEST = 12
 
 # Base formats.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+"
 WORDLIKE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z]{8,24}(?![A-Za-z0-9+/_-])"
 
 
 class Automaton:
     """A deterministic probabilistic automaton: per state the counts of ends and of (symbol, next state)."""
 
-    def __init__(self, words: list[str], alpha: float = ALPHA):
+    def __init__(self, words: list[str], alpha: float = ALPHA, rare: int = RARE):
+        words = [w[:LONGEST] for w in words]
+        had = Counter(w[:i] for w in words for i in range(len(w) + 1))
+        name = lambda p: p if not p or had[p] >= rare else len(p)  # noqa: E731  a prefix, or the pool of its length
+        number = {"": 0}
         self.next: list[dict] = [{}]
         self.count: list[dict] = [{}]
         self.ends = [0]
         for w in words:
             s = 0
-            for c in w[:LONGEST]:
-                if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
+            for i, c in enumerate(w):
+                to = name(w[: i + 1])
+                if to not in number:
+                    number[to] = len(self.next)
                     self.next.append({})
                     self.count.append({})
                     self.ends.append(0)
+                self.next[s][c] = number[to]
                 self.count[s][c] = self.count[s].get(c, 0) + 1
-                s = self.next[s][c]
+                s = number[to]
             self.ends[s] += 1
+        self.same = list(range(len(self.next)))  # the state that each one was merged into
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
+        self.next = [{c: self.state(to) for c, to in n.items()} for n in self.next]
         self.sums = [self.total(s) for s in range(len(self.next))]
 
+    def state(self, s: int) -> int:
+        while self.same[s] != s:
+            self.same[s] = self.same[self.same[s]]
+            s = self.same[s]
+        return s
+
     def total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
 
+    def states(self) -> set[int]:
+        """States that words lead to."""
+        seen, todo = {0}, [0]
+        while todo:
+            new = set(self.next[todo.pop()].values()) - seen
+            seen |= new
+            todo += new
+        return seen
+
     def _differ(self, a: int, b: int, bound: float) -> bool:
         """Whether two states, or states that the same symbols reach from them, have unlike frequencies."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], {(a, b)}
         while todo:
             a, b = todo.pop()
             m, n = self.total(a), self.total(b)
@@ -79,14 +110,20 @@ class Automaton:
                 if abs(self.count[a].get(c, 0) / m - self.count[b].get(c, 0) / n) > far:
                     return True
                 if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+                    pair = (self.state(self.next[a][c]), self.state(self.next[b][c]))
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        todo.append(pair)
         return False
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree under b to a."""
+    def _join(self, a: int, b: int) -> None:
+        """Makes b the same state as a, and what equal symbols then lead to as well."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self.state, todo.pop())
+            if a == b:
+                continue
+            self.same[b] = a
             self.ends[a] += self.ends[b]
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
@@ -96,33 +133,31 @@ class Automaton:
                     self.next[a][c] = self.next[b][c]
 
     def _merge(self, bound: float) -> None:
-        """Red states are settled; each blue state, a child of a red one, is folded into the first like it or settled."""
-        red, blue = [0], [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            blue.sort(key=lambda x: -self.count[x[0]][x[1]])
-            parent, c = blue.pop(0)
-            b = self.next[parent][c]
-            if b in red:
-                continue
-            like = next((r for r in red if not self._differ(r, b, bound)), None)
+        """Settled states grow from the root: the commonest state that one leads to joins the first like it, or is settled."""
+        settled = [0]
+        while True:
+            settled = list(dict.fromkeys(map(self.state, settled)))
+            edge = [(n, -r, c, to) for r in settled for c, n in self.count[r].items() if (to := self.state(self.next[r][c])) not in settled]
+            if not edge:
+                return
+            b = max(edge)[3]
+            like = next((r for r in settled if not self._differ(r, b, bound)), None)
             if like is None:
-                red.append(b)
+                settled.append(b)
             else:
-                self.next[parent][c] = like
-                self._fold(like, b)
-            settled = set(red)
-            blue = [(r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in settled]
+                self._join(like, b)
 
     def bits(self, word: str) -> float:
-        """Mean log2 probability of a symbol of the word; each of 64 symbols has a tenth of a sighting everywhere.
+        """Mean log2 probability of a symbol of the word and of its end; each of 64 symbols has a tenth of a sighting everywhere.
 
         A symbol not seen in a state costs dearly and leads back to the start.
         """
         s, total = 0, 0.0
         for c in word:
-            total += math.log2((self.count[s].get(c, 0) + 0.1) / (self.sums[s] + 6.4))
+            total += math.log2((self.count[s].get(c, 0) + 0.1) / (self.sums[s] + 6.5))
             s = self.next[s].get(c, 0)
-        return total / max(1, len(word))
+        total += math.log2((self.ends[s] + 0.1) / (self.sums[s] + 6.5))
+        return total / (len(word) + 1)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -130,7 +165,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,part:string>>)")
     gates = (text.rlike("(?i)passw|secret|token|api_?key"), text.contains("AKIA"), text.rlike("[0-9a-f]{24}"))
-    found = docs.select("doc_id", *[F.when(g, located(text, p, n)).otherwise(none).alias(k) for k, g, p, n in zip(KINDS, gates, (ASSIGN, ACCESS, HEX), (2, 0, 0), strict=True)], F.when(text.rlike(TOKEN), located(text, TOKEN)).otherwise(none).alias("tokens"), F.slice(F.regexp_extract_all(text, F.lit(WORDLIKE), F.lit(0)), 1, 2).alias("plain"))
+    found = docs.select("doc_id", *[F.when(g, located(text, p, n)).otherwise(none).alias(k) for k, g, p, n in zip(KINDS, gates, (ASSIGN, ACCESS, HEX), (2, 0, 0), strict=True)], F.when(text.rlike(TOKEN), located(text, TOKEN)).otherwise(none).alias("tokens"), F.transform(F.slice(F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(WORDLIKE), F.lit(0)), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, 2), lambda x: x["w"]).alias("plain"))
     one = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["part"].alias("value"))
     base = F.concat(F.transform(F.filter("assign", lambda s: F.length(s["part"]) >= 6), one(0)), F.transform("access", one(1)), F.transform("hex", one(2)))
     return found.select("doc_id", F.array_sort(base).alias("base"), F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"))).alias("tokens"), "plain")
@@ -145,7 +180,7 @@ def infer(cands: DataFrame, sample: int = SAMPLE) -> tuple[dict, Automaton, dict
     for i in range(len(KINDS)):
         words = first(rows.where(F.col("b.kind") == i), value)
         held, fit = words[: len(words) // 5], words[len(words) // 5 :]
-        if len(fit) >= 8:
+        if fit:
             automata[i] = Automaton(fit)
             least[i] = min(map(automata[i].bits, held or fit)) - MARGIN
     plain = first(cands.where("size(base) = 0").select(F.explode("plain").alias("w")), F.col("w"))

@@ -4,8 +4,8 @@ Records hash into SLOTS slots by their text, so equal texts stay together. Bytes
 versioned slot-to-shard map (a table of SLOTS rows for each version, whatever the corpus) is edited when shards are
 rebalanced or added; records never move between slots.
 
-Position numbers within a shard come from counts of cells, a cell being a part of a slot of about CELL rows: no
-shard, slot or hot text is numbered in one task.
+Position numbers within a shard come from counts of cells, a cell being a part of a slot of about CELL rows, dealt by
+a staged number of the row: no shard, slot, hot text or run of equal rows is numbered in one task.
 
 Defined results: a null text has the bytes of the empty one; null ids and repeated rows are kept, each with a position
 of its own; an empty table gives no rows; other columns aren't read.
@@ -19,17 +19,19 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import shared_dir, stage
+from newsmill.llm.common import fields, packed, shared_dir, stage
 
 SLOTS = 8192
 CELL = 1024
 OVERHEAD = 16
 
 
-def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("vslot"))
+def records(docs: DataFrame, slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, virtual slot and uid, a number of the row; with carry also the whole row."""
+    docs = packed(docs) if carry else packed(docs.select("doc_id", "text"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    kept = ["row"] if carry else []
+    return docs.select(*kept, F.monotonically_increasing_id().alias("uid"), F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def initial_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -95,10 +97,13 @@ def load_map(spark, at: str, version: int | None = None) -> DataFrame:
     return maps.where(F.col("version") == version).select("vslot", "shard")
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, at: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the row's position in its shard, from 0) and grown_shard."""
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, at: str | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the row's position in its shard, from 0) and grown_shard.
+
+    With carry, the other columns of docs come first; those that share a name with the results are replaced.
+    """
     spark = docs.sparkSession
-    recs = stage(records(docs, slots), "records")
+    recs = stage(records(docs, slots, carry), "records")
     by_slot = recs.groupBy("vslot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     sums = {r.vslot: (r.size, r.n) for r in by_slot.collect()}  # at most SLOTS rows
     at = at or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
@@ -109,11 +114,13 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, at: str | None
 
     parts = spark.createDataFrame([(s, -(-n // CELL)) for s, (_, n) in sums.items()], "vslot int, parts int")
     placed = recs.join(F.broadcast(where.join(parts, "vslot")), "vslot")
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     cells = placed.groupBy("shard", "vslot", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("vslot", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("vslot", "cell").orderBy("doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("vslot", "cell").orderBy("doc_id", "size", "text_crc32", "uid")
     numbered = placed.withColumn("rank", F.row_number().over(inside) - 1)
     out = numbered.join(cells, ["vslot", "cell"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    results = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    others = fields([c for c in docs.columns if c.lower() not in results]) if carry else []
+    return out.select(*others, "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

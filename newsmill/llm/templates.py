@@ -11,9 +11,10 @@ on: different texts that aren't near copies of each other, as a near copy repeat
 to document dedup. Texts are near copies where at least half of the smaller one's 3-grams, without the lines in
 question, are in the other. Only lines of fewer than min_docs documents need that test, so a line has few pairs.
 
-Only lines of leaves that recur are ever exploded into tokens, and equal lines are counted once for all documents
-that have them, so a line that a third of the documents share is one row. Documents aren't grouped: each takes the
-numbers of its dropped lines by a join on its row key.
+Lines are named by 128 bits, a leaf and a hash of the tokens; joins move those names, and the texts of distinct lines
+only in leaves that recur. Equal lines are counted once for all documents that have them, so a line that a third of
+the documents share is one row. Documents aren't grouped: each takes the numbers of its dropped lines by a join on its
+row key. Joins are planned alike at every size.
 
 Defined results: null and empty texts have no lines with tokens and stay as they are; blank lines
 always stay; a text with nothing but shared lines counts as a near copy of what shares them; repeated rows count as documents of their own; null ids are kept; an empty table
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import WORD, let, stage
+from newsmill.llm.common import WORD, fields, let, packed, release, stage
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -53,40 +54,54 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.transform(F.slice(tokens, 1, depth), _mask))
 
 
+def _named(text: Column, depth: int, more=lambda line, tokens, i: []) -> Column:
+    """For each line with tokens its token count, leaf and a hash of its tokens, and what `more` adds."""
+    name = lambda t, x, i: F.struct(*more(x, t, i), F.size(t).alias("n"), _leaf(t, depth).alias("leaf"), F.xxhash64(t).alias("line_key"))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: let(_tokens(x), lambda t: name(t, x, i)))
+    return F.filter(lines, lambda x: x["n"] > 0)
+
+
 def _keys(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_key, and the lines with tokens: number, token count, leaf and a hash of the tokens."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    name = lambda t, i: F.struct(i.alias("at"), F.size(t).alias("n"), _leaf(t, depth).alias("leaf"), F.xxhash64(t).alias("line_key"))
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: let(_tokens(x), lambda t: name(t, i)))
-    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.filter(lines, lambda x: x["n"] > 0).alias("lines"))
-
-
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_key, and for each line with enough tokens its number, text and leaf."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    rows = rows.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= MIN_TOKENS)
-    return rows.withColumn("leaf", _leaf(F.col("tokens"), depth))
-
-
-def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT, keys: DataFrame | None = None) -> DataFrame:
-    """leaf, line, template and docs: the lines to drop, with the number of documents that have their template."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = stage(_keys(docs, depth), "line-keys") if keys is None else keys
-    leaves = keys.select(F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["n"] >= MIN_TOKENS), lambda x: x["leaf"]))).alias("leaf"))
+    """uid (a number of the row), doc_id, text_key, and the lines with tokens: number, token count, leaf and line_key."""
+    lines = _named(F.col("text"), depth, lambda x, t, i: [i.alias("at")])
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), lines.alias("lines"))
+
+
+def recurring(docs: DataFrame, keys: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
+    """leaf and line_key of the lines whose template min_docs documents or more have.
+
+    A template is named by its leaf and two hashes of its constant tokens with their positions. Where one of its lines
+    is in min_docs documents it recurs; where all its lines together are in fewer it doesn't; documents are told apart
+    only for the templates between, whose lines are all in few documents.
+    """
+    long = F.filter("lines", lambda x: x["n"] >= MIN_TOKENS)
+    own = keys.select("uid", F.explode(F.array_distinct(F.transform(long, lambda x: F.struct(x["leaf"].alias("leaf"), x["line_key"].alias("line_key"))))).alias("x")).select("uid", "x.leaf", "x.line_key")
+    leaves = keys.select(F.explode(F.array_distinct(F.transform(long, lambda x: x["leaf"]))).alias("leaf"))
     often = stage(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    mine = stage(_lines(docs, depth).select("doc_id", "text_key", "leaf", "line").join(often, "leaf", "left_semi").distinct(), "leaf-lines")
-    copies = docs.select("doc_id", F.xxhash64(text).alias("text_key")).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    counted = stage(mine.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")), "distinct-lines")
-    at = counted.select("leaf", "line", "docs", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
-    known = at.where(~F.col("token").rlike("[0-9]")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n").withColumn("fixed", F.lit(True))
-    marked = at.join(known, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)))
-    shaped = marked.groupBy("leaf", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("template"), F.count("fixed").alias("fixed"), F.count(F.lit(1)).alias("all"))  # one line's tokens
-    shaped = stage(shaped.where(100 * F.col("fixed") >= constant * F.col("all")).select("leaf", "line", "template"), "templates")
-    having = mine.join(shaped, ["leaf", "line"]).select("doc_id", "text_key", "leaf", "template").distinct()
-    same = having["doc_id"].eqNullSafe(copies["doc_id"]) & (having["text_key"] == copies["text_key"])
-    per = having.join(copies, same).groupBy("leaf", "template").agg(F.sum("copies").alias("docs")).where(F.col("docs") >= min_docs)
-    return shaped.join(per, ["leaf", "template"])
+    counted = own.groupBy("leaf", "line_key").agg(F.count(F.lit(1)).alias("docs")).join(often.hint("merge"), "leaf", "left_semi")
+
+    # one text of each of these lines; a bounded set of buckets spares most others the way
+    bucket = F.pmod("leaf", F.lit(BUCKETS))
+    texts = docs.select(F.explode(F.array_distinct(_named(F.col("text"), depth, lambda x, t, i: [F.array_join(t, " ").alias("line")]))).alias("x")).select("x.leaf", "x.line_key", "x.line", "x.n").where(F.col("n") >= MIN_TOKENS)
+    texts = texts.join(F.broadcast(often.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi").select("leaf", "line_key", "line").distinct()
+    tokens = F.transform(_tokens(F.col("line")), lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))
+    lines = texts.hint("merge").join(counted, ["leaf", "line_key"]).select("leaf", "line_key", "docs", tokens.alias("tokens"))
+    lines = stage(lines, "distinct-lines")
+    at = lines.select("leaf", "line_key", "docs", F.posexplode("tokens").alias("pos", "token"))
+    known = at.where("token IS NOT NULL").groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    marked = at.join(known.withColumn("fixed", F.lit(True)).hint("merge"), ["leaf", "pos", "token"], "left")
+    name = lambda seed: F.bit_xor(F.when(F.col("fixed"), F.xxhash64(F.lit(seed), "pos", "token")))
+    shaped = marked.groupBy("leaf", "line_key", "docs").agg(name(1).alias("t1"), name(2).alias("t2"), F.count("fixed").alias("fixed"), F.count(F.lit(1)).alias("all"))
+    shaped = stage(shaped.where(100 * F.col("fixed") >= constant * F.col("all")).select("leaf", "line_key", "docs", "t1", "t2"), "templates")
+    release(lines)
+
+    template = ["leaf", "t1", "t2"]
+    sums = shaped.groupBy(*template).agg(F.sum("docs").alias("most"), F.max("docs").alias("least")).where(F.col("most") >= min_docs)
+    ranked = stage(shaped.join(sums.hint("merge"), template).withColumn("sure", F.col("least") >= min_docs), "ranked-lines")
+    open_ = own.join(ranked.where("NOT sure").select("leaf", "line_key", "t1", "t2").hint("merge"), ["leaf", "line_key"])
+    enough = open_.select("uid", *template).distinct().groupBy(*template).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    more = ranked.where("NOT sure").join(enough.hint("merge"), template, "left_semi")
+    return ranked.where("sure").unionByName(more).select("leaf", "line_key")
 
 
 def literal(docs: DataFrame, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -125,18 +140,19 @@ def _rests(docs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
-    """docs with text shortened, and n_lines and n_dropped."""
+    """docs with text shortened, and n_lines and n_dropped (columns of these names are replaced)."""
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rows = packed(docs)
+    docs = docs.select("doc_id", "text")
     keys = stage(_keys(docs, depth), "line-keys")
-    gone = recurring(docs, depth, min_docs, constant, keys).select("leaf", F.xxhash64(_tokens(F.col("line"))).alias("line_key"))
-    gone = stage(gone.unionByName(literal(docs, keys, min_docs)), "boilerplate")
+    gone = stage(recurring(docs, keys, depth, min_docs, constant).unionByName(literal(docs, keys, min_docs)), "boilerplate")
     out = keys.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.at", "x.leaf", "x.line_key")
     out = out.join(gone.hint("merge"), ["leaf", "line_key"], "left_semi")  # 128 bits name a line; no text moves
-    out = out.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("at").alias("_gone"))  # one document's line numbers
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(out.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": text})
-    rows = rows.withColumn("n_lines", F.greatest(F.col("n_lines"), F.lit(0)))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    out = out.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("gone"))  # one document's line numbers
+    text = F.col("row.text")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = rows.join(out.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (key == F.col("text_key")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    short = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*fields(names, {"text": short}), F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))

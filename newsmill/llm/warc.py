@@ -74,7 +74,8 @@ class _Stream:
     """Lines and stretches of a gzip file, whole or in members, without the whole being in memory."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.buf, self.gone = memoryview(data), 0, b"", 0
+        self.data, self.at, self.gone = memoryview(data), 0, 0
+        self.buf, self.pos = b"", 0  # what is unpacked, and how far it has been taken
         self.z = zlib.decompressobj(31)
 
     def _more(self) -> bool:
@@ -87,32 +88,36 @@ class _Stream:
                 self.at += len(piece)
             got = self.z.decompress(piece, 1 << 20)
             if got:
-                self.buf += got
+                self.buf, self.pos = self.buf[self.pos :] + got, 0
                 return True
         return False
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.buf], len(self.buf)
-        while have < n:
-            self.buf = b""
-            if not self._more():
-                break
-            parts.append(self.buf)
-            have += len(self.buf)
-        data = b"".join(parts)
-        self.buf = data[n:]
-        self.gone += min(n, len(data))
-        return data[:n]
+        if len(self.buf) - self.pos < n:  # beyond what is unpacked: pieces are joined once
+            parts, have = [self.buf[self.pos :]], len(self.buf) - self.pos
+            self.buf, self.pos = b"", 0
+            while have < n and self._more():
+                parts.append(self.buf)
+                have += len(self.buf)
+                self.buf = b""
+            self.buf = b"".join(parts)
+        data = self.buf[self.pos : self.pos + n]
+        self.pos += len(data)
+        self.gone += len(data)
+        return data
 
     def line(self) -> bytes | None:
-        while (i := self.buf.find(b"\n")) < 0:
+        while (i := self.buf.find(b"\n", self.pos)) < 0:
             if not self._more():
-                return self.take(len(self.buf)) or None
-        return self.take(i + 1)
+                return self.take(len(self.buf) - self.pos) or None
+        return self.take(i + 1 - self.pos)
 
 
 def arc_records(data: bytes):
-    """(offset, url, address, date, block) of an ARC file's documents; fields by the names that its header declares."""
+    """(offset, url, address, date, block) of an ARC file's documents; fields by the names that its header declares.
+
+    Only a file's first record is its version block; a document may have any url, filedesc: ones included.
+    """
     s, names = _Stream(data), None
     while True:
         at, line = s.gone, s.line()
@@ -121,7 +126,9 @@ def arc_records(data: bytes):
         if not line.strip():
             continue
         fields = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if fields[0].startswith("filedesc://"):
+        if names is None:
+            if not fields[0].startswith("filedesc://"):
+                raise ValueError(f"no version block at the start of an ARC file: {line[:60]!r}")
             body = s.take(int(fields[-1])).decode().split("\n")
             names = body[1].split(" ")
             if body[0].split(" ")[0] not in ("1", "2"):

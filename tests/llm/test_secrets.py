@@ -62,3 +62,45 @@ def test_all_characters_count():
     assert a.bits(head + "/Internationalisation_Of-Words" * 20) < a.bits(head) - 2
     path = "xyzzy/lorem-ipsum/" * 6 + "1"
     assert a.bits(path + make(900)) > a.bits(path) + 2
+
+
+def test_automaton_keeps_length_and_position():
+    """Fixed-length credentials: their length scores better than others; a prefix that all share stays where it is."""
+    r = random.Random(7)
+    make = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mean = lambda a, words: sum(map(a.bits, words)) / len(words)
+    for n in (105, 320):
+        a = secrets.Automaton([make(32) for _ in range(n)])
+        assert len(a.states()) >= 32
+        own = mean(a, [make(32) for _ in range(50)])
+        assert all(own > mean(a, [make(k) for _ in range(50)]) + 0.1 for k in (20, 28, 31, 33, 36, 64))
+    b = secrets.Automaton(["key_" + make(24) for _ in range(200)])
+    assert mean(b, ["key_" + make(24) for _ in range(20)]) > mean(b, [make(24) + "key_" for _ in range(20)]) + 0.5
+    few = secrets.Automaton([make(32) for _ in range(3)])
+    assert few.bits(make(32)) > few.bits("Hello-World_Again")
+    assert secrets.Automaton([]).bits("anything") < 0
+
+
+def test_recall_and_precision_on_planted_tokens(spark):
+    """Bare tokens of the formats that labelled ones have are added; words, paths, times and names aren't."""
+    r = random.Random(9)
+    alnum, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    make = lambda s, n: "".join(r.choice(s) for _ in range(n))
+    word = lambda n: "".join(r.choice("etaoinshrdlu") for _ in range(n))
+    prose = lambda: " ".join(word(r.randint(2, 9)) for _ in range(12)) + " " + word(r.randint(12, 16))
+    fake = [lambda: f"{word(5)}/{word(6)}/{word(4)}.html", lambda: f"2024-01-{r.randint(10, 28)}T10.{r.randint(10, 59)}.00", lambda: f"{word(5)}_{word(6)}_{word(4)}", lambda: word(18), lambda: f"{word(8)}-{word(8)}"]
+    rows, want = [], set()
+    for i in range(200):
+        rows.append((i, f"{prose()} api_key = {make(alnum, 28)} {prose()} AKIA{make('ABCDEFGHIJ0123456789', 16)} {make(hexa, 40)}"))
+    for i in range(200, 500):
+        head = prose() + " "
+        if i % 2:
+            token = make(alnum, 28) if i % 3 else make(hexa, 20)
+            rows.append((i, head + token + " " + prose()))
+            want.add((i, len(head), len(head) + len(token)))
+        else:
+            rows.append((i, head + r.choice(fake)() + " " + prose()))
+    got = set()
+    for x in secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        got |= {(x.doc_id, *map(int, s.split(":")[1:])) for s in x.spans.split(",") if s and x.doc_id >= 200}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (len(got & want), len(want), len(got))

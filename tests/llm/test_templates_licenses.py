@@ -12,13 +12,14 @@ def brute(texts, min_docs=10, constant=70):
     toks = lambda l: re.findall(r"[^\x20\x09-\x0D]+", l)  # noqa: E731,E741
     mask = lambda t: "<*>" if re.search("[0-9]", t) else t
     leaf = lambda l: (len(toks(l)), *map(mask, toks(l)[:3]))  # noqa: E731,E741
-    docs = [[x for x in (t or "").split("\n") if len(toks(x)) >= 4] for t in texts]
+    norm = lambda l: " ".join(toks(l))  # noqa: E731,E741
+    docs = [[norm(x) for x in (t or "").split("\n") if len(toks(x)) >= 4] for t in texts]
     n_leaf = Counter(k for d in docs for k in {leaf(x) for x in d})
     line_docs = defaultdict(set)
-    for (i, t), d in zip(enumerate(texts), docs, strict=True):
+    for i, d in enumerate(docs):
         for x in set(d):
             if n_leaf[leaf(x)] >= min_docs:
-                line_docs[x].add(t)
+                line_docs[x].add(i)
     seen = Counter()
     for x, ts in line_docs.items():
         for p, t in enumerate(toks(x)):
@@ -33,7 +34,7 @@ def brute(texts, min_docs=10, constant=70):
         for x in d:
             if x in shape:
                 n[shape[x]].add(i)
-    return [[x for x in (t or "").split("\n") if not (x in shape and len(n[shape[x]]) >= min_docs)] for t in texts]
+    return [[x for x in (t or "").split("\n") if not (norm(x) in shape and len(n[shape[norm(x)]]) >= min_docs)] for t in texts]
 
 
 def test_templates_against_brute_force(spark):

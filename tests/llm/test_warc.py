@@ -25,6 +25,7 @@ def brute(rows):
 
 def test_round_trip_of_odd_pages(spark):
     pages = [(i, f"http://h{i}.example/a b", t) for i, t in enumerate(["<p>é😀</p>", "x\r\n\r\ny", "WARC/1.1\r\nContent-Length: 5\r\n\r\n", "", "filedesc://x 1\n", "<p>é😀</p>", "a" * 3_000_000, "\n\n", "x\r\n\r\ny"])]
+    pages += [(30, "filedesc://page.arc", "of that url"), (31, "filedesc://page.arc 0.0.0.0 1 text/plain 5", "x\n\n")]
     pages += [(20, None, None), (21, "", ""), (None, "http://n.example", "<p>é😀</p>"), (None, None, "alone"), (5, "http://h5.example/a b", "<p>é😀</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     got = warc.archive(df).collect()
