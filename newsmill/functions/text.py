@@ -16,10 +16,16 @@ def squeeze(x: Column) -> Column:
 
 
 def normalize(x: Column) -> Column:
-    """Text for duplicate tests: no links, emoji, clock times, dates or noise words, lower case, letters and digits only."""
-    x = squeeze(F.coalesce(x, F.lit("")))
-    x = reduce(lambda a, p: F.regexp_replace(a, p, " "), (V.URL, V.EMOJI, V.CLOCK, V.DATE, V.NOISE), x)
-    return squeeze(F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " "))
+    """Text for duplicate tests: no links, emoji, clock times, dates or noise words, lower case, letters and digits only.
+
+    Each pattern runs only on texts that hold what it needs, which a search for plain characters tells.
+    """
+    some = lambda *parts: lambda v: reduce(lambda a, b: a | b, [F.lower(v).contains(p) for p in parts])
+    wide, digit = (lambda v: F.octet_length(v) > F.length(v)), (lambda v: v.rlike("[0-9]"))
+    steps = ((V.URL, some("://", "t.me/")), (V.EMOJI, wide), (V.CLOCK, digit), (V.DATE, digit), (V.NOISE, some(*V.NOISE_WORDS)))
+    cut = lambda pattern, gate: lambda v: F.when(gate(v), F.regexp_replace(v, pattern, " ")).otherwise(v)
+    x = reduce(lambda a, step: let(a, cut(*step)), steps, squeeze(F.coalesce(x, F.lit(""))))
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
 def fingerprint(normalized: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
 from newsmill.functions.fuzzy import ratio
+from newsmill.sources.views import stage
 
 SEVERITY = {"high": 3.0, "medium": 1.5}
 
@@ -21,23 +22,67 @@ def topic_tokens(x: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(V.DUPE_STOP_WORDS))
 
 
-def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:
-    """line_id, id, match: headlines (window_end, line_id, headline) with posts (window_end, id, text, ...) of their window.
+#: A headline and a post are compared if they share so many topic words, or so large a part of the headline's.
+SHARED, COVERED = 3, 0.42
+#: Otherwise their characters must agree to this degree.
+ALIKE = 0.55
+
+
+def _rail_side(rows: DataFrame, key: str, text: str) -> DataFrame:
+    k = line_key(F.col(text))
+    return rows.select("window_end", key, k.alias("line"), F.length(k).alias("length"), topic_tokens(F.col(text)).alias("topic"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"))
+
 
-    Pairs meet on (window, shared token, number or name); the character ratio runs on pairs that the two rejection
-    rules leave open.
+def candidates(h: DataFrame, p: DataFrame) -> DataFrame:
+    """line_id and id of the pairs of a window that the rejection rules may leave open.
+
+    A headline of n topic words needs min(SHARED, COVERED * n) common ones, so one of them is among its rarest words of
+    the window, all but that many. Pairs that share only a number or a name must be alike in their characters, which
+    bounds the quotient of their lengths.
     """
-    words = lambda c: F.array_distinct(F.concat(topic_tokens(F.col(c)), T.numbers(F.col(c)), T.names(F.col(c))))
-    h = headlines.select("window_end", "line_id", "headline", topic_tokens(F.col("headline")).alias("ht"), T.numbers(F.col("headline")).alias("hn"), T.names(F.col("headline")).alias("hp"), F.explode(words("headline")).alias("w"))
-    p = posts.select("window_end", "id", "text", topic_tokens(F.col("text")).alias("pt"), T.numbers(F.col("text")).alias("pn"), T.names(F.col("text")).alias("pp"), F.explode(words("text")).alias("w"))
-    pairs = h.join(p, ["window_end", "w"]).dropDuplicates(["line_id", "id"]).drop("w")
-    both = F.size(F.array_intersect("ht", "pt"))
+    words = p.select("window_end", "id", F.explode("topic").alias("w"))
+    often = words.groupBy("window_end", "w").agg(F.count(F.lit(1)).alias("df"))
+    n = F.size("topic")
+    spare = n - F.least(F.lit(SHARED), F.ceil(COVERED * n)) + 1
+    own = h.select("window_end", "line_id", spare.alias("spare"), F.explode("topic").alias("w")).join(often, ["window_end", "w"], "left")
+    rank = F.row_number().over(Window.partitionBy("line_id").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    rare = own.withColumn("rank", rank).where((F.col("rank") <= F.col("spare")) & F.col("df").isNotNull())
+    topical = rare.select("window_end", "line_id", "w").join(words, ["window_end", "w"]).select("line_id", "id")
+
+    tagged = lambda c: F.transform(F.col(c), lambda x: F.concat(F.lit(c[:2]), x))
+    signs = lambda d, key: d.select("window_end", key, "length", F.explode(F.concat(tagged("numbers"), tagged("names"))).alias("w"))
+    q = signs(p, "id").withColumnRenamed("length", "length_p")
+    close = 2 * F.least("length", "length_p") >= ALIKE * (F.col("length") + F.col("length_p"))
+    signed = signs(h, "line_id").join(q, ["window_end", "w"]).where(close).select("line_id", "id")
+    return topical.unionByName(signed).distinct()
+
+
+def _close() -> Column:
+    """Whether the lengths of two lines leave room for ALIKE."""
+    a, b = F.length("h_line"), F.length("p_line")
+    return 2 * F.least(a, b) >= ALIKE * (a + b)
+
+
+def overlaps(headlines: DataFrame, posts: DataFrame) -> DataFrame:
+    """Candidate pairs with what they share: both, coverage, density, num, name, same, and the two lines of characters."""
+    h = stage(_rail_side(headlines, "line_id", "headline"), "rail-lines")
+    p = stage(_rail_side(posts, "id", "text"), "rail-words")
+    side = lambda d, k: d.select(*[F.col(c) if c in ("line_id", "id", "window_end") else F.col(c).alias(f"{k}_{c}") for c in d.columns])
+    pairs = candidates(h, p).join(side(h, "h"), "line_id").join(side(p.drop("window_end"), "p"), "id")
+    both = F.size(F.array_intersect("h_topic", "p_topic"))
     share = lambda a: both / F.greatest(F.size(a), F.lit(1))
-    pairs = pairs.withColumns({"both": both, "coverage": share("ht"), "density": share("pt"), "num": F.arrays_overlap("hn", "pn"), "name": F.arrays_overlap("hp", "pp")})
+    pairs = pairs.select("window_end", "line_id", "id", "h_line", "p_line", both.alias("both"), share("h_topic").alias("coverage"), share("p_topic").alias("density"), F.arrays_overlap("h_numbers", "p_numbers").alias("num"), F.arrays_overlap("h_names", "p_names").alias("name"))
     same = (F.col("coverage") >= 0.6) & (F.col("both") >= 3)
-    open_ = same | ((F.col("coverage") >= 0.42) | (F.col("both") >= 3) | F.col("num") | F.col("name"))
-    pairs = pairs.where(open_).withColumn("same", same).withColumn("ratio", ratio(line_key(F.col("headline")), line_key(F.col("text"))))
-    pairs = pairs.where(F.col("same") | (F.col("ratio") >= 0.55) | (F.col("coverage") >= 0.58))
+    topical = (F.col("coverage") >= COVERED) | (F.col("both") >= SHARED)
+    return pairs.withColumn("same", same).where(topical | _close() & (F.col("num") | F.col("name")))
+
+
+def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:
+    """line_id, id, match: headlines (window_end, line_id, headline) with posts (window_end, id, text, ...) of their window."""
+    pairs = overlaps(headlines, posts)
+    sure = F.col("same") | (F.col("coverage") >= 0.58)
+    pairs = pairs.where(sure | _close()).withColumn("sure", sure).withColumn("ratio", ratio("h_line", "p_line"))
+    pairs = pairs.where(F.col("sure") | (F.col("ratio") >= ALIKE))
     score = F.col("ratio") + F.col("coverage") + 0.35 * F.col("density") + 1.5 * F.col("same").cast("int") + 0.4 * F.col("num").cast("int") + 0.35 * F.col("name").cast("int")
     return pairs.select("window_end", "line_id", "id", score.alias("match"))
 

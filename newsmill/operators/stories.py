@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
+from newsmill.streaming.windows import pieces
 
 
 def bounded(word: str) -> str:
@@ -62,7 +63,8 @@ def subject_votes(posts: DataFrame, by: str, least: float = 1.5) -> DataFrame:
 def cross_digest_topics(lines: DataFrame, by: str, seconds: int = 3600) -> DataFrame:
     """section: a topic promoted within the span is demoted unless it rises to high; promotions refresh the span.
 
-    lines: id, ts, severity and the topic column. A sorted stream is folded with one promotion of state a topic.
+    lines: id, ts, severity and the topic column. A topic is split where it is silent for longer than the span, as the
+    next line is promoted there anyhow; a sorted stream of pieces is folded with one promotion of state.
     """
     names = lines.columns
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema) + ", section string"
@@ -71,7 +73,7 @@ def cross_digest_topics(lines: DataFrame, by: str, seconds: int = 3600) -> DataF
         key, last, level = None, None, None
         for pdf in batches:
             out = []
-            for topic, t, sev in zip(pdf[by], [pd.Timestamp(x).timestamp() // 1 for x in pdf["ts"]], pdf["severity"], strict=True):
+            for topic, t, sev in zip(zip(pdf[by], pdf["piece"], strict=True), [pd.Timestamp(x).timestamp() // 1 for x in pdf["ts"]], pdf["severity"], strict=True):
                 if topic != key:
                     key, last, level = topic, None, None
                 main = last is None or t - last > seconds or (sev == "high" and level != "high")
@@ -80,7 +82,7 @@ def cross_digest_topics(lines: DataFrame, by: str, seconds: int = 3600) -> DataF
                 out.append("main" if main else "also")
             yield pdf[names].assign(section=out)
 
-    return lines.repartition(by).sortWithinPartitions(by, "ts", "id").mapInPandas(fold, kinds)
+    return pieces(lines, by, seconds).repartition(by, "piece").sortWithinPartitions(by, "piece", "ts", "id").mapInPandas(fold, kinds)
 
 
 def apply_hooks(df: DataFrame, hooks: list, context: dict) -> tuple[DataFrame, list[str]]:

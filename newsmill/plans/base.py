@@ -52,3 +52,8 @@ def tokens(norm: str) -> str:
 
 
 NORMED = f"(SELECT *, CASE WHEN norm = '' THEN '' ELSE sha1(norm) END AS text_hash FROM (SELECT *, {normalize('raw_text')} AS norm FROM {POSTS}))"
+
+
+def names(x: str) -> str:
+    """Capitalised words, lower-cased; letters of any script make words."""
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}')), lambda w: lower(w)))"

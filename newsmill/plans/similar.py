@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsmill.operators import dedup as D
 from newsmill.plans.base import NORMED, registry, tokens
-from newsmill.sources.views import posts, table
+from newsmill.sources.views import posts, stage, table
 
 QUERIES, ORACLES = {}, {}
 query = registry(QUERIES, ORACLES)
@@ -22,7 +22,7 @@ j AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, a.sq AS qa, b.sq AS qb,
 p AS (SELECT a, b, common / (na + nb - common) AS jaccard, least(1.0, dot / (sqrt(sa + {D.ALONE * D.ALONE} * (qa - sa)) * sqrt(sb + {D.ALONE * D.ALONE} * (qb - sb)))) AS tfidf FROM j)
 SELECT a, b, round(jaccard, 6) AS jaccard, round(tfidf, 6) AS tfidf FROM p WHERE tfidf >= 0.48 OR jaccard >= 0.40""")
 def d2_token_components(spark, sf_dir):
-    p = D.token_pairs(D.features(posts(spark, sf_dir))).where("tfidf >= 0.48 OR jaccard >= 0.40")
+    p = D.token_pairs(stage(D.features(posts(spark, sf_dir)), "features"))
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -32,24 +32,26 @@ def d2_near_duplicates(spark, sf_dir):
     return p.select("a", "b", *[F.round(c, 6).alias(c) for c in ("score", "semantic", "tfidf", "fuzzy")])
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0.0, least(1.0, list_cosine_similarity(a.e, b.e))), 5) AS cosine
-FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3""")
+FROM v AS a JOIN v AS b ON b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 240 WHERE list_cosine_similarity(a.e, b.e) >= 0.3""")
 def d3_embedding_cosine(spark, sf_dir):
-    return D.cosine_pairs(table(spark, sf_dir, "embeddings"), "label", 0.3).withColumn("cosine", F.round("cosine", 5))
+    """A vector follows every minute, as posts do."""
+    v = table(spark, sf_dir, "embeddings").withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 60))
+    return D.cosine_pairs(v, 0.3).withColumn("cosine", F.round("cosine", 5))
 
 
 @query(f"WITH {_TF} SELECT a, b, round(dot / sqrt(qa * qb), 6) AS score FROM j WHERE round(dot / sqrt(qa * qb), 6) >= 0.83")
 def d5_tf_cosine(spark, sf_dir):
-    return D.tf_cosine(D.features(posts(spark, sf_dir)))
+    return D.tf_cosine(stage(D.features(posts(spark, sf_dir)), "features"))
 
 
 @query()
 def d6_match_history(spark, sf_dir):
-    """Times are relative to each post: it stands at one instant and the whole history an hour before it."""
-    now, before = (F.lit(x).cast("timestamp") for x in ("2024-01-01 01:00:00", "2024-01-01 00:00:00"))
-    b = table(spark, sf_dir, "benchmark").select(F.lit("history").alias("channel_id"), (-F.col("item_id") - 1).alias("message_id"), F.col("text").alias("raw_text"), before.alias("ts"))
-    return D.near_duplicates(posts(spark, sf_dir).withColumn("ts", now), b).select("a", "b", F.round("score", 6).alias("score"))
+    """The archive of one channel is the history; posts of all others are matched with its last day before them."""
+    p = posts(spark, sf_dir)
+    old = p.where("channel_id = 'src0'")
+    return D.near_duplicates(p.where("channel_id IS DISTINCT FROM 'src0'"), old, hours=24).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()

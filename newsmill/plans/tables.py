@@ -9,7 +9,8 @@ from newsmill.functions import text as T
 from newsmill.functions import vocab as V
 from newsmill.operators import keyed as K
 from newsmill.plans.base import NORMED, POSTS, quoted, registry, squeeze, tokens
-from newsmill.sources.views import posts, read_posts_jsonl, shared_path, table
+from newsmill.sources.views import posts, read_posts_jsonl, shared_path, stage, table
+from newsmill.streaming.windows import route
 
 QUERIES, ORACLES = {}, {}
 query = registry(QUERIES, ORACLES)
@@ -155,8 +156,18 @@ def c10_estimate_tokens(spark, sf_dir):
 w AS (SELECT message_id, first_value(message_id) OVER (PARTITION BY text_hash ORDER BY t RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW) AS m FROM n)
 SELECT message_id, CASE WHEN m <> message_id THEN m END AS matched_message_id FROM w""")
 def d1_exact_duplicates(spark, sf_dir):
-    n = normed(spark, sf_dir).where("text_hash <> ''").select("channel_id", "message_id", "ts", "text_hash")
-    return K.exact_duplicates(n).select("message_id", "matched_message_id")
+    n = stage(normed(spark, sf_dir).select("channel_id", "message_id", "ts", "text_hash"), "hashes")  # else the filter would hash once more
+    return K.exact_duplicates(n.where("text_hash <> ''")).select("message_id", "matched_message_id")
+
+
+@query(f"""WITH n AS (SELECT message_id, ts, text_hash, contains(raw_text, 'http') AS media, epoch(ts) AS t FROM {NORMED}),
+w AS (SELECT *, CASE WHEN text_hash = '' THEN message_id ELSE first_value(message_id) OVER (PARTITION BY text_hash ORDER BY t RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW) END AS m FROM n)
+SELECT message_id, CASE WHEN media THEN 'skip' ELSE 'single' END AS route FROM w WHERE m = message_id""")
+def a3_live_posts(spark, sf_dir):
+    """The intake's batch form over the whole table; a link stands for media. tests run the stream."""
+    n = normed(spark, sf_dir).select("channel_id", "message_id", "ts", "text_hash", F.col("raw_text").contains("http").alias("has_media"), F.lit(None).cast("long").alias("grouped_id"))
+    fresh = K.exact_duplicates(stage(n, "live")).where("matched_message_id IS NULL")
+    return route(fresh).select("message_id", "route")
 
 
 @query(f"""WITH cache AS (SELECT text_hash, max_by(l.quality, p.ts) AS decision, max(p.ts) AS cached_at FROM {NORMED} p JOIN labels l ON l.doc_id = p.message_id GROUP BY text_hash)

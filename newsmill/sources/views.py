@@ -25,9 +25,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; only a local master may do without the setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_path, "own", None) or tempfile.mkdtemp(prefix="newsmill-")
         shared_path.own = at
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,55 @@ def late_rows(rows: DataFrame, watermark) -> tuple[DataFrame, DataFrame]:
     """Rows in time, and rows for the side table that the catch-up digest reads."""
     late = F.col("ts") < F.lit(watermark)
     return rows.where(~late), rows.where(late)
+
+
+def pieces(rows: DataFrame, by: str, seconds: int) -> DataFrame:
+    """Adds piece, a number that changes where a key is silent for longer than some seconds.
+
+    Inside a slot of that length there is no such silence, so only the first and last time of each slot are compared;
+    they are pre-aggregated, and no key's rows are sorted in one task.
+    """
+    t, slot = F.unix_seconds("ts"), F.floor(F.unix_seconds("ts") / seconds)
+    ends = rows.groupBy(by, slot.alias("slot")).agg(F.min(t).alias("first"), F.max(t).alias("last"))
+    order = Window.partitionBy(by).orderBy("slot")
+    gap = F.coalesce(F.col("first") - F.lag("last").over(order) > seconds, F.lit(True))
+    marks = ends.withColumn("gap", gap.cast("int")).select(F.col(by).alias("_by"), F.col("slot").alias("_slot"), F.sum("gap").over(order).alias("piece"))
+    return rows.join(marks, rows[by].eqNullSafe(marks["_by"]) & (slot == marks["_slot"])).drop("_by", "_slot")
+
+
+def routed(posts: DataFrame, delay: str = "4 hours") -> DataFrame:
+    """Live intake of posts (channel_id, message_id, text_hash, has_media, grouped_id, ts): each post and text once, with its route.
+
+    Posts already seen go, then texts already seen within the delay (an empty hash is no text); what is left is skipped
+    for its media, held for its album, or single. For streams; `route` is the last step alone.
+    """
+    seen = posts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["channel_id", "message_id"])
+    key = F.when(F.col("text_hash") == "", F.concat_ws("/", "channel_id", F.col("message_id").cast("string"))).otherwise(F.col("text_hash"))
+    return route(seen.withColumn("_text", key).dropDuplicatesWithinWatermark(["_text"]).drop("_text"))
+
+
+def route(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("route", F.when(F.coalesce("has_media", F.lit(False)), "skip").when(F.col("grouped_id").isNotNull(), "album").otherwise("single"))
+
+
+def cooldown_stream(stream: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, most: int = 3):
+    """A started query that writes scored posts (id, channel_id, ts, severity) after the source cooldown, batch by batch.
+
+    Each micro-batch is folded together with the granted highs of the span before it, which a table in `folder` keeps;
+    a batch that runs again replaces its own files, so the result is the same after a failure.
+    """
+    from newsmill.operators.rules import cooldown
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("id", "channel_id", "ts", "severity")
+        start = rows.agg(F.min("ts")).first()[0]
+        if start is None:
+            return
+        before = spark.read.parquet(f"{folder}/done").where(F.col("batch") < number).select(rows.columns) if number else rows.limit(0)
+        granted = before.where((F.col("severity") == "high") & (F.unix_seconds("ts") >= F.unix_seconds(F.lit(start)) - seconds))
+        own = rows.select("id").withColumn("_own", F.lit(True))
+        out = cooldown(granted.unionByName(rows), "channel_id", seconds, most).join(own, "id", "left_semi")
+        out.write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -101,6 +101,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert {x.id for x in state.where("kept").collect()} == kept and not gone
 
 
+def test_noun_forms():
+    cases = {"ferry": "ferries", "ferries": "ferry", "quay": "quays", "torch": "torches", "glass": "glasses", "boats": "boat", "boxes": "box", "gas": "gases", "bus": "buses", "up": "up"}
+    for word, form in cases.items():
+        assert form in rules.noun_forms(word), word
+    assert rules.noun_forms("it") == {"it"} and "quaies" not in rules.noun_forms("quay") and "glas" not in rules.noun_forms("glass")
+    assert rules.variants("") == [] and rules.variants("Night-ferry") == sorted({"night ferry", "night-ferry", "nightferry", "night ferrys", "night-ferrys", "nightferrys", "night ferries", "night-ferries", "nightferries"})
+
+
 def test_rule_variants_and_blocking(spark):
     assert {"air strike", "air-strike", "airstrikes"} <= set(rules.variants("air strike"))
     table = rules.rule_table(spark, [("war", "primary", "air strike"), ("war", "blocked", "drill"), ("*", "recency", "just now")])

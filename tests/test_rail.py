@@ -1,5 +1,9 @@
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
+from newsmill.functions import vocab as V
 from newsmill.operators import rail
 
 END = dt.datetime(2024, 1, 1, 12)
@@ -25,3 +29,37 @@ def test_high_before_low_and_fresh_before_stale(spark):
 def test_corroborated_before_single(spark):
     assert order(spark, [(A, "medium", 60, 1), (B, "medium", 60, 4)])[0] == B
     assert order(spark, [(A, "medium", 60, 4), (B, "medium", 60, 1)])[0] == A
+
+
+def brute_match(lines, posts):
+    """line_id, id and score of all pairs of a window, straight from the rules."""
+    key = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    topic = lambda t: {w for w in key(t).split() if len(w) >= 4 and w not in V.DUPE_STOP_WORDS}
+    names = lambda t: {w.lower() for w in re.findall(r"\b[A-Z][a-z]{2,}\b", t)}
+    numbers = lambda t: {*re.findall(r"\d+", t), *(V.NUMBER_WORDS[w] for w in re.findall("[a-z]+", t.lower()) if w in V.NUMBER_WORDS)}
+    out = {}
+    for w, i, t in lines:
+        for v, j, u in posts:
+            if v != w or not key(t) or not key(u):
+                continue
+            both = topic(t) & topic(u)
+            cover, dense = len(both) / max(1, len(topic(t))), len(both) / max(1, len(topic(u)))
+            num, name, same = bool(numbers(t) & numbers(u)), bool(names(t) & names(u)), cover >= 0.6 and len(both) >= 3
+            r = SequenceMatcher(None, key(t), key(u)).ratio()
+            if not same and (cover < 0.42 and len(both) < 3 and not (num or name) or r < 0.55 and cover < 0.58):
+                continue
+            out[i, j] = round(r + cover + 0.35 * dense + 1.5 * same + 0.4 * num + 0.35 * name, 6)
+    return out
+
+
+def test_matches_against_brute_force(spark):
+    r = random.Random(3)
+    words = ["harbour", "ferry", "Minister", "bridge", "storm", "seven", "12", "strike", "North", "opens", "the", "council", "Vote", "river", "of"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    ends = [END, END + dt.timedelta(minutes=30)]
+    lines = [(r.choice(ends), i, say(r.randint(0, 7))) for i in range(40)]
+    posts = [(r.choice(ends), 100 + i, say(r.choice([0, 3, 6, 9, 40]))) for i in range(60)] + [(END, 500, lines[0][2]), (END, 501, lines[0][2])]
+    h = spark.createDataFrame(lines, "window_end timestamp, line_id long, headline string")
+    p = spark.createDataFrame(posts, "window_end timestamp, id long, text string")
+    got = {(x.line_id, x.id): round(x.match, 6) for x in rail.match_posts(h, p).collect()}
+    assert got == brute_match(lines, posts) and len(got) > 100
