@@ -1,12 +1,9 @@
-"""Near-duplicate detection across sources by a prefix-filtered, time-bounded similarity join.
+"""Near-duplicate detection across sources by a token-blocked, time-bounded similarity join.
 
-Pairs come from an equi-join on (time slot, token), never from a cross join, and only on the rare tokens of each post:
-its tokens are ordered by frequency, and those behind are left out as far as two posts that share nothing before them
-can't reach the bounds. Partial sums over the shared prefix, with all that is left out added at its largest, rule out
-most of the pairs that do meet; the few others get exact sums over all their tokens.
-
-A pair can only be a duplicate if its tf-idf is at least 0.48 or its Jaccard at least 0.40 (all other parts at their
-largest), which leaves few pairs for the array measures and fewer for the character ratio.
+Pairs come from an equi-join on (time slot, token), never from a cross join; overlap sizes and the pairwise tf-idf are
+sums over the shared tokens, so one partially aggregated group-by yields them. A pair can only be a duplicate if its
+tf-idf is at least 0.48 or its Jaccard at least 0.40 (all other parts at their largest), which leaves few pairs for
+the array measures and fewer for the character ratio.
 """
 
 from __future__ import annotations
@@ -33,84 +30,25 @@ def features(posts: DataFrame) -> DataFrame:
     return p.withColumns({"bigrams": F.array_distinct(T.bigrams(F.col("tokens"))), "chargrams": F.array_distinct(T.chargrams(F.col("key"))), "anchors": F.array_distinct(T.anchors(F.col("tokens")))})
 
 
-def prefixed(posts: DataFrame, df: DataFrame, share: float, jaccard: float | None = None, cut: int | None = None) -> tuple[DataFrame, int]:
-    """id, t, token, tf, n, sq, left and mass for the tokens of each post's prefix, and the cut.
-
-    n counts distinct tokens and sq is the sum of squared frequencies. A token belongs to the prefix while it and all
-    behind it have `share` of sq or more, or while a pair that starts there can reach the Jaccard bound; so does every
-    token that `cut` posts or fewer have. By default the cut is where half of the posts' prefixes would end. left (tokens)
-    and mass (their squares) are what lies behind the cut: two posts share no more than that unseen.
-    """
-    tf = posts.select("id", F.unix_seconds("ts").alias("t"), F.explode("tokens").alias("token")).groupBy("id", "t", "token").agg(F.count(F.lit(1)).alias("tf"))
-    own = Window.partitionBy("id")
-    order = own.orderBy("df", "token")
-    r = tf.join(df, "token").withColumns({"n": F.count(F.lit(1)).over(own), "sq": F.sum(F.col("tf") * F.col("tf")).over(own), "rank": F.row_number().over(order), "upto": F.sum(F.col("tf") * F.col("tf")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    inside = F.col("sq") - F.col("upto") + F.col("tf") * F.col("tf") >= (share - 1e-9) * F.col("sq")
-    if jaccard is not None:
-        inside = inside | (F.col("rank") <= F.col("n") - F.ceil(jaccard * F.col("n") - 1e-9) + 1)
-    r = stage(r.withColumn("inside", inside).drop("rank", "upto"), "ordered-tokens")
-    if cut is None:
-        ends = r.where("inside").groupBy("id").agg(F.max("df").alias("end"))
-        cut = int(ends.agg(F.percentile_approx("end", 0.5)).first()[0] or 0)
-    behind = F.col("df") > cut
-    r = r.withColumns({"left": F.sum(behind.cast("int")).over(own), "mass": F.sum(F.when(behind, F.col("tf") * F.col("tf")).otherwise(0)).over(own)})
-    return r.where(F.col("inside") | ~behind).select("id", "t", "token", "tf", "n", "sq", "left", "mass"), cut
-
-
-def frequencies(*posts: DataFrame) -> DataFrame:
-    """token and df, the number of posts that have it."""
-    each = [p.select(F.explode(F.array_distinct("tokens")).alias("token")) for p in posts]
-    return (each[0] if len(each) == 1 else each[0].unionByName(each[1])).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-
-def _slotted(a: DataFrame, b: DataFrame, span: int) -> DataFrame:
-    """Rows of a with rows of b (columns suffixed _b) of the same token in the same time slot or the one before."""
-    a = a.withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
-    b = b.withColumn("slot", F.floor(F.col("t") / span)).select("slot", "token", *[F.col(c).alias(f"{c}_b") for c in b.columns if c != "token"])
-    return a.join(b, ["slot", "token"])
-
-
-def _sums(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b, n, sq and n_b, sq_b, and over all shared tokens both, dot, sa, sb, for given pairs (a, b)."""
-    counted = lambda d, ids, k: d.join(ids.select(F.col(k).alias("id")).distinct(), "id", "left_semi").select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    x = counted(a, pairs, "a").select(F.col("id").alias("a"), "token", "tf")
-    y = counted(b, pairs, "b").select(F.col("id").alias("b"), "token", F.col("tf").alias("tf_b"))
-    j = pairs.join(x, "a").join(y, ["b", "token"])
-    return j.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
-
-
-#: Bounds of tf-idf and Jaccard below which a pair can't be a duplicate.
-TFIDF, JACCARD = 0.48, 0.40
-
-
-def _tfidf(dot: Column, sa: Column, sb: Column, qa: Column, qb: Column) -> Column:
-    return dot / (F.sqrt(sa + ALONE * ALONE * (qa - sa)) * F.sqrt(sb + ALONE * ALONE * (qb - sb)))
+def counted(posts: DataFrame) -> DataFrame:
+    """id, t, token, tf, n (distinct tokens), sq (sum of squared tf). Posts move once, as arrays, not token by token."""
+    whole = Window.partitionBy("id")
+    c = posts.select("id", F.unix_seconds("ts").alias("t"), "tokens").repartition("id").select("id", "t", F.explode("tokens").alias("token"))
+    c = c.groupBy("id", "t", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return c.withColumns({"n": F.count(F.lit(1)).over(whole), "sq": F.sum(F.col("tf") * F.col("tf")).over(whole)})
 
 
 def token_pairs(current: DataFrame, history: DataFrame | None = None, hours: int = 4) -> DataFrame:
-    """a (current), b (earlier, within hours), jaccard and tfidf of the pairs with tfidf >= TFIDF or jaccard >= JACCARD.
-
-    With a share u of its squared frequencies in shared tokens, a post's factor in tf-idf is at most the square root of
-    u / (u + ALONE^2 (1 - u)), so TFIDF needs u of at least TFIDF^2 ALONE^2 / (1 - TFIDF^2 + TFIDF^2 ALONE^2).
-    """
-    span, w = hours * 3600, ALONE * ALONE
-    least = TFIDF * TFIDF * w / (1 - TFIDF * TFIDF + TFIDF * TFIDF * w)
-    h = current if history is None else history
-    df = frequencies(current) if history is None else frequencies(current, history)
-    a, cut = prefixed(current, df, least, JACCARD)
-    a = stage(a, "prefixes")
-    b = a if history is None else stage(prefixed(history, df, least, JACCARD, cut)[0], "history-prefixes")
+    """a (current), b (earlier, within hours), jaccard and tfidf of all pairs that share a token."""
+    span = hours * 3600
+    a = counted(current).withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
+    b = counted(current if history is None else history).withColumn("slot", F.floor(F.col("t") / span))
+    b = b.select("slot", "token", *[F.col(c).alias(f"{c}_b") for c in ("id", "t", "tf", "n", "sq")])
     earlier = (F.col("t_b") >= F.col("t") - span) & ((F.col("t_b") < F.col("t")) | ((F.col("t_b") == F.col("t")) & (F.col("id_b") < F.col("id"))))
-    sides = ["n", "sq", "left", "mass", "n_b", "sq_b", "left_b", "mass_b"]
-    g = _slotted(a, b, span).where(earlier).groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), *sides).agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("tf") * F.col("tf")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
-    most = F.col("both") + F.least("left", "left_b")
-    factor = lambda s, q: s / (s + w * (q - s))
-    open_ = most >= (JACCARD - 1e-9) * (F.col("n") + F.col("n_b") - most)
-    open_ = open_ | (factor(F.col("sa") + F.col("mass"), F.col("sq")) * factor(F.col("sb") + F.col("mass_b"), F.col("sq_b")) >= TFIDF * TFIDF - 1e-9)
-    pairs = stage(g.where(open_).select("a", "b", "n", "sq", "n_b", "sq_b"), "open-pairs")
-    s = _sums(pairs, current, h)
-    s = s.select("a", "b", (F.col("both") / (F.col("n") + F.col("n_b") - F.col("both"))).alias("jaccard"), F.least(F.lit(1.0), _tfidf(*[F.col(c) for c in ("dot", "sa", "sb", "sq", "sq_b")])).alias("tfidf"))
-    return s.where((F.col("tfidf") >= TFIDF) | (F.col("jaccard") >= JACCARD))
+    j = a.join(b, ["slot", "token"]).where(earlier)
+    g = j.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), "n", "n_b", "sq", "sq_b").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
+    norm = F.sqrt(F.col("sa") + ALONE * ALONE * (F.col("sq") - F.col("sa"))) * F.sqrt(F.col("sb") + ALONE * ALONE * (F.col("sq_b") - F.col("sb")))
+    return g.select("a", "b", (F.col("both") / (F.col("n") + F.col("n_b") - F.col("both"))).alias("jaccard"), F.least(F.lit(1.0), F.col("dot") / norm).alias("tfidf"))
 
 
 def _final(sem: Column, order: Column) -> Column:
@@ -125,7 +63,7 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
     """a, b, score, semantic, tfidf, fuzzy of all pairs at or over the threshold; equal hashes score 1."""
     f = stage(features(current), "features")
     h = f if history is None else stage(features(history), "history-features")
-    some = token_pairs(f, None if history is None else h, hours)
+    some = token_pairs(f, None if history is None else h, hours).where("tfidf >= 0.48 OR jaccard >= 0.40")
     side = lambda df, k: df.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "text_hash", "key", "bigrams", "chargrams", "anchors")]).withColumnRenamed(f"id_{k}", k)
     p = some.join(side(f, "a"), "a").join(side(h, "b"), "b")
     both = lambda n, m: m(F.col(f"{n}_a"), F.col(f"{n}_b"))
@@ -133,7 +71,7 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
     sem = lambda order: 0.30 * F.col("jaccard") + 0.25 * F.col("bigram") + 0.22 * F.col("chargram") + 0.15 * F.col("anchor") + 0.08 * order
     most = _final(sem(F.lit(1.0)), F.lit(1.0))
     p = stage(p.where((most >= threshold) | (F.col("text_hash_a") == F.col("text_hash_b"))).select("a", "b", "tfidf", "jaccard", "bigram", "chargram", "anchor", "key_a", "key_b", (F.col("text_hash_a") == F.col("text_hash_b")).alias("same")), "survivors")
-    p = p.withColumn("fuzzy", ratio("key_a", "key_b")).withColumn("semantic", sem(F.col("fuzzy")))
+    p = p.repartition("a", "b").withColumn("fuzzy", ratio("key_a", "key_b")).withColumn("semantic", sem(F.col("fuzzy")))
     p = p.withColumn("score", F.when(F.col("same"), 1.0).otherwise(_final(F.col("semantic"), F.col("fuzzy"))))
     return p.where(F.col("score") >= threshold).select("a", "b", "score", "semantic", "tfidf", "fuzzy")
 
@@ -179,17 +117,14 @@ def cosine_pairs(vectors: DataFrame, least: float, hours: int = 4) -> DataFrame:
 
 
 def tf_cosine(current: DataFrame, hours: int = 4, least: float = 0.83) -> DataFrame:
-    """Pairs (a later, b earlier) by plain term-frequency cosine.
-
-    What lies behind a prefix has less than least^2 of the squares, so a pair that shares nothing before it is below.
-    """
+    """Pairs (a later, b earlier) by plain term-frequency cosine."""
     span = hours * 3600
-    p = stage(prefixed(current, frequencies(current), least * least)[0], "tf-prefixes")
-    j = _slotted(p, p, span).where((F.col("t_b") < F.col("t")) & (F.col("t_b") >= F.col("t") - span))
-    g = j.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), "n", "n_b", "sq", "sq_b", "mass", "mass_b").agg(F.sum(F.col("tf") * F.col("tf_b")).alias("dot"))
-    norm = F.sqrt(F.col("sq") * F.col("sq_b"))
-    pairs = stage(g.where(F.col("dot") + F.sqrt(F.col("mass") * F.col("mass_b")) >= (least - 1e-5) * norm).select("a", "b", "n", "sq", "n_b", "sq_b"), "tf-pairs")
-    return _sums(pairs, current, current).select("a", "b", F.round(F.col("dot") / norm, 6).alias("score")).where(F.col("score") >= least)
+    c = counted(current)
+    a = c.withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
+    b = c.select(F.floor(F.col("t") / span).alias("slot"), "token", *[F.col(x).alias(f"{x}_b") for x in ("id", "t", "tf", "sq")])
+    j = a.join(b, ["slot", "token"]).where((F.col("t_b") < F.col("t")) & (F.col("t_b") >= F.col("t") - span))
+    g = j.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), "sq", "sq_b").agg(F.sum(F.col("tf") * F.col("tf_b")).alias("dot"))
+    return g.select("a", "b", F.round(F.col("dot") / F.sqrt(F.col("sq") * F.col("sq_b")), 6).alias("score")).where(F.col("score") >= least)
 
 
 def merge_reports(dups: DataFrame, posts: DataFrame, most: int = 6) -> DataFrame:

@@ -32,9 +32,10 @@ def candidates(spark, sf_dir):
     return rows.select("id", "channel_id", "ts", "headline", F.col("raw_text").alias("text"), "taxonomy_key")
 
 
-def facts(spark, sf_dir, headline: bool = True):
+def facts(spark, sf_dir, lines: bool = False):
+    """Facts of whole posts; with lines those of their headlines, picked from the whole text, which stand for a short post."""
     p = candidates(spark, sf_dir)
-    return stage(C.story_facts(p if headline else p.withColumn("headline", F.lit("")), WORDS), "facts")
+    return stage(C.story_facts(p.withColumn("text", F.lit(None).cast("string")) if lines else p, WORDS), "facts")
 
 
 _WORD = "(^|[^a-z0-9])({})([^a-z0-9]|$)"
@@ -62,7 +63,7 @@ def h3_material_delta(spark, sf_dir):
 @query()
 def d10_story_match(spark, sf_dir):
     """Stories are the posts of one channel, with their facts as they stand; posts of the others are matched with them."""
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir, lines=True)
     m = C.match_stories(f.where("channel_id IS DISTINCT FROM 'src0'"), f.where("channel_id = 'src0'"))
     best = m.groupBy("a").agg(F.max_by(F.struct("b", "score", "delta"), F.struct("score", -F.col("b"))).alias("m"))
     return best.select(F.col("a").alias("id"), F.col("m.b").alias("story"), "m.score", F.col("m.delta").alias("delta_kind"))
@@ -70,12 +71,12 @@ def d10_story_match(spark, sf_dir):
 
 @query()
 def i7_story_clusters(spark, sf_dir):
-    return C.story_clusters(facts(spark, sf_dir), reach=180)
+    return C.story_clusters(facts(spark, sf_dir, lines=True), reach=180)
 
 
 @query()
 def d11_prior_context(spark, sf_dir):
-    return C.prior_context(facts(spark, sf_dir), minutes=180)
+    return C.prior_context(facts(spark, sf_dir, lines=True), minutes=180)
 
 
 @query()
