@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
+from newsmill.functions import vocab as V
 from newsmill.functions.fuzzy import ratio
 from newsmill.sources.views import stage
 
@@ -131,3 +132,38 @@ def merge_reports(dups: DataFrame, posts: DataFrame, most: int = 6) -> DataFrame
     """Kept posts with the other sources that also reported: sorted, distinct, at most some."""
     src = dups.join(posts.select(F.col("message_id").alias("id"), "source_name"), "id").groupBy("matched").agg(F.slice(F.sort_array(F.collect_set("source_name")), 1, most).alias("others"))
     return src.select(F.col("matched").alias("id"), F.array_join("others", ", ").alias("also_reported_by"))
+
+
+def media_duplicates(signatures: DataFrame, hours: int = 4, newest: int = 25, least: float = 0.32) -> DataFrame:
+    """id, matched, score: signatures (id, ts, media_hash, raw_text) whose media an earlier post had, and that post.
+
+    A post is compared with the newest signatures of its hash within some hours; a missing text on either side is a
+    match, half an hour or less lifts the score to 0.35. The history of a hash is read off a window of rows in two time
+    slots, so a hot hash neither forms all pairs nor is sorted in one task.
+    """
+    span = hours * 3600
+    f = signatures.where(F.trim(F.coalesce("media_hash", F.lit(""))) != "").select("id", F.unix_seconds("ts").alias("t"), "media_hash", T.normalize(F.col("raw_text")).alias("norm"))
+    f = f.withColumn("tokens", T.tokens(F.col("norm"))).withColumn("anchors", F.array_distinct(T.anchors(F.col("tokens"))))
+    f = stage(f, "signatures")
+    slot = F.floor(F.col("t") / span)
+    rows = f.select("id", "t", "media_hash", slot.alias("slot"), F.explode(F.array(slot, slot + 1)).alias("in"))
+    before = Window.partitionBy("media_hash", "in").orderBy("t", "id").rowsBetween(-newest, -1)
+    pairs = rows.withColumn("b", F.collect_list(F.struct("id", "t")).over(before)).where("in = slot").select(F.col("id").alias("a"), "t", F.explode("b").alias("b"))
+    pairs = stage(pairs.where(F.col("t") - F.col("b.t") <= span).select("a", F.col("b.id").alias("b"), (F.col("t") - F.col("b.t")).alias("age")), "signature-pairs")
+    counts = lambda k: f.select(F.col("id").alias(k), F.explode("tokens").alias("token")).groupBy(k, "token").agg(F.count(F.lit(1)).alias(f"tf_{k}"))
+    sums = pairs.select("a", "b").join(counts("a"), "a").join(counts("b"), ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf_a") * F.col("tf_a")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
+    square = lambda k: f.select(F.col("id").alias(k), F.explode("tokens").alias("token")).groupBy(k, "token").agg(F.count(F.lit(1)).alias("tf")).groupBy(k).agg(F.sum(F.col("tf") * F.col("tf")).alias(f"q{k}"))
+    side = lambda k: f.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("norm", "tokens", "anchors")])
+    p = pairs.join(sums, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b").join(square("a"), "a", "left").join(square("b"), "b", "left")
+    weigh = lambda s, q: F.sqrt(F.col(s) + ALONE * ALONE * (F.col(q) - F.col(s)))
+    tfidf = F.coalesce(F.least(F.lit(1.0), F.col("dot") / (weigh("sa", "qa") * weigh("sb", "qb"))), F.lit(0.0))
+    bare = (F.col("norm_a") == "") | (F.col("norm_b") == "")
+    common, shared, anchor = T.jaccard(F.col("tokens_a"), F.col("tokens_b")), F.array_intersect("tokens_a", "tokens_b"), T.dice(F.col("anchors_a"), F.col("anchors_b"))
+    strong = F.size(F.filter(shared, lambda w: w.rlike("^[0-9]+$") | (F.length(w) >= 5) | w.isin(V.BREAKING_HINTS)))
+    floors = F.greatest(F.when(strong >= 3, 0.34).otherwise(0.0), F.when((anchor >= 0.5) & (common >= 0.18), 0.36).otherwise(0.0), F.when(F.col("age") <= 1800, 0.35).otherwise(0.0))
+    la, lb = F.length("norm_a"), F.length("norm_b")
+    p = p.select("a", "b", "age", "norm_a", "norm_b", bare.alias("bare"), (0.35 * tfidf + 0.2 * common + 0.25 * anchor).alias("known"), floors.alias("floor"), (2 * F.least(la, lb) / F.greatest(F.lit(1), la + lb)).alias("top"))
+    p = p.where(F.col("bare") | (F.greatest("floor", F.col("known") + 0.2 * F.col("top")) >= least))
+    score = F.when(F.col("bare"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest("floor", F.col("known") + 0.2 * ratio("norm_a", "norm_b"))))
+    p = p.select("a", "b", "age", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    return p.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col("age"), "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("matched"), "m.score")

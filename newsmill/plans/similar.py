@@ -68,3 +68,10 @@ def e9_duplicate_merge(spark, sf_dir):
     pairs = D.near_duplicates(p)
     kept = D.greedy_keep(p.select(F.col("message_id").alias("id")), pairs)
     return D.merge_reports(D.best_match(pairs, kept).join(kept.where("NOT kept"), "id"), p)
+
+
+@query()
+def d4_media_duplicates(spark, sf_dir):
+    """A text's length stands for the hash of its media."""
+    p = posts(spark, sf_dir)
+    return D.media_duplicates(p.select(F.col("message_id").alias("id"), "ts", F.sha1(F.length("raw_text").cast("string").cast("binary")).alias("media_hash"), "raw_text"))

@@ -101,6 +101,35 @@ def test_near_duplicates_match_brute_force(spark):
     assert {x.id for x in state.where("kept").collect()} == kept and not gone
 
 
+def test_media_duplicates_match_brute_force(spark):
+    r = random.Random(6)
+    vocab = ["alpha", "bravo", "explosion", "delta", "harbour", "42", "golf", "ab", "fire", "kyiv"]
+    rows = [(i, r.choice(["m1", "m2", "m3", ""]), r.choice(["", None] + [" ".join(r.choice(vocab) for _ in range(r.randint(2, 8))) for _ in range(6)]), 400 * i) for i in range(150)]
+    df = spark.createDataFrame([(i, at(s), h, t) for i, h, t, s in rows], "id long, ts timestamp, media_hash string, raw_text string")
+    norm = {x.id: x for x in df.select("id", T.normalize(F.col("raw_text")).alias("n"), T.tokens(T.normalize(F.col("raw_text"))).alias("t"), T.anchors(T.tokens(T.normalize(F.col("raw_text")))).alias("c")).collect()}
+
+    def score(a, b, age):
+        if not a.n or not b.n:
+            return 1.0
+        w = {t: 1.0 if t in a.t and t in b.t else dedup.ALONE for t in {*a.t, *b.t}}
+        va, vb = {t: a.t.count(t) * x for t, x in w.items()}, {t: b.t.count(t) * x for t, x in w.items()}
+        den = (sum(x * x for x in va.values()) * sum(x * x for x in vb.values())) ** 0.5
+        both, anchors = set(a.t) & set(b.t), set(a.c) & set(b.c)
+        j, n = len(both) / max(1, len({*a.t, *b.t})), 2 * len(anchors) / max(1, len(set(a.c)) + len(set(b.c)))
+        s = 0.35 * (sum(va[t] * vb[t] for t in w) / den if den else 0) + 0.2 * SequenceMatcher(None, a.n, b.n).ratio() + 0.2 * j + 0.25 * n
+        strong = sum(t.isdigit() or len(t) >= 5 or t in dedup.V.BREAKING_HINTS for t in both)
+        return max(s, 0.34 * (strong >= 3), 0.36 * (n >= 0.5 and j >= 0.18), 0.35 * (age <= 1800))
+
+    want = {}
+    for i, h, _, s in rows:
+        old = [(j, s - u) for j, g, _, u in rows if g == h and u < s and h][-25:]
+        best = max(((round(score(norm[i], norm[j], age), 6), -age, j) for j, age in old if age <= 14400), default=None)
+        if best and best[0] >= 0.32:
+            want[i] = (best[2], best[0])
+    got = {x.id: (x.matched, x.score) for x in dedup.media_duplicates(df).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_noun_forms():
     cases = {"ferry": "ferries", "ferries": "ferry", "quay": "quays", "torch": "torches", "glass": "glasses", "boats": "boat", "boxes": "box", "gas": "gases", "bus": "buses", "up": "up"}
     for word, form in cases.items():
