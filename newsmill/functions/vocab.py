@@ -68,3 +68,11 @@ THREAD_STOP_WORDS = (
     "a an and are as at be by for from has have in into is it its of on or that the their this to was were with after "
     "before near over under says said reports report breaking urgent update developing live news"
 ).split()
+
+# Trend of a conflict (fixed values).
+TREND = {
+    "escalating": ("escalating", "escalation", "intensifying", "intensified", "widening", "broader", "broadened", "expanded", "expanding", "stepped up", "more strikes", "fresh strikes", "another wave", "heavier", "higher tempo", "new wave", "wider front", "retaliation widened", "exchange widened"),
+    "de-escalating": ("de-escalating", "deescalating", "de-escalation", "deescalation", "easing", "eased", "pace was lower", "lower than the earlier peak", "lower tempo", "slower pace", "reduced", "scaled back", "paused", "pause", "restraint", "not widening", "no widening", "held back", "cooling", "calmer", "diplomatic push", "ceasefire", "truce"),
+    "mixed": ("mixed signals", "no clear shift", "no clear decisive shift", "still active but", "still active, but", "remains active but", "active but lower", "continued but lower", "still active"),
+    "steady": ("strike", "strikes", "airstrike", "missile", "missiles", "drone", "drones", "launch", "launched", "salvo", "warning", "warnings", "alert", "alerts", "ceasefire", "truce", "talks", "negotiation", "negotiations", "diplomatic", "diplomacy", "official", "officials", "minister", "military", "army", "idf", "irgc"),
+}

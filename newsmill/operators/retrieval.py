@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
@@ -109,3 +109,33 @@ def reply_targets(replies: DataFrame, delivered: DataFrame, topic: DataFrame | N
     if topic is None:
         return r.select("channel_id", "id", F.col("_parent").alias("target"))
     return r.join(topic.select("id", F.col("destination").alias("_thread")), "id", "left").select("channel_id", "id", F.coalesce("_parent", "_thread").alias("target"))
+
+
+def trend_signal(sentence: Column, markers: dict = V.TREND) -> Column:
+    """escalating, de-escalating, mixed, steady or none, by the markers that a sentence holds; denied widening eases."""
+    low = F.lower(T.squeeze(F.coalesce(sentence, F.lit(""))))
+    has = lambda kind: F.exists(F.lit(list(markers[kind])), lambda m: F.contains(low, m))
+    denied = low.rlike(r"\b(?:not|no|without|neither side(?:\s+(?:was|is))?)\b.{0,24}\b(?:widen(?:ing)?|broader|expand(?:ing|ed)?)\b")
+    up, down = has("escalating"), has("de-escalating")
+    return F.when(denied, "de-escalating").when(has("mixed") | up & down, "mixed").when(up, "escalating").when(down, "de-escalating").when(has("steady"), "steady").otherwise("none")
+
+
+def strategic_trend(sentences: DataFrame, markers: dict = V.TREND) -> DataFrame:
+    """query_id, verdict, escalating, easing (sums of scores), sources, span_hours of sentences (query_id, source, ts, sentence, score).
+
+    A source counts once for each signal, by its best sentence. A verdict needs two sources, and a clear lead where both
+    signs occur; questions without evidence have no row.
+    """
+    e = sentences.where("score > 0").withColumn("signal", trend_signal(F.col("sentence"), markers)).where("signal <> 'none'")
+    span = F.round((F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))) / 3600.0, 2)
+    whole = e.groupBy("query_id").agg(F.count_distinct(F.lower("source")).alias("sources"), span.alias("span_hours"))
+    best = e.groupBy("query_id", F.lower("source").alias("source"), "signal").agg(F.max("score").alias("score"))
+    of = lambda k: (F.sum(F.when(F.col("signal") == k, F.col("score")).otherwise(0.0)), F.count_if(F.col("signal") == k))
+    (up, n_up), (down, n_down) = of("escalating"), of("de-escalating")
+    r = best.groupBy("query_id").agg(F.round(up, 4).alias("escalating"), F.round(down, 4).alias("easing"), n_up.alias("n_up"), n_down.alias("n_down")).join(whole, "query_id")
+    a, b = F.col("escalating"), F.col("easing")
+    both, near = (a > 0) & (b > 0), (F.greatest(a, b) < F.least(a, b) + 3.0) | (F.least(a, b) >= 3.0)
+    rise, ease = (F.col("n_up") >= 2), (F.col("n_down") >= 2)
+    verdict = F.when(F.col("sources") < 2, "insufficient").when(both & near, "mixed").when(both & (a > b) & rise, "escalating").when(both & (b > a) & ease, "de-escalating").when(both, "mixed")
+    verdict = verdict.when((a >= b + 2.0) & rise, "escalating").when((b >= a + 2.0) & ease, "de-escalating").otherwise("mixed")
+    return r.select("query_id", verdict.alias("verdict"), "escalating", "easing", "sources", "span_hours")

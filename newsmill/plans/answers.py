@@ -146,3 +146,26 @@ def d8_reply_targets(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("channel_id", F.col("conv_id"))
     delivered = c.where("role = 'user'").select("channel_id", F.col("turn").alias("message_id"), (F.col("turn") * 10).alias("destination"))
     return Q.reply_targets(c.select("channel_id", F.col("turn").alias("id"), (F.col("turn") - 1).alias("reply_to")), delivered)
+
+
+#: Words of the invented prose that stand for signs of a trend.
+TREND = {"escalating": ("ering", "thorst"), "de-escalating": ("wither", "inti"), "mixed": ("ouble",), "steady": ("hand",)}
+_HAS = lambda k: "(" + " OR ".join(f"contains(low, '{w}')" for w in TREND[k]) + ")"
+_PARTS = f"list_filter(string_split(regexp_replace({squeeze('raw_text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"""WITH {_S}, n AS (SELECT query_id, top.source, top.ts, score, unnest({_PARTS}) AS sentence FROM top JOIN {POSTS} AS p ON p.message_id = top.id WHERE rank <= 18),
+l AS (SELECT *, lower(sentence) AS low FROM n),
+g AS (SELECT *, CASE WHEN {_HAS('mixed')} OR ({_HAS('escalating')} AND {_HAS('de-escalating')}) THEN 'mixed' WHEN {_HAS('escalating')} THEN 'escalating' WHEN {_HAS('de-escalating')} THEN 'de-escalating' WHEN {_HAS('steady')} THEN 'steady' ELSE 'none' END AS signal FROM l),
+ev AS (SELECT * FROM g WHERE signal <> 'none' AND score > 0),
+w AS (SELECT query_id, count(DISTINCT lower(source)) AS sources, round((max(epoch(ts)) - min(epoch(ts))) / 3600.0, 2)::DOUBLE AS span_hours FROM ev GROUP BY query_id),
+b AS (SELECT query_id, lower(source) AS source, signal, max(score) AS score FROM ev GROUP BY ALL),
+r AS (SELECT query_id, round(coalesce(sum(score) FILTER (signal = 'escalating'), 0.0), 4)::DOUBLE AS a, round(coalesce(sum(score) FILTER (signal = 'de-escalating'), 0.0), 4)::DOUBLE AS e, count(*) FILTER (signal = 'escalating') AS na, count(*) FILTER (signal = 'de-escalating') AS ne FROM b GROUP BY query_id)
+SELECT query_id, CASE WHEN sources < 2 THEN 'insufficient' WHEN a > 0 AND e > 0 AND (greatest(a, e) < least(a, e) + 3.0 OR least(a, e) >= 3.0) THEN 'mixed' WHEN a > 0 AND e > 0 AND a > e AND na >= 2 THEN 'escalating' WHEN a > 0 AND e > 0 AND e > a AND ne >= 2 THEN 'de-escalating'
+  WHEN a > 0 AND e > 0 THEN 'mixed' WHEN a >= e + 2.0 AND na >= 2 THEN 'escalating' WHEN e >= a + 2.0 AND ne >= 2 THEN 'de-escalating' ELSE 'mixed' END AS verdict, a AS escalating, e AS easing, sources, span_hours FROM r JOIN w USING (query_id)""")
+def e10_strategic_trend(spark, sf_dir):
+    from newsmill.functions import text as T
+
+    _, r = _ranks(spark, sf_dir)
+    s = r.join(posts(spark, sf_dir).select(F.col("message_id").alias("id"), "raw_text"), "id").select("query_id", "source", "ts", "score", F.explode(T.sentences(F.col("raw_text"))).alias("sentence"))
+    return Q.strategic_trend(s, TREND)

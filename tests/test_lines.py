@@ -1,9 +1,10 @@
+import datetime as dt
 import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from newsmill.operators import hooks, lines
+from newsmill.operators import hooks, lines, retrieval
 from newsmill.sources import feeds
 
 
@@ -87,3 +88,10 @@ def test_aliases_and_hosts(spark):
     assert got["d"] == "The Wire: storm" and got["c"].split("\n")[0] == "storm" and got["c"].split("\n")[-1] == "by  staff"
     hosts = spark.createDataFrame([("a.example.org",), ("example.org",), ("badexample.org",), (None,)], "h string")
     assert [x.ok for x in hosts.select(feeds.allowed_host(F.col("h"), ["example.org"]).alias("ok")).collect()] == [True, True, False, None]
+
+
+def test_strategic_trend(spark):
+    rows = [("q", "a", 0, "Strikes are widening again", 5.0), ("q", "b", 3600, "A new wave of drones was launched", 4.0), ("q", "c", 7200, "Talks resumed", 1.0), ("r", "a", 0, "A ceasefire holds", 3.0), ("r", "b", 60, "No sign of it widening, officials say", 3.0), ("s", "a", 0, "More strikes", 3.0), ("t", "a", 0, "Still active but calmer", 2.0), ("t", "b", 0, "heavier fire", 1.0), ("u", "a", 0, "nothing here", 9.0), ("v", "a", 0, None, 1.0)]
+    df = spark.createDataFrame([(q, s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), x, v) for q, s, t, x, v in rows], "query_id string, source string, ts timestamp, sentence string, score double")
+    got = {x.query_id: (x.verdict, x.sources, x.span_hours) for x in retrieval.strategic_trend(df).collect()}
+    assert got == {"q": ("escalating", 3, 2.0), "r": ("de-escalating", 2, 0.02), "s": ("insufficient", 1, 0.0), "t": ("mixed", 2, 0.0)}
