@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,17 +91,20 @@ def widen(prepared: DataFrame, narrow: DataFrame, wide: DataFrame, least: int =
     return narrow.join(thin, "query_id", "left_anti").withColumn("expanded", F.lit(False)).unionByName(wide.join(thin, "query_id", "left_semi").withColumn("expanded", F.lit(True)))
 
 
-def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
+def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None, block: int = 1000) -> DataFrame:
     """query_id, id: posts whose text holds any keyword or number of a question as a part of it.
 
-    Substrings don't meet in an equi-join; the questions are the stated query set, broadcast block by block by the
-    caller if they are many.
+    Substrings don't meet in an equi-join; the questions are the stated query set. They are taken in blocks of about
+    `block` questions, so that each broadcast has a bound; every post meets every block.
     """
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
     p = p.select(F.col("message_id").alias("id"), F.lower(F.coalesce("raw_text", F.lit(""))).alias("low"))
     terms = prepared.select("query_id", F.concat("keywords", "numbers").alias("terms")).where("size(terms) > 0")
-    return p.join(F.broadcast(terms), F.exists("terms", lambda t: F.contains(F.col("low"), t))).select("query_id", "id")
+    blocks = max(1, -(-terms.count() // block))
+    held = F.exists("terms", lambda t: F.contains(F.col("low"), t))
+    parts = [p.join(F.broadcast(terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), held).select("query_id", "id") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reply_targets(replies: DataFrame, delivered: DataFrame, topic: DataFrame | None = None) -> DataFrame:
