@@ -51,6 +51,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def release(*staged: DataFrame | None) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in staged:

@@ -117,12 +117,13 @@ def _mark(at, length, items, row, block, hit, found) -> None:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    """id and text of the items that have a word; the others never occur, however many there are."""
+    return benchmark.where(F.translate("text", UPPER, UPPER.lower()).rlike(WORDS)).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
 
 
 def fits(benchmark: DataFrame, block_words: int) -> bool:
     """Whether the benchmark has at most block_words words (two characters a word at least)."""
-    chars = benchmark.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    chars = _items(benchmark).agg(F.sum(F.length("text") + 1)).first()[0] or 0
     return chars // 2 <= block_words
 
 

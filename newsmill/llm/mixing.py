@@ -46,9 +46,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOC
         "w_left": F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing)),
         "total": F.sum("source_size").over(everything),
     })
-    # level = (share * total - capped) / w_left, kept as a fraction of whole numbers
-    over = share[0] * F.col("total") - share[1] * F.col("capped")
-    under = over * F.col("w") <= share[1] * F.col("w_left") * F.col("cap")
+    # level = (share * total - capped) / w_left, kept as a fraction of whole numbers, whose products outgrow 64 bits
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    over = (share[0] * wide("total") - share[1] * wide("capped")).cast("decimal(20,0)")
+    under = over * wide("w").cast("decimal(9,0)") <= (share[1] * wide("w_left").cast("decimal(12,0)")) * wide("cap")
     rows = rows.withColumn("over", over).withColumn("under", under)
     level = F.min(F.when(F.col("under"), F.struct((F.col("cap") / F.col("w")).alias("r"), "over", "w_left"))).over(everything)
     rows = rows.withColumn("level", level)

@@ -1,21 +1,24 @@
 """Secret scans by grammar inference.
 
-Labelled credentials (a bounded, hash-ordered sample of the base matches, at most SAMPLE a kind) form a prefix tree
-for each kind. Prefixes that fewer than RARE samples have carry too little evidence to be compared; they are pooled by
-their length, so that length and position aren't lost. States whose symbol and end frequencies, and those of what
-follows them, agree within a Hoeffding bound are then merged into a probabilistic automaton (the ALERGIA scheme). A
-further automaton is inferred from ordinary long words, two a text, picked by hash. Every candidate token of the
-corpus, SHORTEST characters or more of the credential alphabet, is scored over all its characters by each automaton;
-it becomes a span of the likeliest kind where its mean log-likelihood beats the ordinary one by MARGIN bits a symbol
-and isn't below what the kind's own held-out credentials reach.
+Labelled credentials (a bounded, hash-ordered sample of the base matches, at most SAMPLE a kind; an assigned value that
+has the format of another kind is that kind's) form a prefix tree for each kind. Prefixes that fewer than RARE samples
+have carry too little evidence to be compared; they are pooled by their length, so that length and position aren't
+lost. States whose symbol and end frequencies, and those of what follows them, agree within a Hoeffding bound are then
+merged into a probabilistic automaton (the ALERGIA scheme). Background automata are inferred in the same way from the
+corpus's own tokens that can't be told from ordinary writing, one for each class of them: numbers, times, words, paths.
+
+Every candidate token of the corpus, SHORTEST characters or more of the credential alphabet, is scored over all its
+characters by all automata at once; it becomes a span of the likeliest kind where its mean log-likelihood beats every
+background by MARGIN bits a symbol and comes within MARGIN of what all but HELD_OUT of the kind's own held-out
+credentials reach.
 
 Base spans always stay; a scored token that overlaps any base span adds nothing. The text is read once: spans and
-candidates are staged without it. Scoring is an Arrow batch function over that narrow table; the automata it carries
-are bounded by SAMPLE and LONGEST.
+candidates are staged without it. Scoring is an Arrow batch function over that narrow table: the tokens of a batch walk
+through the transition tables together, a position a step. Tables are bounded by SAMPLE and LONGEST.
 
 Defined results: null and empty texts have no spans; rows are handled one by one, so repeats and null ids keep one
 result row each; without labelled credentials of a kind nothing of that kind is added; with few, the automaton is one
-of pooled positions; an empty table gives no rows.
+of pooled positions; an empty table gives no rows; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm.common import first_by_hash, located, stage
@@ -39,13 +43,18 @@ MARGIN = 0.5
 RARE = 16
 #: Least length of a candidate token.
 SHORTEST = 12
+#: Share of a kind's held-out credentials that may score below its bar.
+HELD_OUT = 0.05
+#: Characters of a credential.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Classes of tokens that ordinary writing has, the first that fits: numbers, times and dates, words, paths of words and numbers.
+BACKGROUND = ("^[0-9+/_.=-]+$", "^[0-9TZ+/_.=-]+$", "^[A-Za-z]+$", "no run of both letters and digits")
 
 # Base formats.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+"
-WORDLIKE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z]{8,24}(?![A-Za-z0-9+/_-])"
 
 
 class Automaton:
@@ -160,54 +169,116 @@ class Automaton:
         return total / (len(word) + 1)
 
 
+def classed(token: Column) -> Column:
+    """The number of a token's class in BACKGROUND, null for one of letters and digits in one run."""
+    runs = F.split(token, "[+/_.=-]+")
+    mixed = F.exists(runs, lambda r: r.rlike("[A-Za-z]") & r.rlike("[0-9]"))
+    numbers, times, words = (token.rlike(p) for p in BACKGROUND[:3])
+    return F.when(numbers, 0).when(times, 1).when(words, 2).when(~mixed, 3)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, end, value) in order of start and kind, and tokens (start, end, hit)."""
+    """doc_id, base (kind, start, end, value) in order of start and kind, and tokens (start, end, hit) that no base span overlaps."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,part:string>>)")
     gates = (text.rlike("(?i)passw|secret|token|api_?key"), text.contains("AKIA"), text.rlike("[0-9a-f]{24}"))
-    found = docs.select("doc_id", *[F.when(g, located(text, p, n)).otherwise(none).alias(k) for k, g, p, n in zip(KINDS, gates, (ASSIGN, ACCESS, HEX), (2, 0, 0), strict=True)], F.when(text.rlike(TOKEN), located(text, TOKEN)).otherwise(none).alias("tokens"), F.transform(F.slice(F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(WORDLIKE), F.lit(0)), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, 2), lambda x: x["w"]).alias("plain"))
+    found = docs.select("doc_id", *[F.when(g, located(text, p, n)).otherwise(none).alias(k) for k, g, p, n in zip(KINDS, gates, (ASSIGN, ACCESS, HEX), (2, 0, 0), strict=True)], F.when(text.rlike(TOKEN), located(text, TOKEN)).otherwise(none).alias("tokens"))
     one = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["part"].alias("value"))
     base = F.concat(F.transform(F.filter("assign", lambda s: F.length(s["part"]) >= 6), one(0)), F.transform("access", one(1)), F.transform("hex", one(2)))
-    return found.select("doc_id", F.array_sort(base).alias("base"), F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"))).alias("tokens"), "plain")
+    found = found.select("doc_id", F.array_sort(base).alias("base"), "tokens")
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return found.select("doc_id", "base", F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"))).alias("tokens"))
 
 
-def infer(cands: DataFrame, sample: int = SAMPLE) -> tuple[dict, Automaton, dict]:
-    """Automata by kind, that of ordinary words, and the lowest score of each kind's held-out credentials."""
+def infer(cands: DataFrame, sample: int = SAMPLE) -> tuple[dict, list, dict]:
+    """Automata by kind, those of ordinary tokens, and the bar of each kind: a low quantile of its held-out credentials' scores."""
     value = F.substr(F.col("b.value"), F.lit(1), F.lit(LONGEST))
     first = lambda df, c: first_by_hash(df.select(c.alias("v")), "v", sample)
     rows = cands.where(F.size("base") > 0).select(F.explode("base").alias("b"))
+    # an assigned value of another kind's format says nothing about assigned ones
+    rows = rows.where((F.col("b.kind") > 0) | ~F.col("b.value").rlike(f"^(?:{ACCESS}|{HEX})$"))
     automata, least = {}, {}
     for i in range(len(KINDS)):
         words = first(rows.where(F.col("b.kind") == i), value)
         held, fit = words[: len(words) // 5], words[len(words) // 5 :]
         if fit:
             automata[i] = Automaton(fit)
-            least[i] = min(map(automata[i].bits, held or fit)) - MARGIN
-    plain = first(cands.where("size(base) = 0").select(F.explode("plain").alias("w")), F.col("w"))
-    return automata, Automaton(plain), least
-
-
-def score(cands: DataFrame, automata: dict, plain: Automaton, least: dict, margin: float = MARGIN) -> DataFrame:
+            scores = sorted(map(automata[i].bits, held or fit))
+            least[i] = scores[int(HELD_OUT * len(scores))] - MARGIN
+    tokens = cands.select(F.explode("tokens.hit").alias("t")).select("t", classed(F.col("t")).alias("c"))
+    plain = [first(tokens.where(F.col("c") == i), F.substr(F.col("t"), F.lit(1), F.lit(LONGEST))) for i in range(len(BACKGROUND))]
+    return automata, [Automaton(w) for w in plain], least
+
+
+class Tables:
+    """Automata as one table of symbol costs and next states, so that all tokens walk through all automata together."""
+
+    def __init__(self, automata: list[Automaton]):
+        number = {c: i for i, c in enumerate(ALPHABET)}
+        n = sum(len(a.next) for a in automata)
+        self.cost, self.to, self.end = np.zeros((n, len(number))), np.zeros((n, len(number)), "int32"), np.zeros(n)
+        self.start, at = [], 0
+        for a in automata:
+            self.start.append(at)
+            self.to[at : at + len(a.next)] = at  # a symbol not seen leads back to the start
+            for s in range(len(a.next)):
+                self.cost[at + s] = math.log2(0.1 / (a.sums[s] + 6.5))
+                self.end[at + s] = math.log2((a.ends[s] + 0.1) / (a.sums[s] + 6.5))
+                for c, to in a.next[s].items():
+                    self.cost[at + s, number[c]] = math.log2((a.count[s].get(c, 0) + 0.1) / (a.sums[s] + 6.5))
+                    self.to[at + s, number[c]] = at + to
+            at += len(a.next)
+        self.symbol = np.zeros(128, "uint8")
+        self.symbol[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
+
+    def bits(self, tokens: list[str]) -> np.ndarray:
+        """Mean log2 probability of a symbol and the end: a row for each token, a column for each automaton."""
+        size = np.array([len(t) for t in tokens], "int64")
+        order = np.argsort(-size, kind="stable")
+        text = self.symbol[np.frombuffer("".join(tokens).encode("ascii"), "uint8")]
+        begin = (np.cumsum(size) - size)[order]
+        state = np.tile(np.array(self.start, "int32"), (len(tokens), 1))
+        total = np.zeros(state.shape)
+        left = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # tokens longer than a position
+        for at, n in enumerate(left.tolist()):
+            symbol, now = text[begin[:n] + at][:, None], state[:n]
+            total[:n] += self.cost[now, symbol]
+            state[:n] = self.to[now, symbol]
+        total += self.end[state]
+        out = np.empty_like(total)
+        out[order] = total / (size[order][:, None] + 1)
+        return out
+
+
+def score(cands: DataFrame, automata: dict, plain: list, least: dict, margin: float = MARGIN) -> DataFrame:
     """doc_id, base and added (kind, start, end) for every row."""
-
-    def best(word: str) -> int:
-        scores = sorted(((a.bits(word), -k) for k, a in automata.items()), reverse=True)
-        if not scores:
-            return -1
-        bits, k = scores[0]
-        return -k if bits >= plain.bits(word) + margin and bits >= least[-k] else -1
-
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    left = cands.select("doc_id", "base", free.alias("tokens"))
+    kinds = sorted(automata)
+    tables, bar = Tables([automata[k] for k in kinds] + plain), np.array([least[k] for k in kinds])
+    span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def best(tokens: list[str]) -> np.ndarray:
+        """The likeliest kind of each token, or -1."""
+        if not kinds or not tokens:
+            return np.full(len(tokens), -1, "int32")
+        bits = tables.bits(tokens)
+        own, ordinary = bits[:, : len(kinds)], bits[:, len(kinds) :]
+        top = own.argmax(axis=1)
+        high = own[np.arange(len(tokens)), top]
+        return np.where((high >= ordinary.max(axis=1) + margin) & (high >= bar[top]), np.array(kinds, "int32")[top], -1)
 
     def run(batches):
         for batch in batches:
-            found = [[{"kind": k, "start": t["start"], "end": t["end"]} for t in ts if (k := best(t["hit"])) >= 0] if ts else [] for ts in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["doc_id", "base", "added"])
-
-    base = left.schema["base"].dataType.simpleString()
-    return left.mapInArrow(run, f"doc_id {left.schema['doc_id'].dataType.simpleString()}, base {base}, added array<struct<kind:int,start:int,end:int>>")
+            lists = batch.column(2)
+            flat = lists.flatten()
+            kind = best(flat.field("hit").to_pylist())
+            kept = kind >= 0
+            ends = np.concatenate([[0], np.cumsum(np.array([len(x) for x in lists], "int64"))])
+            offsets = np.concatenate([[0], np.cumsum(kept)])[ends].astype("int32")
+            spans = pa.StructArray.from_arrays([pa.array(kind[kept], pa.int32()), *[flat.field(c).filter(pa.array(kept)) for c in ("start", "end")]], fields=list(span))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["doc_id", "base", "added"])
+
+    base = cands.schema["base"].dataType.simpleString()
+    return cands.mapInArrow(run, f"doc_id {cands.schema['doc_id'].dataType.simpleString()}, base {base}, added array<struct<kind:int,start:int,end:int>>")
 
 
 def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

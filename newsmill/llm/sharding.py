@@ -1,8 +1,10 @@
 """Sharding over fixed virtual slots.
 
-Records hash into SLOTS slots by their text, so equal texts stay together. Bytes are aggregated by slot, and a
-versioned slot-to-shard map (a table of SLOTS rows for each version, whatever the corpus) is edited when shards are
-rebalanced or added; records never move between slots.
+Records hash into SLOTS slots by their text, so equal texts stay together. Bytes are aggregated by slot, and a stored,
+versioned slot-to-shard map (a table of SLOTS rows for each version, whatever the corpus) says where a slot lies. A run
+over a stored map reads its latest version, edits it where shards have been added or sizes have drifted apart, and
+appends the edited map as the next version; a run that changes nothing appends nothing. Shards are added by moving slots
+into them alone. Records never move between slots.
 
 Position numbers within a shard come from counts of cells, a cell being a part of a slot of about CELL rows, dealt by
 a staged number of the row: no shard, slot, hot text or run of equal rows is numbered in one task.
@@ -19,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmill.llm.common import fields, packed, shared_dir, stage
+from newsmill.llm.common import exists, fields, packed, shared_dir, stage
 
 SLOTS = 8192
 CELL = 1024
@@ -83,23 +85,72 @@ def grow(held: dict[int, int], size: dict[int, int], shards: int) -> dict[int, i
         out[s], got, load[i] = shards, got + n, load[i] - n
 
 
-def store_map(spark, held: dict[int, int], version: int, at: str) -> DataFrame:
-    """Appends a version of the map to the table at a path; at most SLOTS rows."""
-    df = spark.createDataFrame([(version, s, i) for s, i in held.items()], "version int, vslot int, shard int").coalesce(1)
-    df.write.mode("append").parquet(at)
-    return df
+def balanced(held: dict[int, int], size: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
+    """The map rebalanced as long as that makes the largest shard smaller by more than a share of the mean one.
+
+    The result stays as it is when it is balanced again with the same sizes.
+    """
+    most = lambda m: max(_loads(m, size, shards), default=0)
+    fair = sum(size.values()) / shards
+    while True:
+        edited = rebalance(held, size, shards)
+        if most(held) - most(edited) <= tolerance * fair:
+            return held
+        held = edited
+
+
+def _loads(held: dict[int, int], size: dict[int, int], shards: int) -> list[int]:
+    out = [0] * shards
+    for s, i in held.items():
+        out[i] += size.get(s, 0)
+    return out
+
+
+def store_map(spark, held: dict[int, int], version: int, at: str) -> None:
+    """Adds a version to the map at a path, at most SLOTS rows; a version that is already there is an error."""
+    spark.createDataFrame([(s, i) for s, i in held.items()], "vslot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{at}/version={version}")
+
+
+def versions(spark, at: str) -> list[int]:
+    """The stored versions at a path, in order; none where nothing is stored."""
+    if not exists(spark, at):
+        return []
+    return [r[0] for r in spark.read.parquet(at).select(F.col("version").cast("int")).distinct().orderBy("version").collect()]
 
 
 def load_map(spark, at: str, version: int | None = None) -> DataFrame:
     """One version of the stored map, the latest if none is named."""
-    maps = spark.read.parquet(at)
-    version = maps.agg(F.max("version")).first()[0] if version is None else version
-    return maps.where(F.col("version") == version).select("vslot", "shard")
+    version = versions(spark, at)[-1] if version is None else version
+    return spark.read.schema("vslot int, shard int").parquet(f"{at}/version={version}")
+
+
+def edited(spark, size: dict[int, int], shards: int, slots: int, at: str) -> dict[int, int]:
+    """The map to use: the latest stored one, edited where shards were added or sizes drifted; a changed one is stored."""
+    known = versions(spark, at)
+    if known:
+        held = {r.vslot: r.shard for r in load_map(spark, at, known[-1]).collect()}  # at most SLOTS rows
+        if sorted(held) != list(range(slots)):
+            raise ValueError(f"the map at {at} is not one of {slots} slots")
+    else:
+        held = initial_map(shards, slots)
+        store_map(spark, held, 0, at)
+        known = [0]
+    had = max(held.values()) + 1
+    if shards < had:
+        raise ValueError(f"the map at {at} has {had} shards, more than {shards}")
+    new = held
+    for n in range(had, shards):
+        new = grow(new, size, n)
+    new = new if shards > had else balanced(new, size, shards)
+    if new != held:
+        store_map(spark, new, known[-1] + 1, at)
+    return new
 
 
 def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, at: str | None = None, carry: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's position in its shard, from 0) and grown_shard.
 
+    at: where the map is stored; a map that is there already is read and edited, with none named a new one begins.
     With carry, the other columns of docs come first; those that share a name with the results are replaced.
     """
     spark = docs.sparkSession
@@ -107,13 +158,9 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, at: str | None
     by_slot = recs.groupBy("vslot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     sums = {r.vslot: (r.size, r.n) for r in by_slot.collect()}  # at most SLOTS rows
     at = at or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    first = initial_map(shards, slots)
-    store_map(spark, first, 0, at)
-    store_map(spark, rebalance(first, {s: v[0] for s, v in sums.items()}, shards), 1, at)
-    where = load_map(spark, at)
-
-    parts = spark.createDataFrame([(s, -(-n // CELL)) for s, (_, n) in sums.items()], "vslot int, parts int")
-    placed = recs.join(F.broadcast(where.join(parts, "vslot")), "vslot")
+    held = edited(spark, {s: v[0] for s, v in sums.items()}, shards, slots, at)
+    where = spark.createDataFrame([(s, held[s], -(-n // CELL)) for s, (_, n) in sums.items()], "vslot int, shard int, parts int")
+    placed = recs.join(F.broadcast(where), "vslot")
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     cells = placed.groupBy("shard", "vslot", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,3 +51,10 @@ def test_table_and_empty_benchmark(spark):
         assert tuple(x[1:]) == brute(texts[x.doc_id], items)
     none = decontaminate.drop_contaminated(docs.withColumn("n_words", docs.doc_id), bench.limit(0))
     assert none.count() == docs.count() and "n_words" in none.columns
+
+
+def test_items_without_words_dont_count_towards_the_broadcast(spark):
+    items = spark.createDataFrame([(i, t) for i, t in enumerate([None] * 400 + ["", " ..\n"] * 200 + ["one two three"])], "item_id long, text string")
+    assert decontaminate._items(items).count() == 1 and decontaminate.fits(items, 20)
+    docs = spark.createDataFrame([(1, "so one two three it is"), (2, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_items) for r in decontaminate.report(docs, items).collect()} == {(1, 1), (2, 0)}

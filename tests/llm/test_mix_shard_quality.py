@@ -97,8 +97,7 @@ def test_shards(spark, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
     largest = max(Counter(r.text_crc32 for r in got).values()) * 67
     assert max(load.values()) <= sum(load.values()) / 7 + largest
-    maps = spark.read.parquet(str(tmp_path / "map"))
-    assert {r.version for r in maps.select("version").distinct().collect()} == {0, 1}
+    assert sharding.versions(spark, str(tmp_path / "map")) == [0, 1]
     held = {r.vslot: r.shard for r in sharding.load_map(spark, str(tmp_path / "map")).collect()}
     grown = sharding.grow(held, dict.fromkeys(held, 10), 7)
     moved = [s for s in held if grown[s] != held[s]]
@@ -106,6 +105,63 @@ def test_shards(spark, tmp_path):
     assert sharding.shard(df.limit(0), 7).count() == 0
 
 
+def test_stored_map_is_read_and_edited(spark, tmp_path):
+    """Two runs over one map agree; growth moves rows into the new shard alone; drifted sizes edit the map."""
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(2500)]
+    df, at = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "map")
+    run = lambda d, n: {r.doc_id: (r.shard, r.slot) for r in sharding.shard(d, n, at=at).collect()}
+    one = run(df, 7)
+    assert len(one) == len(rows) and run(df, 7) == one and sharding.versions(spark, at) == [0, 1]
+    grown = run(df, 8)
+    assert sharding.versions(spark, at) == [0, 1, 2] and run(df, 8) == grown and sharding.versions(spark, at) == [0, 1, 2]
+    moved = {i for i in one if one[i][0] != grown[i][0]}
+    assert moved and {grown[i][0] for i in moved} == {7}
+    size = {i: 16 + len(t) for i, t in rows}
+    load = Counter()
+    for i, (s, _) in grown.items():
+        load[s] += size[i]
+    assert max(load.values()) <= 1.1 * sum(size.values()) / 8
+    more = df.unionByName(spark.createDataFrame([(9000 + i, "heavy one " * 900 + str(i)) for i in range(60)], "doc_id long, text string"))
+    drifted = run(more, 8)
+    assert len(drifted) == len(rows) + 60 and sharding.versions(spark, at) == [0, 1, 2, 3] and run(more, 8) == drifted
+    with pytest.raises(ValueError):
+        run(df, 7)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.store_map(spark, {0: 0}, 3, at)
+
+
+def test_shards_against_brute_force(spark):
+    """Slots by size, largest first, each to its own shard while that has room, else to the smallest one, until that doesn't help."""
+    df = spark.createDataFrame([(i, f"text {i % 700} " * (i % 61)) for i in range(2000)], "doc_id long, text string")
+    recs = sharding.records(df, 64).collect()
+    size = Counter()
+    for r in recs:
+        size[r.vslot] += r["size"]
+    held = {s: s % 5 for s in range(64)}
+    load = lambda m: [sum(size[s] for s in m if m[s] == i) for i in range(5)]
+    while True:
+        new, full = {}, [0] * 5
+        for s in sorted(held, key=lambda s: (-size[s], s)):
+            own = held[s]
+            to = own if full[own] + size[s] <= 0.97 * sum(size.values()) / 5 else min(range(5), key=lambda i: (full[i], i))
+            new[s] = to
+            full[to] += size[s]
+        if max(load(held)) - max(load(new)) <= 0.01 * sum(size.values()) / 5:
+            break
+        held = new
+    where = {r.doc_id: held[r.vslot] for r in recs}
+    got = sharding.shard(df, 5, 64).collect()
+    assert {r.doc_id: r.shard for r in got} == where
+
+
+def test_targets_of_huge_sources(spark):
+    """Products of many sources and trillions of words don't overflow."""
+    names = [f"s{i:05d}" for i in range(3000)]
+    size = {k: 30_000_000_000_000 if i == 7 else 1 + i for i, k in enumerate(names)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(level(size, {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}))
+
+
 def test_pipeline_stages(spark):
     at = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{at}/documents.parquet")
