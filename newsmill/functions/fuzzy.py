@@ -1,15 +1,56 @@
-"""Sequence ratio as an Arrow batch function, for candidate pairs only."""
+"""Character similarity of two texts: an upper bound as an expression, and the sequence ratio as an Arrow batch function.
+
+The ratio of matched characters can't exceed that of the characters two texts have in common, in whatever order. The
+counts of a text's characters are an array that is made once a text (`profile`); the bound of a pair is a sum over two
+such arrays, and only pairs that pass it are worth the ratio.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Characters that are counted each by itself; all others count as one.
+COUNTED = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts in [0, 1]; 0 where one is missing or empty. Not symmetric: current first, earlier second."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    known: dict[tuple, float] = {}  # equal pairs of a batch are matched once
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            x, y = pair
+            known[pair] = (1.0 if x == y else SequenceMatcher(None, x, y).ratio()) if x and y else 0.0
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
+
+
+def profile(x: Column) -> Column:
+    """How often each counted character occurs, the others together last; nulls count as empty."""
+    x = F.coalesce(x, F.lit(""))
+    each = [F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in COUNTED]
+    rest = F.length(F.translate(x, COUNTED, ""))
+    return F.array(*each, rest)
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts can be at most, from their profiles; 0 where one is empty."""
+    add = lambda p: F.aggregate(p, F.lit(0), lambda s, n: s + n)
+    both = add(F.zip_with(a, b, lambda m, n: F.least(m, n)))
+    return F.when((add(a) > 0) & (add(b) > 0), 2 * both / (add(a) + add(b))).otherwise(0.0)
+
+
+def sorted_words(x: Column) -> Column:
+    """A text's words in order, one blank between them."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.trim(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != "")), " ")
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """The ratio of two texts whose words are put in order first: texts that only swap words are alike."""
+    return ratio(sorted_words(a), sorted_words(b))

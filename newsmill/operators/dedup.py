@@ -9,14 +9,15 @@ the array measures and fewer for the character ratio.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
-from newsmill.functions.fuzzy import ratio
-from newsmill.sources.views import stage
+from newsmill.functions.fuzzy import profile, ratio, ratio_bound
+from newsmill.sources.views import release, stage
 
 #: Weight of a term that only one of two texts has: ln(3 / 2) + 1.
 ALONE = math.log(1.5) + 1.0
@@ -28,7 +29,7 @@ def features(posts: DataFrame) -> DataFrame:
     p = posts.withColumn("norm", T.normalize(F.col("raw_text"))).where(F.length("norm") >= 12)
     p = p.select(F.col("message_id").alias("id"), "channel_id", "ts", T.fingerprint(F.col("norm")).alias("text_hash"), T.tokens(F.col("norm")).alias("tokens"))
     p = p.withColumn("key", F.array_join(F.sort_array("tokens"), " "))
-    return p.withColumns({"bigrams": F.array_distinct(T.bigrams(F.col("tokens"))), "chargrams": F.array_distinct(T.chargrams(F.col("key"))), "anchors": F.array_distinct(T.anchors(F.col("tokens")))})
+    return p.withColumns({"bigrams": F.array_distinct(T.bigrams(F.col("tokens"))), "chargrams": F.array_distinct(T.chargrams(F.col("key"))), "anchors": F.array_distinct(T.anchors(F.col("tokens"))), "profile": profile(F.col("key"))})
 
 
 def counted(posts: DataFrame) -> DataFrame:
@@ -65,14 +66,16 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
     f = stage(features(current), "features")
     h = f if history is None else stage(features(history), "history-features")
     some = token_pairs(f, None if history is None else h, hours).where("tfidf >= 0.48 OR jaccard >= 0.40")
-    side = lambda df, k: df.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "text_hash", "key", "bigrams", "chargrams", "anchors")]).withColumnRenamed(f"id_{k}", k)
+    side = lambda df, k: df.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "text_hash", "key", "bigrams", "chargrams", "anchors", "profile")]).withColumnRenamed(f"id_{k}", k)
     p = some.join(side(f, "a"), "a").join(side(h, "b"), "b")
     both = lambda n, m: m(F.col(f"{n}_a"), F.col(f"{n}_b"))
     p = p.withColumns({"bigram": both("bigrams", T.dice), "chargram": both("chargrams", T.jaccard), "anchor": both("anchors", T.dice)})
     sem = lambda order: 0.30 * F.col("jaccard") + 0.25 * F.col("bigram") + 0.22 * F.col("chargram") + 0.15 * F.col("anchor") + 0.08 * order
-    most = _final(sem(F.lit(1.0)), F.lit(1.0))
+    p = p.withColumn("top", ratio_bound(F.col("profile_a"), F.col("profile_b")))
+    most = _final(sem(F.col("top")), F.col("top"))
     p = stage(p.where((most >= threshold) | (F.col("text_hash_a") == F.col("text_hash_b"))).select("a", "b", "tfidf", "jaccard", "bigram", "chargram", "anchor", "key_a", "key_b", (F.col("text_hash_a") == F.col("text_hash_b")).alias("same")), "survivors")
-    p = p.repartition("a", "b").withColumn("fuzzy", ratio("key_a", "key_b")).withColumn("semantic", sem(F.col("fuzzy")))
+    alike = p.where("NOT same").repartition("a", "b").withColumn("fuzzy", ratio("key_a", "key_b"))
+    p = alike.unionByName(p.where("same").withColumn("fuzzy", F.lit(1.0))).withColumn("semantic", sem(F.col("fuzzy")))
     p = p.withColumn("score", F.when(F.col("same"), 1.0).otherwise(_final(F.col("semantic"), F.col("fuzzy"))))
     return p.where(F.col("score") >= threshold).select("a", "b", "score", "semantic", "tfidf", "fuzzy")
 
@@ -80,17 +83,25 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, kept: in time order a post is kept unless an earlier kept one matches it (pairs: a later, b earlier).
 
-    Rounds over the pairs still open: a post with no open or kept earlier neighbour is kept, one with a kept neighbour
-    goes. Each round is staged; there are as many rounds as the longest chain of posts that decide one another.
+    Rounds over the pairs still open: a post with a kept earlier neighbour goes, one whose earlier neighbours have all
+    gone is kept. A round stages its verdicts and the pairs that stay open, nothing of the posts decided before; there
+    are as many rounds as the longest chain of posts that decide one another.
     """
     edges = stage(pairs.select("a", "b"), "edges")
-    state = stage(ids.select("id").join(edges.select(F.col("a").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")), "state")
-    while not state.where("kept IS NULL").isEmpty():
-        seen = edges.join(state.select(F.col("id").alias("b"), F.col("kept").alias("kept_b")), "b")
-        facts = seen.groupBy(F.col("a").alias("id")).agg(F.coalesce(F.bool_or("kept_b"), F.lit(False)).alias("gone"), F.bool_or(F.col("kept_b").isNull()).alias("waits"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("gone"), False).when(~F.col("waits"), True)
-        state = stage(state.join(facts, "id", "left").select("id", now.alias("kept")), "state")
-    return state
+    later = edges.select(F.col("a").alias("b")).distinct()
+    known = edges.select("b").distinct().join(later, "b", "left_anti").withColumn("kept_b", F.lit(True))
+    decided = []
+    while not edges.isEmpty():
+        seen = edges.join(known, "b", "left")
+        verdict = seen.groupBy("a").agg(F.coalesce(F.bool_or("kept_b"), F.lit(False)).alias("gone"), F.bool_or(F.col("kept_b").isNull()).alias("waits"))
+        verdict = stage(verdict.select("a", F.when(F.col("gone"), False).when(~F.col("waits"), True).alias("kept")), "verdicts")
+        decided.append(verdict.where("kept IS NOT NULL").select(F.col("a").alias("id"), "kept"))
+        old, edges = edges, stage(seen.where("kept_b IS NULL").join(verdict.where("kept IS NULL"), "a", "left_semi").select("a", "b"), "edges")
+        release(old)
+        known = decided[-1].select(F.col("id").alias("b"), F.col("kept").alias("kept_b"))
+    if not decided:
+        return ids.select("id", F.lit(True).alias("kept"))
+    return ids.select("id").join(reduce(DataFrame.unionByName, decided), "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def best_match(pairs: DataFrame, kept: DataFrame) -> DataFrame:

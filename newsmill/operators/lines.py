@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
-from newsmill.functions.fuzzy import ratio
+from newsmill.functions.fuzzy import profile, ratio, ratio_bound
 from newsmill.operators.rail import line_key, strength
 from newsmill.sources.views import stage
 
@@ -97,7 +97,7 @@ def near_equal(rows: DataFrame, least: float = 0.94) -> DataFrame:
     A contained key shares all its words, so the rarest one of each row is joined with the words of longer rows. Alike
     keys are of near lengths and share some word.
     """
-    k = rows.select("by", "pos", line_key(F.col("line")).alias("key")).where("key <> ''").withColumn("size", F.length("key"))
+    k = rows.select("by", "pos", line_key(F.col("line")).alias("key")).where("key <> ''").withColumns({"size": F.length("key"), "profile": profile(F.col("key"))})
     w = k.select("by", "pos", "size", F.explode(F.array_distinct(F.split("key", " "))).alias("w"))
     often = w.groupBy("by", "w").agg(F.count(F.lit(1)).alias("df"))
     rarest = w.join(often, ["by", "w"]).withColumn("rank", F.row_number().over(Window.partitionBy("by", "pos").orderBy("df", "w"))).where("rank = 1")
@@ -106,11 +106,12 @@ def near_equal(rows: DataFrame, least: float = 0.94) -> DataFrame:
     within = rarest.join(other, ["by", "w"]).where((F.col("pos") != F.col("other")) & (F.col("size") <= F.col("size_o")))
     close = w.join(other, ["by", "w"]).where((F.col("pos") < F.col("other")) & room)
     pairs = within.select("by", "pos", "other").unionByName(close.select("by", "pos", "other")).select("by", F.least("pos", "other").alias("a"), F.greatest("pos", "other").alias("b")).distinct()
-    p = pairs.join(k.select("by", F.col("pos").alias("a"), F.col("key").alias("x"), "size"), ["by", "a"]).join(k.select("by", F.col("pos").alias("b"), F.col("key").alias("y"), F.col("size").alias("size_o")), ["by", "b"])
+    p = pairs.join(k.select("by", F.col("pos").alias("a"), F.col("key").alias("x"), F.col("profile").alias("px"), "size"), ["by", "a"]).join(k.select("by", F.col("pos").alias("b"), F.col("key").alias("y"), F.col("profile").alias("py"), F.col("size").alias("size_o")), ["by", "b"])
     short, long = (F.when(F.col("size") <= F.col("size_o"), F.col(u)).otherwise(F.col(v)) for u, v in (("x", "y"), ("y", "x")))
     sure = (F.col("x") == F.col("y")) | (F.size(F.split(short, " ")) >= 8) & long.contains(short)
-    p = p.withColumn("sure", sure).where(F.col("sure") | room)
-    return p.where(F.col("sure") | (ratio("y", "x") >= least)).select("by", "a", "b")
+    p = stage(p.withColumn("sure", sure).where(F.col("sure") | (ratio_bound(F.col("px"), F.col("py")) >= least)).select("by", "a", "b", "x", "y", "sure"), "line-pairs")
+    alike = p.where("NOT sure").where(ratio("y", "x") >= least)
+    return p.where("sure").unionByName(alike).select("by", "a", "b")
 
 
 def keep_stronger(rows: DataFrame, least: float = 0.94) -> DataFrame:

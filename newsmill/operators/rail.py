@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
-from newsmill.functions.fuzzy import ratio
+from newsmill.functions.fuzzy import profile, ratio, ratio_bound
 from newsmill.sources.views import stage
 
 SEVERITY = {"high": 3.0, "medium": 1.5}
@@ -30,7 +30,7 @@ ALIKE = 0.55
 
 def _rail_side(rows: DataFrame, key: str, text: str) -> DataFrame:
     k = line_key(F.col(text))
-    return rows.select("window_end", key, k.alias("line"), F.length(k).alias("length"), topic_tokens(F.col(text)).alias("topic"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"))
+    return rows.select("window_end", key, k.alias("line"), F.length(k).alias("length"), topic_tokens(F.col(text)).alias("topic"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"), profile(k).alias("profile"))
 
 
 def candidates(h: DataFrame, p: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def _close() -> Column:
 
 
 def overlaps(headlines: DataFrame, posts: DataFrame) -> DataFrame:
-    """Candidate pairs with what they share: both, coverage, density, num, name, same, and the two lines of characters."""
+    """Candidate pairs with what they share: both, coverage, density, num, name, same, the two lines of characters and the bound of their ratio."""
     h = stage(_rail_side(headlines, "line_id", "headline"), "rail-lines")
     p = stage(_rail_side(posts, "id", "text"), "rail-words")
     side = lambda d, k: d.select(*[F.col(c) if c in ("line_id", "id", "window_end") else F.col(c).alias(f"{k}_{c}") for c in d.columns])
     pairs = candidates(h, p).join(side(h, "h"), "line_id").join(side(p.drop("window_end"), "p"), "id")
     both = F.size(F.array_intersect("h_topic", "p_topic"))
     share = lambda a: both / F.greatest(F.size(a), F.lit(1))
-    pairs = pairs.select("window_end", "line_id", "id", "h_line", "p_line", both.alias("both"), share("h_topic").alias("coverage"), share("p_topic").alias("density"), F.arrays_overlap("h_numbers", "p_numbers").alias("num"), F.arrays_overlap("h_names", "p_names").alias("name"))
+    pairs = pairs.select("window_end", "line_id", "id", "h_line", "p_line", ratio_bound(F.col("h_profile"), F.col("p_profile")).alias("most"), both.alias("both"), share("h_topic").alias("coverage"), share("p_topic").alias("density"), F.arrays_overlap("h_numbers", "p_numbers").alias("num"), F.arrays_overlap("h_names", "p_names").alias("name"))
     same = (F.col("coverage") >= 0.6) & (F.col("both") >= 3)
     topical = (F.col("coverage") >= COVERED) | (F.col("both") >= SHARED)
     return pairs.withColumn("same", same).where(topical | _close() & (F.col("num") | F.col("name")))
@@ -81,7 +81,7 @@ def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:
     """line_id, id, match: headlines (window_end, line_id, headline) with posts (window_end, id, text, ...) of their window."""
     pairs = overlaps(headlines, posts)
     sure = F.col("same") | (F.col("coverage") >= 0.58)
-    pairs = pairs.where(sure | _close()).withColumn("sure", sure).withColumn("ratio", ratio("h_line", "p_line"))
+    pairs = pairs.where(sure | (F.col("most") >= ALIKE)).withColumn("sure", sure).withColumn("ratio", ratio("h_line", "p_line"))
     pairs = pairs.where(F.col("sure") | (F.col("ratio") >= ALIKE))
     score = F.col("ratio") + F.col("coverage") + 0.35 * F.col("density") + 1.5 * F.col("same").cast("int") + 0.4 * F.col("num").cast("int") + 0.35 * F.col("name").cast("int")
     return pairs.select("window_end", "line_id", "id", score.alias("match"))

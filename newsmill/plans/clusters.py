@@ -71,7 +71,7 @@ def d10_story_match(spark, sf_dir):
 
 @query()
 def i7_story_clusters(spark, sf_dir):
-    return C.story_clusters(facts(spark, sf_dir, lines=True), reach=180)
+    return C.story_clusters(facts(spark, sf_dir, lines=True))
 
 
 @query()

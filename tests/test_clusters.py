@@ -147,3 +147,26 @@ def test_threads_against_brute_force(spark):
         if best:
             want[i] = best[-1]
     assert got == want and len(want) > 5
+
+
+def test_facts_last_as_long_as_echoes_come(spark):
+    """Echoes keep a story's facts alive beyond the window; a silence longer than it ends the story."""
+    text = "Explosion reported near Haifa port, 3 killed"
+    rows = [(i, 9000 * i, "Explosion near Haifa port kills three people today", text, "attack") for i in range(9)]
+    rows += [(20, 9000 * 8 + 10_801, "Explosion near Haifa port kills three people today", text, "attack")]
+    facts = C.story_facts(frame(spark, rows)).cache()
+    got = {x.id: (x.cluster, x.decision, x.updates) for x in C.story_clusters(facts).collect()}
+    assert got == brute(facts.collect())
+    assert all(got[i] == (0, "duplicate_echo", 0) for i in range(1, 9)) and got[20][1] == "new_story"
+
+
+def test_long_random_streams_against_brute_force(spark):
+    r = random.Random(8)
+    rows, t = [], 0
+    for i in range(150):
+        t += r.choice([60, 600, 4000, 9000, 12_000])
+        text = f"{r.choice(['Iran', 'Hamas'])} {r.choice(['strike', 'launch'])} near {r.choice(['Haifa', 'Kyiv'])} {r.choice(['', '3 killed', '5 killed'])}"
+        rows.append((i, t, r.choice([text, ""]), text, r.choice(["attack", "", "disaster"])))
+    facts = C.story_facts(frame(spark, rows)).cache()
+    got = {x.id: (x.cluster, x.decision, x.updates) for x in C.story_clusters(facts).collect()}
+    assert got == brute(facts.collect())
