@@ -24,10 +24,10 @@ ALONE = math.log(1.5) + 1.0
 THRESHOLD = 0.82
 
 
-def features(posts: DataFrame) -> DataFrame:
-    """id, ts, text_hash, tokens, key, bigrams, chargrams, anchors; texts under 12 characters never match."""
+def features(posts: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """id, ts, text_hash, tokens, key, bigrams, chargrams, anchors, profile, and other columns asked for; texts under 12 characters never match."""
     p = posts.withColumn("norm", T.normalize(F.col("raw_text"))).where(F.length("norm") >= 12)
-    p = p.select(F.col("message_id").alias("id"), "channel_id", "ts", T.fingerprint(F.col("norm")).alias("text_hash"), T.tokens(F.col("norm")).alias("tokens"))
+    p = p.select(*(also or []), F.col("message_id").alias("id"), "channel_id", "ts", T.fingerprint(F.col("norm")).alias("text_hash"), T.tokens(F.col("norm")).alias("tokens"))
     p = p.withColumn("key", F.array_join(F.sort_array("tokens"), " "))
     return p.withColumns({"bigrams": F.array_distinct(T.bigrams(F.col("tokens"))), "chargrams": F.array_distinct(T.chargrams(F.col("key"))), "anchors": F.array_distinct(T.anchors(F.col("tokens"))), "profile": profile(F.col("key"))})
 
@@ -53,12 +53,20 @@ def token_pairs(current: DataFrame, history: DataFrame | None = None, hours: int
     return g.select("a", "b", (F.col("both") / (F.col("n") + F.col("n_b") - F.col("both"))).alias("jaccard"), F.least(F.lit(1.0), F.col("dot") / norm).alias("tfidf"))
 
 
+#: Parts of the semantic similarity, of the blend, and boosts (least values of parts, score).
+SEMANTIC = {"jaccard": 0.30, "bigram": 0.25, "chargram": 0.22, "anchor": 0.15, "order": 0.08}
+BLEND = {"semantic": 0.5, "tfidf": 0.3, "order": 0.2}
+BOOSTS = (
+    ({"tfidf": 0.72, "order": 0.88}, 0.90), ({"semantic": 0.78, "tfidf": 0.65}, 0.89), ({"anchor": 0.66, "tfidf": 0.62}, 0.88),
+    ({"anchor": 0.50, "jaccard": 0.42, "order": 0.62}, 0.89), ({"bigram": 0.45, "chargram": 0.45, "tfidf": 0.48}, 0.88), ({"order": 0.85, "jaccard": 0.40}, 0.87),
+)
+
+
 def _final(sem: Column, order: Column) -> Column:
     """The blended score after the boost rules; the character ratio serves as fuzzy and order similarity alike."""
-    t, j, b, c, a = (F.col(x) for x in ("tfidf", "jaccard", "bigram", "chargram", "anchor"))
-    s = 0.5 * sem + 0.3 * t + 0.2 * order
-    rules = [((t >= 0.72) & (order >= 0.88), 0.90), ((sem >= 0.78) & (t >= 0.65), 0.89), ((a >= 0.66) & (t >= 0.62), 0.88), ((a >= 0.50) & (j >= 0.42) & (order >= 0.62), 0.89), ((b >= 0.45) & (c >= 0.45) & (t >= 0.48), 0.88), ((order >= 0.85) & (j >= 0.40), 0.87)]
-    return F.greatest(s, *[F.when(rule, F.lit(v)).otherwise(F.lit(0.0)) for rule, v in rules])
+    part = {c: F.col(c) for c in ("tfidf", "jaccard", "bigram", "chargram", "anchor")} | {"semantic": sem, "order": order}
+    boost = lambda needs, value: F.when(reduce(lambda a, b: a & b, [part[c] >= v for c, v in needs.items()]), F.lit(value)).otherwise(F.lit(0.0))
+    return F.greatest(sum((w * part[c] for c, w in BLEND.items()), F.lit(0.0)), *[boost(*x) for x in BOOSTS])
 
 
 def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours: int = 4, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,7 +78,7 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
     p = some.join(side(f, "a"), "a").join(side(h, "b"), "b")
     both = lambda n, m: m(F.col(f"{n}_a"), F.col(f"{n}_b"))
     p = p.withColumns({"bigram": both("bigrams", T.dice), "chargram": both("chargrams", T.jaccard), "anchor": both("anchors", T.dice)})
-    sem = lambda order: 0.30 * F.col("jaccard") + 0.25 * F.col("bigram") + 0.22 * F.col("chargram") + 0.15 * F.col("anchor") + 0.08 * order
+    sem = lambda order: sum((w * (order if c == "order" else F.col(c)) for c, w in SEMANTIC.items()), F.lit(0.0))
     p = p.withColumn("top", ratio_bound(F.col("profile_a"), F.col("profile_b")))
     most = _final(sem(F.col("top")), F.col("top"))
     p = stage(p.where((most >= threshold) | (F.col("text_hash_a") == F.col("text_hash_b"))).select("a", "b", "tfidf", "jaccard", "bigram", "chargram", "anchor", "key_a", "key_b", (F.col("text_hash_a") == F.col("text_hash_b")).alias("same")), "survivors")
