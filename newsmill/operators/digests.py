@@ -2,34 +2,108 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.sources.views import stage
 
-def pack_by_budget(rows: DataFrame, by: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """part: rows in order are packed into parts whose costs stay within the budget; a row costs at most the budget.
 
-    The greedy reset needs the rows in order; a sorted stream is folded with two numbers of state for each key.
+def in_order(rows: DataFrame, by: str, order: list[str], cost: str) -> DataFrame:
+    """Adds before (the costs of the rows before it in its group), for groups of any size.
+
+    Rows are dealt by ranges of (group, order), summed up in their part, and shifted by the sums of the parts before, of
+    which there is one row for each part and group.
+    """
+    ranged = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    held = stage(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "in-order")
+    own = Window.partitionBy(by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy(by, "_part").agg(F.sum(cost).alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    out = held.withColumn("_inside", F.coalesce(F.sum(cost).over(own), F.lit(0)))
+    out = out.join(sums, out[by].eqNullSafe(sums["_by"]) & (out["_part"] == sums["_p"]))
+    return out.withColumn("before", (F.col("_inside") + F.col("_shift")).cast("long")).drop("_part", "_row", "_inside", "_shift", "_by", "_p")
+
+
+def pack_by_budget(rows: DataFrame, by: str, order: list[str], cost: str, budget: int, width: int = 64) -> DataFrame:
+    """part: rows in order are packed into parts whose costs stay within the budget; a row costs 1 to the budget.
+
+    Where a part begins depends on all before it, yet from any row the next part's begin is known: the last row whose
+    sum of costs before it exceeds its own by no more than the budget. A group is cut into blocks of `width` budgets. A
+    part can enter a block at few rows, those of its first budget; for each of them the way through the block is
+    followed once, giving the row where it enters the next block and how many parts began. These links are doubled
+    (2, 4, 8 blocks at a time), each block picks its true entry from the doublings that make up its number, and its rows
+    are numbered from there. So a group is spread over as many tasks as it has blocks, and no task holds it.
     """
-    names = rows.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part long"
-
-    def fold(batches):
-        last, part, used = None, 0, 0
-        for pdf in batches:
-            parts = []
-            for key, c in zip(pdf[by], pdf[cost], strict=True):
-                c = min(int(c), budget)
-                if key != last:
-                    last, part, used = key, 1, c
-                elif used + c > budget:
-                    part, used = part + 1, c
-                else:
-                    used += c
-                parts.append(part)
-            yield pdf[names].assign(part=parts)
-
-    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(fold, kinds)
+    if {"before", "_block", "_tail", "_price"} & set(rows.columns):
+        raise ValueError("columns before, _block, _tail and _price are taken")
+    wide = width * budget
+    priced = rows.withColumn("_price", F.least(F.greatest(F.col(cost).cast("long"), F.lit(1)), F.lit(budget)))
+    held = stage(in_order(priced, by, order, "_price"), "priced")
+    block = F.expr(f"before div {wide}")
+    own = held.select(F.col(by).alias("g"), block.alias("block"), "before", F.lit(False).alias("tail"))
+    # a block also sees the next one's first budget, where its last part may end
+    tails = own.where((F.col("block") > 0) & (F.col("before") <= F.col("block") * wide + budget)).select("g", (F.col("block") - 1).alias("block"), "before", F.lit(True).alias("tail"))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        """From each row where a part may begin first in a block: where the next block is entered, and how many parts began."""
+        before = np.sort(pdf["before"].to_numpy())
+        begin = int(pdf["block"].iloc[0]) * wide
+        inside = int(np.searchsorted(before, begin + wide, "left"))
+        further = np.searchsorted(before, before + budget, "right") - 1  # the next part's first row
+        to, n = np.full(len(before), -1, "int64"), np.ones(len(before), "int64")
+        for i in range(inside - 1, -1, -1):
+            j = int(further[i])
+            if j <= i:
+                continue  # the last row of the group
+            if j >= inside:
+                to[i] = before[j]
+            else:
+                to[i], n[i] = to[j], n[j] + 1
+        first = int(np.searchsorted(before, begin + budget, "right")) if begin else 1
+        first = min(first, inside)
+        return pd.DataFrame({"g": pdf["g"].iloc[:first].tolist(), "at": before[:first], "to": [None if x < 0 else x for x in to[:first]], "n": n[:first]}).astype({"to": "Int64"})
+
+    links = own.unionByName(tails).groupBy("g", "block").applyInPandas(ways, f"g {kind}, at long, to long, n long")
+    jump = stage(links, "links")
+    blocks = own.groupBy("g").agg(F.max("block").alias("last"))
+    most = blocks.agg(F.max("last")).first()[0] or 0
+    jumps = [jump]
+    while 2 ** len(jumps) <= most:
+        next_ = jumps[-1].select(F.col("g").alias("_g"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        two = jumps[-1].where("to IS NOT NULL").join(next_, F.col("g").eqNullSafe(F.col("_g")) & (F.col("to") == F.col("_at")))
+        jumps.append(stage(two.select("g", "at", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n")), "links"))
+    entry = blocks.select("g", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("parts"))
+    for k in range(len(jumps) - 1, -1, -1):
+        far = jumps[k].select(F.col("g").alias("_g"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        bit = F.shiftright("block", k).bitwiseAND(F.lit(1)) == 1
+        moved = entry.where(bit).join(far, F.col("g").eqNullSafe(F.col("_g")) & (F.col("at") == F.col("_at")))
+        entry = entry.where(~bit).unionByName(moved.select("g", "block", F.col("_to").alias("at"), (F.col("parts") + F.col("_n")).alias("parts")))
+    entry = stage(entry, "entries")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("before")
+        before, at = pdf["before"].to_numpy(), int(pdf["at"].iloc[0]) if pdf["at"].notna().iloc[0] else None
+        begins = np.zeros(len(before), "int64")
+        i = len(before) if at is None else int(np.searchsorted(before, at, "left"))
+        while i < len(before):
+            begins[i] = 1
+            j = int(np.searchsorted(before, before[i] + budget, "right")) - 1
+            if j <= i or before[-1] <= before[i]:
+                break
+            if j == len(before) - 1 and before[j] + int(pdf["price"].iloc[-1]) <= before[i] + budget:
+                break  # the part goes on beyond the block
+            i = j
+        return pd.DataFrame({"g": pdf["g"], "before": before, "part": int(pdf["parts"].iloc[0]) + np.cumsum(begins)})
+
+    numbers = held.select(F.col(by).alias("g"), block.alias("block"), "before", F.col("_price").alias("price"))
+    e = entry.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "at", "parts")
+    numbers = numbers.join(e, F.col("g").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b"))).select("g", "block", "before", "price", "at", "parts")
+    numbers = numbers.groupBy("g", "block").applyInPandas(number, f"g {kind}, before long, part long").withColumnRenamed("before", "_before")
+    return held.join(numbers, F.col(by).eqNullSafe(F.col("g")) & (F.col("before") == F.col("_before"))).select(*rows.columns, "part")
 
 
 def backlog(window_counts: DataFrame, last_closed, behind: int = 4, minutes: int = 30) -> DataFrame:
