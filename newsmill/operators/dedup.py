@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,22 +120,54 @@ def best_match(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return alive.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("nb"))).alias("m")).select(F.col("a").alias("id"), (-F.col("m.nb")).alias("matched"), F.col("m.score").alias("score"))
 
 
-def cosine_pairs(vectors: DataFrame, least: float, hours: int = 4) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float, hours: int = 4, block: int = 128, pivots: int = 6) -> DataFrame:
     """a (later), b (earlier, within hours) and cosine, clipped to [0, 1], of at least some value.
 
     vectors: vec_id, ts, embedding. As for texts, the history window bounds what a vector is compared with. Vectors of
     unequal lengths or without a length count as 0, so they form no pair.
+
+    A time slot's vectors lie in blocks by the pivot they are nearest to and their angle to it. Angles obey the triangle
+    inequality: where the ranges of two blocks' angles to some pivot lie further apart than the angle of `least`, no
+    pair of them can reach it, and the blocks aren't compared. The others are compared by one matrix product each.
     """
-    span = hours * 3600
+    span, reach = hours * 3600, math.acos(max(-1.0, min(1.0, least)))
     num = lambda x: x.cast("double")
-    v = vectors.select("vec_id", F.unix_seconds("ts").alias("t"), "embedding", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + num(x) * num(x))).alias("norm")).where("norm > 0")
-    a = v.withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
-    b = v.select(F.floor(F.col("t") / span).alias("slot"), *[F.col(c).alias(f"{c}_b") for c in v.columns])
-    earlier = (F.col("t_b") >= F.col("t") - span) & ((F.col("t_b") < F.col("t")) | ((F.col("t_b") == F.col("t")) & (F.col("vec_id_b") < F.col("vec_id"))))
-    near = F.size("embedding") == F.size("embedding_b")
-    dot = F.aggregate(F.zip_with("embedding", "embedding_b", lambda x, y: num(x) * num(y)), F.lit(0.0), lambda s, x: s + x)
-    cos = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (F.col("norm") * F.col("norm_b"))))
-    return a.join(b, "slot").where(earlier & near).select(F.col("vec_id").alias("a"), F.col("vec_id_b").alias("b"), cos.alias("cosine")).where(F.col("cosine") >= least)
+    v = vectors.select("vec_id", F.unix_seconds("ts").alias("t"), F.transform("embedding", num).alias("e"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + num(x) * num(x))).alias("norm")).where("norm > 0")
+    v = stage(v.select("vec_id", "t", F.transform("e", lambda x: x / F.col("norm")).alias("e"), F.size("e").alias("dim"), F.floor(F.col("t") / span).alias("slot")), "unit-vectors")
+    some = v.select(F.xxhash64("vec_id").alias("h"), "dim", "e").orderBy("h").limit(pivots).collect()  # a fixed, small number
+    dot = lambda e, p: F.aggregate(F.zip_with(e, F.lit(p), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = lambda p: F.when(F.col("dim") == len(p), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("e"), p))))).otherwise(0.0)
+    angles = F.array(*[angle(r.e) for r in some]) if some else F.array().cast("array<double>")
+    v = v.withColumn("angles", angles)
+    near = F.array_position("angles", F.array_min("angles")).cast("int") if some else F.lit(0)
+    own = Window.partitionBy("slot", "dim", "near").orderBy(F.get("angles", F.col("near") - 1), "vec_id")
+    v = v.withColumn("near", near).withColumn("part", F.floor((F.row_number().over(own) - 1) / block))
+    blocks = v.groupBy("slot", "dim", "near", "part").agg(F.collect_list(F.struct("vec_id", "t", "e")).alias("rows"), *[f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(len(some)) for n, f in (("low", F.min), ("high", F.max))])  # `block` rows at most
+    blocks = stage(blocks.withColumn("k", F.struct("slot", "near", "part")), "vector-blocks")
+    other = blocks.select(F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("at"), F.col("dim").alias("dim_b"), F.col("k").alias("k_b"), F.col("rows").alias("rows_b"), *[F.col(f"{n}{i}").alias(f"{n}{i}_b") for i in range(len(some)) for n in ("low", "high")])
+    close = F.lit(True)
+    for i in range(len(some)):
+        close = close & (F.col(f"low{i}") - F.col(f"high{i}_b") <= reach + 1e-9) & (F.col(f"low{i}_b") - F.col(f"high{i}") <= reach + 1e-9)
+    pairs = blocks.join(other, (F.col("slot") == F.col("at")) & (F.col("dim") == F.col("dim_b"))).where(close).select("rows", "rows_b")
+    names = ["a", "b", "cosine"]
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def multiply(batches):
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (ia, ta, ea), (ib, tb, eb) = _matrix(one.values), _matrix(two.values)
+                cos = np.clip(ea @ eb.T, 0.0, 1.0)
+                earlier = (tb[None, :] >= ta[:, None] - span) & ((tb[None, :] < ta[:, None]) | ((tb[None, :] == ta[:, None]) & (ib.to_numpy(zero_copy_only=False)[None, :] < ia.to_numpy(zero_copy_only=False)[:, None])))
+                i, j = np.nonzero((cos >= least) & earlier)
+                yield pa.RecordBatch.from_arrays([ia.take(pa.array(i)), ib.take(pa.array(j)), pa.array(cos[i, j])], names=names)
+
+    return pairs.repartition(F.xxhash64("rows.vec_id", "rows_b.vec_id")).mapInArrow(multiply, f"a {kind}, b {kind}, cosine double")
+
+
+def _matrix(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, times and vectors of a block's rows."""
+    e = rows.field("e")
+    return rows.field("vec_id"), rows.field("t").to_numpy(), e.flatten().to_numpy().reshape(len(rows), -1)
 
 
 def tf_cosine(current: DataFrame, hours: int = 4, least: float = 0.83) -> DataFrame:

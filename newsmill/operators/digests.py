@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.operators.keyed import systematic_sample
 from newsmill.sources.views import stage
 
 
@@ -114,6 +115,35 @@ def backlog(window_counts: DataFrame, last_closed, behind: int = 4, minutes: int
     return g.select("channel_id", "oldest", "posts", late.cast("long").alias("intervals_behind"), F.when(late >= behind, "catchup").otherwise("single").alias("mode"))
 
 
+def due_windows(window_counts: DataFrame, last_closed, behind: int = 4, minutes: int = 30) -> DataFrame:
+    """channel_id, window_end, posts, behind, stranded, place and mode of every closed window, the oldest first.
+
+    A window is stranded if it lies `behind` windows or more behind the last closed one; a channel that has such a one
+    gets one catch-up digest of all its due windows.
+    """
+    last = F.lit(last_closed).cast("timestamp")
+    due = window_counts.where(F.col("window_end") <= last)
+    late = ((F.unix_seconds(last) - F.unix_seconds("window_end")) / (60 * minutes)).cast("long")
+    channel = Window.partitionBy("channel_id")
+    due = due.withColumn("behind", late)
+    mode = F.when(F.max("behind").over(channel) >= behind, "catchup").otherwise("single")
+    return due.select("channel_id", "window_end", "posts", "behind", (F.col("behind") >= behind).alias("stranded"), F.row_number().over(channel.orderBy("window_end")).alias("place"), mode.alias("mode"))
+
+
+def daily_sample(posts: DataFrame, most: int = 300) -> DataFrame:
+    """channel_id, day, posts, sampled, first_id, last_id: each day's digest takes at most some posts, in even steps."""
+    day = posts.withColumn("day", F.date_trunc("day", "ts"))
+    whole = day.groupBy("channel_id", "day").agg(F.count(F.lit(1)).alias("posts"))
+    kept = systematic_sample(day.select("channel_id", "day", "ts", "message_id"), most, ["ts", "message_id"], ["channel_id", "day"])
+    kept = kept.groupBy("channel_id", "day").agg(F.count(F.lit(1)).alias("sampled"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
+    return whole.join(kept, ["channel_id", "day"]).select("channel_id", "day", "posts", "sampled", "first_id", "last_id")
+
+
+def prune(archive: DataFrame, now, hours: int = 24, least_hours: int = 72) -> DataFrame:
+    """Rows of the archive that a digest of some hours still keeps: three times as long, but at least some hours."""
+    return expire(archive, now, max(3 * hours, least_hours))
+
+
 def last_closed(posts: DataFrame, minutes: int = 30):
     """The end of the last window that the newest post closes; null without posts."""
     newest = posts.agg(F.max(F.unix_seconds("ts"))).first()[0]

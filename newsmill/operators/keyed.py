@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsmill.sources.ledger import KeyedTable
+from newsmill.sources.views import stage
+
 KEYS = ["channel_id", "message_id"]
 
 
@@ -133,3 +138,53 @@ def decision_cache(posts: DataFrame, cache: DataFrame, ttl_seconds: int) -> Data
     hit = posts.join(cache.withColumnRenamed("ts", "cached_at"), "text_hash", "left")
     fresh = F.unix_seconds("ts") - F.unix_seconds("cached_at") <= ttl_seconds
     return hit.withColumn("hit", F.coalesce(fresh, F.lit(False))).withColumn("decision", F.when(F.col("hit"), F.col("decision"))).drop("cached_at")
+
+
+DECISION = "text_hash string, prompt_version string, model string, decision string, decided_at timestamp"
+
+
+def decision_table(spark: SparkSession, at: str) -> KeyedTable:
+    """Decisions by (text_hash, prompt_version, model) in a shared folder."""
+    return KeyedTable(spark, at, DECISION, ["text_hash", "prompt_version", "model"], "decided_at")
+
+
+def decide_through_cache(posts: DataFrame, known: KeyedTable, prompt_version: str, model: str, ttl_seconds: int, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, text_hash, ts, decision and hit of posts (id, text_hash, ts); what the table doesn't know is decided and stored.
+
+    A stored decision of the same version and model serves posts up to `ttl_seconds` after it. Of the other posts each
+    text is decided once, on its first post: decide gets id, text_hash, ts and gives id, decision. The new decisions
+    become the table's next version in one step, so a failure leaves the table as it was.
+    """
+    fresh = known.read().where((F.col("prompt_version") == prompt_version) & (F.col("model") == model)).select("text_hash", F.col("decision").alias("_known"), "decided_at")
+    age = F.unix_seconds("ts") - F.unix_seconds("decided_at")
+    asked = posts.select("id", "text_hash", "ts").join(fresh, "text_hash", "left").withColumn("hit", F.coalesce(age.between(0, ttl_seconds), F.lit(False)))
+    asked = stage(asked, "asked")
+    first = asked.where("NOT hit").groupBy("text_hash").agg(F.min(F.struct("ts", "id")).alias("f")).select(F.col("f.id").alias("id"), "text_hash", F.col("f.ts").alias("ts"))
+    first = stage(first, "undecided")
+    new = stage(first.join(decide(first), "id").select("text_hash", "decision", "ts"), "decided")
+    if not new.isEmpty():
+        known.upsert(new.select("text_hash", F.lit(prompt_version).alias("prompt_version"), F.lit(model).alias("model"), F.col("decision").cast("string").alias("decision"), F.col("ts").alias("decided_at")))
+    out = asked.join(new.select("text_hash", F.col("decision").cast("string").alias("_new")), "text_hash", "left")
+    return out.select("id", "text_hash", "ts", F.when(F.col("hit"), F.col("_known")).otherwise(F.col("_new")).alias("decision"), "hit")
+
+
+def top_tokens(rows: DataFrame, by: str, token: str, most: int = 8) -> DataFrame:
+    """by, rank, token, n: the commonest tokens of each group, counted exactly."""
+    counts = rows.groupBy(by, token).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), token))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most).select(by, "rank", F.col(token).alias("token"), "n")
+
+
+def token_sketches(rows: DataFrame, by: str, token: str, items: int = 4096) -> DataFrame:
+    """by, sketch: a frequent-items sketch of each group, of bounded size; merge with `merged_top`.
+
+    With m items kept, a count is at most 8/3 of (all tokens / m) too large or too small; a token more frequent than
+    that is never missed.
+    """
+    return rows.groupBy(by).agg(F.call_function("approx_top_k_accumulate", F.col(token), F.lit(items)).alias("sketch"), F.count(F.lit(1)).alias("tokens"))
+
+
+def merged_top(sketches: DataFrame, by: list[Column], most: int = 8, items: int = 4096) -> DataFrame:
+    """Groups of sketches as one: their commonest tokens with estimated counts (top, an array of item and count), tokens and error."""
+    merged = sketches.groupBy(*by).agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(items)).alias("sketch"), F.sum("tokens").alias("tokens"))
+    return merged.withColumn("top", F.call_function("approx_top_k_estimate", "sketch", F.lit(most))).withColumn("error", F.ceil(F.col("tokens") * (8.0 / 3.0) / items).cast("long")).drop("sketch")

@@ -2,27 +2,90 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
 from newsmill.operators.keyed import top_k_with_cap
+from newsmill.sources.views import release, stage
+
+
+#: Units of a stated span, in hours, with the words and letters for them.
+UNITS = (("minutes?|mins?", 1 / 60), ("hours?|hrs?|h", 1.0), ("days?|d", 24.0), ("weeks?|w", 168.0))
+_N_UNITS = r"\b(\d{1,4})\s*(?:minutes?|mins?|hours?|hrs?|h|days?|d|weeks?|w)\b"
+#: Patterns of what a question is like.
+BROAD = r"\b(?:latest|news|headlines|updates?|what'?s new|what is new|what happened|what is happening|summary|recap)\b"
+IDENTITY = r"^(?:who|whom|what) (?:is|was|are|were)\b"
+CASUALTY = r"\b(?:killed|dead|deaths?|died|injured|wounded|casualt(?:y|ies)|toll)\b"
+CONFIRM = r"\b(?:confirm(?:ed|s)?|verif(?:y|ied)|true that|is it true|really)\b"
 
 
-def prepare(queries: DataFrame) -> DataFrame:
-    """query_id, question, keywords, numbers and intent of each question (query_id, question)."""
+def time_window(question: Column, now: Column, zone: str = "UTC") -> Column:
+    """since and until (a struct of timestamps, null where nothing is stated) of the span that a question speaks of.
+
+    The last or past N minutes, hours, days or weeks (or one of them), N h or N d alone, today and yesterday as days of
+    the zone, this week from its Monday on; the first of these that fits.
+    """
+    q = F.lower(T.squeeze(F.coalesce(question, F.lit(""))))
+    seconds = F.lit(None).cast("long")
+    for words, hours in reversed(UNITS):
+        n = F.try_to_number(F.nullif(F.regexp_extract(q, rf"\b(\d{{1,4}})\s*(?:{words})\b", 1), F.lit("")), F.lit("9999")).cast("long")
+        one = F.when(q.rlike(rf"\b(?:last|past)\s+(?:{words.split('|')[0]})\b"), 1)
+        seconds = F.coalesce(F.coalesce(n, one) * int(hours * 3600), seconds)
+    local = F.from_utc_timestamp(now, zone)
+    start = lambda unit: F.to_utc_timestamp(F.date_trunc(unit, local), zone)
+    day = F.to_utc_timestamp(F.date_trunc("day", local) - F.expr("interval 1 day"), zone)
+    span = lambda a, b: F.struct(a.alias("since"), b.alias("until"))
+    none = F.lit(None).cast("timestamp")
+    back = F.timestamp_seconds(F.unix_seconds(now) - seconds)
+    return F.when(seconds.isNotNull(), span(back, now)).when(q.rlike(r"\btoday\b"), span(start("day"), now)).when(q.rlike(r"\byesterday\b"), span(day, start("day"))).when(q.rlike(r"\bthis week\b"), span(start("week"), now)).otherwise(span(none, none))
+
+
+def alias_closure(aliases: DataFrame) -> DataFrame:
+    """name, root: all names that pairs (alias, name) connect, directly or over others, have one root, their least.
+
+    Least names spread over the pairs and along themselves, so a chain of n names takes about log n rounds.
+    """
+    low = lambda c: F.lower(T.squeeze(F.col(c)))
+    pairs = aliases.select(low("alias").alias("a"), low("name").alias("b")).where("a <> '' AND b <> ''")
+    both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "aliases")
+    roots = stage(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "alias-roots")
+    while True:
+        near = both.join(roots.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("root").alias("near"))
+        least = roots.join(near, "name").select("name", F.least("root", "near").alias("root"))
+        jump = least.join(least.select(F.col("name").alias("root"), F.col("root").alias("far")), "root").select("name", F.col("far").alias("root"))
+        old, roots = roots, stage(jump, "alias-roots")
+        if roots.join(old.withColumnRenamed("root", "was"), "name").where("root <> was").isEmpty():
+            release(old, both)
+            return roots
+        release(old)
+
+
+def prepare(queries: DataFrame, now=None, zone: str = "UTC", aliases: DataFrame | None = None) -> DataFrame:
+    """query_id, question, keywords, numbers, intent, aliases, since, until and flags of each question (query_id, question).
+
+    now: the present, for spans that a question states; aliases (alias, name): other names of keywords are found by
+    their closure. Flags: broad, identity, casualty, confirm, direct (a question that wants one answer).
+    """
     q = F.lower(T.squeeze(F.coalesce(F.col("question"), F.lit(""))))
-    words = F.array_distinct(F.filter(F.regexp_extract_all(q, F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(V.QUERY_GENERIC_TERMS)))
-    bare = F.regexp_replace(q, r"\b(?:24|48|72)\s*(?:hours?|hrs?|h)\b", " ")
+    bare = F.regexp_replace(q, _N_UNITS, " ")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(bare, F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(V.QUERY_GENERIC_TERMS)))
     numbers = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b\d{2,6}\b"), F.lit(0)))
-    intent = F.when(q.rlike(r"^(?:who|whom|what) (?:is|was|are|were)\b"), "who")
+    intent = F.when(q.rlike(IDENTITY), "who")
     for word in ("where", "when", "which", "why"):
         intent = intent.when(q.rlike(rf"^{word}\b"), word)
     intent = intent.when(q.rlike(r"^what (?:happened|is happening)\b"), "what").otherwise("general")
-    return queries.select("query_id", "question", words.alias("keywords"), numbers.alias("numbers"), intent.alias("intent"))
+    window = time_window(F.col("question"), F.lit(now).cast("timestamp"), zone)
+    identity, casualty = q.rlike(IDENTITY), q.rlike(CASUALTY)
+    p = queries.select("query_id", "question", words.alias("keywords"), numbers.alias("numbers"), intent.alias("intent"), window["since"].alias("since"), window["until"].alias("until"), (q.rlike(BROAD) & (F.size(words) <= 2)).alias("broad"), identity.alias("identity"), casualty.alias("casualty"), q.rlike(CONFIRM).alias("confirm"), (identity | q.rlike(r"^(?:how many|how much|when|where|which|did|does|is|are|was|were|has|have)\b")).alias("direct"))
+    if aliases is None:
+        return p.withColumn("aliases", F.array().cast("array<string>"))
+    names = stage(alias_closure(aliases), "alias-names")
+    asked = p.select("query_id", F.explode("keywords").alias("name")).join(names, "name").select("query_id", "root").distinct()
+    others = asked.join(names, "root").groupBy("query_id").agg(F.sort_array(F.collect_set("name")).alias("aliases"))  # the names of one question's subjects
+    p = p.join(others, "query_id", "left")
+    return p.withColumn("aliases", F.array_except(F.coalesce("aliases", F.array().cast("array<string>")), "keywords"))
 
 
 def evidence(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
@@ -91,20 +154,43 @@ def widen(prepared: DataFrame, narrow: DataFrame, wide: DataFrame, least: int =
     return narrow.join(thin, "query_id", "left_anti").withColumn("expanded", F.lit(False)).unionByName(wide.join(thin, "query_id", "left_semi").withColumn("expanded", F.lit(True)))
 
 
-def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None, block: int = 1000) -> DataFrame:
+def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term: which words hold which terms as a part, by an index of character trigrams.
+
+    words (word) and terms (term) are distinct runs of a-z and 0-9. Each word is listed under its stretches of three and
+    of two characters; a term is looked up under its rarest stretch alone (its rarest pair if it has two characters),
+    and what that list holds is verified. The index is one of the vocabulary, not of the posts.
+    """
+    stretches = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+    grams = lambda c: F.when(F.length(c) >= 3, stretches(c, 3)).otherwise(stretches(c, 2))
+    index = words.select("word", F.explode(F.concat(stretches(F.col("word"), 3), stretches(F.col("word"), 2))).alias("gram"))
+    asked = terms.where(F.length("term") >= 2).select("term", F.explode(grams(F.col("term"))).alias("gram"))
+    used = index.join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = used.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(often, "gram").groupBy("term").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "gram")).alias("rare"))
+    # a term one of whose stretches no word has is in no word
+    whole = rarest.join(terms, "term").where(F.col("found") == F.size(grams(F.col("term")))).select("term", F.col("rare.gram").alias("gram"))
+    single = terms.where(F.length("term") == 1).select("term")
+    near = whole.join(used, "gram").where(F.contains("word", "term")).select("word", "term")
+    letters = words.select("word", F.explode(F.array_distinct(F.split("word", ""))).alias("term")).join(single, "term", "left_semi").select("word", "term")
+    return near.unionByName(letters)
+
+
+def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
     """query_id, id: posts whose text holds any keyword or number of a question as a part of it.
 
-    Substrings don't meet in an equi-join; the questions are the stated query set. They are taken in blocks of about
-    `block` questions, so that each broadcast has a bound; every post meets every block.
+    Terms are runs of letters and digits, so a term that a text holds lies inside one of the text's own runs. The
+    distinct runs of all posts are matched with the distinct terms (`words_with_terms`); posts then meet questions by
+    equi-joins on the runs that hold a term.
     """
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
-    p = p.select(F.col("message_id").alias("id"), F.lower(F.coalesce("raw_text", F.lit(""))).alias("low"))
-    terms = prepared.select("query_id", F.concat("keywords", "numbers").alias("terms")).where("size(terms) > 0")
-    blocks = max(1, -(-terms.count() // block))
-    held = F.exists("terms", lambda t: F.contains(F.col("low"), t))
-    parts = [p.join(F.broadcast(terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), held).select("query_id", "id") for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("raw_text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    held = stage(p.select(F.col("message_id").alias("id"), F.explode(runs).alias("word")), "post-words")
+    terms = stage(prepared.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "numbers"))).alias("term")), "query-terms")
+    found = words_with_terms(held.select("word").distinct(), terms.select("term").distinct())
+    asked = stage(found.join(terms, "term").select("word", "query_id").distinct(), "query-words")
+    return held.join(asked, "word").select("query_id", "id").distinct()
 
 
 def reply_targets(replies: DataFrame, delivered: DataFrame, topic: DataFrame | None = None) -> DataFrame:

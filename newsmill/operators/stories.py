@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
+from newsmill.sources.views import stage
 from newsmill.streaming.windows import pieces
 
 
@@ -52,12 +53,48 @@ def headlines(posts: DataFrame, keywords: list[str]) -> DataFrame:
     return s.groupBy("id").agg(F.min_by(F.struct("sentence", hits.alias("hits")), F.struct(-hits, F.length("sentence"), "at")).alias("b")).select("id", F.col("b.sentence").alias("headline"), F.col("b.hits").alias("hits"))
 
 
+def name_runs(text: Column) -> Column:
+    """Runs of adjacent capitalised words, as arrays of their words; other characters than letters end a run."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n]+", "  "), "[^A-Za-z ]", "|")
+    runs = F.regexp_extract_all(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(r" \|*((?:[A-Z][a-z]{2,}  )*[A-Z][a-z]{2,})\|* "), F.lit(1))
+    return F.transform(runs, lambda r: F.split(r, "  "))
+
+
+#: Weights of a mention: on the web, of a name of several words, of a single word.
+ON_WEB, SEVERAL, SINGLE = 0.35, 0.75, 0.15
+
+
+def phrase_mentions(posts: DataFrame, by: str) -> DataFrame:
+    """by, name, words, mentions, web_mentions: names of one or more words, with nested ones corrected for.
+
+    A name is a whole run of capitalised words somewhere in its group. Inside a longer run it counts only if that run
+    occurs once in the group: a run that recurs is a name of its own, and its parts aren't mentioned.
+    """
+    web = F.col("is_web") if "is_web" in posts.columns else F.lit(False)
+    runs = posts.select(by, web.cast("int").alias("web"), F.explode(name_runs(F.col("raw_text"))).alias("run"))
+    whole = runs.groupBy(by, "run").agg(F.count(F.lit(1)).alias("n"), F.sum("web").alias("w"))
+    whole = stage(whole, "name-runs")
+    m = F.size("run")
+    known = whole.groupBy(F.col(by).alias("_by")).agg(F.collect_set(m).alias("lengths"))  # a text of n words has about sqrt(2n) lengths at most
+    parts = F.flatten(F.transform(F.filter("lengths", lambda k: k < m), lambda k: F.transform(F.sequence(F.lit(1), m - k + 1), lambda i: F.slice("run", i, k))))
+    nested = whole.where((F.col("n") == 1) & (m > 1)).join(known, F.col(by).eqNullSafe(F.col("_by"))).select(by, F.explode(parts).alias("run"), "w")
+    names = whole.select(F.col(by).alias("_by"), F.col("run").alias("_run"))
+    nested = nested.join(names, F.col(by).eqNullSafe(F.col("_by")) & (F.col("run") == F.col("_run")), "left_semi")
+    both = whole.unionByName(nested.select(by, "run", F.lit(1).cast("long").alias("n"), "w"))
+    sums = both.groupBy(by, "run").agg(F.sum("n").alias("mentions"), F.sum("w").alias("web_mentions"))
+    return sums.select(by, F.array_join("run", " ").alias("name"), F.size("run").alias("words"), "mentions", "web_mentions")
+
+
 def subject_votes(posts: DataFrame, by: str, least: float = 1.5) -> DataFrame:
-    """The capitalised name with most votes in each group; a single-word name counts 1.15 a mention."""
-    word = F.explode(F.split(F.coalesce(F.col("raw_text"), F.lit("")), r"[ \n\t]+")).alias("w")
-    names = posts.select(by, word).select(by, F.regexp_extract("w", "^[^A-Za-z]*([A-Z][a-z]{2,})[^A-Za-z]*$", 1).alias("name")).where("name <> ''")
-    votes = names.groupBy(by, "name").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.round(1.15 * F.col("n"), 4)).where(F.col("score") >= least)
-    return votes.groupBy(by).agg(F.max(F.struct("score", F.length("name").alias("length"), "name")).alias("b")).select(by, F.col("b.name").alias("subject"), F.col("b.score").alias("score"))
+    """The capitalised name with most votes in each group, by score, words, length.
+
+    A mention counts 1, more on the web (is_web, where there is such a column) and for names of several words.
+    """
+    names = phrase_mentions(posts, by)
+    each = F.when(F.col("words") > 1, 1 + SEVERAL).otherwise(1 + SINGLE)
+    votes = names.withColumn("score", F.round(each * F.col("mentions") + ON_WEB * F.col("web_mentions"), 4)).where(F.col("score") >= least)
+    best = F.max(F.struct("score", "words", F.length("name").alias("length"), "name")).alias("b")
+    return votes.groupBy(by).agg(best).select(by, F.col("b.name").alias("subject"), F.col("b.words").alias("words"), F.col("b.score").alias("score"))
 
 
 def cross_digest_topics(lines: DataFrame, by: str, seconds: int = 3600) -> DataFrame:

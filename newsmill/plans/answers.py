@@ -37,6 +37,43 @@ def k1_prepare_queries(spark, sf_dir):
     return _prepared(spark, sf_dir).select("query_id", F.size("keywords").alias("n_keywords"), F.array_join(F.sort_array("keywords"), " ").alias("keywords"), F.size("numbers").alias("n_numbers"))
 
 
+#: Ways to ask about a word of the benchmark; w stands for the word, n for a number.
+ASKED = ("what happened with w in the last n hours", "who is w", "any latest news on w today", "how many killed at w yesterday", "is it true that w fell nd", "w 77 past week", "when did w open")
+#: Other names of words of the prose; the first column may be the second of another pair.
+ALIASES = [("thor", "inti"), ("inti", "ouble"), ("edst", "ering"), ("thand", "that")]
+
+
+def questions(spark, sf_dir):
+    """query_id and question: one short question on each item's first long word, in turn."""
+    b = table(spark, sf_dir, "benchmark")
+    word = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
+    way = F.get(F.array(*map(F.lit, ASKED)), F.pmod("item_id", F.lit(len(ASKED))).cast("int"))
+    n = (F.pmod("item_id", F.lit(23)) + 1).cast("string")
+    return b.select(F.col("item_id").alias("query_id"), F.regexp_replace(F.regexp_replace(way, r"\bw\b", word), r"\bn(?=d?\b)", n).alias("question"))
+
+
+_WAYS = "CASE item_id % {} {} END".format(len(ASKED), " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(ASKED)))
+_ASKED = f"""asked AS (SELECT item_id AS query_id, regexp_replace(regexp_replace(regexp_replace({_WAYS}, '\\bw\\b', regexp_extract(lower(text), '[a-z]{{4,}}'), 'g'), '\\bn\\b', (item_id % 23 + 1)::VARCHAR, 'g'), '\\bnd\\b', (item_id % 23 + 1)::VARCHAR || 'd', 'g') AS question FROM benchmark)"""
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in ALIASES)
+_BARE = "regexp_replace(question, '\\b\\d{1,4}\\s*(?:minutes?|mins?|hours?|hrs?|h|days?|d|weeks?|w)\\b', ' ', 'g')"
+
+
+@query(f"""WITH RECURSIVE {_ASKED}, pair(a, b) AS (SELECT * FROM (VALUES {_PAIRS}) UNION ALL SELECT col1, col0 FROM (VALUES {_PAIRS})),
+same(a, b) AS (SELECT a, a FROM pair UNION SELECT same.a, pair.b FROM same JOIN pair ON pair.a = same.b),
+k AS (SELECT *, list_distinct(list_filter(regexp_extract_all({_BARE}, '[a-z0-9]{{3,}}'), lambda w: NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({quoted(V.QUERY_GENERIC_TERMS)}))) AS kw,
+  list_distinct(regexp_extract_all({_BARE}, '\\b\\d{{2,6}}\\b')) AS nums, TIMESTAMP '{NOW}' AS now FROM asked),
+o AS (SELECT query_id, list(DISTINCT b) AS names FROM (SELECT query_id, unnest(kw) AS a FROM k) JOIN same USING (a) GROUP BY query_id)
+SELECT query_id, array_to_string(list_sort(kw), ' ') AS keywords, array_to_string(list_sort(list_filter(coalesce(names, []), lambda x: NOT list_contains(kw, x))), ' ') AS aliases, array_to_string(list_sort(nums), ' ') AS numbers,
+  CASE query_id % 7 WHEN 0 THEN now - to_hours(query_id % 23 + 1) WHEN 2 THEN date_trunc('day', now) WHEN 3 THEN date_trunc('day', now) - INTERVAL 1 DAY WHEN 4 THEN now - to_days((query_id % 23 + 1)::INT) WHEN 5 THEN now - INTERVAL 7 DAY END::TIMESTAMP AS since,
+  CASE query_id % 7 WHEN 0 THEN now WHEN 2 THEN now WHEN 3 THEN date_trunc('day', now) WHEN 4 THEN now WHEN 5 THEN now END::TIMESTAMP AS until,
+  query_id % 7 IN (0, 2) AND len(kw) <= 2 AS broad, query_id % 7 = 1 AS identity, query_id % 7 = 3 AS casualty, query_id % 7 = 4 AS confirm, query_id % 7 IN (1, 3, 4, 6) AS direct
+FROM k LEFT JOIN o USING (query_id)""")
+def k1_typed_requests(spark, sf_dir):
+    p = Q.prepare(questions(spark, sf_dir), NOW, aliases=spark.createDataFrame(ALIASES, "alias string, name string"))
+    line = lambda c: F.array_join(F.sort_array(c), " ").alias(c)
+    return p.select("query_id", line("keywords"), line("aliases"), line("numbers"), "since", "until", "broad", "identity", "casualty", "confirm", "direct")
+
+
 @query(f"WITH {_E} SELECT query_id, count(*) AS posts, sum(kw_hits)::BIGINT AS kw_hits, count(DISTINCT source) AS sources FROM e GROUP BY query_id")
 def d16_evidence(spark, sf_dir):
     e = Q.evidence(_prepared(spark, sf_dir), posts(spark, sf_dir))
@@ -99,11 +136,17 @@ def f9_recent_history(spark, sf_dir):
     return G.recent_history(table(spark, sf_dir, "conversations"), "conv_id", "turn", 4).select("conv_id", "turn", "role")
 
 
-@query(f"""WITH w AS (SELECT channel_id, ts - INTERVAL 1 MICROSECOND AS t FROM {POSTS}), e AS (SELECT channel_id, time_bucket(INTERVAL 30 MINUTE, t) + INTERVAL 30 MINUTE AS window_end FROM w),
-g AS (SELECT channel_id, min(window_end) AS oldest, count(*) AS posts FROM e WHERE window_end <= TIMESTAMP '2024-01-01 03:00:00' GROUP BY channel_id)
-SELECT channel_id, oldest, posts, (epoch(TIMESTAMP '2024-01-01 03:00:00') - epoch(oldest))::BIGINT // 1800 AS intervals_behind, CASE WHEN epoch(TIMESTAMP '2024-01-01 03:00:00') - epoch(oldest) >= 7200 THEN 'catchup' ELSE 'single' END AS mode FROM g""")
+_DUE = f"""e AS (SELECT channel_id, time_bucket(INTERVAL 30 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTE AS window_end FROM {POSTS}),
+n AS (SELECT time_bucket(INTERVAL 30 MINUTE, max(ts)) AS last FROM {POSTS})"""
+
+
+@query(f"""WITH {_DUE}, w AS (SELECT channel_id, window_end, last, count(*) AS posts, (epoch(last) - epoch(window_end))::BIGINT // 1800 AS behind FROM e, n WHERE window_end <= last GROUP BY ALL)
+SELECT channel_id, window_end, posts, behind, behind >= 4 AS stranded, row_number() OVER (PARTITION BY channel_id ORDER BY window_end) AS place,
+  CASE WHEN max(behind) OVER (PARTITION BY channel_id) >= 4 THEN 'catchup' ELSE 'single' END AS mode FROM w""")
 def i3_catchup(spark, sf_dir):
-    return G.backlog(tumbling(posts(spark, sf_dir), ["channel_id"]), "2024-01-01 03:00:00")
+    """All due windows of each channel, the stranded ones first."""
+    p = posts(spark, sf_dir)
+    return G.due_windows(tumbling(p, ["channel_id"]), G.last_closed(p))
 
 
 @query(f"""WITH e AS (SELECT channel_id, time_bucket(INTERVAL 30 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTE AS window_end FROM {POSTS}),
@@ -120,13 +163,13 @@ def i10_ttl_retention(spark, sf_dir):
     return G.expire(table(spark, sf_dir, "events"), "2024-01-31", 168).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query(f"""WITH d AS (SELECT channel_id, message_id, ts FROM {POSTS} WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts < TIMESTAMP '{NOW}')
-SELECT channel_id, count(*) AS posts, min(ts) AS first_ts, max(ts) AS last_ts FROM d GROUP BY channel_id""")
+@query(f"""WITH r AS (SELECT channel_id, date_trunc('day', ts)::TIMESTAMP AS day, message_id, ts, row_number() OVER (PARTITION BY channel_id, date_trunc('day', ts) ORDER BY ts, message_id) AS rn,
+  count(*) OVER (PARTITION BY channel_id, date_trunc('day', ts)) AS n FROM {POSTS}),
+k AS (SELECT *, row_number() OVER (PARTITION BY channel_id, day ORDER BY rn) AS k FROM r WHERE n <= 30 OR rn % greatest(1, n // 30) = 0 OR rn = 1)
+SELECT channel_id, day, any_value(n) AS posts, count(*) AS sampled, min(message_id) AS first_id, max(message_id) AS last_id FROM k WHERE k <= 30 GROUP BY channel_id, day""")
 def i2_daily_digest(spark, sf_dir):
-    from newsmill.operators.keyed import window_slice
-
-    d = window_slice(posts(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp"))
-    return d.groupBy("channel_id").agg(F.count(F.lit(1)).alias("posts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Every day of every channel, sampled in even steps to 30 posts, as these channels have few posts a day."""
+    return G.daily_sample(posts(spark, sf_dir), 30)
 
 
 @query(f"SELECT channel_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS posts, min(ts) AS first_ts, max(ts) AS last_ts FROM {POSTS} GROUP BY ALL")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
+from newsmill.functions import vocab as V
+from newsmill.operators import keyed as K
 from newsmill.operators import rules as R
-from newsmill.plans.base import POSTS, registry
+from newsmill.plans.base import POSTS, quoted, registry
 from newsmill.sources.views import posts, table
 
 QUERIES, ORACLES = {}, {}
@@ -99,6 +101,32 @@ def e14_taxonomy_health(spark, sf_dir):
     return s.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("posts"), F.round(F.avg(F.col("category").isNull().cast("int")), 6).alias("fallback_rate"), F.round(F.avg(F.when(live, F.col("category").isNull().cast("int"))), 6).alias("unmatched_rate")).select(F.col("w.end").alias("window_end"), "posts", "fallback_rate", "unmatched_rate")
 
 
+#: Tokens that posts without a category have, by windows of six hours.
+_UNMATCHED = f"""{_SCORES}, tok AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, unnest(list_filter(regexp_extract_all(lower(raw_text), '[a-z0-9]{{4,}}'), lambda w: w NOT IN ({quoted(V.DUPE_STOP_WORDS)}))) AS token
+  FROM {POSTS} WHERE message_id NOT IN (SELECT id FROM scores)),
+n AS (SELECT window_end, token, count(*) AS n FROM tok GROUP BY ALL)"""
+
+
+def _unmatched(spark, sf_dir):
+    found = R.category_scores(_hits(spark, sf_dir)).select(F.col("id").alias("message_id")).distinct()
+    words = F.filter(F.regexp_extract_all(F.lower("raw_text"), F.lit("[a-z0-9]{4,}"), F.lit(0)), lambda w: ~w.isin(V.DUPE_STOP_WORDS))
+    p = posts(spark, sf_dir).join(found, "message_id", "left_anti")
+    return p.select(F.window("ts", "6 hours").getField("end").alias("window_end"), F.explode(words).alias("token"))
+
+
+@query(f"""WITH {_UNMATCHED} SELECT window_end, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY window_end ORDER BY n DESC, token) AS rank FROM n) WHERE rank <= 8""")
+def e14_unmatched_tokens(spark, sf_dir):
+    return K.top_tokens(_unmatched(spark, sf_dir), "window_end", "token", 8)
+
+
+@query()
+def e14_token_sketch(spark, sf_dir):
+    """Sketches of six hours each, merged into days; counts are estimates within error."""
+    sketches = K.token_sketches(_unmatched(spark, sf_dir), "window_end", "token")
+    days = K.merged_top(sketches, [F.date_trunc("day", F.col("window_end") - F.expr("interval 1 second")).alias("day")], 8)
+    return days.select("day", "tokens", "error", F.posexplode("top").alias("pos", "t")).select("day", (F.col("pos") + 1).alias("rank"), F.col("t.item").alias("token"), F.col("t.count").alias("n"), "tokens", "error")
+
+
 def _count(t):
     return f"(len(regexp_extract_all(' ' || regexp_replace(t, ' ', '  ', 'g') || ' ', '[^a-z0-9]{t.replace(' ', '  ')}[^a-z0-9]')))"
 

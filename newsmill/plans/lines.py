@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from newsmill.functions import fuzzy as Z
+from newsmill.functions import text as T
 from newsmill.functions import vocab as V
 from newsmill.operators import hooks as H
 from newsmill.operators import lines as L
@@ -131,3 +133,15 @@ def c6_source_aliases(spark, sf_dir):
     aliases = spark.createDataFrame([("src0", "thor"), ("src0", "inti")], "channel_id string, alias string")
     p = feeds.strip_aliases(posts(spark, sf_dir), aliases)
     return p.select("message_id", F.sha1(F.col("raw_text").cast("binary")).alias("text_id"))
+
+
+@query()
+def j3_line_ratio(spark, sf_dir):
+    """Each headline against the one before in its channel: ratio, ratio with words in order, and the bound of the ratio."""
+    from pyspark.sql import Window
+
+    p = _lines(spark, sf_dir).withColumn("before", F.lag("line").over(Window.partitionBy("channel_id").orderBy("ts", "pos"))).where("before IS NOT NULL")
+    x, y = (T.normalize(F.col(c)) for c in ("line", "before"))
+    p = p.select(F.col("pos").alias("id"), x.alias("x"), y.alias("y"))
+    bound = Z.ratio_bound(Z.profile(F.col("x")), Z.profile(F.col("y")))
+    return p.select("id", F.round(Z.ratio("x", "y"), 6).alias("ratio"), F.round(Z.token_sort_ratio(F.col("x"), F.col("y")), 6).alias("sorted_ratio"), F.round(bound, 6).alias("bound"))

@@ -50,11 +50,17 @@ def c11_pick_headline(spark, sf_dir):
     return S.headlines(posts(spark, sf_dir), KEYWORDS)
 
 
-@query(f"""WITH w AS (SELECT channel_id, regexp_extract(unnest(regexp_split_to_array(raw_text, '[ \\n\\t]+')), '^[^A-Za-z]*([A-Z][a-z]{{2,}})[^A-Za-z]*$', 1) AS name FROM {POSTS}),
-v AS (SELECT channel_id, name, round(1.15 * count(*), 4)::DOUBLE AS score FROM w WHERE name <> '' GROUP BY ALL HAVING 1.15 * count(*) >= 1.5)
-SELECT channel_id, name AS subject, score FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY score DESC, len(name) DESC, name DESC) AS r FROM v) WHERE r = 1""")
+@query(f"""WITH t AS (SELECT channel_id, contains(raw_text, 'http') AS web, ' ' || regexp_replace(regexp_replace(coalesce(raw_text, ''), '[ \\t\\r\\n]+', '  ', 'g'), '[^A-Za-z ]', '|', 'g') || ' ' AS t FROM {POSTS}),
+r AS (SELECT channel_id, web::INT AS web, string_split(unnest(regexp_extract_all(t, ' \\|*((?:[A-Z][a-z]{{2,}}  )*[A-Z][a-z]{{2,}})\\|* ', 1)), '  ') AS run FROM t),
+whole AS (SELECT channel_id, run, count(*) AS n, sum(web) AS w FROM r GROUP BY ALL),
+sub AS (SELECT channel_id, run[i:i + k - 1] AS run, 1 AS n, w FROM whole, unnest(range(1, len(run))) AS a(k), unnest(range(1, len(run) - k + 2)) AS b(i) WHERE whole.n = 1 AND len(run) > 1),
+both_ AS (SELECT * FROM whole UNION ALL SELECT * FROM sub WHERE EXISTS (SELECT 1 FROM whole WHERE whole.channel_id IS NOT DISTINCT FROM sub.channel_id AND whole.run = sub.run)),
+m AS (SELECT channel_id, run, sum(n) AS n, sum(w) AS w FROM both_ GROUP BY ALL),
+v AS (SELECT channel_id, array_to_string(run, ' ') AS name, len(run) AS words, round(CASE WHEN len(run) > 1 THEN 1.75 ELSE 1.15 END * n + 0.35 * w, 4)::DOUBLE AS score FROM m)
+SELECT channel_id, name AS subject, words, score FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY score DESC, words DESC, len(name) DESC, name DESC) AS r FROM v WHERE score >= 1.5) WHERE r = 1""")
 def e13_subject_vote(spark, sf_dir):
-    return S.subject_votes(posts(spark, sf_dir), "channel_id")
+    """A link stands for a post from the web."""
+    return S.subject_votes(posts(spark, sf_dir).withColumn("is_web", F.col("raw_text").contains("http")), "channel_id")
 
 
 @query(f"""WITH n AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTE AS window_end, text_hash, norm FROM {NORMED})

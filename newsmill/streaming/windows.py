@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.sources.ledger import Ledger
+
 
 def tumbling(posts: DataFrame, by: list[str], minutes: int = 30) -> DataFrame:
     """Right-closed windows (end - 30 min, end]: a post at the border belongs to the window that ends there."""
@@ -30,12 +32,6 @@ def dedup_stream(stream: DataFrame, keys: list[str], delay: str = "4 hours") ->
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def late_rows(rows: DataFrame, watermark) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and rows for the side table that the catch-up digest reads."""
-    late = F.col("ts") < F.lit(watermark)
-    return rows.where(~late), rows.where(late)
-
-
 def pieces(rows: DataFrame, by: str, seconds: int) -> DataFrame:
     """Adds piece, a number that changes where a key is silent for longer than some seconds.
 
@@ -65,9 +61,12 @@ def route(posts: DataFrame) -> DataFrame:
     return posts.withColumn("route", F.when(F.coalesce("has_media", F.lit(False)), "skip").when(F.col("grouped_id").isNotNull(), "album").otherwise("single"))
 
 
-def cooldown_stream(stream: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, most: int = 3):
+def cooldown_stream(stream: DataFrame, folder: str, checkpoint: str, seconds: int = 3600, most: int = 3, delay: int = 86400):
     """A started query that writes scored posts (id, channel_id, ts, severity) after the source cooldown, batch by batch.
 
+    A ledger knows the last time of each batch, so only batches that reach into the span are read; batches that ended
+    more than the span and the delay (seconds) before the present one are forgotten.
+
     Each micro-batch is folded together with the granted highs of the span before it, which a table in `folder` keeps;
     a batch that runs again replaces its own files, so the result is the same after a failure.
     """
@@ -76,13 +75,19 @@ def cooldown_stream(stream: DataFrame, folder: str, checkpoint: str, seconds: in
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("id", "channel_id", "ts", "severity")
-        start = rows.agg(F.min("ts")).first()[0]
+        start, last = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
         if start is None:
             return
-        before = spark.read.parquet(f"{folder}/done").where(F.col("batch") < number).select(rows.columns) if number else rows.limit(0)
-        granted = before.where((F.col("severity") == "high") & (F.unix_seconds("ts") >= F.unix_seconds(F.lit(start)) - seconds))
+        # of earlier batches only those that reach into the span before this one are read
+        known = Ledger(spark, f"{folder}/batches")
+        ends = {n: known.get(n)["last"] for n in known.numbers() if n < number}
+        open_ = [n for n, end in ends.items() if end >= start - seconds]
+        before = spark.read.schema(rows.schema).parquet(*[f"{folder}/done/batch={n}" for n in open_]) if open_ else rows.limit(0)
+        granted = before.where((F.col("severity") == "high") & (F.unix_seconds("ts") >= start - seconds))
         own = rows.select("id").withColumn("_own", F.lit(True))
         out = cooldown(granted.unionByName(rows), "channel_id", seconds, most).join(own, "id", "left_semi")
         out.write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
+        known.put(number, {"last": last}, replace=True)
+        known.delete([n for n, end in ends.items() if end < start - seconds - delay])
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

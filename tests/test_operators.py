@@ -135,7 +135,14 @@ def test_noun_forms():
     for word, form in cases.items():
         assert form in rules.noun_forms(word), word
     assert rules.noun_forms("it") == {"it"} and "quaies" not in rules.noun_forms("quay") and "glas" not in rules.noun_forms("glass")
-    assert rules.variants("") == [] and rules.variants("Night-ferry") == sorted({"night ferry", "night-ferry", "nightferry", "night ferrys", "night-ferrys", "nightferrys", "night ferries", "night-ferries", "nightferries"})
+    assert rules.variants("") == [] and rules.variants("Night-ferry") == sorted({"night ferry", "night-ferry", "nightferry", "night ferries", "night-ferries", "nightferries"})
+    assert rules.noun_forms("strikes") == {"strikes", "strike"} and rules.noun_forms("dies") == {"dies", "die"} and rules.noun_forms("harbour") == {"harbour", "harbours"}
+
+
+def test_long_phrases_match(spark):
+    table = rules.rule_table(spark, [("law", "primary", "court of first instance ruling")])
+    df = posts(spark, [("a", 1, "A court of first instance ruling today", 0), ("a", 2, "court of first instance", 1)])
+    assert [(x.id, x.phrase) for x in rules.rule_hits(df, table).collect()] == [(1, "court of first instance ruling")]
 
 
 def test_rule_variants_and_blocking(spark):
