@@ -188,3 +188,67 @@ def merged_top(sketches: DataFrame, by: list[Column], most: int = 8, items: int
     """Groups of sketches as one: their commonest tokens with estimated counts (top, an array of item and count), tokens and error."""
     merged = sketches.groupBy(*by).agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(items)).alias("sketch"), F.sum("tokens").alias("tokens"))
     return merged.withColumn("top", F.call_function("approx_top_k_estimate", "sketch", F.lit(most))).withColumn("error", F.ceil(F.col("tokens") * (8.0 / 3.0) / items).cast("long")).drop("sketch")
+
+
+def accepted_requests(requests: DataFrame, by: str, gap_seconds: int = 10) -> DataFrame:
+    """Requests (ts and a number, id) with accepted: one a sender within the gap, counted from the last accepted one.
+
+    A sender's requests are cut where they are further apart than the gap, as the next one is accepted there anyhow; a
+    sorted stream of pieces is folded with one time of state.
+    """
+    from newsmill.streaming.windows import pieces
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean"
+    names = requests.columns
+
+    def fold(batches):
+        key, last = None, None
+        for pdf in batches:
+            out = []
+            for k, t in zip(zip(pdf[by], pdf["piece"], strict=True), pdf["_t"], strict=True):
+                ok = k != key or t - last >= gap_seconds
+                if ok:
+                    key, last = k, t
+                out.append(ok)
+            yield pdf[names].assign(accepted=out)
+
+    cut = pieces(requests, by, gap_seconds).withColumn("_t", F.unix_seconds("ts"))
+    return cut.repartition(by, "piece").sortWithinPartitions(by, "piece", "_t", "id").mapInPandas(fold, kinds)
+
+
+def top_k_or_newest(scored: DataFrame, query: str, source: str, order: list[Column], per_source: int = 3, k: int = 6) -> DataFrame:
+    """top_k_with_cap; of queries none of whose rows scores, the newest k rows."""
+    best = top_k_with_cap(scored, query, source, order, per_source, k)
+    none = scored.join(best.select(query).distinct(), query, "left_anti")
+    newest = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("ts"), *order))
+    return best.unionByName(none.withColumn("rank", newest).where(F.col("rank") <= k))
+
+
+def merged_evidence(parts: list[DataFrame], limit: int) -> DataFrame:
+    """identity, is_web, source, ts, text of rows (link, text, source, ts, is_web) of several origins, the newest `limit`.
+
+    Rows are the same by link, else by text whatever its case, else by source and time; what isn't from the web wins,
+    then the earlier origin.
+    """
+    rows = parts[0].withColumn("_part", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        rows = rows.unionByName(p.withColumn("_part", F.lit(i)))
+    bare = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    link, text = F.lower(bare("link")), F.lower(bare("text"))
+    stamp = F.coalesce(F.unix_seconds("ts").cast("string"), F.lit(""))
+    identity = F.when(link != "", F.concat(F.lit("link:"), link)).when(text != "", F.concat(F.lit("text:"), F.sha1(text.cast("binary")))).otherwise(F.concat(F.lit("meta:"), bare("source"), F.lit("|"), stamp))
+    best = rows.withColumn("identity", identity).groupBy("identity").agg(F.min(F.struct("is_web", "_part", "ts", "source", "text")).alias("b"))
+    return best.select("identity", "b.is_web", "b.source", "b.ts", "b.text").orderBy(F.desc_nulls_last("ts"), "identity").limit(limit)
+
+
+def pipeline_report(decisions: DataFrame) -> DataFrame:
+    """One row on decisions (text_hash, took_ms, hit): totals, duplicates, calls, latency and the cache's hit rate."""
+    d = decisions.agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("text_hash").alias("kinds"), F.count_if(~F.col("hit")).alias("calls"), F.round(F.avg("took_ms"), 4).alias("mean_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY took_ms)").alias("p95_ms"), F.count_if("hit").alias("hits"))
+    all_ = F.greatest(F.col("messages"), F.lit(1))
+    return d.select("messages", (F.col("messages") - F.col("kinds")).alias("duplicates"), F.round((F.col("messages") - F.col("kinds")) / all_, 4).alias("duplicate_rate"), "calls", F.round(100 * F.col("calls") / all_, 2).alias("calls_per_100"), "mean_ms", "p95_ms", F.round(F.col("hits") / all_, 4).alias("cache_hit_rate"))
+
+
+def newest_failures(jobs: DataFrame, by: str, failed: Column, most: int = 5) -> DataFrame:
+    """The newest failed jobs (id, ts) of each group, at most some."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("id")))
+    return jobs.where(failed).withColumn("rank", rank).where(F.col("rank") <= most)

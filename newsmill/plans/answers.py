@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsmill.functions import text as T
 from newsmill.functions import vocab as V
+from newsmill.operators import answers as A
 from newsmill.operators import digests as G
 from newsmill.operators import retrieval as Q
 from newsmill.plans.base import POSTS, quoted, registry, squeeze
-from newsmill.sources.views import posts, table
+from newsmill.sources.views import posts, stage, table
 from newsmill.streaming.windows import tumbling
 
 QUERIES, ORACLES = {}, {}
@@ -207,8 +209,99 @@ r AS (SELECT query_id, round(coalesce(sum(score) FILTER (signal = 'escalating'),
 SELECT query_id, CASE WHEN sources < 2 THEN 'insufficient' WHEN a > 0 AND e > 0 AND (greatest(a, e) < least(a, e) + 3.0 OR least(a, e) >= 3.0) THEN 'mixed' WHEN a > 0 AND e > 0 AND a > e AND na >= 2 THEN 'escalating' WHEN a > 0 AND e > 0 AND e > a AND ne >= 2 THEN 'de-escalating'
   WHEN a > 0 AND e > 0 THEN 'mixed' WHEN a >= e + 2.0 AND na >= 2 THEN 'escalating' WHEN e >= a + 2.0 AND ne >= 2 THEN 'de-escalating' ELSE 'mixed' END AS verdict, a AS escalating, e AS easing, sources, span_hours FROM r JOIN w USING (query_id)""")
 def e10_strategic_trend(spark, sf_dir):
-    from newsmill.functions import text as T
-
     _, r = _ranks(spark, sf_dir)
     s = r.join(posts(spark, sf_dir).select(F.col("message_id").alias("id"), "raw_text"), "id").select("query_id", "source", "ts", "score", F.explode(T.sentences(F.col("raw_text"))).alias("sentence"))
     return Q.strategic_trend(s, TREND)
+
+
+# ---- typed requests: short questions with spans and other names, the table's newest post as the present -----------
+
+
+def _requests(spark, sf_dir):
+    """Prepared requests, posts and the time of the newest post."""
+    p = posts(spark, sf_dir)
+    now = F.lit(p.agg(F.max("ts")).first()[0]).cast("timestamp")
+    return Q.prepare(questions(spark, sf_dir), now, aliases=spark.createDataFrame(ALIASES, "alias string, name string")), p, now
+
+
+def _scored(spark, sf_dir):
+    r, p, now = _requests(spark, sf_dir)
+    r = stage(r, "requests")
+    return r, p, stage(A.score_evidence(A.bounded_evidence(r, p), r, p, now), "scored-evidence")
+
+
+_REQUESTS = f"""{_ASKED}, pair(a, b) AS (SELECT * FROM (VALUES {_PAIRS}) UNION ALL SELECT col1, col0 FROM (VALUES {_PAIRS})),
+same(a, b) AS (SELECT a, a FROM pair UNION SELECT same.a, pair.b FROM same JOIN pair ON pair.a = same.b),
+present AS (SELECT max(ts) AS now FROM {POSTS}),
+k0 AS (SELECT *, list_distinct(list_filter(regexp_extract_all({_BARE}, '[a-z0-9]{{3,}}'), lambda w: NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({quoted(V.QUERY_GENERIC_TERMS)}))) AS kw,
+  list_distinct(regexp_extract_all({_BARE}, '\\b\\d{{2,6}}\\b')) AS nums FROM asked, present),
+o AS (SELECT query_id, list(DISTINCT b) AS names FROM (SELECT query_id, unnest(kw) AS a FROM k0) JOIN same USING (a) GROUP BY query_id),
+k AS (SELECT k0.*, list_filter(coalesce(names, []), lambda x: NOT list_contains(kw, x)) AS al,
+  CASE query_id % 7 WHEN 0 THEN now - to_hours(query_id % 23 + 1) WHEN 2 THEN date_trunc('day', now) WHEN 3 THEN date_trunc('day', now) - INTERVAL 1 DAY WHEN 4 THEN now - to_days((query_id % 23 + 1)::INT) WHEN 5 THEN now - INTERVAL 7 DAY END::TIMESTAMP AS since,
+  CASE query_id % 7 WHEN 0 THEN now WHEN 2 THEN now WHEN 3 THEN date_trunc('day', now) WHEN 4 THEN now WHEN 5 THEN now END::TIMESTAMP AS until,
+  query_id % 7 IN (0, 2) AND len(kw) <= 2 AS broad, query_id % 7 = 1 AS identity, query_id % 7 = 3 AS casualty, query_id % 7 = 4 AS confirm FROM k0 LEFT JOIN o USING (query_id))"""
+_TOKENS = f"""tok AS (SELECT message_id AS id, channel_id AS source, ts, regexp_matches(lower(raw_text), '{A.IDENTITY_MARKER}') AS says_who, regexp_matches(lower(raw_text), '{Q.CASUALTY}') AS says_toll, contains(lower(raw_text), 'http') AS linked,
+  unnest(list_distinct(regexp_extract_all(lower(raw_text), '[a-z0-9]{{2,}}'))) AS term FROM {POSTS})"""
+_FOUND = f"""{_REQUESTS}, terms AS (SELECT query_id, since, until, 'keyword' AS kind, unnest(kw) AS term FROM k UNION ALL SELECT query_id, since, until, 'alias', unnest(al) FROM k UNION ALL SELECT query_id, since, until, 'number', unnest(nums) FROM k),
+{_TOKENS},
+found AS (SELECT query_id, id, source, ts, says_who, says_toll, linked, count(*) FILTER (kind = 'keyword') AS kw_hits, count(*) FILTER (kind <> 'number') AS alias_hits, count(*) FILTER (kind = 'number') AS num_hits
+  FROM tok JOIN terms USING (term) WHERE (since IS NULL OR ts >= since) AND (until IS NULL OR ts < until) GROUP BY ALL)"""
+_SCORED = f"""{_FOUND}, scored AS (SELECT f.*, round(3.5 * kw_hits / greatest(len(kw), 1) + 4.0 * alias_hits / greatest(len(kw) + len(al), 1) + 2.5 * num_hits + CASE WHEN len(nums) > 0 AND num_hits = len(nums) THEN 2.0 ELSE 0.0 END
+  + CASE WHEN contains({squeeze("lower(p.raw_text)")}, lower(question)) AND kw_hits = len(kw) AND len(kw) > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN identity AND says_who THEN 1.4 ELSE 0.0 END
+  + CASE WHEN identity AND len(kw) > 0 AND kw_hits = len(kw) THEN 5.0 WHEN identity AND len(kw) > 0 THEN -6.0 ELSE 0.0 END + CASE WHEN casualty AND says_toll THEN 1.2 ELSE 0.0 END + CASE WHEN coalesce(source, '') <> '' THEN 0.15 ELSE 0.0 END + CASE WHEN linked THEN 0.2 ELSE 0.0 END
+  + greatest(0.0, 1.0 - least(greatest(0.0, (floor(epoch(now)) - floor(epoch(f.ts))) / 3600.0) / 48.0, 1.0)), 6)::DOUBLE AS score FROM found AS f JOIN k USING (query_id) JOIN {POSTS} AS p ON p.message_id = f.id),
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, ts DESC, id) AS r FROM scored WHERE score > 0),
+best AS (SELECT query_id, id, source, ts, num_hits, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, id) AS rank FROM capped WHERE r <= 3),
+fresh AS (SELECT query_id, id, source, ts, num_hits, score, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id) AS rank FROM scored WHERE query_id NOT IN (SELECT query_id FROM best)),
+short AS (SELECT * FROM best WHERE rank <= 18 UNION ALL SELECT * FROM fresh WHERE rank <= 18)"""
+
+
+@query(f"WITH RECURSIVE {_FOUND} SELECT query_id, count(*) AS posts, sum(kw_hits)::BIGINT AS kw_hits, sum(alias_hits)::BIGINT AS alias_hits, sum(num_hits)::BIGINT AS num_hits, min(ts) AS first_ts, max(ts) AS last_ts FROM found GROUP BY query_id")
+def d16_bounded_evidence(spark, sf_dir):
+    r, p, _ = _requests(spark, sf_dir)
+    sums = [F.sum(c).alias(c) for c in ("kw_hits", "alias_hits", "num_hits")]
+    return A.bounded_evidence(r, p).groupBy("query_id").agg(F.count(F.lit(1)).alias("posts"), *sums, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"WITH RECURSIVE {_SCORED} SELECT query_id, rank, id, round(score, 4) AS score FROM short")
+def k2_request_scores(spark, sf_dir):
+    _, _, s = _scored(spark, sf_dir)
+    return A.shortlist(s).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_SCORED}, top AS (SELECT query_id, count(*) AS n, min_by(score, rank) AS top, min_by(num_hits, rank) AS nh, count(DISTINCT lower(source)) FILTER (rank <= 6) AS sources FROM short GROUP BY query_id),
+g AS (SELECT query_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN confirm AND sources < 2 THEN 'one_source' WHEN broad THEN CASE WHEN n >= 2 THEN 'broad' ELSE 'thin' END WHEN len(nums) > 0 AND nh = 0 AND top < 4.5 THEN 'number_missing'
+  WHEN top >= CASE WHEN identity THEN 4.2 ELSE 2.6 END THEN 'score' WHEN sources >= 2 THEN 'sources' ELSE 'weak' END AS why FROM k LEFT JOIN top USING (query_id))
+SELECT query_id, why IN ('broad', 'score', 'sources') AS ok, why FROM g""")
+def e15_request_gates(spark, sf_dir):
+    r, _, s = _scored(spark, sf_dir)
+    return A.gates(r, A.shortlist(s))
+
+
+@query()
+def k2_reranked(spark, sf_dir):
+    r, p, s = _scored(spark, sf_dir)
+    return A.rerank(A.shortlist(s), r, p).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
+@query()
+def k3_answer_rows(spark, sf_dir):
+    r, p, s = _scored(spark, sf_dir)
+    short = stage(A.rerank(A.shortlist(s), r, p), "ranked")
+    lines = stage(Q.sentences(r, short, p, 6), "answer-lines")
+    said = short.join(p.select(F.col("message_id").alias("id"), "raw_text"), "id").select("query_id", "source", "ts", "score", F.explode(T.sentences(F.col("raw_text"))).alias("sentence"))
+    return A.answer_rows(r, A.gates(r, short), lines, Q.strategic_trend(said, TREND))
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS}, ask AS (SELECT query_id, 'keyword' AS kind, unnest(kw) AS term FROM k UNION ALL SELECT query_id, 'alias', unnest(al) FROM k UNION ALL SELECT query_id, 'number', unnest(nums) FROM k),
+{_TOKENS},
+hits AS (SELECT query_id, id, ts, count(*) FILTER (kind <> 'number') AS named FROM tok JOIN ask USING (term) GROUP BY ALL),
+near AS (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY h.ts DESC, id) AS place FROM hits AS h JOIN k USING (query_id) WHERE h.ts >= coalesce(since, now - INTERVAL 2 HOUR) AND h.ts < coalesce(until, now + INTERVAL 1 SECOND)),
+seen AS (SELECT query_id, count(*) AS n, count(*) FILTER (place <= 6 AND named > 0) AS m FROM near GROUP BY query_id),
+thin AS (SELECT query_id FROM k LEFT JOIN seen USING (query_id) WHERE since IS NULL AND (coalesce(n, 0) < CASE WHEN broad THEN 4 ELSE 3 END OR (len(kw) + len(al) > 0 AND coalesce(m, 0) = 0))),
+far AS (SELECT h.* FROM hits AS h JOIN k USING (query_id) JOIN thin USING (query_id) WHERE h.ts >= now - CASE WHEN identity THEN INTERVAL 12 HOUR ELSE INTERVAL 6 HOUR END AND h.ts < coalesce(until, now + INTERVAL 1 SECOND))
+SELECT query_id, false AS expanded, count(*) AS posts FROM near WHERE query_id NOT IN (SELECT query_id FROM thin) GROUP BY query_id UNION ALL SELECT query_id, true, count(*) FROM far GROUP BY query_id""")
+def i12_widened_requests(spark, sf_dir):
+    """Windows of 2 hours, 6 and 12 behind the newest post, as the table has a post each minute."""
+    r, p, now = _requests(spark, sf_dir)
+    return A.widened(stage(r, "requests"), p, now, 2, 6, 12).groupBy("query_id", "expanded").agg(F.count(F.lit(1)).alias("posts"))

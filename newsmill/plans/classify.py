@@ -8,7 +8,7 @@ from newsmill.functions import text as T
 from newsmill.functions import vocab as V
 from newsmill.operators import keyed as K
 from newsmill.operators import rules as R
-from newsmill.plans.base import POSTS, quoted, registry
+from newsmill.plans.base import NORMED, POSTS, quoted, registry, squeeze
 from newsmill.sources.views import posts, table
 
 QUERIES, ORACLES = {}, {}
@@ -157,15 +157,61 @@ def e4_severity(spark, sf_dir):
     return s.select("id", "severity", "raw_score", F.round(R.calibrate(F.col("raw_score"), F.col("severity")), 4).alias("final_score"))
 
 
-@query()
-def b3_route_posts(spark, sf_dir):
+#: Our own label rules in order: label, phrase.
+LABELS = [("Alarm", "shtion ouble"), ("Storm", "thor"), ("Harbour", "of the"), ("Storm", "inti"), ("Coast", "de la")]
+_LABELS = ", ".join(f"({i}, '{label}', '{v}')" for i, (label, phrase) in enumerate(LABELS) for v in R.variants(phrase))
+_LEVEL = "CASE WHEN len(raw_text) % 7 = 0 THEN 'high' WHEN len(raw_text) % 7 < 3 THEN 'medium' ELSE 'low' END"
+
+
+def _level():
+    """A severity by the length of the text, which SQL can state as well."""
+    n = F.length("raw_text") % 7
+    return F.when(n == 0, "high").when(n < 3, "medium").otherwise("low")
+
+
+@query(f"""WITH {_SCORES}, c(category, label, priority, breaking, bias, file_order) AS (VALUES {_CATS}),
+k AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY score DESC, longest DESC, priority DESC, n_primary DESC, file_order) AS rank FROM scores JOIN c USING (category)),
+lr(rule_order, label, variant) AS (VALUES {_LABELS}),
+ru AS (SELECT id, min_by(label, rule_order) AS ruled FROM p, lr WHERE contains(t, variant) AND regexp_matches(t, '(^|[^a-z0-9])' || variant || '([^a-z0-9]|$)') GROUP BY id),
+e AS (SELECT DISTINCT id FROM hits WHERE field = 'negative')
+SELECT message_id AS id, CASE WHEN e.id IS NULL AND ruled IS NOT NULL THEN ruled WHEN e.id IS NULL AND k.label IS NOT NULL THEN k.label ELSE CASE {_LEVEL} WHEN 'high' THEN 'Breaking' WHEN 'medium' THEN 'Live update' ELSE 'News update' END END AS label,
+  CASE WHEN e.id IS NULL AND ruled IS NOT NULL THEN 'rule' WHEN e.id IS NULL AND k.label IS NOT NULL THEN 'category' ELSE 'generic' END AS origin
+FROM {POSTS} LEFT JOIN ru ON ru.id = message_id LEFT JOIN (SELECT * FROM k WHERE rank = 1) AS k ON k.id = message_id LEFT JOIN e ON e.id = message_id""")
+def c12_ordered_labels(spark, sf_dir):
+    """Posts with a phrase against them stand for explainers."""
+    p, hits = posts(spark, sf_dir), _hits(spark, sf_dir)
+    top = R.top_category(R.category_scores(hits), _categories(spark))
+    calm = hits.where("field = 'negative'").select("id").distinct()
+    return R.label_posts(p, R.label_table(spark, LABELS), top, p.select(F.col("message_id").alias("id"), _level().alias("severity")), calm)
+
+
+def _routed(spark, sf_dir, digest_mode=False):
     p = posts(spark, sf_dir)
-    s, (sig, _) = R.cooldown(_severity(spark, sf_dir)), _signals(spark, sf_dir)
-    r = s.select("id", "severity").join(sig.select("id", "downgrade_explainer"), "id").join(p.select(F.col("message_id").alias("id"), "raw_text"), "id")
-    r = r.join(R.moderation(p, HARD, SOFT, INFLAMMATORY).select("id", "hard_blocked"), "id")
-    skip = F.when(F.trim("raw_text") == "", "empty").when(F.col("hard_blocked"), "moderation_block").when(T.is_noise(F.col("raw_text")), "likely_noise")
-    action = F.when(skip.isNotNull(), "skip").when((F.col("severity") == "high") & ~F.col("downgrade_explainer"), "deliver").otherwise("digest")
-    return r.select("id", action.alias("action"), F.when(skip.isNotNull(), skip).when(action == "deliver", "high_severity").when(F.col("downgrade_explainer"), "explainer").otherwise("routine").alias("reason"))
+    hits = _hits(spark, sf_dir).where("field = 'negative'").select("id", F.lit(True).alias("explainer")).distinct()
+    rows = p.select(F.col("message_id").alias("id"), "raw_text", F.col("raw_text").contains("http").alias("has_media"), _level().alias("severity"))
+    rows = rows.join(R.moderation(p, HARD, SOFT, INFLAMMATORY).select("id", "frequency", "hard_blocked"), "id").join(hits, "id", "left").fillna(False, ["explainer"])
+    return R.route_posts(rows, digest_mode)
+
+
+_SPAMMY = " + ".join(f"contains(low, '{t}')::INT" for t in V.SPAM_TERMS)
+_CLEAN = squeeze("coalesce(raw_text, '')")
+_ROUTE = f"""WITH {_HITS}, m AS (SELECT message_id AS id, regexp_replace(translate(lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))), '@43!1|0$57#', 'aaeiiiossti'), '[^a-z0-9\\s]+', ' ', 'g') AS t FROM {POSTS}),
+mod AS (SELECT id, {' + '.join(_count(t) for t in SOFT)} + 2 * ({' + '.join(f'({_count(t)} > 0)::INT' for t in INFLAMMATORY)}) AS frequency, {' + '.join(f'({_count(t)} > 0)::INT' for t in HARD)} > 0 AS hard FROM m),
+e AS (SELECT DISTINCT id FROM hits WHERE field = 'negative'),
+x AS (SELECT n.message_id AS id, {_CLEAN} AS txt, lower({_CLEAN}) AS low, contains(raw_text, 'http') AS media, len(norm) >= 12 AS said, {_LEVEL} AS sev, frequency, hard, e.id IS NOT NULL AS expl
+  FROM {NORMED} AS n JOIN mod ON mod.id = message_id LEFT JOIN e ON e.id = message_id),
+y AS (SELECT *, ({_SPAMMY}) AS terms, len(regexp_extract_all(low, 'http://|https://|t\\.me/')) AS links, len(regexp_extract_all(low, '#[a-z0-9_]+')) AS tags FROM x),
+z AS (SELECT *, CASE WHEN txt = '' THEN 'empty' WHEN coalesce(media, false) THEN 'has_media' WHEN hard THEN 'moderation_block' WHEN terms >= 2 OR (terms >= 1 AND links >= 1) OR tags >= 12 THEN 'likely_noise' END AS skip FROM y),
+l AS (SELECT *, CASE WHEN skip IS NOT NULL THEN 'low' WHEN expl THEN CASE WHEN said THEN 'medium' ELSE 'low' END WHEN sev = 'low' AND frequency >= 2 THEN 'medium' ELSE sev END AS level FROM z),
+a AS (SELECT *, CASE WHEN skip IS NOT NULL THEN 'skip' WHEN expl THEN CASE WHEN said THEN 'digest' ELSE 'skip' END WHEN level = 'high' THEN 'deliver' ELSE 'digest' END AS action FROM l)
+SELECT id, action, level AS severity, CASE WHEN skip IS NOT NULL THEN skip WHEN expl THEN 'explainer' WHEN action = 'deliver' THEN 'high_severity' ELSE 'routine' END AS reason,
+  CASE WHEN skip IS NOT NULL THEN 0.2 WHEN said THEN 0.55 ELSE 0.35 END::DOUBLE AS confidence, CASE level WHEN 'high' THEN 10 WHEN 'medium' THEN 50 ELSE 80 END::BIGINT AS priority FROM a"""
+
+
+@query(_ROUTE)
+def b3_route_posts(spark, sf_dir):
+    """A link stands for media, the text's length for severity, a phrase against a category for an explainer."""
+    return _routed(spark, sf_dir)
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value > 20),

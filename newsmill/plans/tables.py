@@ -330,3 +330,52 @@ a AS (SELECT *, round(h0 * 0.85) AS h1 FROM h), b AS (SELECT *, round(h1 * 0.85)
 SELECT channel_id, h3::BIGINT AS hits FROM c""")
 def i11_periodic_decay(spark, sf_dir):
     return K.decay(posts(spark, sf_dir).groupBy("channel_id").agg(F.count(F.lit(1)).alias("hits")), 3)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM events),
+g(user_id, n, id, ok, last) AS (SELECT user_id, n, id, true, t FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.id, e.t - last >= 7200, CASE WHEN e.t - last >= 7200 THEN e.t ELSE last END FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)
+SELECT id, ok AS accepted FROM g""")
+def f9_accepted_requests(spark, sf_dir):
+    """An accepted request in two hours, as users of the table are silent for long."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "ts")
+    return K.accepted_requests(e, "user_id", 7200).select("id", "accepted")
+
+
+@query("""WITH s AS (SELECT user_id, event_type, event_id, value - 30 AS score, ts FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score DESC, event_id) AS s FROM s WHERE score > 0),
+b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM c WHERE s <= 3),
+n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, score DESC, event_id) AS rank FROM s WHERE user_id NOT IN (SELECT user_id FROM b))
+SELECT * FROM b WHERE rank <= 6 UNION ALL SELECT * FROM n WHERE rank <= 6""")
+def f2_top_k_or_newest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("score", F.col("value") - 30)
+    return K.top_k_or_newest(e, "user_id", "event_type", [F.desc("score"), F.asc("event_id")]).select("user_id", "event_id", "rank")
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN message_id % 3 = 0 THEN 'HTTP://x/' || (message_id % 400) ELSE '' END AS link, CASE WHEN message_id % 5 = 0 THEN '' ELSE raw_text END AS text, channel_id AS source, ts, message_id % 2 = 1 AS is_web, 0 AS part FROM {POSTS}
+  UNION ALL SELECT '', text, 'benchmark', NULL, true, 1 FROM benchmark),
+i AS (SELECT *, CASE WHEN link <> '' THEN 'link:' || lower(link) WHEN {squeeze("text")} <> '' THEN 'text:' || sha1(lower({squeeze("text")})) ELSE 'meta:' || source || '|' || coalesce(epoch(ts)::BIGINT::VARCHAR, '') END AS identity FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY is_web, part, ts NULLS FIRST, source, text) AS k FROM i)
+SELECT identity, is_web, source, ts FROM b WHERE k = 1 ORDER BY ts DESC NULLS LAST, identity LIMIT 500""")
+def h1_newest_evidence(spark, sf_dir):
+    """The newest 500 rows are what the operator is for."""
+    p = posts(spark, sf_dir)
+    m = F.col("message_id")
+    one = p.select(F.when(m % 3 == 0, F.concat(F.lit("HTTP://x/"), (m % 400).cast("string"))).otherwise("").alias("link"), F.when(m % 5 == 0, "").otherwise(F.col("raw_text")).alias("text"), F.col("channel_id").alias("source"), "ts", (m % 2 == 1).alias("is_web"))
+    two = table(spark, sf_dir, "benchmark").select(F.lit("").alias("link"), "text", F.lit("benchmark").alias("source"), F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("is_web"))
+    return K.merged_evidence([one, two], 500).select("identity", "is_web", "source", "ts")
+
+
+@query(f"""WITH p AS (SELECT text_hash, len(raw_text) / 10.0 AS took_ms, row_number() OVER (PARTITION BY text_hash ORDER BY ts, message_id) > 1 AS hit FROM {NORMED})
+SELECT count(*) AS messages, count(*) - count(DISTINCT text_hash) AS duplicates, round((count(*) - count(DISTINCT text_hash)) / greatest(count(*), 1), 4) AS duplicate_rate, count(*) FILTER (NOT hit) AS calls,
+  round(100 * count(*) FILTER (NOT hit) / greatest(count(*), 1), 2) AS calls_per_100, round(avg(took_ms), 4) AS mean_ms, quantile_disc(took_ms, 0.95)::DOUBLE AS p95_ms, round(count(*) FILTER (hit) / greatest(count(*), 1), 4) AS cache_hit_rate FROM p""")
+def e12_pipeline_report(spark, sf_dir):
+    """A text's first post is a call, the others are hits; the length of a text stands for the time that it took."""
+    first = F.row_number().over(Window.partitionBy("text_hash").orderBy("ts", "message_id")) > 1
+    return K.pipeline_report(normed(spark, sf_dir).select("text_hash", (F.length("raw_text") / 10.0).alias("took_ms"), first.alias("hit")))
+
+
+@query("""SELECT user_id, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events WHERE event_type = 'error' QUALIFY rank <= 5""")
+def e5_newest_failures(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "ts", "event_type")
+    return K.newest_failures(e, "user_id", F.col("event_type") == "error").select("user_id", "id", "ts", "rank")
