@@ -1,7 +1,7 @@
-"""Near-duplicate detection across sources by a token-blocked, time-bounded similarity join.
+"""Near-duplicate detection across sources by a time-bounded similarity join.
 
-Pairs come from an equi-join on (time slot, token), never from a cross join; overlap sizes and the pairwise tf-idf are
-sums over the shared tokens, so one partially aggregated group-by yields them. A pair can only be a duplicate if its
+Overlap sizes and the pairwise tf-idf are sums over shared tokens; matrix products over blocks of posts of a time slot
+give them for all pairs of two blocks (`shared_tokens`). A pair can only be a duplicate if its
 tf-idf is at least 0.48 or its Jaccard at least 0.40 (all other parts at their largest), which leaves few pairs for
 the array measures and fewer for the character ratio.
 """
@@ -34,25 +34,95 @@ def features(posts: DataFrame, also: list[str] | None = None) -> DataFrame:
     return p.withColumns({"bigrams": F.array_distinct(T.bigrams(F.col("tokens"))), "chargrams": F.array_distinct(T.chargrams(F.col("key"))), "anchors": F.array_distinct(T.anchors(F.col("tokens"))), "profile": profile(F.col("key"))})
 
 
-def counted(posts: DataFrame) -> DataFrame:
-    """id, t, token, tf, n (distinct tokens), sq (sum of squared tf). Posts move once, as arrays, not token by token."""
-    whole = Window.partitionBy("id")
-    c = posts.select("id", F.unix_seconds("ts").alias("t"), "tokens").repartition("id").select("id", "t", F.explode("tokens").alias("token"))
-    c = c.groupBy("id", "t", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return c.withColumns({"n": F.count(F.lit(1)).over(whole), "sq": F.sum(F.col("tf") * F.col("tf")).over(whole)})
+#: Posts of a block, and distinct tokens that one step of a block's product takes.
+BLOCK, STEP = 128, 4096
 
 
-def token_pairs(current: DataFrame, history: DataFrame | None = None, hours: int = 4) -> DataFrame:
-    """a (current), b (earlier, within hours), jaccard and tfidf of all pairs that share a token."""
+def _blocks(posts: DataFrame, span: int, name: str) -> DataFrame:
+    """slot, part, rows: the posts of a time slot in parts of about BLOCK, by hash; rows are (id, t, h), h the tokens' 64-bit hashes."""
+    p = posts.select("id", F.unix_seconds("ts").alias("t"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("h")).withColumn("slot", F.floor(F.col("t") / span))
+    p = stage(p, name)
+    parts = p.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    p = p.join(parts, "slot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return p.groupBy("slot", "part").agg(F.collect_list(F.struct("id", "t", "h")).alias("rows"))  # about BLOCK rows
+
+
+def shared_tokens(current: DataFrame, history: DataFrame | None, hours: int, keep, measures: list[str]) -> DataFrame:
+    """a (current), b (earlier, within hours) and measures of the pairs that keep selects.
+
+    Blocks of posts of a time slot meet those of the same and the slot before. A pair of blocks is one task's unit: its
+    common tokens are the columns of two count matrices, STEP at a time, and matrix products give for all pairs of posts
+    the number of common tokens, the product of counts and the squares of the common counts. keep gets these as a dict of
+    matrices (both, dot, sa, sb) and vectors (n, sq of either side) and gives a mask and the measures. Nothing is
+    exploded by token, so a frequent token costs a column, not a list of pairs.
+    """
     span = hours * 3600
-    a = counted(current).withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
-    b = counted(current if history is None else history).withColumn("slot", F.floor(F.col("t") / span))
-    b = b.select("slot", "token", *[F.col(c).alias(f"{c}_b") for c in ("id", "t", "tf", "n", "sq")])
-    earlier = (F.col("t_b") >= F.col("t") - span) & ((F.col("t_b") < F.col("t")) | ((F.col("t_b") == F.col("t")) & (F.col("id_b") < F.col("id"))))
-    j = a.join(b, ["slot", "token"]).where(earlier)
-    g = j.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), "n", "n_b", "sq", "sq_b").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
-    norm = F.sqrt(F.col("sa") + ALONE * ALONE * (F.col("sq") - F.col("sa"))) * F.sqrt(F.col("sb") + ALONE * ALONE * (F.col("sq_b") - F.col("sb")))
-    return g.select("a", "b", (F.col("both") / (F.col("n") + F.col("n_b") - F.col("both"))).alias("jaccard"), F.least(F.lit(1.0), F.col("dot") / norm).alias("tfidf"))
+    one = stage(_blocks(current, span, "token-posts"), "token-blocks")
+    two = one if history is None else stage(_blocks(history, span, "history-posts"), "history-blocks")
+    two = two.select(F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), F.struct("slot", "part").alias("k"), F.col("rows").alias("rows_b"))
+    pairs = one.join(two, "slot").repartition("slot", "part", "k").select("rows", "rows_b")
+    kind = current.schema["id"].dataType.simpleString()
+
+    def multiply(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = _counts(x.values), _counts(y.values)
+                earlier = (b["t"][None, :] >= a["t"][:, None] - span) & ((b["t"][None, :] < a["t"][:, None]) | ((b["t"][None, :] == a["t"][:, None]) & (b["id"].to_numpy(zero_copy_only=False)[None, :] < a["id"].to_numpy(zero_copy_only=False)[:, None])))
+                if not earlier.any():
+                    continue
+                s = _products(a, b)
+                mask, values = keep(s, a, b)
+                i, j = np.nonzero(mask & earlier & (s["both"] > 0))
+                yield pa.RecordBatch.from_arrays([a["id"].take(pa.array(i)), b["id"].take(pa.array(j)), *[pa.array(v[i, j]) for v in values]], names=["a", "b", *measures])
+
+    return pairs.mapInArrow(multiply, f"a {kind}, b {kind}, " + ", ".join(f"{m} double" for m in measures))
+
+
+def _counts(rows: pa.StructArray) -> dict:
+    """A block's posts: ids, times, and (row, token, count) of their distinct tokens, with n and sq of each post."""
+    lists = rows.field("h")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+    h, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(rows)), size)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, "int64")
+    tf = np.diff(np.concatenate([first, [len(h)]])).astype("float64")
+    h, row = h[first], row[first]
+    return {"id": rows.field("id"), "t": rows.field("t").to_numpy(), "h": h, "row": row, "tf": tf, "n": np.bincount(row, minlength=len(rows)).astype("float64"), "sq": np.bincount(row, tf * tf, minlength=len(rows))}
+
+
+def _products(a: dict, b: dict) -> dict:
+    """Sums over common tokens for all pairs of two blocks' posts."""
+    common = np.intersect1d(a["h"], b["h"])
+    out = {k: np.zeros((len(a["t"]), len(b["t"]))) for k in ("both", "dot", "sa", "sb")}
+    place = [np.searchsorted(common, x["h"]) for x in (a, b)]
+    known = [np.isin(x["h"], common) for x in (a, b)]
+    for begin in range(0, len(common), STEP):
+        some = []
+        for x, at, ok in zip((a, b), place, known, strict=True):
+            here = ok & (at >= begin) & (at < begin + STEP)
+            m = np.zeros((len(x["t"]), min(STEP, len(common) - begin)))
+            m[x["row"][here], at[here] - begin] = x["tf"][here]
+            some.append(m)
+        ta, tb = some
+        ba, bb = (ta > 0).astype("float64"), (tb > 0).astype("float64")
+        out["both"] += ba @ bb.T
+        out["dot"] += ta @ tb.T
+        out["sa"] += (ta * ta) @ bb.T
+        out["sb"] += ba @ (tb * tb).T
+    return out
+
+
+def token_pairs(current: DataFrame, history: DataFrame | None = None, hours: int = 4, least_tfidf: float = 0.0, least_jaccard: float = 0.0) -> DataFrame:
+    """a (current), b (earlier, within hours), jaccard and tfidf of the pairs that share a token and reach either of two values."""
+
+    def keep(s, a, b):
+        jaccard = s["both"] / (a["n"][:, None] + b["n"][None, :] - s["both"]).clip(min=1)
+        norm = np.sqrt(s["sa"] + ALONE * ALONE * (a["sq"][:, None] - s["sa"])) * np.sqrt(s["sb"] + ALONE * ALONE * (b["sq"][None, :] - s["sb"]))
+        tfidf = np.minimum(1.0, s["dot"] / np.where(norm > 0, norm, 1.0))
+        return (tfidf >= least_tfidf) | (jaccard >= least_jaccard), (jaccard, tfidf)
+
+    return shared_tokens(current, history, hours, keep, ["jaccard", "tfidf"])
 
 
 #: Parts of the semantic similarity, of the blend, and boosts (least values of parts, score).
@@ -75,7 +145,7 @@ def near_duplicates(current: DataFrame, history: DataFrame | None = None, hours:
     """a, b, score, semantic, tfidf, fuzzy of all pairs at or over the threshold; equal hashes score 1."""
     f = stage(features(current), "features")
     h = f if history is None else stage(features(history), "history-features")
-    some = token_pairs(f, None if history is None else h, hours).where("tfidf >= 0.48 OR jaccard >= 0.40")
+    some = token_pairs(f, None if history is None else h, hours, 0.48, 0.40)
     side = lambda df, k: df.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "text_hash", "key", "bigrams", "chargrams", "anchors", "profile")]).withColumnRenamed(f"id_{k}", k)
     p = some.join(side(f, "a"), "a").join(side(h, "b"), "b")
     both = lambda n, m: m(F.col(f"{n}_a"), F.col(f"{n}_b"))
@@ -172,13 +242,14 @@ def _matrix(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def tf_cosine(current: DataFrame, hours: int = 4, least: float = 0.83) -> DataFrame:
     """Pairs (a later, b earlier) by plain term-frequency cosine."""
-    span = hours * 3600
-    c = counted(current)
-    a = c.withColumn("slot", F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) - 1)))
-    b = c.select(F.floor(F.col("t") / span).alias("slot"), "token", *[F.col(x).alias(f"{x}_b") for x in ("id", "t", "tf", "sq")])
-    j = a.join(b, ["slot", "token"]).where((F.col("t_b") < F.col("t")) & (F.col("t_b") >= F.col("t") - span))
-    g = j.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"), "sq", "sq_b").agg(F.sum(F.col("tf") * F.col("tf_b")).alias("dot"))
-    return g.select("a", "b", F.round(F.col("dot") / F.sqrt(F.col("sq") * F.col("sq_b")), 6).alias("score")).where(F.col("score") >= least)
+
+    def keep(s, a, b):
+        norm = np.sqrt(a["sq"][:, None] * b["sq"][None, :])
+        score = s["dot"] / np.where(norm > 0, norm, 1.0)
+        return (score >= least - 1e-6) & (a["t"][:, None] > b["t"][None, :]), (score,)
+
+    pairs = shared_tokens(current, None, hours, keep, ["score"])
+    return pairs.select("a", "b", F.round("score", 6).alias("score")).where(F.col("score") >= least)
 
 
 def merge_reports(dups: DataFrame, posts: DataFrame, most: int = 6) -> DataFrame:
