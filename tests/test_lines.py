@@ -97,9 +97,7 @@ def test_strategic_trend(spark):
     assert got == {"q": ("escalating", 3, 2.0), "r": ("de-escalating", 2, 0.02), "s": ("insufficient", 1, 0.0), "t": ("mixed", 2, 0.0)}
 
 
-def test_keyword_blocks_give_the_same(spark):
+def test_keywords_inside_words(spark):
     q = retrieval.prepare(spark.createDataFrame([(i, t) for i, t in enumerate(["harbour storm", "bridge 1200", "and the", "ferry"])], "query_id long, question string"))
     posts = spark.createDataFrame([(1, "Harbours closed"), (2, "a BRIDGE"), (3, "at 12005"), (4, None), (5, "ferryman in the storm")], "message_id long, raw_text string").withColumn("ts", F.current_timestamp())
-    want = [(0, 1), (0, 5), (1, 2), (1, 3), (3, 5)]
-    for block in (1, 2, 1000):
-        assert sorted((x.query_id, x.id) for x in retrieval.keyword_filter(q, posts, block=block).collect()) == want
+    assert sorted((x.query_id, x.id) for x in retrieval.keyword_filter(q, posts).collect()) == [(0, 1), (0, 5), (1, 2), (1, 3), (3, 5)]
