@@ -2,13 +2,19 @@
 
 The converter parses the version block of each ARC file (version 1: URL, address, date, type, length; version 2 adds
 result code, checksum, location, offset and filename), reads each document by its declared length and synthesises the
-WARC fields: an identifier from file and offset, a WARC-Date from the 14-digit date, the record type, block and
-payload digests. Equal payloads have one response, of the largest page id; the others become revisits of it.
+WARC fields: an identifier from file and offset, a WARC-Date from the date, the record type, block and payload digests.
+A version block becomes a warcinfo record, to which the records of its file refer; a document that begins with an HTTP
+head becomes a response, any other (dns, ftp, bare bodies) a resource of its declared type, whose payload is the whole
+block. Of equal payloads one record stays whole, that of the largest page id; the others become revisits of it, with
+their HTTP head as block, or an empty one.
 
 Archives are whole-file gzip text parts that Spark writes and lists, so any store that Spark reaches will do. A task
 holds one compressed file of its input split's size and decompresses it as a stream. Two rounds of parsing spare a
 copy of the payloads: the first yields digests only, and the decision about a record is joined by (file, offset).
 
+A compressed file is one value, so one beyond spark.sql.sources.binaryFile.maxLength (2 GiB) is an error, not a loss;
+write_arc's files are as large as the partitions of its pages.
+
 Defined results: a null html is an empty payload; a null url becomes `about:blank`; null page ids are ordered first
 (they are responses only where a payload has no other); repeated rows stay records of their own; an empty table gives
 no archives and no rows; other columns aren't read.
@@ -113,10 +119,11 @@ class _Stream:
         return self.take(i + 1 - self.pos)
 
 
-def arc_records(data: bytes):
-    """(offset, url, address, date, block) of an ARC file's documents; fields by the names that its header declares.
+def arc_entries(data: bytes):
+    """(kind, offset, url, address, date, type, block) of all records of an ARC file, the version block (warcinfo) first.
 
-    Only a file's first record is its version block; a document may have any url, filedesc: ones included.
+    Fields go by the names that the version block declares. Only a file's first record is that block; a document may have
+    any url, filedesc: ones included.
     """
     s, names = _Stream(data), None
     while True:
@@ -129,25 +136,46 @@ def arc_records(data: bytes):
         if names is None:
             if not fields[0].startswith("filedesc://"):
                 raise ValueError(f"no version block at the start of an ARC file: {line[:60]!r}")
-            body = s.take(int(fields[-1])).decode().split("\n")
+            block = s.take(int(fields[-1]))
+            body = block.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
             names = body[1].split(" ")
             if body[0].split(" ")[0] not in ("1", "2"):
                 raise ValueError(f"ARC version {body[0]!r}")
+            yield "warcinfo", at, fields[0], fields[1], fields[2], fields[3], block
             continue
         # a URL may hold blanks in old files: the fixed fields are counted from the end
         rest = len(names) - 1
         got = dict(zip(names, [" ".join(fields[:-rest]), *fields[-rest:]], strict=True))
-        yield at, got["URL"], got["IP-address"], got["Archive-date"], s.take(int(got["Archive-length"]))
+        block = s.take(int(got["Archive-length"]))
+        yield "response" if _split(block)[1] else "resource", at, got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], block
+
+
+def arc_records(data: bytes):
+    """(offset, url, address, date, block) of an ARC file's documents."""
+    return ((at, url, address, date, block) for kind, at, url, address, date, _, block in arc_entries(data) if kind != "warcinfo")
 
 
 def _split(block: bytes) -> tuple[dict, bytes, bytes]:
-    """HTTP fields, head and payload of a block."""
-    end = block.find(b"\r\n\r\n")
-    if end < 0:
+    """HTTP fields, head and payload of a block; no head where it doesn't begin with one that ends."""
+    end = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+    if not end:
         return {}, b"", block
-    head = block[: end + 4]
-    pairs = (x.split(":", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ":" in x)
-    return {k.lower(): v.strip() for k, v in pairs}, head, block[end + 4 :]
+    head = block[: end.end()]
+    pairs = (x.split(":", 1) for x in head.decode("latin-1").splitlines()[1:] if ":" in x)
+    return {k.lower(): v.strip() for k, v in pairs}, head, block[end.end() :]
+
+
+def when(date: str) -> str:
+    """A WARC-Date of an ARC date of 14 digits, or of the fewer that old files have (what is missing is its least value)."""
+    d = re.sub("[^0-9]", "", date)
+    d = d + "19700101000000"[len(d) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def _page(fields: dict) -> int | None:
+    """The page id that write_arc put into a head."""
+    page = fields.get("x-page-id", "")
+    return int(page) if re.fullmatch("-?[0-9]{1,18}", page) else None
 
 
 def _name(path: str) -> str:
@@ -168,8 +196,8 @@ def _in_batches(rows, kinds: pa.Schema, weight):
 
 
 INDEX = pa.schema([("file", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("size", pa.int64())])
-FULL = pa.schema([("file", pa.string()), ("at", pa.int64()), ("url", pa.string()), ("address", pa.string()), ("date", pa.string()), ("block", pa.binary())])
-BACK = pa.schema([("id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string())])
+FULL = pa.schema([("file", pa.string()), ("at", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("address", pa.string()), ("date", pa.string()), ("type", pa.string()), ("block", pa.binary())])
+BACK = pa.schema([("id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("type", pa.string())])
 
 
 def _files(spark: SparkSession, at: str) -> DataFrame:
@@ -190,41 +218,52 @@ def _parse(files: DataFrame, rows_of, kinds: pa.Schema, weight) -> DataFrame:
 def _index_rows(path, content):
     for at, _, _, _, block in arc_records(content):
         fields, _, payload = _split(block)
-        page = fields.get("x-page-id")
-        yield _name(path), at, None if page is None else int(page), digest(payload), len(payload)
+        yield _name(path), at, _page(fields), digest(payload), len(payload)
 
 
 def _full_rows(path, content):
-    for at, url, address, date, block in arc_records(content):
-        yield _name(path), at, url, address, date, block
+    for kind, at, url, address, date, mime, block in arc_entries(content):
+        yield _name(path), at, kind, url, address, date, mime, block
 
 
 def _record_id(file: str, at: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(HOME, f'{file}:{at}')}>"
 
 
+def _record(file, at, kind, url, address, date, mime, block, to_file, to_at) -> bytes:
+    """A WARC record of an ARC record; a revisit where another record (to_file, to_at) holds its payload."""
+    _, head, payload = _split(block) if kind == "response" else ({}, b"", block)
+    if kind == "warcinfo":
+        made = {"software": "newsmill", "format": "WARC File Format 1.1", "isPartOf": url, "description": f"converted from an ARC file of version {block[:1].decode('latin-1')}"}
+        body, mime = "".join(f"{k}: {v}\r\n" for k, v in made.items()).encode(), "application/warc-fields"
+        named = [("WARC-Filename", f"{file.rsplit('/', 1)[-1].removesuffix('.gz')}.warc.gz")]
+    else:
+        body = block if to_file is None else head
+        mime = "application/http; msgtype=response" if head else mime
+        named = [("WARC-Target-URI", url), ("WARC-IP-Address", "" if address in ("0.0.0.0", "-") else address), ("WARC-Warcinfo-ID", _record_id(file, 0))]
+        if to_file is not None:
+            named += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(to_file, to_at))]
+        named += [("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    fields = [("WARC-Type", kind if to_file is None else "revisit"), ("WARC-Record-ID", _record_id(file, at)), ("WARC-Date", when(date)), *named]
+    fields += [("WARC-Block-Digest", f"sha1:{digest(body)}"), ("Content-Type", mime if body or to_file is None else ""), ("Content-Length", str(len(body)))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v) + "\r\n").encode() + body
+
+
 def convert(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
-    """ARC files into WARC files. Records of equal payloads of `least` bytes or more become one response and revisits."""
+    """ARC files into WARC files. Records of equal payloads of `least` bytes or more become one whole record and revisits."""
     index = stage(_parse(_files(spark, arc), _index_rows, INDEX, lambda r: 100), "arc-index")
     first = index.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "file", "at")).alias("best"))
     decided = index.join(first, "digest").where((F.col("file") != F.col("best.file")) | (F.col("at") != F.col("best.at")))
     decided = decided.where(F.col("size") >= least).select("file", "at", F.col("best.file").alias("to_file"), F.col("best.at").alias("to_at"))
     full = _parse(_files(spark, arc), _full_rows, FULL, lambda r: len(r[-1]))
-    rows = full.join(decided, ["file", "at"], "left").select("file", "at", "url", "address", "date", "block", "to_file", "to_at")
+    rows = full.join(decided, ["file", "at"], "left").select("file", "at", "kind", "url", "address", "date", "type", "block", "to_file", "to_at")
     rows = rows.coalesce(max(1, index.select("file").distinct().count()))  # as many WARC files as there are ARC files at most
 
     def write(batches):
         for batch in batches:
             out = []
-            for file, at, url, address, date, block, to_file, to_at in (x for i in range(0, batch.num_rows, 256) for x in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)):
-                _, head, payload = _split(block)
-                when = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-                body = block if to_file is None else head
-                lines = ["WARC/1.1", f"WARC-Type: {'response' if to_file is None else 'revisit'}", f"WARC-Record-ID: {_record_id(file, at)}", f"WARC-Date: {when}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {address}"]
-                if to_file is not None:
-                    lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(to_file, to_at)}"]
-                lines += [f"WARC-Block-Digest: sha1:{digest(body)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
-                out.append("\r\n".join(lines).encode() + body)
+            for row in (x for i in range(0, batch.num_rows, 256) for x in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)):
+                out.append(_record(*row))
                 if sum(map(len, out[-64:])) >= BATCH or len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
@@ -251,18 +290,24 @@ def warc_records(data: bytes):
 
 def _back_rows(path, content):
     for fields, block in warc_records(content):
-        http, _, payload = _split(block)
-        named = fields["warc-payload-digest"].removeprefix("sha1:")
-        if fields["warc-block-digest"] != f"sha1:{digest(block)}" or fields["warc-type"] == "response" and digest(payload) != named:
+        kind, mime, named = fields["warc-type"], fields.get("content-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        http, _, payload = _split(block) if (mime or "").startswith("application/http") else ({}, b"", block)
+        whole = kind in ("response", "resource")
+        if fields["warc-block-digest"] != f"sha1:{digest(block)}" or whole and digest(payload) != named:
             raise ValueError(f"digest of {fields['warc-record-id']} in {path}")
-        page = http.get("x-page-id")
-        size = len(payload) if fields["warc-type"] == "response" else int(http["content-length"])
-        yield fields["warc-record-id"], fields["warc-type"], None if page is None else int(page), size, named, fields.get("warc-refers-to")
+        yield fields["warc-record-id"], kind, _page(http), len(payload) if whole else None, named or None, fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields["warc-date"], mime
 
 
 def read_warc(spark: SparkSession, at: str) -> DataFrame:
-    """One row for each record: id, kind, page_id, payload_bytes, payload_digest, refers_to_id. Digests are verified."""
-    return _parse(_files(spark, at), _back_rows, BACK, lambda r: 200)
+    """One row for each record: id, kind, page_id, payload_bytes, payload_digest, refers_to_id, uri, date, type.
+
+    Digests are verified. Payloads of revisits stand in the records that they refer to, so theirs are resolved there; a
+    revisit whose payload isn't in the archives, or has another digest, has no payload_bytes.
+    """
+    back = stage(_parse(_files(spark, at), _back_rows, BACK, lambda r: 300), "warc-index")
+    held = back.where("kind IN ('response', 'resource')").select(F.col("id").alias("refers_to_id"), "payload_digest", F.col("payload_bytes").alias("held_bytes"))
+    seen = back.where("kind = 'revisit'").join(held, ["refers_to_id", "payload_digest"], "left").withColumn("payload_bytes", F.col("held_bytes"))
+    return back.where("kind <> 'revisit'").unionByName(seen.drop("held_bytes"))
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -271,7 +316,7 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_arc(pages, f"{at}/arc")
     convert(spark, f"{at}/arc", f"{at}/warc", least)
-    back = stage(read_warc(spark, f"{at}/warc"), "warc-index")
+    back = stage(read_warc(spark, f"{at}/warc").where("kind <> 'warcinfo'"), "warc-pages")
     seen = back.where("kind = 'response'").select(F.col("id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     rows = back.where("kind = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(back.where("kind = 'revisit'").join(seen, "refers_to_id", "left"))
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
