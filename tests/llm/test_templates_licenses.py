@@ -1,7 +1,10 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsmill.llm import licenses, templates
@@ -105,3 +108,113 @@ def test_licenses(spark):
     out = {(x.doc_id, x.families) for x in licenses.scan(odd, model).collect()}
     assert (None, "MIT") in out and (1, "") in out and (3, "") in out
     assert licenses.scan(odd.limit(0), model).count() == 0
+
+
+#: Licences of no family that the model knows.
+OUTSIDE = [
+    "Licensed under the European Union Public Licence, version 1.2 or later.",
+    "Boost Software License, Version 1.0. Permission is granted to use, reproduce, display, distribute, execute, and transmit the software.",
+    "This file is licensed under the Eclipse Public License, version 2.0, which accompanies this distribution.",
+    "This work is licensed under the Open Data Commons Open Database License.",
+    "Licensed under the Academic Free License, version 3.0.",
+    "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License.",
+    "The terms of the Microsoft Reciprocal License apply to this software and its documentation.",
+    "Distributed under the terms of the Common Development and Distribution License.",
+]
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def brute_paragraphs(text):
+    """(number of its first line, its lines) of each paragraph."""
+    out, open_ = [], False
+    for i, x in enumerate((text or "").split("\n")):
+        if not x.strip(" \t\r\f\v"):
+            open_ = False
+            continue
+        if open_:
+            out[-1][1].append(x)
+        else:
+            out.append((i, [x]))
+        open_ = not re.search(r"""[.!?:;]["')\]]*[ \t\r\f\v]*$""", x)
+    return out
+
+
+def brute_scan(model, text):
+    """What scan finds, by plain loops: paragraph by paragraph, word by word."""
+
+    def one(t):
+        w = words_of(t)
+        grams = [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+        z = [float(b) for b in model.bias]
+        for g in grams:
+            number = licenses.features(pa.array([" ".join(g)]))[0][-1]
+            for k in range(len(z)):
+                z[k] += float(model.weights[number, k]) / math.sqrt(len(grams))
+        top = max(z)
+        e = [math.exp((x - top) / model.temperature) for x in z]
+        p = [x / sum(e) for x in e]
+        if 1 - p[-1] <= model.bar:
+            return None
+        k = max(range(len(p) - 1), key=lambda i: (p[i], -i))
+        mine = set(zip(w, w[1:], strict=False)) or set(w)
+        alike = max(len(mine & n) / min(len(mine), len(n)) for n in (set(zip(words_of(t), words_of(t)[1:], strict=False)) for t in licenses.NOTICES[licenses.CLASSES[k]]))
+        return licenses.CLASSES[k] if p[k] / sum(p[:-1]) >= model.sure and alike >= licenses.CONFIRM else "unknown"
+
+    found, parts = [], brute_paragraphs(text)
+    for i, lines in parts:
+        whole = one(" ".join(lines))
+        if whole:
+            found.append((i, whole))
+        elif len(lines) > 1:
+            numbers = [j for j, x in enumerate(text.split("\n")) if j >= i and x.strip()][: len(lines)]
+            found += [(j, k) for j, k in zip(numbers, map(one, lines), strict=True) if k]
+    return len(parts), ",".join(f"{i}:{k}" for i, k in sorted(found))
+
+
+def test_license_scan_against_brute_force(spark):
+    r = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.train(docs)
+    prose = [x for d in docs.limit(30).collect() for x in d.text.split("\n")[:4]]
+    wrap = lambda t, n: re.sub(rf"(.{{{n},}}?) ", r"\1\n", t)
+    notices = [t for v in licenses.NOTICES.values() for t in v]
+    texts = [None, "", "\n \n\n", "Released under the MIT License.", "日本語の文章です。\nMIT ライセンス", "\u0645\u0631\u062d\u0628\u0627 " * 40]
+    for i, t in enumerate([*notices, *OUTSIDE]):
+        parts = [r.choice(prose), wrap(t, 40) if i % 2 else t, r.choice(prose)[:200]]
+        texts.append(("\n\n" if i % 3 else "\n").join(parts))
+    texts.append("no end here\nReleased under the MIT License\nand no end there\n" + "\n".join(["words of no kind"] * 30))
+    texts += texts[3:9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lines", F.lit("clash")).repartition(5)
+    got = {x.doc_id: x for x in licenses.scan(df, model).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        n, lines = brute_scan(model, t)
+        assert (got[i].n_paragraphs, got[i].lines) == (n, lines), t
+        kinds = [x.split(":")[1] for x in lines.split(",") if x]
+        assert (got[i].n_licensed, got[i].n_unknown) == (sum(k != "unknown" for k in kinds), kinds.count("unknown"))
+        assert got[i].families == ",".join(sorted(set(kinds) - {"unknown"}))
+
+
+def test_wrapped_notices_and_unknown_licences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.train(docs)
+    assert model.known_below <= licenses.UNSURE + 0.01 and 0 < model.sure < 1
+    rows = [(k, re.sub(r"(.{35,}?) ", r"\1\n", t)) for k, v in licenses.NOTICES.items() for t in v]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(df, model).collect()}
+    right = sum(k in got[i].families.split(",") for i, (k, _) in enumerate(rows))
+    assert right >= 0.9 * len(rows)
+    out = licenses.scan(spark.createDataFrame(list(enumerate(OUTSIDE)), "doc_id long, text string"), model).collect()
+    assert sum(x.n_unknown > 0 for x in out) >= 0.7 * len(OUTSIDE)
+    assert sum(x.n_licensed > 0 for x in out) <= 1
+
+
+def test_license_features_are_counts():
+    """Equal counts of 1- and 2-grams give equal features, others don't."""
+    lines = ["a b c a b", "A b C a B", "b a b c a", "", "ä 日本 x1", "a"]
+    f, first = licenses.features(pa.array(lines))
+    sets = [tuple(np.sort(f[first[i] : first[i + 1]])) for i in range(len(lines))]
+    assert sets[0] == sets[1] and sets[0] != sets[2] and sets[3] == () and len(sets[4]) == 5 and len(sets[5]) == 1
