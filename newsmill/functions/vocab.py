@@ -33,6 +33,13 @@ QUERY_GENERIC_TERMS = (
     "everything anything channel channels feed feeds wire wires currently overall see stand stands you yesterday"
 ).split()
 
+#: Words that show that a line is English, and words that show that it isn't (fixed values of the language gate).
+ENGLISH_WORDS = (
+    "a an and are as at after against amid before between by for from in into is it its of on or the their this to "
+    "toward towards under was were while with within"
+).split()
+FOREIGN_CUES = ("kebakaran", "terjadi", "sebuah", "desa", "khushi", "leher", "paglus", "serangan", "warga", "pasukan", "pemerintah")
+
 # Story facts (fixed values).
 STORY_NUMBERS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",

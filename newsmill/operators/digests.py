@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.functions import vocab as V
 from newsmill.operators.keyed import systematic_sample
 from newsmill.sources.views import stage
 
@@ -166,6 +167,23 @@ def expire(rows: DataFrame, now, hours: int) -> DataFrame:
     return rows.where(F.unix_seconds("ts") >= F.unix_seconds(F.lit(now).cast("timestamp")) - hours * 3600)
 
 
-def needs_translation(text):
-    """Whether a line isn't English: four or more non-ASCII letters."""
-    return F.regexp_count(text, F.lit(r"[\x{C0}-\x{24F}\x{400}-\x{4FF}\x{600}-\x{6FF}]")) >= 4
+def needs_translation(text, english=V.ENGLISH_WORDS, cues=V.FOREIGN_CUES):
+    """Whether a line isn't English; false for null and empty ones.
+
+    It isn't if it has an Arabic or Cyrillic letter, or four letters or more outside ASCII. Among six words or more two
+    such letters and one English word at most are enough, among eight one letter and no English word; and among five
+    words or more without an English one, a cue word is.
+    """
+    text = F.coalesce(text, F.lit(""))
+    foreign = F.regexp_count(text, F.lit(r"\p{L}")) - F.regexp_count(text, F.lit("[A-Za-z]"))
+
+    def known(pattern, words):
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
+        return F.size(found), F.size(F.filter(found, lambda w: w.isin(*words)))
+
+    n, some = known(r"[A-Za-z\x{C0}-\x{FF}][A-Za-z\x{C0}-\x{FF}'/-]*", english)
+    plain, cue = known("[A-Za-z][A-Za-z'/-]*", cues)
+    _, plain_some = known("[A-Za-z][A-Za-z'/-]*", english)
+    script = text.rlike(r"[\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{400}-\x{4FF}]")
+    few = (n >= 6) & (((foreign >= 2) & (some <= 1)) | ((foreign >= 1) & (some == 0) & (n >= 8)))
+    return script | (foreign >= 4) | few | ((plain >= 5) & (plain_some == 0) & (cue > 0))

@@ -119,7 +119,21 @@ def i12_widen_window(spark, sf_dir):
     return w.groupBy("query_id", "expanded").agg(F.count(F.lit(1)).alias("posts"))
 
 
-@query(f"SELECT message_id, len(regexp_extract_all(raw_text, '[\\x{{C0}}-\\x{{24F}}\\x{{400}}-\\x{{4FF}}\\x{{600}}-\\x{{6FF}}]')) >= 4 AS needs_translation FROM {POSTS}")
+_GATE = f"""WITH l AS (SELECT message_id, channel_id, unnest(string_split(coalesce(raw_text, ''), chr(10))) AS t FROM {POSTS}),
+w AS (SELECT *, len(regexp_extract_all(t, '\\p{{L}}')) - len(regexp_extract_all(t, '[A-Za-z]')) AS f, regexp_extract_all(t, '[A-Za-z\\x{{C0}}-\\x{{FF}}][A-Za-z\\x{{C0}}-\\x{{FF}}''/-]*') AS ws, regexp_extract_all(t, '[A-Za-z][A-Za-z''/-]*') AS ps FROM l),
+h AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: lower(x) IN ({quoted(V.ENGLISH_WORDS)}))) AS hits, len(list_filter(ps, lambda x: lower(x) IN ({quoted(V.ENGLISH_WORDS)}))) AS plain_hits, len(list_filter(ps, lambda x: lower(x) IN ({quoted([*V.FOREIGN_CUES, 'der', 'los'])}))) AS cues FROM w),
+g AS (SELECT *, regexp_matches(t, '[\\x{{600}}-\\x{{6FF}}\\x{{750}}-\\x{{77F}}\\x{{8A0}}-\\x{{8FF}}\\x{{400}}-\\x{{4FF}}]') OR f >= 4 OR (n >= 6 AND ((f >= 2 AND hits <= 1) OR (f >= 1 AND hits = 0 AND n >= 8))) OR (len(ps) >= 5 AND plain_hits = 0 AND cues > 0) AS foreign_ FROM h)"""
+
+
+@query(f"""{_GATE} SELECT message_id, count(*) FILTER (trim(t) <> '') AS lines, count(*) FILTER (foreign_) AS foreign_lines FROM g GROUP BY message_id""")
+def b7_foreign_lines(spark, sf_dir):
+    """Line by line, with two words of the invented corpus as further cues."""
+    line = posts(spark, sf_dir).select("message_id", F.explode(F.split(F.coalesce("raw_text", F.lit("")), "\n", -1)).alias("t"))
+    foreign = G.needs_translation(F.col("t"), cues=[*V.FOREIGN_CUES, "der", "los"])
+    return line.groupBy("message_id").agg(F.count_if(F.trim("t") != "").alias("lines"), F.count_if(foreign).alias("foreign_lines"))
+
+
+@query(f"""{_GATE.replace("unnest(string_split(coalesce(raw_text, ''), chr(10)))", "coalesce(raw_text, '')").replace(", 'der', 'los'", "")} SELECT message_id, foreign_ AS needs_translation FROM g""")
 def b7_language_gate(spark, sf_dir):
     return posts(spark, sf_dir).select("message_id", G.needs_translation(F.col("raw_text")).alias("needs_translation"))
 

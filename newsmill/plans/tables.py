@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
+from newsmill.operators import gates as G
 from newsmill.operators import keyed as K
 from newsmill.plans.base import NORMED, POSTS, quoted, registry, squeeze, tokens
 from newsmill.sources.views import posts, read_posts_jsonl, shared_path, stage, table
@@ -96,11 +97,17 @@ def b4_window_slice(spark, sf_dir):
 @query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)
 SELECT page_id, host FROM h WHERE host = 'example.net' OR ends_with(host, '.example.net') OR host = 'example.org' OR ends_with(host, '.example.org')""")
 def b6_allowlist(spark, sf_dir):
-    allowed = spark.createDataFrame([("example.net",), ("example.org",)], "suffix string")
+    allowed = spark.createDataFrame([("example.net",), (".Example.org ",)], "domain string")
     hosts = table(spark, sf_dir, "pages").select("page_id", F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return hosts.where("host IS NOT NULL").withColumn("suffix", F.explode(suffixes)).join(F.broadcast(allowed), "suffix", "left_semi").select("page_id", "host").distinct()
+    return G.allowlist(hosts, allowed, "host")
+
+
+@query(f"""WITH b AS (SELECT message_id, channel_id, trim(regexp_replace(lower(coalesce(channel_id, '')), '[^a-z0-9. -]+', '', 'g')) AS b FROM {POSTS})
+SELECT message_id, channel_id FROM b WHERE b || '.co.uk' = 'src1.co.uk' OR b || '.com' = 'src12.com' OR b = 'src3' OR b || '.org' = 'src0.org'""")
+def b6_source_labels(spark, sf_dir):
+    """Posts without a host, by their source's label."""
+    allowed = spark.createDataFrame([("src1.co.uk",), ("SRC12.com",), ("src3",), (".src0.org",), ("other.example",), (None,)], "domain string")
+    return G.allowlist(posts(spark, sf_dir).withColumn("host", F.lit(None).cast("string")), allowed, "host", "channel_id").select("message_id", "channel_id")
 
 
 @query(f"""SELECT message_id FROM {POSTS} WHERE CAST(('0x' || sha256(lower(raw_text))[1:8]) AS BIGINT) / 4294967295.0 < 0.25""")
