@@ -89,11 +89,33 @@ def _signals(spark, sf_dir):
     return R.story_signals(hits, top, posts(spark, sf_dir)), top
 
 
-@query()
+_WORDS = ", ".join(f"'{k}': '{v}'" for k, v in V.NUMBER_WORDS.items())
+_SIGNALS = f"""{_SCORES}, c(category, label, priority, breaking, bias, file_order) AS (VALUES {_CATS}),
+top AS (SELECT * FROM (SELECT id, category, breaking, row_number() OVER (PARTITION BY id ORDER BY score DESC, longest DESC, priority DESC, n_primary DESC, file_order) AS rank FROM scores JOIN c USING (category)) WHERE rank = 1),
+frame AS (SELECT id, {', '.join(f"count(DISTINCT phrase) FILTER (field = '{f}') AS {f}" for f in ('action', 'target'))}, {', '.join(f"count(DISTINCT phrase) FILTER (field = '{f}' AND category = '*') AS {f}" for f in ('recency', 'official', 'negative', 'hedge'))} FROM hits GROUP BY id),
+t AS (SELECT message_id AS id, {squeeze("raw_text")} AS text, len(list_distinct(list_concat(regexp_extract_all(lower(raw_text), '[0-9]+'), list_transform(list_filter(regexp_extract_all(lower(raw_text), '[a-z]+'), lambda w: w IN ({quoted(V.NUMBER_WORDS)})), lambda w: map {{{_WORDS}}}[w])))) AS counts FROM {POSTS}),
+f0 AS (SELECT t.id, category, coalesce(breaking, false) AS breaking, counts, text, {', '.join(f"coalesce({f}, 0) AS {f}" for f in ('action', 'target', 'recency', 'official', 'negative', 'hedge'))} FROM t LEFT JOIN frame USING (id) LEFT JOIN top USING (id)),
+f1 AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.2::DOUBLE, 0.35::DOUBLE * action) + least(0.8::DOUBLE, 0.2::DOUBLE * target) + least(0.5::DOUBLE, 0.15::DOUBLE * least(counts, 8)) + least(1.0::DOUBLE, 0.45::DOUBLE * recency) + least(1.0::DOUBLE, 0.4::DOUBLE * official) + CASE WHEN breaking THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END - least(2.0::DOUBLE, 0.65::DOUBLE * negative) - least(0.5::DOUBLE, 0.2::DOUBLE * hedge)), 4) AS live_event_score,
+  regexp_matches(text, '(?i)^(what|why|how|who|when|where|is|are|can|will)\\b') AS question_led, category IS NOT NULL OR action + target + counts > 0 AS concrete_event, official > 0 AND hedge = 0 AS official_development FROM f0),
+f2 AS (SELECT *, negative > 0 OR question_led AS explainer_like, (negative > 0 OR question_led) AND NOT (official_development OR (breaking AND recency > 0 AND concrete_event)) AS downgrade_explainer FROM f1),
+sig AS (SELECT *, (live_event_score >= 1.6 OR (concrete_event AND (official_development OR recency > 0) AND least(2.0::DOUBLE, 0.65::DOUBLE * negative) < 0.8)) AND NOT downgrade_explainer AS live_event_update FROM f2)"""
+
+
+@query(f"WITH {_SIGNALS} SELECT id, category, breaking, action, target, recency, official, negative, hedge, live_event_score, question_led, concrete_event, official_development, explainer_like, downgrade_explainer, live_event_update FROM sig")
 def e2_story_signals(spark, sf_dir):
     return _signals(spark, sf_dir)[0]
 
 
+#: Our own keywords of breaking news, over the corpus vocabulary.
+KEYWORDS = ["thor", "inti ", "ouble.", "PORTH"]
+
+
+@query(f"""WITH {_SIGNALS}, k AS (SELECT *, {' + '.join(f"contains(lower(text), '{k.strip().lower()}')::INT" for k in KEYWORDS)} AS keyword_hits FROM sig)
+SELECT id, keyword_hits, live_event_update AND NOT downgrade_explainer AND (breaking OR keyword_hits >= 2) AS admitted FROM k""")
+def b12_breaking_gate(spark, sf_dir):
+    return R.breaking_gate(_signals(spark, sf_dir)[0], posts(spark, sf_dir), KEYWORDS, 2)
+
+
 @query()
 def e14_taxonomy_health(spark, sf_dir):
     s = _signals(spark, sf_dir)[0].join(posts(spark, sf_dir).select(F.col("message_id").alias("id"), "ts"), "id")
