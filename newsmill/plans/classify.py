@@ -116,7 +116,8 @@ def b12_breaking_gate(spark, sf_dir):
     return R.breaking_gate(_signals(spark, sf_dir)[0], posts(spark, sf_dir), KEYWORDS, 2)
 
 
-@query()
+@query(f"""WITH {_SIGNALS}, w AS (SELECT sig.*, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end FROM sig JOIN {POSTS} AS d ON d.message_id = sig.id)
+SELECT window_end, count(*) AS posts, round(avg((category IS NULL)::INT), 6) AS fallback_rate, round(avg((category IS NULL)::INT) FILTER (concrete_event), 6) AS unmatched_rate FROM w GROUP BY window_end""")
 def e14_taxonomy_health(spark, sf_dir):
     s = _signals(spark, sf_dir)[0].join(posts(spark, sf_dir).select(F.col("message_id").alias("id"), "ts"), "id")
     live = F.col("concrete_event")
