@@ -187,6 +187,28 @@ def merge_reports(dups: DataFrame, posts: DataFrame, most: int = 6) -> DataFrame
     return src.select(F.col("matched").alias("id"), F.array_join("others", ", ").alias("also_reported_by"))
 
 
+def live_reports(dups: DataFrame, posts: DataFrame, minutes: int = 30, most: int = 6) -> DataFrame:
+    """id, also_reported_by, reports, last_ts of kept posts: other sources that reported while the post was live.
+
+    dups: id and matched (the kept post). A post is live for some minutes from its own time, and again from each report
+    of a source that is new to it; once that has passed, later reports are lost to it. A source counts once, by its first
+    report; the post's own source doesn't count. `reports` counts all sources, the list names the first by name. Null and
+    blank sources are one, `another channel`; duplicates without a time are left out. Only the first report of each
+    (post, source) is sorted, so a post with very many copies is pre-aggregated before.
+    """
+    named = F.coalesce(F.nullif(F.trim("source_name"), F.lit("")), F.lit("another channel"))
+    p = posts.select(F.col("message_id").alias("id"), named.alias("_source"), F.unix_seconds("ts").alias("_t"))
+    first = dups.select("id", "matched").join(p.where("_t IS NOT NULL"), "id").groupBy("matched", "_source").agg(F.min("_t").alias("_t"))
+    own = p.select(F.col("id").alias("matched"), F.col("_source").alias("_own"), F.col("_t").alias("_begin"))
+    first = first.join(own, "matched").where("_source <> _own AND _t >= _begin")
+    by_time = Window.partitionBy("matched").orderBy("_t", "_source")
+    gap = F.col("_t") - F.coalesce(F.lag("_t").over(by_time), F.col("_begin"))
+    live = first.withColumn("_late", (gap > 60 * minutes).cast("int"))
+    live = live.withColumn("_late", F.max("_late").over(by_time)).where("_late = 0")
+    g = live.groupBy("matched").agg(F.sort_array(F.collect_set("_source")).alias("_sources"), F.max("_t").alias("_t"))
+    return g.select(F.col("matched").alias("id"), F.array_join(F.slice("_sources", 1, most), ", ").alias("also_reported_by"), F.size("_sources").cast("long").alias("reports"), F.timestamp_seconds("_t").alias("last_ts"))
+
+
 def media_duplicates(signatures: DataFrame, hours: int = 4, newest: int = 25, least: float = 0.32) -> DataFrame:
     """id, matched, score: signatures (id, ts, media_hash, raw_text) whose media an earlier post had, and that post.
 

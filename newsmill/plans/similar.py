@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsmill.functions import text as T
 from newsmill.operators import dedup as D
 from newsmill.plans.base import NORMED, registry, tokens
 from newsmill.sources.views import posts, stage, table
@@ -70,6 +71,21 @@ def e9_duplicate_merge(spark, sf_dir):
     return D.merge_reports(D.best_match(pairs, kept).join(kept.where("NOT kept"), "id"), p)
 
 
+@query(f"""WITH RECURSIVE n AS (SELECT message_id AS id, channel_id AS source, epoch(ts)::BIGINT AS t, min(message_id) OVER (PARTITION BY text_hash) AS matched FROM {NORMED}),
+f AS (SELECT n.matched, n.source, min(n.t) AS t, any_value(o.t) AS begin_ FROM n JOIN n AS o ON o.id = n.matched WHERE n.id <> n.matched AND n.source <> o.source GROUP BY n.matched, n.source),
+o AS (SELECT *, row_number() OVER (PARTITION BY matched ORDER BY t, source) AS r FROM f),
+g(matched, r, source, t) AS (SELECT matched, r, source, t FROM o WHERE r = 1 AND t - begin_ <= 21600
+  UNION ALL SELECT o.matched, o.r, o.source, o.t FROM g JOIN o ON o.matched = g.matched AND o.r = g.r + 1 WHERE o.t - g.t <= 21600)
+SELECT matched AS id, array_to_string(list_sort(list(source))[1:6], ', ') AS also_reported_by, count(*) AS reports, (TIMESTAMP '1970-01-01' + to_seconds(max(t)))::TIMESTAMP AS last_ts FROM g GROUP BY matched""")
+def e9_live_reports(spark, sf_dir):
+    """Posts of equal text report the earliest of them, which is live for six hours, as the table has a post each minute."""
+    p = posts(spark, sf_dir)
+    key = T.fingerprint(T.normalize(F.col("raw_text")))
+    first = p.groupBy(key.alias("k")).agg(F.min("message_id").alias("matched"))
+    dups = p.select(F.col("message_id").alias("id"), key.alias("k")).join(first, "k").where("id <> matched")
+    return D.live_reports(dups, p, 360)
+
+
 @query()
 def d4_media_duplicates(spark, sf_dir):
     """A text's length stands for the hash of its media."""

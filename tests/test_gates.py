@@ -1,3 +1,4 @@
+from newsmill.operators import dedup as D
 from newsmill.operators import digests as G
 from newsmill.operators import gates
 from newsmill.operators import rules as R
@@ -35,3 +36,13 @@ def test_breaking_gate(spark):
     gate = lambda words, least=1: {r.id: (r.keyword_hits, r.admitted) for r in R.breaking_gate(sig, posts, words, least).collect()}
     assert gate(["storm", "big storm", " Storm"]) == {1: (0, True), 2: (2, True), 3: (1, False), 4: (1, False), 5: (0, False), 6: (1, False)}
     assert not gate(["storm"], 2)[2][1] and not gate([])[2][1] and gate([])[1][1]
+
+
+def test_live_reports(spark):
+    minute = {1: (0, "a"), 2: (10, "b"), 3: (35, "b"), 4: (40, "c"), 5: (75, "d"), 6: (80, "e"), 11: (0, "a"), 12: (5, "a"), 13: (31, "b"), 21: (0, None), 22: (30, " "), 23: (30, "z"), 24: (60, "y")}
+    posts = spark.createDataFrame([(i, s, t) for i, (t, s) in minute.items()], "message_id long, source_name string, t int").select("message_id", "source_name", F.timestamp_seconds(F.col("t") * 60).alias("ts"))
+    dups = spark.createDataFrame([(i, i // 10 * 10 + 1) for i in minute if i % 10 != 1] * 2, "id long, matched long")
+    got = {r.id: (r.also_reported_by, r.reports) for r in D.live_reports(dups, posts).collect()}
+    assert got == {1: ("b, c", 2), 21: ("y, z", 2)}  # d comes 35 minutes after c, and e finds the post gone
+    assert D.live_reports(dups, posts, most=1).where("id = 1").first()[1:3] == ("b", 2)
+    assert D.live_reports(dups.limit(0), posts).count() == 0
