@@ -162,6 +162,18 @@ def recent_history(turns: DataFrame, by: str, order: str, k: int) -> DataFrame:
     return turns.withColumn("back", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("back") <= k)
 
 
+def live_history(turns: DataFrame, by: str, order: list[str], k: int, now, hours: int = 24) -> DataFrame:
+    """The last k turns (with ts) of each sender whose newest one is at most `hours` before now; order breaks ties of ts.
+
+    Turns older than that stay where the sender is live. Null times are the oldest; a sender without any time isn't live.
+    The newest k are found before the shuffle, so a hot sender moves k rows a task.
+    """
+    newest = Window.partitionBy(by).orderBy(F.desc("ts"), *[F.desc(c) for c in order])
+    last = turns.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= k)
+    last = last.withColumn("_newest", F.max("ts").over(Window.partitionBy(by)))
+    return last.where(F.unix_micros("_newest") >= F.unix_micros(F.lit(now).cast("timestamp")) - hours * 3_600_000_000).drop("_newest")
+
+
 def expire(rows: DataFrame, now, hours: int) -> DataFrame:
     """Rows no older than their time to live."""
     return rows.where(F.unix_seconds("ts") >= F.unix_seconds(F.lit(now).cast("timestamp")) - hours * 3600)

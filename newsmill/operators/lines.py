@@ -8,20 +8,38 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions.fuzzy import profile, ratio, ratio_bound
+from newsmill.operators.digests import needs_translation
 from newsmill.operators.rail import line_key, strength
 from newsmill.sources.views import stage
 
-#: Checks of a line in order: code, pattern. Their phrases are rule data; a caller may give its own.
+#: What happened, in words that make a line stand alone.
+ACTION = r"(?i)\b(?:killed|wounded|struck|attacked|arrested|signed|launched|closed|evacuated|resigned|approved)\b"
+#: Checks of a line in order: code, pattern and, for some, what lifts it. Their phrases are rule data; a caller may give its own.
 CHECKS = (
     ("question_line", r"\?"),
     ("continuation_line", r"^(?i:and|but|or|so|then|also|because|which|while)\b"),
     ("dependent_line", r"^(?i:he|she|they|it|this|these|those|that)\b"),
     ("banter_line", r"(?i)\b(?:lol|haha|imho|in my opinion|i think|i believe)\b"),
+    ("banter_line", r"(?i)\b(?:i|we) (?:need|must|should|hope|want|love|hate)\b"),
+    ("banter_line", r"(?i)\b(?:shameful|disgraceful|ridiculous|no wonder|of course)\b"),
+    ("vague_copy", r"(?i)^(?:imagine|remember when|guess what|here is why|what if|let that sink in)\b"),
     ("soft_news", r"(?i)\b(?:horoscope|recipe|celebrity|lottery|giveaway)\b"),
     ("history_fragment", r"(?i)\b(?:on this day|years ago today|anniversary of)\b"),
+    ("vague_copy", r"(?i)^(?:something|things|more details|details|updates?) (?:is|are|will|to) (?:be )?(?:happening|follow|come|coming|emerging|unclear)\b"),
+    ("vague_copy", r"(?i)^(?:it is |now |officially )?confirmed\W*$"),
+    ("banter_line", r"(?i)\b(?:likes|views|followers|retweets|subscribers|trending)\b", ACTION),
+    ("ungrounded_copy", r"(?i)^(?:we|they) will (?:strike|destroy|attack|avenge|respond)\b"),
+    ("dependent_line", r"(?i)^(?:claims?|says?|said|reported|according to)\b"),
+    ("low_value", r"!!|^[\"“][^\"”]*[\"”]\W*$"),
     ("incomplete_copy", r"(?i)(?:\b(?:and|or|the|a|an|of|to|in|with|for|by)\W*|\.\.\.|…|[,:;-]\s*)$"),
+    ("incomplete_copy", "^[^\"]*\"(?:[^\"]*\"[^\"]*\")*[^\"]*$"),
     ("continuation_line", r"^[a-z]"),
+    ("soft_news", r"(?i)\b(?:explained|explainer|what we know|timeline of|analysis)\b", ACTION),
 )
+#: Checks behind those of length.
+LAST_CHECKS = (("vague_copy", r"(?i)\b(?:situation (?:is )?(?:developing|unfolding)|developing story|tensions (?:remain|are) high)\b"),)
+#: First and second person; "us" counts in small letters alone, as "US" is a name.
+PRONOUNS = "(?i:i|we|me|my|mine|our|ours|you|your|yours)|us"
 #: Words of escalation that a copy may not add.
 ESCALATION = ("war", "massive", "devastating", "unprecedented", "catastrophic", "escalation")
 HEDGES = ("reportedly", "alleged", "allegedly", "unconfirmed", "claims", "claimed", "may", "might", "could", "possibly", "suspected")
@@ -31,19 +49,28 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
 
 
-def line_issue(line: Column, checks=CHECKS, action: str = r"\d") -> Column:
-    """Code of the first check that a line fails, else an empty string; lines without an action or number are thin."""
+def line_issue(line: Column, checks=CHECKS, action: str = r"\d", english: bool = False, last=LAST_CHECKS) -> Column:
+    """Code of the first check that a line fails, else an empty string; lines without an action or number are thin.
+
+    english asks for an English line as well, after the test for empty ones.
+    """
     x = T.squeeze(F.coalesce(line, F.lit("")))
-    rules = [(x == "", "empty_output"), *[(x.rlike(pattern), code) for code, pattern in checks], (F.size(words(x)) < 5, "headline_too_thin"), (~x.rlike(action), "headline_too_thin")]
+    of = lambda known: [(_and_not(x, *patterns), code) for code, *patterns in known]
+    foreign = [(needs_translation(x), "non_english_leftovers")] if english else []
+    rules = [(x == "", "empty_output"), *foreign, *of(checks), (F.size(words(x)) < 5, "headline_too_thin"), (~x.rlike(action), "headline_too_thin"), *of(last)]
     out = F.lit("")
     for rule, code in reversed(rules):
         out = F.when(rule, code).otherwise(out)
     return out
 
 
-def audit_counts(lines: DataFrame, checks=CHECKS, action: str = r"\d") -> DataFrame:
+def _and_not(x: Column, pattern: str, lifted: str | None = None) -> Column:
+    return x.rlike(pattern) if lifted is None else x.rlike(pattern) & ~x.rlike(lifted)
+
+
+def audit_counts(lines: DataFrame, checks=CHECKS, action: str = r"\d", english: bool = False) -> DataFrame:
     """issue and lines, how many lines have it."""
-    return lines.groupBy(line_issue(F.col("line"), checks, action).alias("issue")).agg(F.count(F.lit(1)).alias("lines"))
+    return lines.groupBy(line_issue(F.col("line"), checks, action, english).alias("issue")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 def scrub(lines: DataFrame, mode: str = "main", bad: str = "", most: int | None = None) -> DataFrame:
@@ -69,8 +96,8 @@ def scrub(lines: DataFrame, mode: str = "main", bad: str = "", most: int | None
     return rows.select("by", "pos", "line")
 
 
-def grounding_issue(source: Column, copy: Column, hedges=HEDGES, escalation=ESCALATION, actors=()) -> Column:
-    """The first reason why a copy doesn't rest on its source, else an empty string."""
+def grounding_issue(source: Column, copy: Column, hedges=HEDGES, escalation=ESCALATION, actors=(), pronouns: str = PRONOUNS, least: int = 1) -> Column:
+    """The first reason why a copy doesn't rest on its source, else an empty string; copies of fewer than `least` words are thin."""
     s, c = F.coalesce(source, F.lit("")), F.coalesce(copy, F.lit(""))
     low = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
     of = lambda x, known: F.filter(low(x), lambda w: w.isin(list(known)))
@@ -78,6 +105,8 @@ def grounding_issue(source: Column, copy: Column, hedges=HEDGES, escalation=ESCA
     tokens = lambda x: F.array_distinct(F.filter(low(x), lambda w: F.length(w) >= 4))
     rules = [
         ((T.squeeze(s) == "") | (T.squeeze(c) == ""), "empty_output"),
+        (c.rlike(r"(?<![\p{L}\p{N}_])(?:" + pronouns + r")(?![\p{L}\p{N}_])"), "pronoun_leak"),
+        (F.size(words(c)) < least, "headline_too_thin"),
         (extra(T.numbers(c), T.numbers(s)), "invented_number"),
         ((F.size(of(s, hedges)) > 0) & (F.size(of(c, hedges)) == 0), "lost_hedge"),
         (extra(of(c, actors), low(s)) if actors else F.lit(False), "unsupported_actor"),

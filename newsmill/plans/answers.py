@@ -152,6 +152,15 @@ def f9_recent_history(spark, sf_dir):
     return G.recent_history(table(spark, sf_dir, "conversations"), "conv_id", "turn", 4).select("conv_id", "turn", "role")
 
 
+@query("""WITH l AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, max(ts) OVER (PARTITION BY user_id) AS newest FROM events)
+SELECT user_id, event_id, back FROM l WHERE back <= 4 AND newest >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
+def f9_live_history(spark, sf_dir):
+    """Events as requests; the newest one tells the time."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    return G.live_history(e, "user_id", ["event_id"], 4, now).select("user_id", "event_id", "back")
+
+
 _DUE = f"""e AS (SELECT channel_id, time_bucket(INTERVAL 30 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 30 MINUTE AS window_end FROM {POSTS}),
 n AS (SELECT time_bucket(INTERVAL 30 MINUTE, max(ts)) AS last FROM {POSTS})"""
 

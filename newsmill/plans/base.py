@@ -57,3 +57,10 @@ NORMED = f"(SELECT *, CASE WHEN norm = '' THEN '' ELSE sha1(norm) END AS text_ha
 def names(x: str) -> str:
     """Capitalised words, lower-cased; letters of any script make words."""
     return f"list_distinct(list_transform(list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}')), lambda w: lower(w)))"
+
+
+def foreign_lines(rows: str, cues) -> str:
+    """CTEs w_, h2 and g: rows with a line t, and whether it isn't English."""
+    return f"""w_ AS (SELECT *, len(regexp_extract_all(t, '\\p{{L}}')) - len(regexp_extract_all(t, '[A-Za-z]')) AS f, regexp_extract_all(t, '[A-Za-z\\x{{C0}}-\\x{{FF}}][A-Za-z\\x{{C0}}-\\x{{FF}}''/-]*') AS ws, regexp_extract_all(t, '[A-Za-z][A-Za-z''/-]*') AS ps FROM ({rows})),
+h2 AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: lower(x) IN ({quoted(V.ENGLISH_WORDS)}))) AS en, len(list_filter(ps, lambda x: lower(x) IN ({quoted(V.ENGLISH_WORDS)}))) AS plain_en, len(list_filter(ps, lambda x: lower(x) IN ({quoted(cues)}))) AS cues FROM w_),
+g AS (SELECT *, regexp_matches(t, '[\\x{{600}}-\\x{{6FF}}\\x{{750}}-\\x{{77F}}\\x{{8A0}}-\\x{{8FF}}\\x{{400}}-\\x{{4FF}}]') OR f >= 4 OR (n >= 6 AND ((f >= 2 AND en <= 1) OR (f >= 1 AND en = 0 AND n >= 8))) OR (len(ps) >= 5 AND plain_en = 0 AND cues > 0) AS foreign_ FROM h2)"""

@@ -11,7 +11,7 @@ from newsmill.functions import vocab as V
 from newsmill.operators import hooks as H
 from newsmill.operators import lines as L
 from newsmill.operators.stories import headlines
-from newsmill.plans.base import POSTS, names, quoted, registry, squeeze
+from newsmill.plans.base import POSTS, foreign_lines, names, quoted, registry, squeeze
 from newsmill.plans.story import KEYWORDS
 from newsmill.sources import feeds
 from newsmill.sources.views import posts, shared_path, stage, table
@@ -34,14 +34,24 @@ def _lines(spark, sf_dir):
     return p.withColumnRenamed("message_id", "id").join(h, "id").select(end.alias("by"), F.col("id").alias("pos"), F.col("headline").alias("line"), "hits", "channel_id", "ts", "raw_text")
 
 
-_ISSUE = "CASE WHEN x = '' THEN 'empty_output' " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{c}'" for c, p in L.CHECKS) + " WHEN len(regexp_extract_all(x, '[A-Za-z0-9_]+')) < 5 THEN 'headline_too_thin' WHEN NOT regexp_matches(x, 'thor|[0-9]') THEN 'headline_too_thin' ELSE '' END"
+def _when(checks):
+    return " ".join(f"WHEN regexp_matches(x, '{p[0]}')" + (f" AND NOT regexp_matches(x, '{p[1]}')" if p[1:] else "") + f" THEN '{c}'" for c, *p in checks)
 
 
-@query(f"WITH {_BEST} SELECT {_ISSUE} AS issue, count(*) AS lines FROM (SELECT {squeeze('line')} AS x FROM h) GROUP BY 1")
+_ISSUE = f"CASE WHEN x = '' THEN 'empty_output' {{}} {_when(L.CHECKS)} WHEN len(regexp_extract_all(x, '[A-Za-z0-9_]+')) < 5 THEN 'headline_too_thin' WHEN NOT regexp_matches(x, 'thor|[0-9]') THEN 'headline_too_thin' {_when(L.LAST_CHECKS)} ELSE '' END"
+
+
+@query(f"WITH {_BEST} SELECT {_ISSUE.replace('{}', '')} AS issue, count(*) AS lines FROM (SELECT {squeeze('line')} AS x FROM h) GROUP BY 1")
 def b8_line_audit(spark, sf_dir):
     return L.audit_counts(_lines(spark, sf_dir), action="thor|[0-9]")
 
 
+@query(f"""WITH {_BEST}, {foreign_lines(f"SELECT id, {squeeze('line')} AS t FROM h", V.FOREIGN_CUES)}
+SELECT {_ISSUE.replace('{}', "WHEN foreign_ THEN 'non_english_leftovers'")} AS issue, count(*) AS lines FROM (SELECT *, t AS x FROM g) GROUP BY 1""")
+def b8_english_audit(spark, sf_dir):
+    return L.audit_counts(_lines(spark, sf_dir), action="thor|[0-9]", english=True)
+
+
 _KEY = "trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -61,7 +71,7 @@ _TOK = "list_distinct(list_filter(" + _LOW + ", lambda v: len(v) >= 4))"
 
 
 @query(f"""WITH {_BEST}, p AS (SELECT id, channel_id, raw_text AS s, lag(line) OVER (PARTITION BY channel_id ORDER BY ts, id) AS c FROM h)
-SELECT id, CASE WHEN {squeeze("coalesce(s, '')")} = '' OR {squeeze("coalesce(c, '')")} = '' THEN 'empty_output'
+SELECT id, CASE WHEN {squeeze("coalesce(s, '')")} = '' OR {squeeze("coalesce(c, '')")} = '' THEN 'empty_output' WHEN regexp_matches(c, '(^|[^\p{{L}}\p{{N}}_])(?:{L.PRONOUNS})($|[^\p{{L}}\p{{N}}_])') THEN 'pronoun_leak' WHEN len(regexp_extract_all(c, '[A-Za-z0-9_]+')) < 4 THEN 'headline_too_thin'
   WHEN {_EXTRA.format(_NUMBERS.format('c'), _NUMBERS.format('s'))} THEN 'invented_number'
   WHEN len({_OF.format('s', quoted(['thor', 'inti']))}) > 0 AND len({_OF.format('c', quoted(['thor', 'inti']))}) = 0 THEN 'lost_hedge'
   WHEN {_EXTRA.format(_OF.format('c', quoted(['ouble', 'pour'])), _LOW.format('s'))} THEN 'unsupported_actor'
@@ -73,7 +83,7 @@ def b10_grounding_audit(spark, sf_dir):
     from pyspark.sql import Window
 
     p = _lines(spark, sf_dir).withColumn("copy", F.lag("line").over(Window.partitionBy("channel_id").orderBy("ts", "pos")))
-    return p.select(F.col("pos").alias("id"), L.grounding_issue(F.col("raw_text"), F.col("copy"), ("thor", "inti"), ("edst",), ("ouble", "pour")).alias("issue"))
+    return p.select(F.col("pos").alias("id"), L.grounding_issue(F.col("raw_text"), F.col("copy"), ("thor", "inti"), ("edst",), ("ouble", "pour"), least=4).alias("issue"))
 
 
 @query()

@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from newsmill.operators import hooks, lines, retrieval
+from newsmill.operators import digests, hooks, lines, retrieval
 from newsmill.sources import feeds
 
 
@@ -61,11 +61,35 @@ def test_scrub_modes_and_grounding(spark):
     df = spark.createDataFrame(rows, "by string, pos long, line string")
     keep = lambda mode: sorted(x.pos for x in lines.scrub(df, mode).collect())
     assert keep("main") == [0, 2, 4] and keep("also_moving") == [0] and keep("catchup") == [0]
-    pairs = [("Police reportedly saw 3 boats near Haifa", "Police reportedly saw 4 boats", "invented_number"), ("Police reportedly saw boats", "Police saw boats", "lost_hedge"), ("Police saw boats", "Police saw Marines", "unsupported_name"), ("Police saw boats", "Police saw massive boats", "unsupported_escalation"), ("Police saw boats", "Police saw boats", ""), ("", "x", "empty_output")]
+    pairs = [("Police reportedly saw 3 boats near Haifa", "Police reportedly saw 4 boats", "invented_number"), ("Police reportedly saw boats", "Police saw boats", "lost_hedge"), ("Police saw boats", "Police saw Marines", "unsupported_name"), ("Police saw boats", "Police saw massive boats", "unsupported_escalation"), ("Police saw boats", "Police saw boats", ""), ("", "x", "empty_output"), ("Police saw our boats", "Police saw our boats", "pronoun_leak"), ("Police warn us", "Police warn us", "pronoun_leak"), ("US police saw boats", "US police saw boats", ""), ("Meñ saw boats", "Meñ saw boats", "")]
     df = spark.createDataFrame(pairs, "s string, c string, want string")
     assert [x.got for x in df.select(lines.grounding_issue(F.col("s"), F.col("c")).alias("got")).collect()] == [p[2] for p in pairs]
 
 
+def test_line_issues_in_order(spark):
+    rows = [
+        ("Did 3 boats sink off Haifa?", "question_line"), ("And 3 boats sank off Haifa today", "continuation_line"), ("They lost 3 boats off Haifa today", "dependent_line"), ("We must stop 3 boats off Haifa", "banter_line"),
+        ("Of course 3 boats sank off Haifa", "banter_line"), ("Imagine 3 boats sank off Haifa today", "vague_copy"), ("More details to follow after 3 blasts", "vague_copy"), ("Officially confirmed!", "vague_copy"),
+        ("Video has 300 views after one day", "banter_line"), ("Video has 300 views after 2 men were killed", ""), ("We will strike 3 more ports today", "ungrounded_copy"), ("Says 3 boats sank off Haifa today", "dependent_line"),
+        ("Three boats sank off Haifa today!!", "low_value"), ("“3 boats sank off Haifa today”", "low_value"), ("3 boats sank off Haifa and the", "incomplete_copy"), ('Captain says "3 boats sank off Haifa', "incomplete_copy"),
+        ("boats sank off Haifa, 3 men lost", "continuation_line"), ("What we know about 3 lost boats", "soft_news"), ("3 boats sank", "headline_too_thin"), ("Boats sank near the coast today", "headline_too_thin"),
+        ("Tensions are high over 3 lost boats", "vague_copy"), ("3 boats sank off Haifa at dawn", ""), ("", "empty_output"), (None, "empty_output"), ("3 лодки затонули у берега Хайфы", "headline_too_thin"),  # words are of Latin letters
+    ]
+    df = spark.createDataFrame(rows, "line string, want string")
+    assert [(x.line, x.got) for x in df.select("line", lines.line_issue(F.col("line")).alias("got")).collect()] == rows
+    got = {x.line: x.got for x in df.select("line", lines.line_issue(F.col("line"), english=True).alias("got")).collect()}
+    assert got["3 лодки затонули у берега Хайфы"] == "non_english_leftovers" and got["3 boats sank off Haifa at dawn"] == ""
+
+
+def test_live_history(spark):
+    at = lambda h: dt.datetime(2024, 1, 3, tzinfo=dt.UTC) - dt.timedelta(hours=h)
+    rows = [("a", 1, at(60)), ("a", 2, at(24)), ("a", 3, at(24)), ("b", 4, at(25)), ("c", 5, at(0)), ("c", 6, None), (None, 7, at(1)), ("d", 8, None)]
+    df = spark.createDataFrame(rows, "user string, id long, ts timestamp")
+    got = sorted((str(x.user), x.id, x.back) for x in digests.live_history(df, "user", ["id"], 2, at(0)).collect())
+    assert got == [("None", 7, 1), ("a", 2, 2), ("a", 3, 1), ("c", 5, 1), ("c", 6, 2)]
+    assert digests.live_history(df.limit(0), "user", ["id"], 2, at(0)).count() == 0
+
+
 def test_backfill_promotes_the_first_line(spark):
     rows = [("a", "also", 1, "x"), ("a", "demoted", 0, "y"), ("b", "main", 0, "m"), ("b", "demoted", 1, "d"), ("b", "also", 2, "e")]
     got = sorted((x.by, x.section, x.pos, x.line) for x in lines.backfill(spark.createDataFrame(rows, "by string, section string, pos long, line string")).collect())
