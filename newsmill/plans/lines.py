@@ -71,7 +71,7 @@ _TOK = "list_distinct(list_filter(" + _LOW + ", lambda v: len(v) >= 4))"
 
 
 @query(f"""WITH {_BEST}, p AS (SELECT id, channel_id, raw_text AS s, lag(line) OVER (PARTITION BY channel_id ORDER BY ts, id) AS c FROM h)
-SELECT id, CASE WHEN {squeeze("coalesce(s, '')")} = '' OR {squeeze("coalesce(c, '')")} = '' THEN 'empty_output' WHEN regexp_matches(c, '(^|[^\p{{L}}\p{{N}}_])(?:{L.PRONOUNS})($|[^\p{{L}}\p{{N}}_])') THEN 'pronoun_leak' WHEN len(regexp_extract_all(c, '[A-Za-z0-9_]+')) < 4 THEN 'headline_too_thin'
+SELECT id, CASE WHEN {squeeze("coalesce(s, '')")} = '' OR {squeeze("coalesce(c, '')")} = '' THEN 'empty_output' WHEN regexp_matches(c, '(^|[^\\p{{L}}\\p{{N}}_])(?:{L.PRONOUNS})($|[^\\p{{L}}\\p{{N}}_])') THEN 'pronoun_leak' WHEN len(regexp_extract_all(c, '[A-Za-z0-9_]+')) < 4 THEN 'headline_too_thin'
   WHEN {_EXTRA.format(_NUMBERS.format('c'), _NUMBERS.format('s'))} THEN 'invented_number'
   WHEN len({_OF.format('s', quoted(['thor', 'inti']))}) > 0 AND len({_OF.format('c', quoted(['thor', 'inti']))}) = 0 THEN 'lost_hedge'
   WHEN {_EXTRA.format(_OF.format('c', quoted(['ouble', 'pour'])), _LOW.format('s'))} THEN 'unsupported_actor'
