@@ -216,7 +216,7 @@ def e5_job_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     now = e.agg(F.max("ts").alias("now"))
     g = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest"))
-    age = F.floor(F.unix_micros("now") / 1e6 - F.unix_micros("oldest") / 1e6 + 0.5)
+    age = F.rint((F.unix_micros("now") - F.unix_micros("oldest")) / 1e6)
     return g.crossJoin(F.broadcast(now)).select("user_id", "event_type", "n", age.cast("long").alias("oldest_age_s"))
 
 

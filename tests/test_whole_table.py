@@ -29,3 +29,11 @@ def test_blocked_and_noisy_posts_are_skipped(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.id: (x.action, x.reason) for x in catalog.QUERIES["b3_route_posts"](spark, str(tmp_path)).collect()}
     assert got[0] == ("skip", "moderation_block") and got[1] == ("skip", "likely_noise") and got[2] == ("skip", "empty") and got[3][0] != "skip"
+
+
+def test_age_halves_go_to_even(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, at(0), 1, "a"), (2, at(1), 1, "b"), (3, at(2), 2, "a"), (4, at(2.5), 3, "a")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(x.user_id, x.event_type): x.oldest_age_s for x in catalog.QUERIES["e5_job_rollup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 2, (2, "a"): 0, (3, "a"): 0}  # 2.5, 1.5, 0.5 and 0 seconds
