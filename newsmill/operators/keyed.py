@@ -86,9 +86,9 @@ def systematic_sample(rows: DataFrame, limit: int, order: list[str], by: list[st
     return kept.withColumn("k", F.row_number().over(group.orderBy("rn"))).where(F.col("k") <= limit).drop("n", "k")
 
 
-def top_k_with_cap(scored: DataFrame, query: str, source: str, order: list[Column], per_source: int = 3, k: int = 6) -> DataFrame:
-    """Positive scores only, at most per_source of each source, the first k of each query."""
-    by_source = F.row_number().over(Window.partitionBy(query, source).orderBy(*order))
+def top_k_with_cap(scored: DataFrame, query: str, source: str, order: list[Column], per_source: int = 3, k: int = 6, within: list[Column] | None = None) -> DataFrame:
+    """Positive scores only, at most per_source of each source (in the order within, if given), the first k of each query."""
+    by_source = F.row_number().over(Window.partitionBy(query, source).orderBy(*(within or order)))
     r = scored.where("score > 0").withColumn("_s", by_source).where(F.col("_s") <= per_source).drop("_s")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 

@@ -271,7 +271,8 @@ r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user
 SELECT * FROM r WHERE rank <= 6""")
 def f2_top_k_with_source_cap(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("score", F.col("value"))
-    return K.top_k_with_cap(e, "user_id", "event_type", [F.desc("score"), F.asc("event_id")]).select("user_id", "event_type", "event_id", "rank")
+    within = [F.desc("score"), F.desc("ts"), F.asc("event_id")]
+    return K.top_k_with_cap(e, "user_id", "event_type", [F.desc("score"), F.asc("event_id")], within=within).select("user_id", "event_type", "event_id", "rank")
 
 
 @query(f"""SELECT sha1(norm) AS text_id, max(ts) AS last_seen FROM {NORMED} WHERE len(norm) >= 12 GROUP BY norm ORDER BY last_seen DESC, norm LIMIT 500""")

@@ -37,3 +37,12 @@ def test_age_halves_go_to_even(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(x.user_id, x.event_type): x.oldest_age_s for x in catalog.QUERIES["e5_job_rollup"](spark, str(tmp_path)).collect()}
     assert got == {(1, "a"): 2, (1, "b"): 2, (2, "a"): 0, (3, "a"): 0}  # 2.5, 1.5, 0.5 and 0 seconds
+
+
+def test_ties_of_a_source_go_by_time(spark, tmp_path):
+    """Of equal values the newest three of a source stay, and are then ranked by id."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(i, at(i), 1, "a", 5.0) for i in range(1, 6)] + [(9, at(0), 1, "b", 5.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((x.rank, x.event_id) for x in catalog.QUERIES["f2_top_k_with_source_cap"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3), (2, 4), (3, 5), (4, 9)]
