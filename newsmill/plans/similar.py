@@ -23,7 +23,8 @@ j AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, a.sq AS qa, b.sq AS qb,
 p AS (SELECT a, b, common / (na + nb - common) AS jaccard, least(1.0, dot / (sqrt(sa + {D.ALONE * D.ALONE} * (qa - sa)) * sqrt(sb + {D.ALONE * D.ALONE} * (qb - sb)))) AS tfidf FROM j)
 SELECT a, b, round(jaccard, 6) AS jaccard, round(tfidf, 6) AS tfidf FROM p WHERE tfidf >= 0.48 OR jaccard >= 0.40""")
 def d2_token_components(spark, sf_dir):
-    p = D.token_pairs(stage(D.features(posts(spark, sf_dir)), "features")).where("tfidf >= 0.48 OR jaccard >= 0.40")
+    f = stage(D.features(posts(spark, sf_dir)).select("id", "ts", "text_hash", "tokens"), "features")
+    p = D.token_pairs(f, jaccard=0.40, tfidf=0.48)
     return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -44,7 +45,7 @@ def d3_embedding_cosine(spark, sf_dir):
 
 @query(f"WITH {_TF} SELECT a, b, round(dot / sqrt(qa * qb), 6) AS score FROM j WHERE round(dot / sqrt(qa * qb), 6) >= 0.83")
 def d5_tf_cosine(spark, sf_dir):
-    return D.tf_cosine(stage(D.features(posts(spark, sf_dir)), "features"))
+    return D.tf_cosine(stage(D.features(posts(spark, sf_dir)).select("id", "ts", "text_hash", "tokens"), "features"))
 
 
 @query()

@@ -164,3 +164,39 @@ def test_cooldown_counts_granted_highs_only(spark):
         want[i] = "high" if len(granted) < 3 else "medium"
         granted += [600 * i] if want[i] == "high" else []
     assert got == want
+
+
+def test_blocks_cut_small_agree(spark, monkeypatch):
+    """Pairs, counts and cosines are the same however posts are dealt into blocks, words are told apart and strips are cut."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(8)] + [f"rare{i}" for i in range(60)]
+    texts = [" ".join(r.choice(vocab[: r.choice((8, 68))]) for _ in range(r.randint(3, 15))) for _ in range(150)] + ["same old text again"] * 9 + [None, "", "a b"]
+    rows = [("c", i, t, r.choice((0, 400, 1300)) * (i % 60)) for i, t in enumerate(texts)]
+    f = dedup.features(posts(spark, rows)).select("id", "ts", "text_hash", "tokens").localCheckpoint()
+    feats = f.collect()
+    want, cosines = {}, {}
+    for a in feats:
+        for b in feats:
+            age = (a.ts - b.ts).total_seconds()
+            ta, tb = (set(x.tokens) for x in (a, b))
+            if 0 <= age <= 14400 and (age or b.id < a.id) and ta & tb:
+                want[a.id, b.id] = len(ta & tb) / len(ta | tb)
+                c = sum(a.tokens.count(w) * b.tokens.count(w) for w in ta & tb) / (sum(a.tokens.count(w) ** 2 for w in ta) * sum(b.tokens.count(w) ** 2 for w in tb)) ** 0.5
+                if age and round(c, 6) >= 0.6:
+                    cosines[a.id, b.id] = round(c, 6)
+    monkeypatch.setattr(dedup, "BLOCK", 60)
+    got = dedup.token_pairs(f).collect()
+    assert len(got) == len(want) and {(x.a, x.b): x.jaccard for x in got} == want
+    assert {(x.a, x.b): x.score for x in dedup.tf_cosine(f, least=0.6).collect()} == cosines
+    old, new = f.where("id % 3 = 0"), f.where("id % 3 <> 0")
+    assert {(x.a, x.b) for x in dedup.token_pairs(new, old).collect()} == {(a, b) for a, b in want if a % 3 and not b % 3}
+    every = dedup.Block(dedup.in_blocks(f, None, 10**9).toArrow())  # the workers have the module's own values, so cuts are tested here
+    sums = lambda: [x.tolist() for x in every.products(every.one, every.two, (0, 0), (1, 1), (2, 0))]
+    plain = sums()
+    for strip, rare, pairs in ((7, 0, 1), (3, 1e9, 10), (5, 60, 100)):
+        for name, value in (("STRIP", strip), ("RARE", rare), ("PAIRS", pairs)):
+            monkeypatch.setattr(dedup, name, value)
+        assert sums() == plain
+    counts = {x.id: x.tokens for x in feats}
+    ids = every.ids.to_pylist()
+    assert all(plain[1][i][j] == sum(counts[ids[a]].count(w) * counts[ids[b]].count(w) for w in {*counts[ids[a]]}) for i, a in enumerate(every.one[:12]) for j, b in enumerate(every.two))
