@@ -80,10 +80,12 @@ def pack_by_budget(rows: DataFrame, by: str, order: list[str], cost: str, budget
         jumps.append(stage(two.select("g", "at", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n")), "links"))
     entry = blocks.select("g", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("parts"))
     for k in range(len(jumps) - 1, -1, -1):
+        # one left join a doubling: with a branch for each value of the bit, the plan would double with the doublings
         far = jumps[k].select(F.col("g").alias("_g"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
         bit = F.shiftright("block", k).bitwiseAND(F.lit(1)) == 1
-        moved = entry.where(bit).join(far, F.col("g").eqNullSafe(F.col("_g")) & (F.col("at") == F.col("_at")))
-        entry = entry.where(~bit).unionByName(moved.select("g", "block", F.col("_to").alias("at"), (F.col("parts") + F.col("_n")).alias("parts")))
+        moved = entry.withColumn("_from", F.when(bit, F.col("at"))).join(far, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_from") == F.col("_at")), "left")
+        moved = moved.where(~bit | F.col("_at").isNotNull())
+        entry = moved.select("g", "block", F.when(bit, F.col("_to")).otherwise(F.col("at")).alias("at"), (F.col("parts") + F.when(bit, F.col("_n")).otherwise(F.lit(0))).alias("parts"))
     entry = stage(entry, "entries")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -38,3 +38,18 @@ def test_no_task_holds_a_channel(spark):
     ordered = G.in_order(df, "channel", ["id"], "cost")
     sizes = ordered.selectExpr("before div 400 as block").groupBy("block").count().agg({"count": "max"}).first()[0]
     assert sizes == 8 and [x.before for x in ordered.orderBy("id").limit(3).collect()] == [0, 50, 100]
+
+
+def test_entries_take_one_join_a_doubling(spark, monkeypatch):
+    """65 blocks are 7 doublings; a branch for each value of a block's bits was 127 joins in one plan."""
+    joins, stage = {}, G.stage
+
+    def seen(df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        return stage(df, name)
+
+    monkeypatch.setattr(G, "stage", seen)
+    df = spark.createDataFrame([("hot", i, 100) for i in range(130)], "channel string, id long, cost long")
+    got = G.pack_by_budget(df, "channel", ["id"], "cost", 100, width=2)
+    assert joins["entries"] <= 7
+    assert [x.part for x in got.orderBy("id").collect()] == list(range(1, 131))
