@@ -204,6 +204,15 @@ def test_names_of_several_words(spark):
     assert best.subject == "Northern Bridge" and best.words == 2
 
 
+def test_long_runs_of_names_are_not_cut_into_all_parts(spark):
+    """4,000 words and 800 lengths would be 3 million parts of 400 words in one row."""
+    words = ["W" + chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(4000)]
+    names = [" ".join(words[5 * k % 3000 :][:k]) for k in range(1, 801)]
+    posts = spark.createDataFrame([("c", " ".join(words))] + [("c", f"{n}. {n}.") for n in names], "channel_id string, raw_text string")
+    got = {x.name: (x.words, x.mentions) for x in S.phrase_mentions(posts, "channel_id").collect()}
+    assert got == {" ".join(words): (4000, 1)} | {n: (k, 3) for k, n in enumerate(names, 1)}
+
+
 def test_spans_that_questions_state(spark):
     now = dt.datetime(2024, 3, 6, 1, 30)  # a Wednesday; the day before at New York
     cases = {
