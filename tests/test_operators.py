@@ -200,3 +200,18 @@ def test_blocks_cut_small_agree(spark, monkeypatch):
     counts = {x.id: x.tokens for x in feats}
     ids = every.ids.to_pylist()
     assert all(plain[1][i][j] == sum(counts[ids[a]].count(w) * counts[ids[b]].count(w) for w in {*counts[ids[a]]}) for i, a in enumerate(every.one[:12]) for j, b in enumerate(every.two))
+
+
+def test_phrases_are_looked_for_once(spark, monkeypatch):
+    """Ways of the lookup agree, and what reads the hits doesn't search the posts again."""
+    texts = ["Of-the rise; of the, thes of thes", "der  die (der) die-der of the", "OFTHE ofthe of  the9", None, "", "de la de-la dela", "of\tthe of.the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "message_id long, raw_text string")
+    table = rules.rule_table(spark, [("a", "primary", "of the"), ("a", "alias", "der die"), ("b", "primary", "de la"), ("b", "event", "rise")])
+    hits = rules.rule_hits(rows, table)
+    found = sorted(map(tuple, rules.phrase_grams(rows, table.select("variant")).collect()))
+    assert found == [(0, "of the"), (0, "of thes"), (0, "of-the"), (0, "rise"), (1, "der die"), (1, "of the"), (2, "ofthe"), (5, "de la"), (5, "de-la"), (5, "dela"), (6, "of the")]
+    assert "regexp" not in rules.category_scores(hits)._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, hits.collect()))
+    for name in ("FEW_FIRST", "FEW_VARIANTS"):
+        monkeypatch.setattr(rules, name, 0)
+        assert sorted(map(tuple, rules.rule_hits(rows, table).collect())) == want
