@@ -14,12 +14,17 @@ SEVERITY = {"high": 3.0, "medium": 1.5}
 
 
 def line_key(x: Column) -> Column:
-    return T.squeeze(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", " "))
+    return T.alphanumeric(F.lower(F.coalesce(x, F.lit(""))))
 
 
 def topic_tokens(x: Column) -> Column:
-    words = F.array_distinct(F.filter(F.split(line_key(x), " "), lambda w: F.length(w) >= 4))
-    return F.filter(words, lambda w: ~w.isin(V.DUPE_STOP_WORDS))
+    return key_tokens(line_key(x))
+
+
+def key_tokens(key: Column) -> Column:
+    """The distinct words of a line_key that are four letters or longer and no stop words."""
+    words = F.filter(F.split(key, " "), lambda w: F.length(w) >= 4)
+    return F.array_except(words, F.array(*[F.lit(w) for w in V.DUPE_STOP_WORDS]))
 
 
 #: A headline and a post are compared if they share so many topic words, or so large a part of the headline's.
@@ -29,8 +34,9 @@ ALIKE = 0.55
 
 
 def _rail_side(rows: DataFrame, key: str, text: str) -> DataFrame:
-    k = line_key(F.col(text))
-    return rows.select("window_end", key, k.alias("line"), F.length(k).alias("length"), topic_tokens(F.col(text)).alias("topic"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"), profile(k).alias("profile"))
+    k = F.col("line")
+    r = rows.select("window_end", key, line_key(F.col(text)).alias("line"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"))
+    return r.select("window_end", key, "line", F.length(k).alias("length"), key_tokens(k).alias("topic"), "numbers", "names", profile(k).alias("profile"))
 
 
 def candidates(h: DataFrame, p: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.functions import fuzzy as Z
+from newsmill.functions import text as T
 from newsmill.operators import dedup as D
 from newsmill.operators import keyed as K
 from newsmill.operators import retrieval as Q
+from newsmill.operators import rules
 from newsmill.operators import stories as S
 from newsmill.sources.ledger import KeyedTable, Ledger
 from newsmill.streaming import late
@@ -241,3 +243,47 @@ def test_alias_closure(spark):
     p = Q.prepare(spark.createDataFrame([(1, "did ccc sink with ddd", ), (2, "xyz 24h 300")], "query_id long, question string"), "2024-01-02", aliases=spark.createDataFrame([("ccc", "bbb"), ("bbb", "aaa")], "alias string, name string"))
     got = {x.query_id: (x.aliases, x.numbers, x.direct) for x in p.collect()}
     assert got == {1: (["aaa", "bbb"], [], True), 2: ([], ["300"], False)}
+
+
+def test_matcher_has_the_blocks_of_difflib_and_keeps_the_later_text():
+    rng, built = random.Random(4), []
+
+    class Counting(Z._Matcher):
+        def set_seq2(self, b):
+            built.append(b) if b != self.b else None
+            super().set_seq2(b)
+
+    words = ["the", "ouble", "tion", "zq", "q", "jx", "77", "é", "😀", " ", "of ", "a"]
+    some = lambda n: "".join(rng.choice(words) for _ in range(n))
+    later = [some(n) for n in (2, 30, 60, 199, 300, 900) for _ in range(6)] + ["a" * 199 + "b", "a" * 200, "ab" * 150]
+    match = Counting()
+    for y in later:
+        for x in [some(3), some(20), some(90), y[len(y) // 3 :][:120], y[::-1]]:
+            if x and y and x != y:
+                assert Z._ratio(match, x, y) == SequenceMatcher(None, x, y).ratio()
+                assert match.get_matching_blocks() == SequenceMatcher(None, x, y).get_matching_blocks()
+    assert [b for b in built if b] == later
+
+
+def test_profiles_count_characters_in_one_pass(spark):
+    """Made of 38 replacements a text before, which the plan shows."""
+    rows = [(1, "ab a0"), (2, ""), (3, None), (4, "é😀zZ"), (5, "퟿\n")]
+    p = spark.createDataFrame(rows, "id long, t string").select("id", Z.profile(F.col("t")).alias("p"))
+    for r in p.collect():
+        t = dict(rows)[r.id] or ""
+        each = [t.count(c) for c in Z.COUNTED]
+        assert r.p == [*each, len(t) - sum(each)]
+    assert "replace(" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_squeezing_leaves_single_blanks_alone(spark):
+    cases = [" a  b ", "a\tb", "a \n b", "\n\n", "", None, "a b c", "a( b)[c]|d", "x\x0b y", "é  é"]
+    d = spark.createDataFrame(list(enumerate(cases)), "id long, t string")
+    got = {r.id: r for r in d.select("id", T.squeeze(F.col("t")).alias("s"), rules.plain(F.col("t")).alias("p"), T.alphanumeric(F.col("t")).alias("k")).collect()}
+    for i, t in enumerate(cases):
+        assert got[i].s == (None if t is None else re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" "))
+        assert got[i].p == re.sub(r"[ \t\n\x0b\f\r()\[\]{}|]+", " ", (t or "").lower()).strip(" ")
+        assert got[i].k == (None if t is None else re.sub("[^a-z0-9]+", " ", t).strip(" "))
+    # a text of single blanks has nothing to replace
+    one = d.where("id = 6").select(F.regexp_count(F.col("t"), F.lit(T.SPACES.format(kinds=""))).alias("n"))
+    assert one.first().n == 0
