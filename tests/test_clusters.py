@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -170,3 +171,14 @@ def test_long_random_streams_against_brute_force(spark):
     facts = C.story_facts(frame(spark, rows)).cache()
     got = {x.id: (x.cluster, x.decision, x.updates) for x in C.story_clusters(facts).collect()}
     assert got == brute(facts.collect())
+
+
+def test_one_search_finds_all_marker_words(spark):
+    """A word that begins a longer one stands there too; what only looks like a word doesn't."""
+    words = ["iran", "iran-backed", "u.s.", "u.s", "us", "mda"]
+    assert set(C._holding("iran", words)) == {"iran", "iran-backed"} and C._holding("us", words) == ["us"] and set(C._holding("u.s", words)) == {"u.s", "u.s."}
+    cases = {1: "iran-backed men", 2: "tehiran iranx", 3: "the u.s. and mda", 4: "u.s.a", 5: "bus us", 6: ""}
+    alone = lambda w, t: re.search(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", t) is not None
+    f = spark.createDataFrame(list(cases.items()), "id long, t string").withColumn("found", C._found(F.col("t"), words))
+    for r in f.select("id", *[C._among(F.col("found"), [w], words).alias(f"w{i}") for i, w in enumerate(words)]).collect():
+        assert [r[f"w{i}"] for i in range(len(words))] == [alone(w, cases[r.id]) for w in words]
