@@ -287,3 +287,12 @@ def test_squeezing_leaves_single_blanks_alone(spark):
     # a text of single blanks has nothing to replace
     one = d.where("id = 6").select(F.regexp_count(F.col("t"), F.lit(T.SPACES.format(kinds=""))).alias("n"))
     assert one.first().n == 0
+
+
+def test_moderation_searches_only_texts_that_hold_a_term(spark):
+    texts = {1: "The thor, THOR and thorn met.", 2: "shtion  ouble court courts", 3: None, 4: "", 5: "th0r edst er hate", 6: "thorn"}
+    d = spark.createDataFrame(list(texts.items()), "message_id long, raw_text string")
+    m = rules.moderation(d, ["shtion ouble"], ["thor"], ["edst er"])
+    got = {r.id: (r.frequency, r.hard_blocked) for r in m.collect()}
+    assert got == {1: (2, False), 2: (0, True), 3: (None, None), 4: (0, False), 5: (3, False), 6: (0, False)}
+    assert "contains(" in m._jdf.queryExecution().optimizedPlan().toString().lower()
