@@ -81,9 +81,9 @@ SELECT matched AS id, array_to_string(list_sort(list(source))[1:6], ', ') AS als
 def e9_live_reports(spark, sf_dir):
     """Posts of equal text report the earliest of them, which is live for six hours, as the table has a post each minute."""
     p = posts(spark, sf_dir)
-    key = T.fingerprint(T.normalize(F.col("raw_text")))
-    first = p.groupBy(key.alias("k")).agg(F.min("message_id").alias("matched"))
-    dups = p.select(F.col("message_id").alias("id"), key.alias("k")).join(first, "k").where("id <> matched")
+    keys = stage(p.select(F.col("message_id").alias("id"), T.fingerprint(T.normalize(F.col("raw_text"))).alias("k")), "hashes")
+    first = keys.groupBy("k").agg(F.min("id").alias("matched"))
+    dups = keys.join(first, "k").where("id <> matched")
     return D.live_reports(dups, p, 360)
 
 
