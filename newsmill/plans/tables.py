@@ -181,7 +181,8 @@ def a3_live_posts(spark, sf_dir):
 SELECT channel_id, count(*) AS posts, count(*) FILTER (hit) AS hits, count(*) FILTER (hit AND decision = 1) AS good
 FROM (SELECT p.channel_id, c.decision, coalesce(epoch(p.ts) - epoch(c.cached_at) <= 86400, false) AS hit FROM {NORMED} p LEFT JOIN cache c USING (text_hash)) GROUP BY channel_id""")
 def d12_decision_cache(spark, sf_dir):
-    n, lab = normed(spark, sf_dir), table(spark, sf_dir, "labels")
+    n = stage(normed(spark, sf_dir).select("channel_id", "message_id", "ts", "text_hash"), "hashes")  # the posts and the cache take the same ones
+    lab = table(spark, sf_dir, "labels")
     cache = n.join(lab, n["message_id"] == lab["doc_id"]).groupBy("text_hash").agg(F.max_by("quality", "ts").alias("decision"), F.max("ts").alias("ts"))
     got = K.decision_cache(n.select("channel_id", "ts", "text_hash"), cache, 86400)
     return got.groupBy("channel_id").agg(F.count(F.lit(1)).alias("posts"), F.count_if("hit").alias("hits"), F.count_if(F.col("hit") & (F.col("decision") == 1)).alias("good"))
