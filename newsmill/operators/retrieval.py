@@ -14,6 +14,8 @@ from newsmill.sources.views import release, stage
 #: Units of a stated span, in hours, with the words and letters for them.
 UNITS = (("minutes?|mins?", 1 / 60), ("hours?|hrs?|h", 1.0), ("days?|d", 24.0), ("weeks?|w", 168.0))
 _N_UNITS = r"\b(\d{1,4})\s*(?:minutes?|mins?|hours?|hrs?|h|days?|d|weeks?|w)\b"
+#: Words whose terms one task meets with the questions.
+WORDS_A_TASK = 20_000
 #: Patterns of what a question is like.
 BROAD = r"\b(?:latest|news|headlines|updates?|what'?s new|what is new|what happened|what is happening|summary|recap)\b"
 IDENTITY = r"^(?:who|whom|what) (?:is|was|are|were)\b"
@@ -165,7 +167,7 @@ def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     grams = lambda c: F.when(F.length(c) >= 3, stretches(c, 3)).otherwise(stretches(c, 2))
     index = words.select("word", F.explode(F.concat(stretches(F.col("word"), 3), stretches(F.col("word"), 2))).alias("gram"))
     asked = terms.where(F.length("term") >= 2).select("term", F.explode(grams(F.col("term"))).alias("gram"))
-    used = index.join(asked.select("gram").distinct(), "gram", "left_semi")
+    used = stage(index.join(asked.select("gram").distinct(), "gram", "left_semi"), "word-grams")
     often = used.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(often, "gram").groupBy("term").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "gram")).alias("rare"))
     # a term one of whose stretches no word has is in no word
@@ -176,21 +178,35 @@ def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     return near.unionByName(letters)
 
 
+def query_bits(queries: DataFrame, width: int = 64) -> DataFrame:
+    """query_id, part, bit: queries (query_id) dealt into parts of at most width, each with a bit of its own in its part."""
+    many = max(1, -(-queries.count() * 3 // (width * 2)))
+    dealt = queries.withColumn("_p", F.pmod(F.xxhash64("query_id"), F.lit(many)))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("query_id")) - 1
+    return dealt.withColumn("_n", place).select("query_id", (F.floor(F.col("_n") / width) * many + F.col("_p")).cast("long").alias("part"), (F.col("_n") % width).cast("int").alias("bit"))
+
+
 def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
     """query_id, id: posts whose text holds any keyword or number of a question as a part of it.
 
     Terms are runs of letters and digits, so a term that a text holds lies inside one of the text's own runs. The
-    distinct runs of all posts are matched with the distinct terms (`words_with_terms`); posts then meet questions by
-    equi-joins on the runs that hold a term.
+    distinct runs of all posts are matched with the distinct terms (`words_with_terms`). Posts then meet, by an equi-join
+    on the runs, the questions of each run as bits of a few numbers, so a run that many questions ask for is a few rows.
     """
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("raw_text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-    held = stage(p.select(F.col("message_id").alias("id"), F.explode(runs).alias("word")), "post-words")
+    held = stage(p.select(F.col("message_id").alias("id"), F.explode(T.runs(F.col("raw_text"))).alias("word")), "post-words")
+    words = stage(held.select("word").distinct(), "words")
     terms = stage(prepared.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "numbers"))).alias("term")), "query-terms")
-    found = words_with_terms(held.select("word").distinct(), terms.select("term").distinct())
-    asked = stage(found.join(terms, "term").select("word", "query_id").distinct(), "query-words")
-    return held.join(asked, "word").select("query_id", "id").distinct()
+    bits = stage(query_bits(terms.select("query_id").distinct()), "query-bits")
+    either = F.bit_or("bits").alias("bits")
+    asked = terms.join(bits, "query_id").withColumn("bits", F.expr("shiftleft(1L, bit)")).groupBy("term", "part").agg(either)
+    found = words_with_terms(words, terms.select("term").distinct())
+    found = found.repartition(words.count() // WORDS_A_TASK + 1, "word")
+    each = found.join(asked, "term").groupBy("word", "part").agg(either)
+    asked = stage(each.groupBy("word").agg(F.collect_list(F.struct("part", "bits")).alias("parts")), "query-words")
+    hit = held.join(asked.hint("shuffle_hash"), "word").select("id", F.inline("parts")).groupBy("id", "part").agg(either)
+    return hit.join(bits, "part").where("shiftright(bits, bit) & 1L = 1L").select("query_id", "id")
 
 
 def reply_targets(replies: DataFrame, delivered: DataFrame, topic: DataFrame | None = None) -> DataFrame:
