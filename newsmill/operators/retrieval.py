@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from newsmill.sources.views import release, stage
 #: Units of a stated span, in hours, with the words and letters for them.
 UNITS = (("minutes?|mins?", 1 / 60), ("hours?|hrs?|h", 1.0), ("days?|d", 24.0), ("weeks?|w", 168.0))
 _N_UNITS = r"\b(\d{1,4})\s*(?:minutes?|mins?|hours?|hrs?|h|days?|d|weeks?|w)\b"
+#: Posts whose words one task meets with the questions.
+POSTS_A_TASK = 4096
 #: Words whose terms one task meets with the questions.
 WORDS_A_TASK = 20_000
 #: Patterns of what a question is like.
@@ -93,13 +97,14 @@ def prepare(queries: DataFrame, now=None, zone: str = "UTC", aliases: DataFrame
 def evidence(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> DataFrame:
     """query_id, id, source, ts, kw_hits, num_hits: posts that share a keyword or number with a question.
 
-    Both sides are exploded into distinct terms and meet in an equi-join; the counts are partially aggregated, so a
-    frequent term costs its own pairs only.
+    Both sides are exploded into distinct terms and meet in an equi-join; a frequent term costs its own pairs only. Nearly
+    every post may answer nearly every question, so the counts of a task are bounded by the posts that it has: the words
+    of some posts are dealt to a partition, and the pairs are counted there.
     """
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
-    low = F.lower(F.coalesce(F.col("raw_text"), F.lit("")))
-    tokens = p.select(F.col("message_id").alias("id"), F.col("channel_id").alias("source"), "ts", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("term"))
+    rows = p.select(F.col("message_id").alias("id"), F.col("channel_id").alias("source"), "ts", T.runs(F.col("raw_text"), 2).alias("words"))
+    tokens = rows.repartition(p.count() // POSTS_A_TASK + 1, "id").select("id", "source", "ts", F.explode("words").alias("term"))
     terms = prepared.select("query_id", F.explode(F.concat(F.transform("keywords", lambda k: F.struct(k.alias("term"), F.lit(False).alias("is_number"))), F.transform("numbers", lambda k: F.struct(k.alias("term"), F.lit(True).alias("is_number"))))).alias("t")).select("query_id", "t.term", "t.is_number")
     j = tokens.join(terms, "term")
     return j.groupBy("query_id", "id", "source", "ts").agg(F.count_if(~F.col("is_number")).alias("kw_hits"), F.count_if("is_number").alias("num_hits"))
@@ -149,11 +154,14 @@ def answers(prepared: DataFrame, ok: DataFrame, lines: DataFrame) -> DataFrame:
     return a.select("query_id", F.when(F.col("ok") & F.col("text").isNotNull(), F.col("text")).otherwise(F.lit("no match")).alias("answer"), (F.col("ok") & F.col("text").isNotNull()).alias("answered"))
 
 
-def widen(prepared: DataFrame, narrow: DataFrame, wide: DataFrame, least: int = 3) -> DataFrame:
-    """Evidence of the narrow window; questions with fewer rows there take the wide window's."""
+def widen(prepared: DataFrame, narrow: DataFrame, wide: Callable[[DataFrame], DataFrame], least: int = 3) -> DataFrame:
+    """Evidence of the narrow window; questions with fewer rows there take the wide window's, which is found for them alone."""
     n = narrow.groupBy("query_id").count()
-    thin = prepared.select("query_id").join(n, "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).select("query_id")
-    return narrow.join(thin, "query_id", "left_anti").withColumn("expanded", F.lit(False)).unionByName(wide.join(thin, "query_id", "left_semi").withColumn("expanded", F.lit(True)))
+    thin = stage(prepared.join(n, "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).drop("count"), "thin-questions")
+    near = narrow.withColumn("expanded", F.lit(False))
+    if thin.isEmpty():
+        return near
+    return near.join(thin.select("query_id"), "query_id", "left_anti").unionByName(wide(thin).withColumn("expanded", F.lit(True)))
 
 
 def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def k3_answers(spark, sf_dir):
 def i12_widen_window(spark, sf_dir):
     p, all_posts = _prepared(spark, sf_dir), posts(spark, sf_dir)
     near, far = (F.lit(x).cast("timestamp") for x in ("2024-01-01 12:00:00", "2024-01-01 00:00:00"))
-    w = Q.widen(p, Q.evidence(p, all_posts, near), Q.evidence(p, all_posts, far))
+    w = Q.widen(p, Q.evidence(p, all_posts, near), lambda thin: Q.evidence(thin, all_posts, far))
     return w.groupBy("query_id", "expanded").agg(F.count(F.lit(1)).alias("posts"))
 
 
