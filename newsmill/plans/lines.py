@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from newsmill.functions import fuzzy as Z
@@ -105,10 +106,11 @@ SELECT id, CASE WHEN n % 3 = 0 THEN 'deliver' ELSE 'digest' END AS action, CASE
 def j2_model_decisions(spark, sf_dir):
     """A stand-in for a model: by length its answer is valid, has an unknown action, or isn't JSON."""
 
-    @F.pandas_udf("string")
-    def answer(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def answer(texts: pa.Array) -> pa.Array:
         say = ('{"action": "deliver", "severity": "high", "confidence": 7}', '{"action": "shout", "severity": "high"}', "no answer")
-        return texts.str.len().map(lambda n: say[int(n) % 3])
+        n = pc.fill_null(pc.utf8_length(texts), 2)  # no text becomes a Python object; there is no answer to a null one
+        return pa.array(say).take(pa.array(n.to_numpy() % 3))
 
     rules = posts(spark, sf_dir).select(F.col("message_id").alias("id"), "raw_text", F.lit("digest").alias("action"), F.lit("low").alias("severity"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("headline"))
     return H.model_decisions(rules, answer(F.col("raw_text"))).select("id", "action", "severity", "confidence", "decided_by")
