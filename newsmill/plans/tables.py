@@ -128,7 +128,7 @@ SELECT message_id, len(tok) AS n_tokens, len(list_distinct(tok)) AS n_distinct,
   len(list_filter(tok, lambda w: regexp_full_match(w, '[0-9]+') OR w IN ({quoted([*V.BREAKING_HINTS, *V.GEO_HINTS])}) OR len(w) >= 8)) AS n_anchors FROM k""")
 def c2_dedup_features(spark, sf_dir):
     t = normed(spark, sf_dir).select("message_id", T.tokens(F.col("norm")).alias("tok")).withColumn("key", F.array_join(F.sort_array("tok"), " "))
-    return t.select("message_id", F.size("tok").alias("n_tokens"), F.size(F.array_distinct("tok")).alias("n_distinct"), F.sha1(F.col("key").cast("binary")).alias("key_hash"), F.size(T.bigrams(F.col("tok"))).alias("n_bigrams"), F.size(F.array_distinct(T.chargrams(F.col("key")))).alias("n_chargrams"), F.size(T.anchors(F.col("tok"))).alias("n_anchors"))
+    return t.select("message_id", F.size("tok").alias("n_tokens"), F.size(F.array_distinct("tok")).alias("n_distinct"), F.sha1(F.col("key").cast("binary")).alias("key_hash"), F.size(T.bigrams(F.col("tok"))).alias("n_bigrams"), F.size(T.key_grams(F.col("tok"))).alias("n_chargrams"), F.size(T.anchors(F.col("tok"))).alias("n_anchors"))
 
 
 @query(f"""WITH s AS (SELECT message_id, list_filter(string_split(regexp_replace({squeeze("raw_text")}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM {POSTS})
