@@ -39,10 +39,15 @@ def bounded_evidence(prepared: DataFrame, posts: DataFrame) -> DataFrame:
     """query_id, id, source, ts, kw_hits, alias_hits, num_hits and what the post is like (says_who, says_toll, linked).
 
     A post counts for a request if it lies in the request's span and has a keyword, a number, or all words of another
-    name; alias_hits counts the keywords and other names that it has.
+    name; alias_hits counts the keywords and other names that it has. Posts outside all spans are left out before their
+    texts are read.
     """
+    # no request leaves no bounds, and no post
+    ends = prepared.agg(F.coalesce(F.bool_or(F.col("since").isNull()), F.lit(False)).alias("_open"), F.min("since").alias("_since"), F.coalesce(F.bool_or(F.col("until").isNull()), F.lit(False)).alias("_endless"), F.max("until").alias("_until"))
+    within = (F.col("_open") | (F.col("ts") >= F.col("_since"))) & (F.col("_endless") | (F.col("ts") < F.col("_until")))
+    posts = posts.join(F.broadcast(ends), within, "left_semi")
     low = F.lower(F.coalesce("raw_text", F.lit("")))
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    words = T.runs(F.col("raw_text"), 2)
     like = [low.rlike(IDENTITY_MARKER).alias("says_who"), low.rlike(CASUALTY).alias("says_toll"), low.contains("http").alias("linked")]
     tokens = posts.select(F.col("message_id").alias("id"), F.col("channel_id").alias("source"), "ts", *like, words.alias("each"))
     tokens = tokens.select("id", "source", "ts", "says_who", "says_toll", "linked", F.explode("each").alias("term"))  # once a post, not once a word
