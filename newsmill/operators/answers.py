@@ -50,7 +50,7 @@ def bounded_evidence(prepared: DataFrame, posts: DataFrame) -> DataFrame:
     words = T.runs(F.col("raw_text"), 2)
     like = [low.rlike(IDENTITY_MARKER).alias("says_who"), low.rlike(CASUALTY).alias("says_toll"), low.contains("http").alias("linked")]
     tokens = posts.select(F.col("message_id").alias("id"), F.col("channel_id").alias("source"), "ts", *like, words.alias("each"))
-    tokens = tokens.select("id", "source", "ts", "says_who", "says_toll", "linked", F.explode("each").alias("term"))  # once a post, not once a word
+    tokens = tokens.select("id", "source", "ts", "says_who", "says_toll", "linked", F.explode_outer("each").alias("term")).where("term IS NOT NULL")  # once a post, not once a word
     spans = prepared.select("query_id", "since", "until")
     terms = request_terms(prepared).join(spans, "query_id")
     inside = (F.col("since").isNull() | (F.col("ts") >= F.col("since"))) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))

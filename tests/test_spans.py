@@ -21,3 +21,4 @@ def test_spans_bound_the_posts(spark):
         assert got(spans) == {(i, h) for i, (a, b) in enumerate(spans) for h in range(10) if (a is None or h >= a) and (b is None or h < b)}
     plan = found(spark, [(2, 4)])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("Generate") < plan.index("LeftSemi")  # the join is below the words
+    assert plan.count("each#") and plan.count("split(") == 1  # and nothing below it reads the texts
