@@ -104,7 +104,7 @@ def evidence(prepared: DataFrame, posts: DataFrame, since=None, until=None) -> D
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
     rows = p.select(F.col("message_id").alias("id"), F.col("channel_id").alias("source"), "ts", T.runs(F.col("raw_text"), 2).alias("words"))
-    tokens = rows.repartition(p.count() // POSTS_A_TASK + 1, "id").select("id", "source", "ts", F.explode("words").alias("term"))
+    tokens = rows.repartition(p.count() // POSTS_A_TASK + 1, "id").select("id", "source", "ts", F.explode_outer("words").alias("term")).where("term IS NOT NULL")  # not explode: Spark would filter by the words first, which finds them twice
     terms = prepared.select("query_id", F.explode(F.concat(F.transform("keywords", lambda k: F.struct(k.alias("term"), F.lit(False).alias("is_number"))), F.transform("numbers", lambda k: F.struct(k.alias("term"), F.lit(True).alias("is_number"))))).alias("t")).select("query_id", "t.term", "t.is_number")
     j = tokens.join(terms, "term")
     return j.groupBy("query_id", "id", "source", "ts").agg(F.count_if(~F.col("is_number")).alias("kw_hits"), F.count_if("is_number").alias("num_hits"))
@@ -203,7 +203,7 @@ def keyword_filter(prepared: DataFrame, posts: DataFrame, since=None, until=None
     """
     p = posts if since is None else posts.where(F.col("ts") >= F.lit(since))
     p = p if until is None else p.where(F.col("ts") < F.lit(until))
-    held = stage(p.select(F.col("message_id").alias("id"), F.explode(T.runs(F.col("raw_text"))).alias("word")), "post-words")
+    held = stage(p.select(F.col("message_id").alias("id"), F.explode_outer(T.runs(F.col("raw_text"))).alias("word")).where("word IS NOT NULL"), "post-words")
     words = stage(held.select("word").distinct(), "words")
     terms = stage(prepared.select("query_id", F.explode(F.array_distinct(F.concat("keywords", "numbers"))).alias("term")), "query-terms")
     bits = stage(query_bits(terms.select("query_id").distinct()), "query-bits")
