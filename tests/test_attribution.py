@@ -2,7 +2,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from newsmill.functions import text as T
 from newsmill.operators import attribution as A
+from newsmill.plans import attribution
+from tests.conftest import SF
 
 LINES = [
     ("Harbour Desk: two ferries collided", "Initial reports indicate two ferries collided", 1),
@@ -49,3 +52,25 @@ def test_clean_posts_and_counts(spark):
     counts = {x.window_end.minute: (x.posts, x.empty, x.removed, x.citations) for x in A.digest_counts(cleaned).collect()}
     assert list(counts.values()) == [(2, 0, 3, 1), (2, 1, 2, 2)] or list(counts.values()) == [(2, 1, 2, 2), (2, 0, 3, 1)]
     assert A.clean_posts(p.limit(0), labels).count() == 0 and A.clean_posts(p, labels.limit(0)).count() == 4
+
+
+def test_lines_keep_their_letters(spark):
+    text = "A name(d) lambda\tvariable,  'x_0'\u00a0[Column]\r\n<b>second</b> line <3>\n\n a name(d) LAMBDA variable, 'x_0'\u00a0[column] "
+    got = spark.createDataFrame([(text,)], "t string").select(T.clean_lines(F.col("t"))).first()[0]
+    assert got == ["A name(d) lambda variable, 'x_0'\u00a0[Column]", "second line"]
+
+
+def equals_its_sql(spark, module, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = module.QUERIES[name](spark, SF)
+    rows = lambda found: sorted([str(v) for v in r] for r in found)
+    plain = df.select(*[F.col(c).cast("timestamp_ntz") if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+    assert rows(plain.collect()) == rows(db.execute(f"SELECT {', '.join(df.columns)} FROM ({module.ORACLES[name]})").fetchall())
+
+
+def test_attributions_equal_their_sql(spark):
+    equals_its_sql(spark, attribution, "c3_attributions")
