@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.operators import attribution as A
-from newsmill.plans import attribution
+from newsmill.plans import attribution, story
 from tests.conftest import SF
 
 LINES = [
@@ -72,5 +72,9 @@ def equals_its_sql(spark, module, name):
     assert rows(plain.collect()) == rows(db.execute(f"SELECT {', '.join(df.columns)} FROM ({module.ORACLES[name]})").fetchall())
 
 
+def test_clean_posts_equal_their_sql(spark):
+    equals_its_sql(spark, story, "c3_clean_posts")
+
+
 def test_attributions_equal_their_sql(spark):
     equals_its_sql(spark, attribution, "c3_attributions")
