@@ -78,3 +78,7 @@ def test_clean_posts_equal_their_sql(spark):
 
 def test_attributions_equal_their_sql(spark):
     equals_its_sql(spark, attribution, "c3_attributions")
+
+
+def test_digest_counts_equal_their_sql(spark):
+    equals_its_sql(spark, attribution, "e17_digest_counts")
