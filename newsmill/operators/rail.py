@@ -33,54 +33,50 @@ SHARED, COVERED = 3, 0.42
 ALIKE = 0.55
 
 
-def _rail_side(rows: DataFrame, key: str, text: str) -> DataFrame:
-    k = F.col("line")
-    r = rows.select("window_end", key, line_key(F.col(text)).alias("line"), T.numbers(F.col(text)).alias("numbers"), T.names(F.col(text)).alias("names"))
-    return r.select("window_end", key, "line", F.length(k).alias("length"), key_tokens(k).alias("topic"), "numbers", "names", profile(k).alias("profile"))
+#: A window's lines are dealt into blocks of about so many lines and characters.
+LINES, CHARS = 1024, 1_000_000
 
 
-def candidates(h: DataFrame, p: DataFrame) -> DataFrame:
-    """line_id and id of the pairs of a window that the rejection rules may leave open.
-
-    A headline of n topic words needs min(SHARED, COVERED * n) common ones, so one of them is among its rarest words of
-    the window, all but that many. Pairs that share only a number or a name must be alike in their characters, which
-    bounds the quotient of their lengths.
-    """
-    words = p.select("window_end", "id", F.explode("topic").alias("w"))
-    often = words.groupBy("window_end", "w").agg(F.count(F.lit(1)).alias("df"))
-    n = F.size("topic")
-    spare = n - F.least(F.lit(SHARED), F.ceil(COVERED * n)) + 1
-    own = h.select("window_end", "line_id", spare.alias("spare"), F.explode("topic").alias("w")).join(often, ["window_end", "w"], "left")
-    rank = F.row_number().over(Window.partitionBy("line_id").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    rare = own.withColumn("rank", rank).where((F.col("rank") <= F.col("spare")) & F.col("df").isNotNull())
-    topical = rare.select("window_end", "line_id", "w").join(words, ["window_end", "w"]).select("line_id", "id")
-
-    tagged = lambda c: F.transform(F.col(c), lambda x: F.concat(F.lit(c[:2]), x))
-    signs = lambda d, key: d.select("window_end", key, "length", F.explode(F.concat(tagged("numbers"), tagged("names"))).alias("w"))
-    q = signs(p, "id").withColumnRenamed("length", "length_p")
-    close = 2 * F.least("length", "length_p") >= ALIKE * (F.col("length") + F.col("length_p"))
-    signed = signs(h, "line_id").join(q, ["window_end", "w"]).where(close).select("line_id", "id")
-    return topical.unionByName(signed).distinct()
+def _rail_side(rows: DataFrame, text: str) -> DataFrame:
+    """rows without a text, but with its line of characters, length, topic words, numbers and names."""
+    held, x = [c for c in rows.columns if c != text], F.col(text)
+    r = rows.select(*held, line_key(x).alias("line"), T.numbers(x).alias("numbers"), T.names(x).alias("names"))
+    return r.select(*held, "line", F.length("line").alias("length"), key_tokens(F.col("line")).alias("topic"), "numbers", "names")
 
 
-def _close() -> Column:
-    """Whether the lengths of two lines leave room for ALIKE."""
-    a, b = F.length("h_line"), F.length("p_line")
-    return 2 * F.least(a, b) >= ALIKE * (a + b)
+def blocks(headlines: DataFrame) -> DataFrame:
+    """window_end, lines and all their topic words, numbers and names: one row a window, more where it has many lines."""
+    size = F.greatest(F.count(F.lit(1)) / LINES, F.sum(F.length("headline")) / CHARS, F.lit(1.0))
+    deals = headlines.groupBy("window_end").agg(F.ceil(size).alias("deals"))
+    h = headlines.select("window_end", "line_id", "headline").join(deals, "window_end").withColumn("deal", F.pmod(F.xxhash64("line_id"), "deals")).drop("deals")
+    h = _rail_side(h, "headline").withColumn("profile", profile(F.col("line")))
+    dealt = h.groupBy("window_end", "deal").agg(F.collect_list(F.struct("line_id", "line", "length", "topic", "numbers", "names", "profile")).alias("lines"))
+    of_all = lambda c: F.array_distinct(F.flatten(F.col(f"lines.{c}"))).alias(f"all_{c}")
+    return stage(dealt.select("window_end", "lines", *[of_all(c) for c in ("topic", "numbers", "names")]), "rail-lines")
 
 
 def overlaps(headlines: DataFrame, posts: DataFrame) -> DataFrame:
-    """Candidate pairs with what they share: both, coverage, density, num, name, same, the two lines of characters and the bound of their ratio."""
-    h = stage(_rail_side(headlines, "line_id", "headline"), "rail-lines")
-    p = stage(_rail_side(posts, "id", "text"), "rail-words")
-    side = lambda d, k: d.select(*[F.col(c) if c in ("line_id", "id", "window_end") else F.col(c).alias(f"{k}_{c}") for c in d.columns])
-    pairs = candidates(h, p).join(side(h, "h"), "line_id").join(side(p.drop("window_end"), "p"), "id")
-    both = F.size(F.array_intersect("h_topic", "p_topic"))
-    share = lambda a: both / F.greatest(F.size(a), F.lit(1))
-    pairs = pairs.select("window_end", "line_id", "id", "h_line", "p_line", ratio_bound(F.col("h_profile"), F.col("p_profile")).alias("most"), both.alias("both"), share("h_topic").alias("coverage"), share("p_topic").alias("density"), F.arrays_overlap("h_numbers", "p_numbers").alias("num"), F.arrays_overlap("h_names", "p_names").alias("name"))
-    same = (F.col("coverage") >= 0.6) & (F.col("both") >= 3)
-    topical = (F.col("coverage") >= COVERED) | (F.col("both") >= SHARED)
-    return pairs.withColumn("same", same).where(topical | _close() & (F.col("num") | F.col("name")))
+    """Pairs of a window that the rejection rules leave open, with what they share: both, coverage, density, num, name,
+    same, the two lines of characters and the bound of their ratio.
+
+    A post's text moves once, to the lines of its window; there its words that no line has are left out before it is
+    compared, and only pairs that stay become rows. Pairs that share only a number or a name must be alike in their
+    characters, which bounds the quotient of their lengths.
+    """
+    p = _rail_side(posts.select("window_end", "id", "text").join(blocks(headlines), "window_end"), "text")
+    p = p.select("window_end", "id", "lines", "line", "length", F.size("topic").alias("words"), *[F.array_intersect(c, f"all_{c}").alias(c) for c in ("topic", "numbers", "names")])
+
+    def pair(h):
+        both = F.size(F.array_intersect(h["topic"], F.col("topic")))
+        return F.struct(h["line_id"].alias("line_id"), h["line"].alias("line"), h["length"].alias("length"), h["profile"].alias("profile"), F.size(h["topic"]).alias("words"), both.alias("both"), F.arrays_overlap(h["numbers"], F.col("numbers")).alias("num"), F.arrays_overlap(h["names"], F.col("names")).alias("name"))
+
+    share = lambda both, n: both / F.greatest(n, F.lit(1))
+    alike = lambda a, b: 2 * F.least(a, b) >= ALIKE * (a + b)
+    left = lambda m: (share(m["both"], m["words"]) >= COVERED) | (m["both"] >= SHARED) | alike(m["length"], F.col("length")) & (m["num"] | m["name"])
+    p = p.select("window_end", "id", F.col("line").alias("p_line"), F.col("words").alias("p_words"), F.filter(F.transform("lines", pair), left).alias("pairs"))
+    p = p.select("window_end", "id", "p_line", "p_words", profile(F.col("p_line")).alias("p_profile"), F.explode_outer("pairs").alias("m")).where("m IS NOT NULL")  # not explode: Spark would filter by the pairs first, which finds them twice
+    pairs = p.select("window_end", "m.line_id", "id", F.col("m.line").alias("h_line"), "p_line", ratio_bound(F.col("m.profile"), F.col("p_profile")).alias("most"), "m.both", share(F.col("m.both"), F.col("m.words")).alias("coverage"), share(F.col("m.both"), F.col("p_words")).alias("density"), "m.num", "m.name")
+    return pairs.withColumn("same", (F.col("coverage") >= 0.6) & (F.col("both") >= 3))
 
 
 def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:

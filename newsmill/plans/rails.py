@@ -17,14 +17,20 @@ query = registry(QUERIES, ORACLES)
 
 
 def _inputs(spark, sf_dir):
+    """Lines with the narrow columns of their posts, and the posts' texts, which aren't staged and move with no other step."""
     end = F.window(F.col("ts") - F.expr("interval 1 microsecond"), "30 minutes").getField("end")
-    p = posts(spark, sf_dir)
-    h = headlines(p, KEYWORDS)
+    p = posts(spark, sf_dir).withColumnRenamed("message_id", "id").withColumn("window_end", end)
     severity = F.when(F.col("hits") >= 3, "high").when(F.col("hits") >= 1, "medium").otherwise("low")
-    rows = p.withColumnRenamed("message_id", "id").join(h, "id").select(end.alias("window_end"), "id", F.col("channel_id").alias("source"), "ts", F.col("raw_text").alias("text"), severity.alias("severity"), F.lit(0.0).alias("bonus"), "headline")
-    rows = stage(rows, "rail-posts")
+    rows = p.select("window_end", "id", F.col("channel_id").alias("source"), "ts").join(headlines(posts(spark, sf_dir), KEYWORDS), "id")
     place = F.row_number().over(Window.partitionBy("window_end").orderBy("ts", "id")) - 1
-    return rows.select("window_end", F.col("id").alias("line_id"), "headline", place.alias("place")), rows.drop("headline")
+    lines = stage(rows.select("window_end", F.col("id").alias("line_id"), "headline", place.alias("place"), "id", "source", "ts", severity.alias("severity"), F.lit(0.0).alias("bonus")), "rail-posts")
+    said = F.col("raw_text").rlike(r"\S")  # others have no headline
+    return lines, p.where(said).select("window_end", "id", F.col("raw_text").alias("text"))
+
+
+def _ranked(spark, sf_dir):
+    lines, texts = _inputs(spark, sf_dir)
+    return R.rank(lines.select("window_end", "line_id", "headline", "place"), lines, R.match_posts(lines, texts))
 
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -57,11 +63,9 @@ def d14_headline_match(spark, sf_dir):
 
 @query()
 def f4_rail_rank(spark, sf_dir):
-    lines, rows = _inputs(spark, sf_dir)
-    return R.rank(lines, rows, R.match_posts(lines, rows))
+    return _ranked(spark, sf_dir)
 
 
 @query()
 def k4_digest_rows(spark, sf_dir):
-    lines, rows = _inputs(spark, sf_dir)
-    return R.digest_rows(R.rank(lines, rows, R.match_posts(lines, rows)))
+    return R.digest_rows(_ranked(spark, sf_dir))

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import re
 from difflib import SequenceMatcher
+from pathlib import Path
 
 from newsmill.functions import vocab as V
 from newsmill.operators import rail
@@ -63,3 +64,29 @@ def test_matches_against_brute_force(spark):
     p = spark.createDataFrame(posts, "window_end timestamp, id long, text string")
     got = {(x.line_id, x.id): round(x.match, 6) for x in rail.match_posts(h, p).collect()}
     assert got == brute_match(lines, posts) and len(got) > 100
+
+
+def long_window(spark, windows=2, n=30):
+    """Windows of long posts without a common word, and their first words as headlines."""
+    r = random.Random(5)
+    rows = [(END + dt.timedelta(minutes=30 * w), 100 * w + i, " ".join(f"{r.getrandbits(36):09x}" for _ in range(3000))) for w in range(windows) for i in range(n)]
+    p = spark.createDataFrame(rows, "window_end timestamp, id long, text string").repartition(2).localCheckpoint()
+    h = spark.createDataFrame([(w, i, t[:59]) for w, i, t in rows], "window_end timestamp, line_id long, headline string").localCheckpoint()
+    return h, p, sum(len(t) for *_, t in rows)
+
+
+def moved(spark, df):
+    """Rows of a result, and bytes that were shuffled and staged for it."""
+    store, at = spark.sparkContext._jsc.sc().statusStore(), Path(spark.conf.get("spark.checkpoint.dir"))
+    now = lambda: store.executorSummary("driver").totalShuffleWrite() + sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    before = now()
+    rows = df().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, now() - before
+
+
+def test_texts_move_once_for_overlaps(spark):
+    h, p, size = long_window(spark)
+    rows, most = moved(spark, lambda: rail.overlaps(h, p).select("line_id", "id", "both"))
+    assert {(x.line_id, x.id) for x in rows if x.line_id == x.id} == {(i, i) for w in (0, 100) for i in range(w, w + 30)}
+    assert most < 1.5 * size
