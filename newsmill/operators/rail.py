@@ -17,14 +17,9 @@ def line_key(x: Column) -> Column:
     return T.alphanumeric(F.lower(F.coalesce(x, F.lit(""))))
 
 
-def topic_tokens(x: Column) -> Column:
-    return key_tokens(line_key(x))
-
-
-def key_tokens(key: Column) -> Column:
+def topics(words: Column) -> Column:
     """The distinct words of a line_key that are four letters or longer and no stop words."""
-    words = F.filter(F.split(key, " "), lambda w: F.length(w) >= 4)
-    return F.array_except(words, F.array(*[F.lit(w) for w in V.DUPE_STOP_WORDS]))
+    return F.array_except(F.filter(words, lambda w: F.length(w) >= 4), F.array(*[F.lit(w) for w in V.DUPE_STOP_WORDS]))
 
 
 #: A headline and a post are compared if they share so many topic words, or so large a part of the headline's.
@@ -37,46 +32,60 @@ ALIKE = 0.55
 LINES, CHARS = 1024, 1_000_000
 
 
+#: What lines and posts may share, and its elements in a text.
+SHARES = ("topic", "numbers", "names")
+
+
 def _rail_side(rows: DataFrame, text: str) -> DataFrame:
     """rows without a text, but with its line of characters, length, topic words, numbers and names."""
     held, x = [c for c in rows.columns if c != text], F.col(text)
-    r = rows.select(*held, line_key(x).alias("line"), T.numbers(x).alias("numbers"), T.names(x).alias("names"))
-    return r.select(*held, "line", F.length("line").alias("length"), key_tokens(F.col("line")).alias("topic"), "numbers", "names")
+    r = rows.select(*held, x.alias("_text"), line_key(x).alias("line")).withColumn("_words", F.split("line", " "))
+    # a number word is a word of the line, unless digits stand beside it
+    some = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in V.NUMBER_WORDS])) | F.col("line").rlike("[0-9]")
+    numbers = F.when(some, T.numbers(F.col("_text"))).otherwise(F.array().cast("array<string>"))
+    return r.select(*held, "line", F.length("line").alias("length"), topics(F.col("_words")).alias("topic"), numbers.alias("numbers"), T.names(F.col("_text")).alias("names"))
+
+
+def _places(some: Column, among: Column) -> Column:
+    """The places of some elements in an array."""
+    return F.transform(some, lambda w: F.array_position(among, w))
 
 
 def blocks(headlines: DataFrame) -> DataFrame:
-    """window_end, lines and all their topic words, numbers and names: one row a window, more where it has many lines."""
+    """window_end, lines and all their topic words, numbers and names: one row a window, more where it has many lines.
+
+    The lines have the places of theirs among all of them.
+    """
     size = F.greatest(F.count(F.lit(1)) / LINES, F.sum(F.length("headline")) / CHARS, F.lit(1.0))
     deals = headlines.groupBy("window_end").agg(F.ceil(size).alias("deals"))
     h = headlines.select("window_end", "line_id", "headline").join(deals, "window_end").withColumn("deal", F.pmod(F.xxhash64("line_id"), "deals")).drop("deals")
     h = _rail_side(h, "headline").withColumn("profile", profile(F.col("line")))
-    dealt = h.groupBy("window_end", "deal").agg(F.collect_list(F.struct("line_id", "line", "length", "topic", "numbers", "names", "profile")).alias("lines"))
-    of_all = lambda c: F.array_distinct(F.flatten(F.col(f"lines.{c}"))).alias(f"all_{c}")
-    return stage(dealt.select("window_end", "lines", *[of_all(c) for c in ("topic", "numbers", "names")]), "rail-lines")
+    dealt = h.groupBy("window_end", "deal").agg(F.collect_list(F.struct("line_id", "line", "length", "profile", *SHARES)).alias("lines"))
+    dealt = dealt.select("window_end", "lines", *[F.array_distinct(F.flatten(F.col(f"lines.{c}"))).alias(f"all_{c}") for c in SHARES])
+    coded = lambda m: F.struct(*[m[c].alias(c) for c in ("line_id", "line", "length", "profile")], *[_places(m[c], F.col(f"all_{c}")).alias(c) for c in SHARES])
+    return stage(dealt.withColumn("lines", F.transform("lines", coded)), "rail-lines")
 
 
 def overlaps(headlines: DataFrame, posts: DataFrame) -> DataFrame:
     """Pairs of a window that the rejection rules leave open, with what they share: both, coverage, density, num, name,
     same, the two lines of characters and the bound of their ratio.
 
-    A post's text moves once, to the lines of its window; there its words that no line has are left out before it is
-    compared, and only pairs that stay become rows. Pairs that share only a number or a name must be alike in their
-    characters, which bounds the quotient of their lengths.
+    A post's text moves once, to the lines of its window; there its words that no line has are left out, the others are
+    told by their places, and only pairs that stay become rows. Pairs that share only a number or a name must be alike in
+    their characters, which bounds the quotient of their lengths.
     """
     p = _rail_side(posts.select("window_end", "id", "text").join(blocks(headlines), "window_end"), "text")
-    p = p.select("window_end", "id", "lines", "line", "length", F.size("topic").alias("words"), *[F.array_intersect(c, f"all_{c}").alias(c) for c in ("topic", "numbers", "names")])
-
-    def pair(h):
-        both = F.size(F.array_intersect(h["topic"], F.col("topic")))
-        return F.struct(h["line_id"].alias("line_id"), h["line"].alias("line"), h["length"].alias("length"), h["profile"].alias("profile"), F.size(h["topic"]).alias("words"), both.alias("both"), F.arrays_overlap(h["numbers"], F.col("numbers")).alias("num"), F.arrays_overlap(h["names"], F.col("names")).alias("name"))
-
-    share = lambda both, n: both / F.greatest(n, F.lit(1))
-    alike = lambda a, b: 2 * F.least(a, b) >= ALIKE * (a + b)
-    left = lambda m: (share(m["both"], m["words"]) >= COVERED) | (m["both"] >= SHARED) | alike(m["length"], F.col("length")) & (m["num"] | m["name"])
-    p = p.select("window_end", "id", F.col("line").alias("p_line"), F.col("words").alias("p_words"), F.filter(F.transform("lines", pair), left).alias("pairs"))
-    p = p.select("window_end", "id", "p_line", "p_words", profile(F.col("p_line")).alias("p_profile"), F.explode_outer("pairs").alias("m")).where("m IS NOT NULL")  # not explode: Spark would filter by the pairs first, which finds them twice
-    pairs = p.select("window_end", "m.line_id", "id", F.col("m.line").alias("h_line"), "p_line", ratio_bound(F.col("m.profile"), F.col("p_profile")).alias("most"), "m.both", share(F.col("m.both"), F.col("m.words")).alias("coverage"), share(F.col("m.both"), F.col("p_words")).alias("density"), "m.num", "m.name")
-    return pairs.withColumn("same", (F.col("coverage") >= 0.6) & (F.col("both") >= 3))
+    met = [F.array_intersect(c, f"all_{c}").alias(c) for c in SHARES]
+    p = p.select("window_end", "id", "lines", F.col("line").alias("p_line"), F.col("length").alias("p_length"), F.size("topic").alias("p_words"), *met, *[f"all_{c}" for c in SHARES])
+    p = p.select("window_end", "id", "lines", "p_line", "p_length", "p_words", profile(F.col("p_line")).alias("p_profile"), *[_places(F.col(c), F.col(f"all_{c}")).alias(f"p_{c}") for c in SHARES])
+    m = p.select(*[c for c in p.columns if c != "lines"], F.explode("lines").alias("m"))
+    share = lambda n: F.col("both") / F.greatest(n, F.lit(1))
+    pairs = m.withColumns({"both": F.size(F.array_intersect("p_topic", "m.topic")), "num": F.arrays_overlap("p_numbers", "m.numbers"), "name": F.arrays_overlap("p_names", "m.names")})
+    pairs = pairs.withColumns({"coverage": share(F.size("m.topic")), "density": share(F.col("p_words"))})
+    close = 2 * F.least("m.length", "p_length") >= ALIKE * (F.col("m.length") + F.col("p_length"))
+    pairs = pairs.where((F.col("coverage") >= COVERED) | (F.col("both") >= SHARED) | close & (F.col("num") | F.col("name")))
+    same = (F.col("coverage") >= 0.6) & (F.col("both") >= 3)
+    return pairs.select("window_end", "m.line_id", "id", F.col("m.line").alias("h_line"), "p_line", ratio_bound(F.col("m.profile"), F.col("p_profile")).alias("most"), "both", "coverage", "density", "num", "name", same.alias("same"))
 
 
 def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:
