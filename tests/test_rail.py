@@ -90,3 +90,28 @@ def test_texts_move_once_for_overlaps(spark):
     rows, most = moved(spark, lambda: rail.overlaps(h, p).select("line_id", "id", "both"))
     assert {(x.line_id, x.id) for x in rows if x.line_id == x.id} == {(i, i) for w in (0, 100) for i in range(w, w + 30)}
     assert most < 1.5 * size
+
+
+def test_texts_move_once_for_matches(spark):
+    h, p, size = long_window(spark)
+    rows, most = moved(spark, lambda: rail.match_posts(h, p))
+    assert {(x.line_id, x.id) for x in rows} == {(i, i) for w in (0, 100) for i in range(w, w + 30)}
+    assert most < 1.5 * size
+
+
+def test_lines_of_a_window_are_dealt_into_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["harbour", "ferry", "Minister", "bridge", "storm", "seven", "12", "1two", "North", "opens", "the", "Vote", "of", "Über"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    lines = [(END, i, say(r.randint(0, 7))) for i in range(40)]
+    posts = [(END, 100 + i, say(r.choice([0, 3, 6, 9, 40]))) for i in range(40)] + [(END, 500, None)]
+    h = spark.createDataFrame(lines, "window_end timestamp, line_id long, headline string")
+    p = spark.createDataFrame(posts, "window_end timestamp, id long, text string")
+    for few, long in ((6, 1_000_000), (1024, 200)):
+        monkeypatch.setattr(rail, "LINES", few)
+        monkeypatch.setattr(rail, "CHARS", long)
+        blocks = rail.blocks(h).collect()
+        assert len(blocks) > 2 and sorted(m.line_id for b in blocks for m in b.lines) == list(range(40))
+        got = [(x.line_id, x.id) for x in rail.match_posts(h, p).collect()]
+        assert len(got) > 100 and len(got) == len(set(got))
+        assert set(got) == set(brute_match(lines, posts[:-1]))
