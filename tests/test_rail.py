@@ -6,6 +6,7 @@ from pathlib import Path
 
 from newsmill.functions import vocab as V
 from newsmill.operators import rail
+from newsmill.plans import rails
 
 END = dt.datetime(2024, 1, 1, 12)
 
@@ -115,3 +116,20 @@ def test_lines_of_a_window_are_dealt_into_blocks(spark, monkeypatch):
         got = [(x.line_id, x.id) for x in rail.match_posts(h, p).collect()]
         assert len(got) > 100 and len(got) == len(set(got))
         assert set(got) == set(brute_match(lines, posts[:-1]))
+
+
+def long_documents(spark, path):
+    """Two windows of long documents that begin with a sentence of their own, one without a text and one of blanks."""
+    r = random.Random(6)
+    texts = [". ".join(" ".join(f"{r.getrandbits(36):09x}" for _ in range(n)) for n in (6, 3000)) for _ in range(56)] + [None, " \t\n"]
+    docs = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return sum(len(t or "") for t in texts)
+
+
+def test_texts_move_once_for_ranks(spark, tmp_path):
+    size = long_documents(spark, tmp_path)
+    rows, most = moved(spark, lambda: rails.QUERIES["f4_rail_rank"](spark, str(tmp_path)))
+    assert sorted(x.line_id for x in rows) == list(range(1, 57))
+    assert sorted((x.window_end.minute, x["rank"]) for x in rows) == [(0, i) for i in range(1, 27)] + [(30, i) for i in range(1, 31)]
+    assert most < 1.5 * size
