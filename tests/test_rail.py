@@ -133,3 +133,11 @@ def test_texts_move_once_for_ranks(spark, tmp_path):
     assert sorted(x.line_id for x in rows) == list(range(1, 57))
     assert sorted((x.window_end.minute, x["rank"]) for x in rows) == [(0, i) for i in range(1, 27)] + [(30, i) for i in range(1, 31)]
     assert most < 1.5 * size
+
+
+def test_texts_move_once_for_digests(spark, tmp_path):
+    size = long_documents(spark, tmp_path)
+    rows, most = moved(spark, lambda: rails.QUERIES["k4_digest_rows"](spark, str(tmp_path)))
+    sections = [x.section for x in sorted(rows, key=lambda x: (x.window_end, x.pos))]
+    assert sections == 2 * (["headline"] + 12 * ["highlights"] + 3 * ["also_moving"])
+    assert most < 1.5 * size
