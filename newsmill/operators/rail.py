@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import text as T
 from newsmill.functions import vocab as V
-from newsmill.functions.fuzzy import profile, ratio, ratio_bound
+from newsmill.functions.fuzzy import profile, ratio_bound, ratio_once
 from newsmill.sources.views import stage
 
 SEVERITY = {"high": 3.0, "medium": 1.5}
@@ -92,7 +92,7 @@ def match_posts(headlines: DataFrame, posts: DataFrame) -> DataFrame:
     """line_id, id, match: headlines (window_end, line_id, headline) with posts (window_end, id, text, ...) of their window."""
     pairs = overlaps(headlines, posts)
     sure = F.col("same") | (F.col("coverage") >= 0.58)
-    pairs = pairs.where(sure | (F.col("most") >= ALIKE)).withColumn("sure", sure).withColumn("ratio", ratio("h_line", "p_line"))
+    pairs = pairs.where(sure | (F.col("most") >= ALIKE)).withColumn("sure", sure).withColumn("ratio", ratio_once("h_line", "p_line"))
     pairs = pairs.where(F.col("sure") | (F.col("ratio") >= ALIKE))
     score = F.col("ratio") + F.col("coverage") + 0.35 * F.col("density") + 1.5 * F.col("same").cast("int") + 0.4 * F.col("num").cast("int") + 0.35 * F.col("name").cast("int")
     return pairs.select("window_end", "line_id", "id", score.alias("match"))

@@ -141,3 +141,9 @@ def test_texts_move_once_for_digests(spark, tmp_path):
     sections = [x.section for x in sorted(rows, key=lambda x: (x.window_end, x.pos))]
     assert sections == 2 * (["headline"] + 12 * ["highlights"] + 3 * ["also_moving"])
     assert most < 1.5 * size
+
+
+def test_pairs_are_matched_once(spark):
+    h = spark.createDataFrame([(END, 1, A), (END, 2, B)], "window_end timestamp, line_id long, headline string")
+    plan = rail.match_posts(h, h.select("window_end", h.line_id.alias("id"), h.headline.alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [ratio") == 1
